@@ -32,10 +32,15 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+GRID = 1048576.0  # 2**20: results are snapped to multiples of 2**-20 (about 1e-6)
+
+
 def round6(c):
-    """floor(x*1e6 + 0.5)/1e6: plain IEEE steps, so both engines round alike
-    (engine ``round`` functions differ on binary half cases and on -0.0)."""
-    return F.floor(c * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)
+    """Snap to the 2**-20 grid with exact IEEE steps (scaling by a power of two
+    is exact), so both engines agree. Decimal rounding is avoided on purpose:
+    cent-valued data averaged over 2**k rows lands exactly on decimal half
+    points, where summation order would decide the last digit."""
+    return F.floor(c * F.lit(GRID) + F.lit(0.5)).cast("double") / F.lit(GRID)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def r6(expr: str) -> str:
-    return f"(floor(({expr}) * CAST('1000000.0' AS DOUBLE) + CAST('0.5' AS DOUBLE)) / CAST('1000000.0' AS DOUBLE))"
+    return f"(floor(({expr}) * CAST('1048576.0' AS DOUBLE) + CAST('0.5' AS DOUBLE)) / CAST('1048576.0' AS DOUBLE))"
 
 
 def R(expr: str, alias: str | None = None) -> str:

@@ -1 +1,345 @@
-"""placeholder"""
+"""Registered queries: metrics, model choice, registry, samples, MLlib
+trainers, forecasting and feature influence."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from haze.functions.aqi import overall_aqi
+from haze.operators import explain, forecast, learn, series
+from haze.plans import common
+from haze.plans.catalog import R, query, rounded
+from haze.plans.oracle_base import BASE, SCORED, band_sql, d, local_sql, overall_sql, with_ctes
+from haze.plans.q_series import FULL_CTES
+from haze.schemas import AQI_POLLUTANT_ORDER, MODEL_FEATURES
+
+PRED_MODELS = ["persistence", "seasonal_naive", "rolling_mean"]
+
+
+# ------------------------------------------------------------------ baseline predictions
+def predictions(spark, sf):
+    """(model, city, timestamp, y, y_hat) of three baseline forecasters of AQI."""
+    s = common.scored(spark, sf).select("city", "timestamp", "AQI")
+    w = series.series_window()
+    wide = s.select("city", "timestamp", F.col("AQI").alias("y"),
+                    F.lag("AQI", 1).over(w).alias("persistence"),
+                    F.lag("AQI", 24).over(w).alias("seasonal_naive"),
+                    F.avg("AQI").over(w.rowsBetween(-24, -1)).alias("rolling_mean"))
+    return wide.unpivot(["city", "timestamp", "y"], PRED_MODELS, "model", "y_hat")
+
+
+PRED_CTE = """w AS (SELECT city, timestamp, AQI AS y,
+             lag(AQI, 1) OVER (PARTITION BY city ORDER BY timestamp) AS persistence,
+             lag(AQI, 24) OVER (PARTITION BY city ORDER BY timestamp) AS seasonal_naive,
+             avg(AQI) OVER (PARTITION BY city ORDER BY timestamp ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS rolling_mean
+      FROM scored),
+pred AS (
+  SELECT city, timestamp, y, 'persistence' AS model, persistence AS y_hat FROM w UNION ALL
+  SELECT city, timestamp, y, 'seasonal_naive', seasonal_naive FROM w UNION ALL
+  SELECT city, timestamp, y, 'rolling_mean', rolling_mean FROM w)"""
+
+
+def _metrics_sql(group: str) -> str:
+    e = "(y - y_hat)"
+    return f"""SELECT {group}, {R(f'sqrt(avg({e} * {e}))', 'rmse')}, {R(f'avg(abs({e}))', 'mae')},
+       {R(f'{d(1.0)} - sum({e} * {e}) / (CAST(COUNT(*) AS DOUBLE) * var_pop(y))', 'r2')}, COUNT(*) AS n
+FROM pred WHERE y IS NOT NULL AND y_hat IS NOT NULL GROUP BY {group}"""
+
+
+@query("regression_metrics", with_ctes(*BASE, SCORED, PRED_CTE) + _metrics_sql("model"))
+def q_regression_metrics(spark, sf):
+    return rounded(learn.regression_metrics(predictions(spark, sf), group=["model"]))
+
+
+@query("best_model", with_ctes(*BASE, SCORED, PRED_CTE) + f""",
+m AS ({_metrics_sql('model, city')})
+SELECT model, city, rmse, mae, r2, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY city ORDER BY rmse NULLS LAST,
+     CASE model WHEN 'persistence' THEN 1 WHEN 'seasonal_naive' THEN 2 ELSE 3 END) AS rk FROM m) WHERE rk = 1""")
+def q_best_model(spark, sf):
+    m = rounded(learn.regression_metrics(predictions(spark, sf), group=["model", "city"]))
+    return learn.best_model(m, "rmse", group=["city"], order=PRED_MODELS)
+
+
+# ------------------------------------------------------------------ registry (weekly re-fits)
+def registry(spark, sf):
+    """One registry row per (model, week): version = week order per model."""
+    p = predictions(spark, sf).withColumn("week", F.date_trunc("week", F.col("timestamp").cast("timestamp")))
+    m = learn.regression_metrics(p, group=["model", "week"])
+    last_ts = p.groupBy("model", "week").agg(F.max("timestamp").alias("created_at"))
+    m = rounded(m).join(last_ts, ["model", "week"])
+    v = F.dense_rank().over(Window.partitionBy("model").orderBy("week"))
+    name = F.concat(F.lit("aqi_"), F.col("model"))
+    return m.select(name.alias("name"), v.cast("int").alias("version"),
+                    F.concat(F.lit("models/"), name, F.lit("/v"), v.cast("string")).alias("path"),
+                    "rmse", "mae", "r2", "created_at")
+
+
+REG_CTE = f""",
+pw AS (SELECT *, date_trunc('week', timestamp) AS week FROM pred),
+mw AS (SELECT model, week, {R('sqrt(avg((y - y_hat) * (y - y_hat)))', 'rmse')}, {R('avg(abs(y - y_hat))', 'mae')},
+              {R(f'{d(1.0)} - sum((y - y_hat) * (y - y_hat)) / (CAST(COUNT(*) AS DOUBLE) * var_pop(y))', 'r2')}
+       FROM pw WHERE y IS NOT NULL AND y_hat IS NOT NULL GROUP BY model, week),
+lw AS (SELECT model, week, max(timestamp) AS created_at FROM pw GROUP BY model, week),
+reg AS (SELECT 'aqi_' || mw.model AS name,
+               CAST(dense_rank() OVER (PARTITION BY mw.model ORDER BY mw.week) AS INTEGER) AS version,
+               'models/aqi_' || mw.model || '/v' || CAST(dense_rank() OVER (PARTITION BY mw.model ORDER BY mw.week) AS VARCHAR) AS path,
+               rmse, mae, r2, created_at
+        FROM mw JOIN lw ON mw.model = lw.model AND mw.week = lw.week)"""
+
+
+@query("latest_model", with_ctes(*BASE, SCORED, PRED_CTE) + REG_CTE + """
+SELECT name, version, path, rmse, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY version DESC) AS rk FROM reg) WHERE rk = 1""")
+def q_latest_model(spark, sf):
+    return learn.latest_versions(registry(spark, sf)).select("name", "version", "path", "rmse", "created_at")
+
+
+@query("registry_metrics", with_ctes(*BASE, SCORED, PRED_CTE) + REG_CTE + """
+SELECT name, version, metric, value FROM (
+  SELECT name, version, 'rmse' AS metric, rmse AS value FROM reg UNION ALL
+  SELECT name, version, 'mae', mae FROM reg UNION ALL
+  SELECT name, version, 'r2', r2 FROM reg) WHERE value IS NOT NULL""")
+def q_registry_metrics(spark, sf):
+    r = registry(spark, sf)
+    meta = F.create_map(F.lit("model"), F.col("name"), F.lit("rmse"), F.col("rmse").cast("string"),
+                        F.lit("mae"), F.col("mae").cast("string"), F.lit("r2"), F.col("r2").cast("string"),
+                        F.lit("timestamp"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    kept = r.select("name", "version", learn.numeric_metrics(meta).alias("m"))
+    return kept.select("name", "version", F.explode("m").alias("metric", "value"))
+
+
+def _title_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, ' '), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+@query("model_display_names", with_ctes(*BASE, SCORED, PRED_CTE) + REG_CTE + f"""
+SELECT DISTINCT name, {_title_sql("replace(replace(name, 'aqi_', ''), '_', ' ')")} AS display_name,
+       split_part(name, '_', 2) AS family, upper(trim(name)) AS upper_name FROM reg""")
+def q_model_display_names(spark, sf):
+    r = registry(spark, sf).select("name").distinct()
+    return r.select("name", learn.display_name("name").alias("display_name"),
+                    F.split_part(F.col("name"), F.lit("_"), F.lit(2)).alias("family"),
+                    F.upper(F.trim(F.col("name"))).alias("upper_name"))
+
+
+def _fmt_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'N/A' ELSE printf('%.4f', {x}) END"
+
+
+@query("metrics_table", with_ctes(*BASE, SCORED, PRED_CTE) + f""",
+m AS ({_metrics_sql('model')})
+SELECT {_title_sql("replace(replace('aqi_' || model, 'aqi_', ''), '_', ' ')")} AS Model,
+       {_fmt_sql('rmse')} AS RMSE, {_fmt_sql('mae')} AS MAE, {_fmt_sql('r2')} AS R2 FROM m""")
+def q_metrics_table(spark, sf):
+    m = rounded(learn.regression_metrics(predictions(spark, sf), group=["model"]))
+    return m.select(learn.display_name(F.concat(F.lit("aqi_"), F.col("model"))).alias("Model"),
+                    learn.fmt4("rmse").alias("RMSE"), learn.fmt4("mae").alias("MAE"), learn.fmt4("r2").alias("R2"))
+
+
+# ------------------------------------------------------------------ samples, augmentation
+def _key():
+    return learn.hour_key("timestamp", F.substring(F.col("city"), 2, 8).cast("bigint"))
+
+
+_KEY_SQL = ("(date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', timestamp) * 8 + "
+            "CAST(substr(city, 2) AS BIGINT))")
+_HASH_SQL = f"(({_KEY_SQL} * 2654435761 + {42 * 97}) % 4294967296)"
+
+
+@query("hash_sample", with_ctes(*BASE, SCORED) + f"""
+SELECT city, timestamp, {R('AQI')} FROM scored WHERE {_HASH_SQL} < {int(0.3 * 4294967296)}""")
+def q_hash_sample(spark, sf):
+    s = common.scored(spark, sf)
+    return rounded(learn.hash_sample(s, 0.3, learn.portable_hash(_key())).select("city", "timestamp", "AQI"))
+
+
+@query("fixed_sample", with_ctes(*BASE, SCORED) + f"""
+SELECT city, timestamp, {R('AQI')} FROM scored ORDER BY {_HASH_SQL}, city, timestamp LIMIT 100""")
+def q_fixed_sample(spark, sf):
+    s = common.scored(spark, sf)
+    return rounded(learn.fixed_sample(s, 100, learn.portable_hash(_key()), ["city", "timestamp"])
+                   .select("city", "timestamp", "AQI"))
+
+
+@query("augment")
+def q_augment(spark, sf):
+    f = common.features(spark, sf)
+    feats = [c for c in MODEL_FEATURES]
+    return learn.augment(f, 0.5, feats, seed=42).select("city", "timestamp", *feats, "AQI")
+
+
+# ------------------------------------------------------------------ MLlib
+AS_OF_FORECAST = dt.datetime(2024, 1, 31, 0, 0, 0)
+
+
+def _split(spark, sf):
+    f = common.features(spark, sf)
+    idx = series.time_split(f, ["timestamp", "city"], n_splits=3)
+    return idx.where(F.col("split") == "train"), idx.where(F.col("split") == "test")
+
+
+def _train(spark, sf, estimator, name):
+    tr, te = _split(spark, sf)
+    model, metrics = learn.fit_and_evaluate(tr, te, MODEL_FEATURES, estimator, name)
+    return model, metrics
+
+
+@query("train_forest")
+def q_train_forest(spark, sf):
+    return _train(spark, sf, learn.forest_regressor(), "RandomForest")[1]
+
+
+@query("train_gbt_shallow")
+def q_train_gbt_shallow(spark, sf):
+    return _train(spark, sf, learn.gbt_regressor("shallow"), "BoostedShallow")[1]
+
+
+@query("train_gbt_deep")
+def q_train_gbt_deep(spark, sf):
+    return _train(spark, sf, learn.gbt_regressor("deep"), "BoostedDeep")[1]
+
+
+def _fitted_forest(spark, sf):
+    model, _ = _train(spark, sf, learn.forest_regressor(), "RandomForest")
+    return model
+
+
+@query("score")
+def q_score(spark, sf):
+    model = _fitted_forest(spark, sf)
+    f = common.features(spark, sf)
+    return learn.score(f.select("city", "timestamp", *MODEL_FEATURES), model, MODEL_FEATURES,
+                       keep=["city", "timestamp"])
+
+
+@query("forecast_72h")
+def q_forecast_72h(spark, sf):
+    model = _fitted_forest(spark, sf)
+    _, daily = forecast.forecast_72h(common.features(spark, sf), model, AS_OF_FORECAST)
+    return daily
+
+
+@query("shapley")
+def q_shapley(spark, sf):
+    model = _fitted_forest(spark, sf)
+    f = common.features(spark, sf).withColumn("row_id", _key())
+    sample = learn.fixed_sample(f, 100, learn.portable_hash(F.col("row_id")), ["row_id"])
+    contrib = explain.shapley_values(sample, model, MODEL_FEATURES, n_perm=32)
+    return explain.mean_abs_importance(contrib)
+
+
+@query("local_surrogate")
+def q_local_surrogate(spark, sf):
+    model = _fitted_forest(spark, sf)
+    f = common.features(spark, sf).withColumn("row_id", _key())
+    sample = learn.fixed_sample(f, 100, learn.portable_hash(F.col("row_id")), ["row_id"])
+    contrib = explain.local_surrogate(sample, model, MODEL_FEATURES, n_samples=200)
+    return explain.mean_abs_importance(contrib)
+
+
+# ------------------------------------------------------------------ forecast (index model)
+_DRIFT = [c for c in MODEL_FEATURES if c != "hour_sin"]
+
+
+def _grid(spark, sf):
+    return forecast.forecast_grid(forecast.forecast_base(common.features(spark, sf)))
+
+
+def _inputs(spark, sf):
+    return forecast.forecast_inputs(_grid(spark, sf))
+
+
+def _index_hourly(spark, sf):
+    """Forecast AQI from the drifted pollutant inputs with the banded index itself."""
+    inp = _inputs(spark, sf)
+    return inp.select("city", "timestamp", "step", overall_aqi(AQI_POLLUTANT_ORDER).alias("predicted_aqi"))
+
+
+BASEROW_SQL = FULL_CTES.rstrip() + f""",
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM feat)
+         WHERE rn = 1),
+tr AS (SELECT city, {', '.join(f"(arg_max({c}, timestamp) - arg_min({c}, timestamp)) / CAST(COUNT(*) AS DOUBLE) AS {c}_trend" for c in _DRIFT)}
+       FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM feat)
+             WHERE rn <= 24) GROUP BY city),
+grid AS (SELECT l.*, {', '.join(f't.{c}_trend' for c in _DRIFT)}, s.step,
+                l.timestamp AS base_timestamp, l.timestamp + to_hours(s.step) AS ts_f
+         FROM last l JOIN tr t ON l.city = t.city, (SELECT CAST(range AS INTEGER) AS step FROM range(1, 73)) s),
+inp AS (SELECT city, step, ts_f AS timestamp, base_timestamp,
+               {', '.join(f"CASE WHEN {c} + {c}_trend * CAST(step AS DOUBLE) IS NULL OR isnan({c} + {c}_trend * CAST(step AS DOUBLE)) THEN {d(0.0)} ELSE greatest({d(0.0)}, {c} + {c}_trend * CAST(step AS DOUBLE)) END AS {c}" for c in _DRIFT)},
+               sin({d(2 * 3.141592653589793)} * CAST(hour({local_sql('ts_f')}) AS DOUBLE) / {d(24.0)}) AS hour_sin
+        FROM grid),
+hourly AS (SELECT city, timestamp, step, {overall_sql()} AS predicted_aqi FROM inp),
+daily AS (SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY city ORDER BY date) AS k FROM (
+              SELECT city, CAST({local_sql()} AS DATE) AS date, avg(predicted_aqi) AS predicted_aqi,
+                     CAST(COUNT(*) AS INTEGER) AS n_hours
+              FROM hourly WHERE CAST({local_sql()} AS DATE) > DATE '2024-01-31' GROUP BY 1, 2))
+          WHERE k <= 3)
+"""
+
+
+@query("forecast_grid", BASEROW_SQL + "SELECT city, step, ts_f AS timestamp, base_timestamp FROM grid")
+def q_forecast_grid(spark, sf):
+    return _grid(spark, sf).select("city", "step", "timestamp", "base_timestamp")
+
+
+@query("forecast_inputs", BASEROW_SQL + "SELECT city, step, timestamp, " + ", ".join(
+    R(c) for c in MODEL_FEATURES) + " FROM inp")
+def q_forecast_inputs(spark, sf):
+    return rounded(_inputs(spark, sf).select("city", "step", "timestamp", *MODEL_FEATURES))
+
+
+@query("daily_forecast", BASEROW_SQL + f"SELECT city, date, {R('predicted_aqi')}, n_hours FROM daily")
+def q_daily_forecast(spark, sf):
+    return rounded(forecast.daily_forecast(_index_hourly(spark, sf), AS_OF_FORECAST))
+
+
+@query("hazard_days", BASEROW_SQL + f"SELECT city, date, {R('predicted_aqi')}, n_hours FROM daily "
+       f"WHERE predicted_aqi > {d(200.0)}")
+def q_hazard_days(spark, sf):
+    from haze.operators.clean import hazard_days
+
+    return rounded(hazard_days(forecast.daily_forecast(_index_hourly(spark, sf), AS_OF_FORECAST)))
+
+
+@query("forecast_cards", BASEROW_SQL + f"""
+SELECT city, date, {R('predicted_aqi')}, n_hours, strftime(date, '%a, %b %d') AS label,
+       printf('%.0f', predicted_aqi) AS value_text, {band_sql('predicted_aqi')} AS band,
+       predicted_aqi > {d(200.0)} AS hazard FROM daily""")
+def q_forecast_cards(spark, sf):
+    return rounded(forecast.forecast_cards(forecast.daily_forecast(_index_hourly(spark, sf), AS_OF_FORECAST)))
+
+
+# ------------------------------------------------------------------ influence of the index
+def _loo_sql():
+    parts = []
+    for p in AQI_POLLUTANT_ORDER:
+        without = overall_sql().replace("__never__", "")
+        # the same index with pollutant p removed: substitute NULL for its column
+        import re
+
+        without = re.sub(rf"\b{p}\b", "CAST(NULL AS DOUBLE)", without)
+        parts.append(f"SELECT city, timestamp, '{p}' AS feature, {overall_sql()} - {without} AS contribution "
+                     f"FROM scored")
+    return "loo AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("mean_abs_importance", with_ctes(*BASE, SCORED, _loo_sql()) + f"""
+SELECT feature, {R('avg(abs(contribution))', 'importance')} FROM loo GROUP BY feature""")
+def q_mean_abs_importance(spark, sf):
+    s = common.scored(spark, sf)
+    return rounded(explain.mean_abs_importance(explain.leave_one_out(s, AQI_POLLUTANT_ORDER, ["city", "timestamp"])))
+
+
+@query("top_features", with_ctes(*BASE, SCORED, _loo_sql()) + f"""
+SELECT feature, importance FROM (SELECT feature, {R('avg(abs(contribution))', 'importance')} FROM loo GROUP BY feature)
+ORDER BY importance DESC, feature LIMIT 3""")
+def q_top_features(spark, sf):
+    s = common.scored(spark, sf)
+    imp = rounded(explain.mean_abs_importance(explain.leave_one_out(s, AQI_POLLUTANT_ORDER, ["city", "timestamp"])))
+    return explain.top_features(imp, k=3)

@@ -1 +1,185 @@
-"""placeholder"""
+"""Registered queries: feature table, landed payloads, CSV, unions, streams.
+
+These write Spark-derived tables into fresh folders under the session's
+shared checkpoint folder and read them back through the library's sources.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from haze.plans import common
+from haze.plans.catalog import R, query, rounded
+from haze.plans.oracle_base import AIR, BASE, SCORED, with_ctes
+from haze.plans.q_series import FULL_CTES, NOFILL_SQL
+from haze.schemas import AIR_MEASURES, BASE_FEATURES, FEATURES_ALL, FEATURES_STORED, RAW_SCHEMA
+from haze.session import scratch_path
+from haze.sources import files, payload
+from haze.sources.store import FeatureTable
+
+STORED_DOUBLES = [c for c in FEATURES_STORED if c not in ("timestamp", "city", "AQI_Category")]
+
+
+def _stored_sql(src: str = "feat", where: str = "") -> str:
+    cols = ["timestamp", "city"] + [R(c) for c in STORED_DOUBLES] + ["AQI_Category"]
+    return f"SELECT {', '.join(cols)} FROM {src} {where}"
+
+
+def _table(spark, sf, name="store"):
+    t = FeatureTable(spark, scratch_path(spark, name))
+    t.append(common.features(spark, sf))
+    return t
+
+
+def _out(df):
+    return rounded(df.select(*FEATURES_STORED))
+
+
+RANGE_LO, RANGE_HI = dt.datetime(2024, 1, 10, 0, 0), dt.datetime(2024, 1, 20, 12, 0)
+
+
+@query("store_range_scan", FULL_CTES + _stored_sql(
+    where=f"WHERE timestamp >= TIMESTAMP '{RANGE_LO}' AND timestamp <= TIMESTAMP '{RANGE_HI}'"))
+def q_store_range_scan(spark, sf):
+    return _out(_table(spark, sf).read(RANGE_LO, RANGE_HI))
+
+
+@query("backfill_range", FULL_CTES + _stored_sql(
+    where="WHERE CAST((timestamp AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Karachi' AS DATE) "
+          "BETWEEN DATE '2024-01-05' AND DATE '2024-01-07'"))
+def q_backfill_range(spark, sf):
+    return _out(_table(spark, sf).read_local_dates(dt.date(2024, 1, 5), dt.date(2024, 1, 7)))
+
+
+@query("training_set", FULL_CTES + _stored_sql())
+def q_training_set(spark, sf):
+    return _out(_table(spark, sf).training_set())
+
+
+@query("store_append", FULL_CTES + _stored_sql())
+def q_store_append(spark, sf):
+    """Append the first half, then everything (overlapping): each key is stored once."""
+    t = FeatureTable(spark, scratch_path(spark, "append"))
+    f = common.features(spark, sf)
+    t.append(f.where(F.col("timestamp") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")))
+    t.append(f)
+    t.append(f)
+    return _out(t.read())
+
+
+@query("store_check", FULL_CTES + """
+SELECT 'aqi_features' AS name, true AS "exists", true AS readable, COUNT(*) AS rows, 'readable' AS message FROM feat""")
+def q_store_check(spark, sf):
+    return _table(spark, sf).check()
+
+
+def _catalog_sql() -> str:
+    from haze.schemas import TIME_FEATURES
+
+    parts = []
+    for i, c in enumerate(FEATURES_ALL):
+        fam = "base" if c in BASE_FEATURES else "time" if c in TIME_FEATURES else "derived"
+        parts.append(f"SELECT {i + 1} AS ordinal, '{c}' AS feature, '{fam}' AS family, COUNT({c}) AS non_null FROM feat")
+    return FULL_CTES + "\nUNION ALL\n".join(parts)
+
+
+@query("feature_catalog", _catalog_sql())
+def q_feature_catalog(spark, sf):
+    return files.feature_catalog(common.features(spark, sf), FEATURES_ALL)
+
+
+# ------------------------------------------------------------------ landed payloads, CSV, union
+AIR_SQL = with_ctes(BASE[0], AIR) + "SELECT timestamp, city, " + ", ".join(
+    R(c) for c in ["latitude", "longitude"] + AIR_MEASURES) + " FROM air"
+
+
+@query("json_hourly_scan", AIR_SQL)
+def q_json_hourly_scan(spark, sf):
+    land = scratch_path(spark, "landing")
+    payload.build_payloads(common.air(spark, sf), AIR_MEASURES).write.text(land)
+    rows = payload.read_payloads(spark, land, AIR_MEASURES, whole_file=False)
+    return rounded(rows.select("timestamp", "city", "latitude", "longitude", *AIR_MEASURES))
+
+
+RAW_ORDER = [f.name for f in RAW_SCHEMA.fields]
+
+
+@query("csv_scan", with_ctes(*BASE) + "SELECT timestamp, city, " + ", ".join(R(c) for c in RAW_ORDER[2:]) + " FROM raw")
+def q_csv_scan(spark, sf):
+    out = scratch_path(spark, "csv")
+    (common.raw(spark, sf).select(*RAW_ORDER).write.option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(out))
+    return rounded(files.read_raw_csv(spark, out).select(*RAW_ORDER))
+
+
+_UNION_CUT_HIST, _UNION_CUT_RT = "2024-01-20 00:00:00", "2024-01-19 00:00:00"
+
+
+@query("union_sources", with_ctes(*BASE) + "SELECT timestamp, city, " + ", ".join(R(c) for c in RAW_ORDER[2:])
+       + f", 'historical' AS source FROM raw WHERE timestamp < TIMESTAMP '{_UNION_CUT_HIST}' UNION ALL "
+       + "SELECT timestamp, city, " + ", ".join(R(c) if c != "precipitation" else "CAST(NULL AS DOUBLE) AS precipitation"
+                                              for c in RAW_ORDER[2:])
+       + f", 'realtime' AS source FROM raw WHERE timestamp >= TIMESTAMP '{_UNION_CUT_RT}'")
+def q_union_sources(spark, sf):
+    r = common.raw(spark, sf).select(*RAW_ORDER)
+    ts = F.col("timestamp")
+    hist = r.where(ts < F.lit(_UNION_CUT_HIST).cast("timestamp_ntz")).withColumn("source", F.lit("historical"))
+    rt = (r.where(ts >= F.lit(_UNION_CUT_RT).cast("timestamp_ntz")).drop("precipitation")
+           .withColumn("source", F.lit("realtime")))
+    return rounded(files.union_sources(hist, rt).select(*RAW_ORDER, "source"))
+
+
+# ------------------------------------------------------------------ streaming
+@query("stream_ingest", AIR_SQL)
+def q_stream_ingest(spark, sf):
+    from haze.streaming.jobs import landing_stream
+
+    land, sink, ck = (scratch_path(spark, n) for n in ("stream-landing", "stream-sink", "stream-ckpt"))
+    payload.build_payloads(common.air(spark, sf), AIR_MEASURES).write.text(land)
+    q = landing_stream(spark, land, sink, ck, AIR_MEASURES, whole_file=False)
+    q.awaitTermination()
+    rows = spark.read.parquet(sink)
+    return rounded(rows.select("timestamp", "city", "latitude", "longitude", *AIR_MEASURES))
+
+
+_INC_CUT = "2024-01-20 00:00:00"
+
+
+def _inc_sql() -> str:
+    ctes = NOFILL_SQL[:NOFILL_SQL.rindex("SELECT city, timestamp")]
+    return ctes + _stored_sql(src="derived")
+
+
+@query("feature_increment", _inc_sql())
+def q_feature_increment(spark, sf):
+    """Store history features, then append the increment computed with 24 rows of history:
+    the table equals a full recompute without fill."""
+    from haze.operators.series import full_features
+    from haze.streaming.jobs import feature_increment
+
+    s = common.scored(spark, sf)
+    cut = F.lit(_INC_CUT).cast("timestamp_ntz")
+    hist, new = s.where(F.col("timestamp") < cut), s.where(F.col("timestamp") >= cut)
+    t = FeatureTable(spark, scratch_path(spark, "increment"))
+    t.append(full_features(hist, fill="none"))
+    feature_increment(new, hist, t)
+    return _out(t.read())
+
+
+@query("stream_daily_alerts")
+def q_stream_daily_alerts(spark, sf):
+    from haze.streaming.jobs import daily_alerts_stream
+
+    src, sink, ck = (scratch_path(spark, n) for n in ("alerts-src", "alerts-sink", "alerts-ckpt"))
+    s = common.scored(spark, sf).select("city", "timestamp", "AQI")
+    s.write.parquet(src)
+    stream = spark.readStream.schema(s.schema).parquet(src)
+    q = (daily_alerts_stream(stream).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("city string, day_start_utc timestamp_ntz, mean_aqi double, n_hours bigint").parquet(sink)
+
+
+_ = (SCORED,)

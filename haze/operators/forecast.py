@@ -19,7 +19,6 @@ from haze.functions.timefeat import local_time
 from haze.operators.series import last_row, recent_trend
 from haze.schemas import FORECAST_DAYS, FORECAST_HOURS, HISTORY_ROWS, LOCAL_TZ, MODEL_FEATURES, RANDOM_STATE
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def forecast_base(features: DataFrame, cols: list[str] | None = None, n: int = HISTORY_ROWS,

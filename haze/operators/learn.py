@@ -129,7 +129,7 @@ def register_model(spark: SparkSession, registry_path: str, name: str, path: str
             numeric[k] = float(v)
         except (TypeError, ValueError):
             pass
-    row = [(name, version, path, numeric, list(feature_columns), created_at or dt.datetime.utcnow())]
+    row = [(name, version, path, numeric, list(feature_columns), created_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))]
     spark.createDataFrame(row, REGISTRY_SCHEMA).write.mode("append").parquet(registry_path)
     return version
 

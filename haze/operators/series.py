@@ -206,12 +206,15 @@ def global_row_index(df: DataFrame, order: list[str], n_parts: int | None = None
                 .checkpoint(eager=True))
     pid = F.shiftright(F.col("_mid"), 33)
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"))
-    ow = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_c").over(ow), F.lit(0))).select("_pid", "_off")
-    return (ranged.join(F.broadcast(offsets), pid == F.col("_pid"))
-                  .withColumn(index_col, F.col("_off") + local)
-                  .drop("_pid", "_off", "_mid", "_tie"))
+    # one count per partition (n values, bounded by the partition count, not the data)
+    sizes = dict(ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c")).collect())
+    offsets, run = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(run)
+        run += sizes.get(p, 0)
+    table = F.array(*[F.lit(o).cast("bigint") for o in offsets]) if offsets else F.array(F.lit(0).cast("bigint"))
+    return (ranged.withColumn(index_col, F.element_at(table, (pid + 1).cast("int")) + local)
+                  .drop("_mid", "_tie"))
 
 
 def time_split(df: DataFrame, order: list[str] | None = None, n_splits: int = 3, fold: int | None = None,

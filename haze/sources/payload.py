@@ -20,7 +20,10 @@ def parse_payloads(texts: DataFrame, measures: list[str], text_col: str = "value
     """JSON text column -> (timestamp, city, latitude, longitude, measures...)."""
     p = F.from_json(F.col(text_col), payload_schema(measures)).alias("p")
     parsed = texts.select(p).where(F.col("p.hourly.time").isNotNull())
-    arrays = [F.col("p.hourly.time").alias("time")] + [F.col(f"p.hourly.{m}").alias(m) for m in measures]
+    n = F.size(F.col("p.hourly.time"))
+    # a measure absent from the payload is all-null (arrays_zip would return NULL for the whole row set)
+    arrays = [F.col("p.hourly.time").alias("time")] + [
+        F.coalesce(F.col(f"p.hourly.{m}"), F.array_repeat(F.lit(None).cast("double"), n)).alias(m) for m in measures]
     rows = parsed.select(F.col("p.city").alias("city"), F.col("p.latitude").alias("latitude"),
                          F.col("p.longitude").alias("longitude"),
                          F.explode(F.arrays_zip(*arrays)).alias("z"))
@@ -32,7 +35,7 @@ def parse_payloads(texts: DataFrame, measures: list[str], text_col: str = "value
 
 def read_payloads(spark: SparkSession, path: str, measures: list[str], whole_file: bool = True) -> DataFrame:
     """Read landed payload files (one JSON document per file by default)."""
-    texts = spark.read.option("wholetext", whole_file).text(path)
+    texts = spark.read.text(path, wholetext=whole_file)
     return parse_payloads(texts, measures)
 
 

@@ -69,6 +69,21 @@ def q_store_append(spark, sf):
     return _out(t.read())
 
 
+_NEW_CUT, _BATCH_FROM = "2024-01-20 12:00:00", "2024-01-15 00:00:00"
+
+
+@query("new_rows_only", FULL_CTES + _stored_sql(where=f"WHERE timestamp >= TIMESTAMP '{_NEW_CUT}'"))
+def q_new_rows_only(spark, sf):
+    """Anti join of a batch against the stored rows in the batch's time range."""
+    t = FeatureTable(spark, scratch_path(spark, "anti"))
+    f = common.features(spark, sf)
+    t.append(f.where(F.col("timestamp") < F.lit(_NEW_CUT).cast("timestamp_ntz")))
+    batch = t.conform(f.where(F.col("timestamp") >= F.lit(_BATCH_FROM).cast("timestamp_ntz")))
+    from haze.operators.clean import restore_names
+
+    return _out(restore_names(t.new_rows(batch), FEATURES_STORED))
+
+
 @query("store_check", FULL_CTES + """
 SELECT 'aqi_features' AS name, true AS "exists", true AS readable, COUNT(*) AS rows, 'readable' AS message FROM feat""")
 def q_store_check(spark, sf):

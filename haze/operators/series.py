@@ -125,22 +125,27 @@ def full_features(scored: DataFrame, key="city", ts="timestamp", fill: str = "al
 
 # ---------------------------------------------------------------- halo buckets
 def row_positions(df: DataFrame, key="city", ts="timestamp", granularity: str = "day") -> DataFrame:
-    """Exact per-key row position (0-based, ordered by ts) without a per-key sort of the whole series.
+    """Exact per-key row position (0-based, ordered by ts) without sorting a whole key in one task.
 
-    Rows are counted per (key, time bucket) with a hash aggregate; a window
-    over that small count table gives each bucket its starting offset; a
-    window over (key, bucket) numbers rows inside the bucket.
+    Rows are numbered inside (key, time bucket) partitions; the same window
+    gives each bucket's size. The per-bucket sizes (one row per bucket, taken
+    from that same windowed frame, so its exchange is reused rather than
+    re-reading the input) are turned into starting offsets with a window over
+    the small bucket table and joined back.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    b = F.date_trunc(granularity, F.col(ts).cast("timestamp")).alias("_tb")
-    with_b = df.withColumn("_tb", b)
-    counts = with_b.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_c"))
-    ow = Window.partitionBy(*keys).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(ow), F.lit(0))).drop("_c")
+    b = F.date_trunc(granularity, F.col(ts).cast("timestamp"))
     iw = Window.partitionBy(*keys, "_tb").orderBy(ts)
-    return (with_b.join(offsets, on=[*keys, "_tb"])
-                  .withColumn("_pos", F.col("_off") + F.row_number().over(iw) - 1)
-                  .drop("_off", "_tb"))
+    cw = Window.partitionBy(*keys, "_tb")
+    numbered = (df.withColumn("_tb", b)
+                  .withColumn("_rn", F.row_number().over(iw))
+                  .withColumn("_cnt", F.count(F.lit(1)).over(cw)))
+    ow = Window.partitionBy(*keys).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (numbered.where(F.col("_rn") == 1).select(*keys, "_tb", "_cnt")
+                       .withColumn("_off", F.coalesce(F.sum("_cnt").over(ow), F.lit(0))).drop("_cnt"))
+    return (numbered.join(offsets, on=[*keys, "_tb"])
+                    .withColumn("_pos", F.col("_off") + F.col("_rn") - 1)
+                    .drop("_off", "_tb", "_rn", "_cnt"))
 
 
 def bucketed_features(scored: DataFrame, bucket_rows: int = 4096, halo: int = ROLL_WINDOW,
@@ -148,16 +153,21 @@ def bucketed_features(scored: DataFrame, bucket_rows: int = 4096, halo: int = RO
     """Skew-proof F1-F3 (+ calendar, interactions): each task sees at most
     ``bucket_rows + halo`` rows of one key, whatever the key's share of data.
 
-    Exact for frames reaching back at most ``halo`` rows (lag 24, rolling 24).
-    Fill is not applied (back-fill needs unbounded look-ahead); use
-    ``fill_both`` on the result when required.
+    A row in the last ``halo`` positions of its bucket is also emitted (by an
+    ``explode``, in the same pass) as a halo row of the next bucket. Exact for
+    frames reaching back at most ``halo`` rows (lag 24, rolling 24). Fill is
+    not applied (back-fill needs unbounded look-ahead); use ``fill_both`` on
+    the result when required.
     """
     keys = [key] if isinstance(key, str) else list(key)
     pos = row_positions(scored, key, ts)
-    home = pos.withColumn("_bucket", F.floor(F.col("_pos") / bucket_rows)).withColumn("_halo", F.lit(False))
-    spill = (home.where((F.col("_pos") % bucket_rows) >= bucket_rows - halo)
-                 .withColumn("_bucket", F.col("_bucket") + 1).withColumn("_halo", F.lit(True)))
-    both = home.unionByName(spill)
+    bucket = F.floor(F.col("_pos") / bucket_rows)
+    in_tail = (F.col("_pos") % bucket_rows) >= bucket_rows - halo
+    copies = F.when(in_tail, F.array(F.struct(bucket.alias("b"), F.lit(False).alias("h")),
+                                     F.struct((bucket + 1).alias("b"), F.lit(True).alias("h")))) \
+              .otherwise(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("h"))))
+    both = (pos.withColumn("_c", F.explode(copies))
+               .withColumn("_bucket", F.col("_c.b")).withColumn("_halo", F.col("_c.h")).drop("_c"))
     derived = derived_columns(key=[*keys, "_bucket"], ts="_pos")
     out = both.withColumns(calendar_columns(ts)).withColumns(derived)
     return out.where(~F.col("_halo")).drop("_bucket", "_halo", "_pos")

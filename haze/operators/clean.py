@@ -21,7 +21,8 @@ def _ts(value) -> Column:
         value = dt.datetime.fromisoformat(value)
     if isinstance(value, dt.datetime) and value.tzinfo is not None:
         value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return F.lit(value).cast("timestamp_ntz")
+    # an ISO string cast to NTZ involves neither the Python process zone nor the session zone
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 # ---------------------------------------------------------------- C1, C8, C9, C14
@@ -161,8 +162,7 @@ def data_age(df: DataFrame, as_of, key: str = "city", ts: str = "timestamp",
              stale_hours: float = STALE_HOURS) -> DataFrame:
     """Per key: last timestamp, its age in hours at ``as_of``, stale flag."""
     last = df.groupBy(key).agg(F.max(ts).alias("last_timestamp"))
-    age = (F.unix_micros(_ts(as_of).cast("timestamp")) - F.unix_micros(F.col("last_timestamp").cast("timestamp"))) \
-        / F.lit(3.6e9)
+    age = F.timestamp_diff("MICROSECOND", F.col("last_timestamp"), _ts(as_of)).cast("double") / F.lit(3.6e9)
     return last.select(key, "last_timestamp", age.alias("age_hours"),
                        (age > F.lit(float(stale_hours))).alias("is_stale"))
 

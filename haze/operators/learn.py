@@ -170,9 +170,10 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, features: list[str], est
     tr = _assembled(train, features)
     if getattr(estimator, "hasParam", None) and estimator.hasParam("validationIndicatorCol") \
             and estimator.isSet("validationIndicatorCol"):
-        cutoff = train.select(F.percentile_approx(F.unix_micros(F.col("timestamp").cast("timestamp")),
+        since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp"))
+        cutoff = train.select(F.percentile_approx(since,
                                                   1.0 - val_fraction, 10000)).first()[0]
-        tr = tr.withColumn("is_val", F.unix_micros(F.col("timestamp").cast("timestamp")) > F.lit(cutoff))
+        tr = tr.withColumn("is_val", since > F.lit(cutoff))
     model = estimator.fit(tr)
     pred = model.transform(_assembled(test, features)).select(F.col("label").alias("y"),
                                                                F.col("prediction").alias("y_hat"))

@@ -58,7 +58,7 @@ def rolling_columns(measures=None, window: int = ROLL_WINDOW, key="city", ts="ti
     if by == "rows":
         w = series_window(key, ts).rowsBetween(-window, -1)
     else:
-        secs = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
+        secs = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
         w = Window.partitionBy(*keys).orderBy(secs).rangeBetween(-window * 3600, -1)
     out = {}
     for m in measures or ROLLING_MEASURES:

@@ -94,10 +94,10 @@ class FeatureTable:
         ts = F.col(self.event_time)
         if start is not None:
             start = _naive(start)
-            df = df.where((F.col("event_date") >= F.lit(start.date())) & (ts >= F.lit(start).cast("timestamp_ntz")))
+            df = df.where((F.col("event_date") >= F.lit(start.date())) & (ts >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz")))
         if end is not None:
             end = _naive(end)
-            df = df.where((F.col("event_date") <= F.lit(end.date())) & (ts <= F.lit(end).cast("timestamp_ntz")))
+            df = df.where((F.col("event_date") <= F.lit(end.date())) & (ts <= F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz")))
         df = df.drop("event_date")
         return restore_names(df, self.columns, {"Timestamp": "timestamp", "City": "city"}) if restore else df
 

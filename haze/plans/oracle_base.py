@@ -156,3 +156,22 @@ def with_ctes(*ctes: str) -> str:
 
 
 BASE = (EV, AIR, WEATHER, RAW)
+
+
+ORDER_RAW = f"""raw AS (
+  SELECT CAST(o_orderdate AS TIMESTAMP) AS timestamp, 'n' || CAST(c_nationkey AS VARCHAR) AS city,
+         {d(30.0)} + CAST(c_nationkey AS DOUBLE) * {d(0.25)} AS latitude,
+         {d(70.0)} + CAST(c_nationkey AS DOUBLE) * {d(0.25)} AS longitude,
+         sp / n / {d(200.0)} AS pm10, sq / n AS pm2_5, sd / n * {d(100.0)} AS carbon_monoxide,
+         st / n * {d(1000.0)} AS nitrogen_dioxide, CAST(n AS DOUBLE) / {d(10.0)} AS sulphur_dioxide,
+         sq / n * {d(2.0)} AS ozone, sd / n * {d(300.0)} AS temperature_2m,
+         st / n * {d(900.0)} AS relative_humidity_2m, {d(1000.0)} + sq / n AS surface_pressure,
+         sp / n / {d(5000.0)} AS wind_speed_10m, CAST(n AS DOUBLE) * {d(7.0)} AS wind_direction_10m,
+         sd / n AS precipitation
+  FROM (SELECT c_nationkey, o_orderdate,
+               CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sq,
+               CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sp,
+               CAST(SUM(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS sd,
+               CAST(SUM(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS st, COUNT(*) AS n
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        GROUP BY c_nationkey, o_orderdate))"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from haze.operators import series
 from haze.plans import common
 from haze.plans.catalog import R, query, rounded
-from haze.plans.oracle_base import BASE, CAL, DERIVED, SCORED, W, fill_sql, with_ctes
+from haze.plans.oracle_base import BASE, CAL, DERIVED, ORDER_RAW, SCORED, W, fill_sql, with_ctes
 from haze.schemas import DERIVED_FEATURES, MODEL_FEATURES
 
 RAW_DOUBLES = ["latitude", "longitude", "pm10", "pm2_5", "carbon_monoxide", "nitrogen_dioxide", "sulphur_dioxide",
@@ -151,3 +151,14 @@ def q_row_positions(spark, sf):
 
 
 _ = F
+
+
+@query("order_series_features", with_ctes(ORDER_RAW, SCORED, CAL, DERIVED, FULL_CTE) + _sel(FULL_DOUBLES, FULL_OTHER, src="feat"))
+def q_order_series_features(spark, sf):
+    """F9 over a long series: per customer nation and order date from lineitem x orders x customer."""
+    from haze.operators.clean import drop_missing, with_aqi
+    from haze.sources.driver_tables import order_series
+
+    s = drop_missing(with_aqi(drop_missing(order_series(spark, sf), ["pm2_5", "pm10"])), ["AQI"])
+    f = series.full_features(s, fill="all")
+    return rounded(f.select("city", "timestamp", *FULL_ALL))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +13,23 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def dsql(x: float) -> str:
+    """Exact Spark SQL double literal (shortest repr round-trips)."""
+    return f"{float(x)!r}D"
+
+
+def subindex_sql(col: str, pollutant: str, bands: dict | None = None) -> str:
+    """The band CASE as Spark SQL text: one expression, built in one call."""
+    table = (bands or AQI_BREAKPOINTS).get(pollutant, [])
+    if not table:
+        return "CAST(NULL AS DOUBLE)"
+    c = f"`{col}`"
+    arms = " ".join(f"WHEN {c} >= {dsql(cl)} AND {c} <= {dsql(ch)} "
+                    f"THEN {dsql(band_slope(cl, ch, il, ih))} * ({c} - {dsql(cl)}) + {dsql(il)}"
+                    for cl, ch, il, ih in table)
+    return f"CASE {arms} ELSE CAST(NULL AS DOUBLE) END"
+
+
 def aqi_subindex(conc: str | Column, pollutant: str, unit_scale: float = 1.0,
                  bands: dict | None = None) -> Column:
     """Piecewise-linear sub-index; NULL outside every band (gaps and ceiling).
@@ -22,6 +37,8 @@ def aqi_subindex(conc: str | Column, pollutant: str, unit_scale: float = 1.0,
     Bands are tried in order with both edges inclusive, and the value is
     ``((Ih-Il)/(Ch-Cl))*(c-Cl)+Il`` in that operation order.
     """
+    if isinstance(conc, str) and unit_scale == 1.0:
+        return F.expr(subindex_sql(conc, pollutant, bands))
     c = _col(conc)
     if unit_scale != 1.0:
         c = c * F.lit(float(unit_scale))
@@ -49,18 +66,20 @@ def overall_aqi(pollutants: list[str] | None = None, nan_policy: str = "first")
     ``"skip"`` is a plain max that ignores out-of-band values.
     """
     order = pollutants or AQI_POLLUTANT_ORDER
-    subs = [aqi_subindex(p, p) for p in order]
-    top = F.greatest(*subs) if len(subs) > 1 else subs[0]
+    sub_sql = [subindex_sql(p, p) for p in order]
+    top_sql = f"greatest({', '.join(sub_sql)})" if len(sub_sql) > 1 else sub_sql[0]
     if nan_policy == "skip":
-        return top
-    first_sub = reduce(lambda acc, ps: acc.when(F.col(ps[0]).isNotNull(), ps[1]),
-                       list(zip(order, subs))[1:],
-                       F.when(F.col(order[0]).isNotNull(), subs[0]))
-    return F.when(first_sub.isNull(), F.lit(None).cast("double")).otherwise(top)
+        return F.expr(top_sql)
+    first_sql = "CASE " + " ".join(f"WHEN `{p}` IS NOT NULL THEN {t}" for p, t in zip(order, sub_sql)) + " END"
+    return F.expr(f"CASE WHEN ({first_sql}) IS NULL THEN CAST(NULL AS DOUBLE) ELSE {top_sql} END")
 
 
 def aqi_category(aqi: str | Column) -> Column:
     """Category with integer gaps (50.5 -> Hazardous); NULL falls through too."""
+    if isinstance(aqi, str):
+        arms = " ".join(f"WHEN `{aqi}` >= {dsql(lo)} AND `{aqi}` <= {dsql(hi)} THEN '{name}'"
+                        for lo, hi, name in AQI_CATEGORIES)
+        return F.expr(f"CASE {arms} ELSE '{FALLBACK_CATEGORY}' END")
     a = _col(aqi)
     expr = None
     for low, high, name in AQI_CATEGORIES:
@@ -71,6 +90,9 @@ def aqi_category(aqi: str | Column) -> Column:
 
 def display_band(aqi: str | Column) -> Column:
     """Gap-free display band: <=50, <=100, ... else Hazardous."""
+    if isinstance(aqi, str):
+        arms = " ".join(f"WHEN `{aqi}` <= {dsql(up)} THEN '{name}'" for up, name in DISPLAY_BANDS)
+        return F.expr(f"CASE {arms} ELSE '{FALLBACK_CATEGORY}' END")
     a = _col(aqi)
     expr = None
     for upper, name in DISPLAY_BANDS:

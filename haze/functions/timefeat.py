@@ -43,6 +43,19 @@ def cyclic(x: str | Column, period: int) -> tuple[Column, Column]:
 
 def calendar_columns(ts: str | Column, tz: str = LOCAL_TZ, cyclic_parts: bool = True) -> dict[str, Column]:
     """hour, day_of_week (Monday=0), day_of_month, month, quarter, is_weekend (+ sin/cos)."""
+    if isinstance(ts, str):
+        loc_sql = f"convert_timezone('UTC', '{tz}', `{ts}`)"
+        parts = {"hour": f"hour({loc_sql})", "day_of_week": f"weekday({loc_sql})",
+                 "day_of_month": f"dayofmonth({loc_sql})", "month": f"month({loc_sql})",
+                 "quarter": f"quarter({loc_sql})",
+                 "is_weekend": f"CAST(weekday({loc_sql}) >= 5 AS INT)"}
+        if cyclic_parts:
+            two_pi = f"{2 * math.pi!r}D"
+            for name, period in (("hour", 24), ("day_of_week", 7), ("month", 12)):
+                arg = f"{two_pi} * {parts[name]} / {float(period)!r}D"
+                parts[f"{name}_sin"] = f"sin({arg})"
+                parts[f"{name}_cos"] = f"cos({arg})"
+        return {k: F.expr(v) for k, v in parts.items()}
     loc = local_time(ts, tz)
     hour = F.hour(loc)
     dow = F.weekday(loc)

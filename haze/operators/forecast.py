@@ -57,10 +57,13 @@ def forecast_inputs(grid: DataFrame, cols: list[str] | None = None, noise: float
     out = {}
     for i, c in enumerate(cols):
         if c == "hour_sin":
-            out[c] = F.sin(F.lit(2 * math.pi) * F.hour(local_time(ts, tz)) / F.lit(24.0))
+            out[c] = F.expr(f"sin({2 * math.pi!r}D * hour(convert_timezone('UTC', '{tz}', `{ts}`)) / 24.0D)")
             continue
-        nz = (F.rand(seed + i) * F.lit(2 * noise) - F.lit(noise)) if noise > 0 else None
-        out[c] = drift_value(F.col(c), F.col(f"{c}_trend"), F.col("step"), nz)
+        v = f"`{c}` + `{c}_trend` * CAST(step AS DOUBLE)"
+        if noise > 0:
+            v = f"{v} + (rand({seed + i}) * {2 * noise!r}D - {noise!r}D) * `{c}`"
+        # max(0, v) with NULL/NaN -> 0, as Python's max(0, nan) gives 0
+        out[c] = F.expr(f"CASE WHEN ({v}) IS NULL OR isnan({v}) THEN 0.0D ELSE greatest(0.0D, {v}) END")
     keep = [c for c in grid.columns if c not in cols and not c.endswith("_trend")]
     return grid.select(*keep, *[v.alias(k) for k, v in out.items()])
 

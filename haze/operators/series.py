@@ -30,6 +30,26 @@ def series_window(key: str | list[str] = "city", ts: str = "timestamp", tiebreak
     return Window.partitionBy(*keys).orderBy(F.col(ts).asc(), *[F.col(c).asc() for c in (tiebreak or [])])
 
 
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def over(key, ts, frame: str | None = None, desc: bool = False) -> str:
+    """OVER clause text for one series window (a single expression per column keeps
+    plan construction to one call per feature)."""
+    part = ", ".join(f"`{k}`" for k in _keys(key))
+    order = f"`{ts}` {'DESC' if desc else 'ASC'}"
+    return f"OVER (PARTITION BY {part} ORDER BY {order}{' ' + frame if frame else ''})"
+
+
+def _rows(lo: int, hi: int) -> str:
+    def b(x):
+        if x == 0:
+            return "CURRENT ROW"
+        return f"{-x} PRECEDING" if x < 0 else f"{x} FOLLOWING"
+    return f"ROWS BETWEEN {b(lo)} AND {b(hi)}"
+
+
 def _desc_window(key, ts, tiebreak=None):
     keys = [key] if isinstance(key, str) else list(key)
     return Window.partitionBy(*keys).orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in (tiebreak or [])])
@@ -37,14 +57,14 @@ def _desc_window(key, ts, tiebreak=None):
 
 # ---------------------------------------------------------------- F1, F2
 def lag_columns(measures=None, lags=None, key="city", ts="timestamp") -> dict[str, Column]:
-    w = series_window(key, ts)
-    return {f"{m}_lag_{k}h": F.lag(m, k).over(w) for m in (measures or LAG_MEASURES) for k in (lags or LAGS)}
+    o = over(key, ts)
+    return {f"{m}_lag_{k}h": F.expr(f"lag(`{m}`, {k}) {o}") for m in (measures or LAG_MEASURES) for k in (lags or LAGS)}
 
 
 def diff_columns(pairs: dict[str, str] | None = None, key="city", ts="timestamp") -> dict[str, Column]:
     pairs = pairs or {"temperature_change": "temperature_2m", "wind_speed_change": "wind_speed_10m"}
-    w = series_window(key, ts)
-    return {name: F.col(src) - F.lag(src, 1).over(w) for name, src in pairs.items()}
+    o = over(key, ts)
+    return {name: F.expr(f"`{src}` - lag(`{src}`, 1) {o}") for name, src in pairs.items()}
 
 
 # ---------------------------------------------------------------- F3, F4
@@ -54,46 +74,52 @@ def rolling_columns(measures=None, window: int = ROLL_WINDOW, key="city", ts="ti
 
     ``by="time"`` uses a range frame of ``window`` hours on epoch seconds instead.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = _keys(key)
     if by == "rows":
-        w = series_window(key, ts).rowsBetween(-window, -1)
+        o = over(key, ts, _rows(-window, -1))
     else:
-        secs = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
-        w = Window.partitionBy(*keys).orderBy(secs).rangeBetween(-window * 3600, -1)
+        part = ", ".join(f"`{k}`" for k in keys)
+        secs = f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)"
+        o = f"OVER (PARTITION BY {part} ORDER BY {secs} RANGE BETWEEN {window * 3600} PRECEDING AND 1 PRECEDING)"
     out = {}
     for m in measures or ROLLING_MEASURES:
-        out[f"{m}_rolling_mean_{window}h"] = F.avg(m).over(w)
-        out[f"{m}_rolling_std_{window}h"] = F.stddev_samp(m).over(w)
-        out[f"{m}_rolling_max_{window}h"] = F.max(m).over(w)
+        out[f"{m}_rolling_mean_{window}h"] = F.expr(f"avg(`{m}`) {o}")
+        out[f"{m}_rolling_std_{window}h"] = F.expr(f"stddev_samp(`{m}`) {o}")
+        out[f"{m}_rolling_max_{window}h"] = F.expr(f"max(`{m}`) {o}")
     return out
 
 
 def moving_average(col: str, window: int = 24, key="city", ts="timestamp") -> Column:
     """Mean over the last ``window`` rows including the current one; NULL until
     ``window`` non-null values are present (pandas ``rolling(window).mean()``)."""
-    w = series_window(key, ts).rowsBetween(-(window - 1), 0)
-    return F.when(F.count(col).over(w) >= window, F.avg(col).over(w))
+    o = over(key, ts, _rows(-(window - 1), 0))
+    return F.expr(f"CASE WHEN count(`{col}`) {o} >= {window} THEN avg(`{col}`) {o} END")
 
 
 # ---------------------------------------------------------------- F5
 def fill_both(df: DataFrame, cols: list[str] | None = None, key="city", ts="timestamp",
               tiebreak: list[str] | None = None) -> DataFrame:
     """Back-fill then forward-fill within each key: coalesce(v, next non-null, previous non-null)."""
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = _keys(key)
     targets = cols if cols is not None else [c for c in df.columns if c not in keys and c != ts]
-    asc = series_window(key, ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    desc = _desc_window(key, ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    fills = {c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(desc),
-                           F.last(c, ignorenulls=True).over(asc)) for c in targets}
-    return df.withColumns(fills)
+    if tiebreak:
+        asc = series_window(key, ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+        desc = _desc_window(key, ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+        fills = {c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(desc),
+                               F.last(c, ignorenulls=True).over(asc)) for c in targets}
+        return df.withColumns(fills)
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    o_desc, o_asc = over(key, ts, frame, desc=True), over(key, ts, frame)
+    return df.withColumns({c: F.expr(f"coalesce(`{c}`, last(`{c}`, true) {o_desc}, last(`{c}`, true) {o_asc})")
+                           for c in targets})
 
 
 # ---------------------------------------------------------------- F9
 def interaction_columns() -> dict[str, Column]:
     return {
-        "pm2_5_pm10_ratio": F.try_divide(F.col("pm2_5"), F.col("pm10") + F.lit(RATIO_EPS)),
-        "temperature_humidity_interaction": F.col("temperature_2m") * F.col("relative_humidity_2m"),
-        "wind_pressure_interaction": F.col("wind_speed_10m") * F.col("surface_pressure"),
+        "pm2_5_pm10_ratio": F.expr(f"try_divide(pm2_5, pm10 + {RATIO_EPS!r}D)"),
+        "temperature_humidity_interaction": F.expr("temperature_2m * relative_humidity_2m"),
+        "wind_pressure_interaction": F.expr("wind_speed_10m * surface_pressure"),
     }
 
 
@@ -184,12 +210,10 @@ def last_row(df: DataFrame, key="city", ts="timestamp") -> DataFrame:
 
 def recent_trend(df: DataFrame, cols: list[str], n: int = 24, key="city", ts="timestamp") -> DataFrame:
     """(last - first) / rows over the last ``n`` rows per key."""
-    keys = [key] if isinstance(key, str) else list(key)
-    w = _desc_window(key, ts)
-    recent = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for c in cols:
-        aggs.append(((F.max_by(c, ts) - F.min_by(c, ts)) / F.count(F.lit(1))).alias(f"{c}_trend"))
+    keys = _keys(key)
+    recent = df.withColumn("_rn", F.expr(f"row_number() {over(key, ts, desc=True)}")).where(F.col("_rn") <= n)
+    aggs = [F.expr("count(1)").alias("n_rows")]
+    aggs += [F.expr(f"(max_by(`{c}`, `{ts}`) - min_by(`{c}`, `{ts}`)) / count(1)").alias(f"{c}_trend") for c in cols]
     return recent.groupBy(*keys).agg(*aggs)
 
 

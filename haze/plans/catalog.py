@@ -44,10 +44,10 @@ def round6(c):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every DOUBLE column (result hygiene for the oracle compare)."""
-    cols = [round6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-            for f in df.schema.fields]
-    return df.select(cols)
+    """Round every DOUBLE column (result hygiene for the oracle compare); one projection call."""
+    exprs = [f"CAST(floor(`{f.name}` * {GRID!r}D + 0.5D) AS DOUBLE) / {GRID!r}D AS `{f.name}`"
+             if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`" for f in df.schema.fields]
+    return df.selectExpr(*exprs)
 
 
 def r6(expr: str) -> str:

@@ -12,10 +12,9 @@ doubles, so the result does not depend on row order or partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.functions.timefeat import hour_floor
 
 N_CITIES = 3
 
@@ -28,66 +27,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _exact_mean(kind_col: Column, kind: str, value: Column) -> Column:
-    hit = kind_col == F.lit(kind)
-    total = F.sum(F.when(hit, value)).cast("double")
-    n = F.count(F.when(hit, F.lit(1)))
-    return total / F.nullif(n, F.lit(0))
+def _mean_sql(kind: str) -> str:
+    """Exact mean of one event type: DECIMAL sum cast once to double, divided by its count."""
+    return (f"CAST(sum(CASE WHEN event_type = '{kind}' THEN v END) AS DOUBLE) / "
+            f"nullif(count(CASE WHEN event_type = '{kind}' THEN 1 END), 0)")
 
 
-def _count_of(kind_col: Column, kind: str) -> Column:
-    return F.count(F.when(kind_col == F.lit(kind), F.lit(1)))
+def _count_sql(kind: str) -> str:
+    return f"count(CASE WHEN event_type = '{kind}' THEN 1 END)"
 
 
 def _keyed_events(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    k = F.col("user_id") % F.lit(N_CITIES)
+    # plain SQL expression text: one planner call per projection instead of one per operator
+    hour = ("make_timestamp_ntz(year(ts), month(ts), dayofmonth(ts), hour(ts), 0, "
+            "CAST(0 AS DECIMAL(8,6)))")
     return (events
             .where(F.col("event_type").isin(*kinds))
-            .select(F.concat(F.lit("s"), k.cast("string")).alias("city"),
-                    k.alias("k"),
-                    hour_floor("ts").alias("timestamp"),
-                    F.col("event_type"),
-                    F.col("value").cast("decimal(18,2)").alias("v")))
+            .selectExpr(f"concat('s', CAST(user_id % {N_CITIES} AS STRING)) AS city",
+                        f"user_id % {N_CITIES} AS k",
+                        f"{hour} AS timestamp",
+                        "event_type",
+                        "CAST(value AS DECIMAL(18,2)) AS v"))
 
 
 def air_hourly(events: DataFrame) -> DataFrame:
     """Hourly pollutant side: city, timestamp, latitude, longitude, 6 measures."""
-    et, v = F.col("event_type"), F.col("v")
     agg = (_keyed_events(events, AIR_EVENTS)
            .groupBy("city", "k", "timestamp")
-           .agg(_exact_mean(et, "click", v).alias("m_click"),
-                _exact_mean(et, "view", v).alias("m_view"),
-                _exact_mean(et, "error", v).alias("m_error")))
-    return agg.select(
+           .agg(F.expr(_mean_sql("click")).alias("m_click"),
+                F.expr(_mean_sql("view")).alias("m_view"),
+                F.expr(_mean_sql("error")).alias("m_error")))
+    return agg.selectExpr(
         "timestamp", "city",
-        (F.lit(33.5) + F.col("k").cast("double") * F.lit(0.25)).alias("latitude"),
-        (F.lit(73.0) + F.col("k").cast("double") * F.lit(0.25)).alias("longitude"),
-        F.col("m_view").alias("pm10"),
-        F.col("m_click").alias("pm2_5"),
-        (F.col("m_click") / F.lit(20.0)).alias("carbon_monoxide"),
-        (F.col("m_view") * F.lit(0.75)).alias("nitrogen_dioxide"),
-        (F.col("m_error") * F.lit(0.5)).alias("sulphur_dioxide"),
-        (F.col("m_error") / F.lit(4.0)).alias("ozone"),
+        "33.5D + CAST(k AS DOUBLE) * 0.25D AS latitude",
+        "73.0D + CAST(k AS DOUBLE) * 0.25D AS longitude",
+        "m_view AS pm10",
+        "m_click AS pm2_5",
+        "m_click / 20.0D AS carbon_monoxide",
+        "m_view * 0.75D AS nitrogen_dioxide",
+        "m_error * 0.5D AS sulphur_dioxide",
+        "m_error / 4.0D AS ozone",
     )
 
 
 def weather_hourly(events: DataFrame) -> DataFrame:
     """Hourly weather side: city, timestamp, 6 measures."""
-    et, v = F.col("event_type"), F.col("v")
     agg = (_keyed_events(events, WEATHER_EVENTS)
            .groupBy("city", "timestamp")
-           .agg(_exact_mean(et, "purchase", v).alias("m_purchase"),
-                _exact_mean(et, "signup", v).alias("m_signup"),
-                _count_of(et, "purchase").alias("n_purchase"),
-                _count_of(et, "signup").alias("n_signup")))
-    return agg.select(
+           .agg(F.expr(_mean_sql("purchase")).alias("m_purchase"),
+                F.expr(_mean_sql("signup")).alias("m_signup"),
+                F.expr(_count_sql("purchase")).alias("n_purchase"),
+                F.expr(_count_sql("signup")).alias("n_signup")))
+    return agg.selectExpr(
         "timestamp", "city",
-        (F.col("m_purchase") / F.lit(10.0)).alias("temperature_2m"),
-        (F.col("m_purchase") / F.lit(5.0)).alias("relative_humidity_2m"),
-        (F.lit(1000.0) + F.col("m_signup") / F.lit(10.0)).alias("surface_pressure"),
-        (F.col("m_signup") / F.lit(20.0)).alias("wind_speed_10m"),
-        (F.col("n_signup").cast("double") * F.lit(45.0)).alias("wind_direction_10m"),
-        (F.col("n_purchase").cast("double") / F.lit(4.0)).alias("precipitation"),
+        "m_purchase / 10.0D AS temperature_2m",
+        "m_purchase / 5.0D AS relative_humidity_2m",
+        "1000.0D + m_signup / 10.0D AS surface_pressure",
+        "m_signup / 20.0D AS wind_speed_10m",
+        "CAST(n_signup AS DOUBLE) * 45.0D AS wind_direction_10m",
+        "CAST(n_purchase AS DOUBLE) / 4.0D AS precipitation",
     )
 
 

@@ -60,18 +60,20 @@ def describe(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int =
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr), full square matrix."""
-    aggs = [F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    wide = df.agg(*aggs) if aggs else None
-    rows = []
+    """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr), full square matrix.
+
+    One aggregate computes each unordered pair once; a single ``stack``
+    projection emits both orders and the unit diagonal.
+    """
+    aggs = [F.expr(f"corr(`{a}`, `{b}`)").alias(f"c{i}_{j}")
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    wide = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("_n"))
+    triples = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            if i == j:
-                v = F.lit(1.0)
-            else:
-                v = F.col(f"c{min(i, j)}_{max(i, j)}")
-            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")))
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            v = "1.0D" if i == j else f"c{min(i, j)}_{max(i, j)}"
+            triples.append(f"'{a}', '{b}', {v}")
+    return wide.selectExpr(f"stack({len(triples)}, {', '.join(triples)}) AS (col_a, col_b, corr)")
 
 
 def _bounds(df: DataFrame, cols: list[str]) -> DataFrame:

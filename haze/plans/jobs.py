@@ -45,7 +45,7 @@ def hourly_ingest(spark: SparkSession, air_landing: str, weather_landing: str, r
         written = feature_increment(scored, history, table, history_rows)
     else:
         written = table.append(series.full_features(scored, fill="all"))
-    return {"dates": clean.date_span(raw).collect(), "written": written.count()}
+    return {"dates": clean.date_span(raw).collect(), "written": written}
 
 
 # ------------------------------------------------------------------ P2 training

@@ -20,9 +20,10 @@ def read_raw_csv(spark: SparkSession, path: str, schema=RAW_SCHEMA, path_glob: s
 
 
 def write_raw(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
-              partition_by=("city", "event_date")) -> None:
-    """Raw / processed sink partitioned by city and event date."""
+              partition_by=("event_date",)) -> None:
+    """Raw / processed sink partitioned by event date, rows sorted by (city, timestamp) per file."""
     out = df.withColumn("event_date", F.to_date("timestamp")) if "event_date" in partition_by else df
+    out = out.repartition(*partition_by).sortWithinPartitions(*partition_by, "city", "timestamp")
     w = out.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)

@@ -1,4 +1,9 @@
-"""Keyed feature table on Parquet: partitioned by city and event date.
+"""Keyed feature table on Parquet: partitioned by event date, rows sorted by
+(city, timestamp) inside each file.
+
+Date partitions keep files large (all cities of a day in one file; a
+(city, date) layout would leave ~24 rows per file and millions of files at
+many cities); the sort makes Parquet row-group statistics prune city filters.
 
 Key (timestamp, city) is enforced on write by an anti join against the
 stored rows in the batch's time range only: the range reaches the scan as
@@ -137,19 +142,31 @@ class FeatureTable:
         stored = self.read(lo, hi, restore=False).select(*self.primary_key)
         return b.join(stored, on=self.primary_key, how="left_anti")
 
-    def append(self, df: DataFrame, default_city: str = "Unknown") -> DataFrame:
-        """Idempotent keyed append; returns the rows that were written (lazy frame over the written files)."""
-        self.create()
-        batch = self.conform(df, default_city)
-        fresh = self.new_rows(batch).withColumn("event_date", F.to_date(F.col(self.event_time)))
+    def append(self, df: DataFrame, default_city: str = "Unknown") -> int:
+        """Idempotent keyed append; returns the number of rows written.
+
+        The input is evaluated exactly once (staged to a fresh folder); the
+        batch's time range then comes from the staged files, the anti join
+        reads only that range of the table, and the new rows are staged again
+        before the append because the append must not read what it writes.
+        """
         import uuid
 
-        tmp = f"{self.path}/_staging-{uuid.uuid4().hex[:12]}"
-        # materialise the new rows first: the anti join reads the table we are about to append to
-        fresh.write.mode("overwrite").parquet(tmp)
-        staged = self.spark.read.parquet(tmp)
-        staged.write.mode("append").partitionBy("city", "event_date").parquet(self.path)
-        return staged
+        self.create()
+        run = uuid.uuid4().hex[:12]
+        tmp_in, tmp_new = f"{self.path}/_staging-{run}-in", f"{self.path}/_staging-{run}-new"
+        batch = self.conform(df, default_city).where(F.col(self.event_time).isNotNull())
+        batch.write.mode("overwrite").parquet(tmp_in)
+        staged_in = self.spark.read.parquet(tmp_in)
+        fresh = self.new_rows(staged_in).withColumn("event_date", F.to_date(F.col(self.event_time)))
+        fresh.write.mode("overwrite").parquet(tmp_new)
+        staged = self.spark.read.parquet(tmp_new)
+        n = staged.count()
+        if n:
+            _write_partitioned(staged, self.path, "append")
+        _delete(self.spark, tmp_in)
+        _delete(self.spark, tmp_new)
+        return n
 
     def recreate(self, df: DataFrame, force: bool = False) -> DataFrame:
         """Drop and rewrite the table; requires explicit opt-in."""
@@ -157,7 +174,7 @@ class FeatureTable:
             raise PermissionError("recreate needs force=True")
         self.create()
         batch = self.conform(df).withColumn("event_date", F.to_date(F.col(self.event_time)))
-        batch.write.mode("overwrite").partitionBy("city", "event_date").parquet(self.path)
+        _write_partitioned(batch, self.path, "overwrite")
         return self.read()
 
     def view(self, view_name: str | None = None) -> str:
@@ -182,3 +199,16 @@ def _has_data(spark: SparkSession, path: str) -> bool:
         return True
     except Exception:
         return False
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a staging folder through the Hadoop file system of the path (works on any FS)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _write_partitioned(df: DataFrame, path: str, mode: str) -> None:
+    """One file per event date (each date is written by one task), sorted by city then time."""
+    (df.repartition("event_date").sortWithinPartitions("event_date", "city", "timestamp")
+       .write.mode(mode).partitionBy("event_date").parquet(path))

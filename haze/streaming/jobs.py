@@ -60,11 +60,11 @@ def with_history(new_raw: DataFrame, history_raw: DataFrame, n: int = HISTORY_RO
 
 
 def feature_increment(new_scored: DataFrame, history_scored: DataFrame, table, n: int = HISTORY_ROWS,
-                      fill: str = "none") -> DataFrame:
+                      fill: str = "none") -> int:
     """J1b: features for the new rows computed with history, then a keyed append.
 
     Back-fill needs later rows, so incremental runs default to ``fill="none"``;
-    training-time reads may fill. Returns the appended rows.
+    training-time reads may fill. Returns the number of appended rows.
     """
     from haze.operators.series import full_features
 

@@ -80,9 +80,9 @@ def test_gap_hours_rows_vs_time_frames(spark):
     at = {r.timestamp: r for r in out.collect()}
     r = at[T0 + dt.timedelta(hours=40)]
     assert r.r == 39.0 and r.t == 39.0
-    # 24 previous rows reach back past the gap (to hour 13); 24 previous hours stop at hour 16
+    # 24 previous rows reach back past the gap (to hour 15); 24 previous hours stop at hour 16
     prev_rows = [h for h in hours if h < 40][-24:]
-    assert prev_rows[0] == 13 and r.rm == pytest.approx(sum(prev_rows) / 24)
+    assert prev_rows[0] == 15 and r.rm == pytest.approx(sum(prev_rows) / 24)
     assert r.tm == pytest.approx(sum([h for h in hours if 16 <= h < 40]) / len([h for h in hours if 16 <= h < 40]))
 
 

@@ -175,17 +175,17 @@ def row_positions(df: DataFrame, key="city", ts="timestamp", granularity: str =
 
 
 def bucketed_features(scored: DataFrame, bucket_rows: int = 4096, halo: int = ROLL_WINDOW,
-                      key="city", ts="timestamp") -> DataFrame:
-    """Skew-proof F1-F3 (+ calendar, interactions): each task sees at most
-    ``bucket_rows + halo`` rows of one key, whatever the key's share of data.
+                      key="city", ts="timestamp", fill: str = "none") -> DataFrame:
+    """Skew-proof F1-F3 (+ calendar, interactions, optional fill): each task sees at
+    most ``bucket_rows + halo`` rows of one key, whatever the key's share of data.
 
     A row in the last ``halo`` positions of its bucket is also emitted (by an
     ``explode``, in the same pass) as a halo row of the next bucket. Exact for
-    frames reaching back at most ``halo`` rows (lag 24, rolling 24). Fill is
-    not applied (back-fill needs unbounded look-ahead); use ``fill_both`` on
-    the result when required.
+    frames reaching back at most ``halo`` rows (lag 24, rolling 24).
+    ``fill="all"`` / ``"derived"`` back/forward-fills across bucket borders
+    with ``bucketed_fill`` (exact, also skew-proof).
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = _keys(key)
     pos = row_positions(scored, key, ts)
     bucket = F.floor(F.col("_pos") / bucket_rows)
     in_tail = (F.col("_pos") % bucket_rows) >= bucket_rows - halo
@@ -195,8 +195,72 @@ def bucketed_features(scored: DataFrame, bucket_rows: int = 4096, halo: int = RO
     both = (pos.withColumn("_c", F.explode(copies))
                .withColumn("_bucket", F.col("_c.b")).withColumn("_halo", F.col("_c.h")).drop("_c"))
     derived = derived_columns(key=[*keys, "_bucket"], ts="_pos")
-    out = both.withColumns(calendar_columns(ts)).withColumns(derived)
-    return out.where(~F.col("_halo")).drop("_bucket", "_halo", "_pos")
+    out = both.withColumns(calendar_columns(ts)).withColumns(derived).where(~F.col("_halo")).drop("_halo")
+    if fill != "none":
+        targets = list(derived) if fill == "derived" else \
+            [c for c in out.columns if c not in keys and c not in (ts, "_bucket", "_pos")]
+        out = bucketed_fill(out, targets, keys, "_bucket", "_pos")
+    return out.drop("_bucket", "_pos")
+
+
+def bucketed_fill(df: DataFrame, cols: list[str], keys: list[str], bucket: str, pos: str) -> DataFrame:
+    """Back-fill then forward-fill across row buckets without a per-key window.
+
+    Inside a bucket: running ``last`` over (key, bucket) in both directions.
+    Across buckets: each bucket's first and last non-null value per column
+    (one aggregate row per bucket), carried with windows over the small
+    bucket table, then joined back on (key, bucket).
+    """
+    part = ", ".join(f"`{k}`" for k in [*keys, bucket])
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    o_desc = f"OVER (PARTITION BY {part} ORDER BY `{pos}` DESC {frame})"
+    o_asc = f"OVER (PARTITION BY {part} ORDER BY `{pos}` ASC {frame})"
+    summary = df.groupBy(*keys, bucket).agg(
+        *[F.expr(f"min_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN `{pos}` END)").alias(f"_first_{c}") for c in cols],
+        *[F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN `{pos}` END)").alias(f"_last_{c}") for c in cols])
+    kp = ", ".join(f"`{k}`" for k in keys)
+    before = f"OVER (PARTITION BY {kp} ORDER BY `{bucket}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = f"OVER (PARTITION BY {kp} ORDER BY `{bucket}` DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carries = summary.select(*keys, bucket,
+                             *[F.expr(f"last(`_last_{c}`, true) {before}").alias(f"_prev_{c}") for c in cols],
+                             *[F.expr(f"last(`_first_{c}`, true) {after}").alias(f"_next_{c}") for c in cols])
+    j = df.join(carries, on=[*keys, bucket])
+    filled = {c: F.expr(f"coalesce(`{c}`, last(`{c}`, true) {o_desc}, `_next_{c}`, "
+                        f"last(`{c}`, true) {o_asc}, `_prev_{c}`)") for c in cols}
+    return j.withColumns(filled).drop(*[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
+
+
+def tail_rows(df: DataFrame, n: int, key="city", ts="timestamp", before=None, span_hours: int = 48,
+              max_rounds: int = 8) -> DataFrame:
+    """The last ``n`` rows per key (optionally before a per-key or global bound), exactly.
+
+    A per-key time floor (``last - span``) bounds the rows that reach the
+    ranking window, so a key with a huge history never sorts it all in one
+    task; keys whose floor held fewer than ``n`` rows while more exist get a
+    4x wider floor, round by round (only scalar counts reach the driver).
+    """
+    keys = _keys(key)
+    src = df
+    if before is not None:
+        if isinstance(before, DataFrame):  # per-key bound: columns keys + "_bound"
+            src = src.join(before, on=keys).where(F.col(ts) < F.col("_bound")).drop("_bound")
+        else:
+            src = src.where(F.col(ts) < before)
+    stats = src.groupBy(*keys).agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_total"))
+    span = span_hours
+    for _ in range(max_rounds):
+        floor = F.col("_last") - F.make_dt_interval(hours=F.lit(span))
+        cand = src.join(stats, on=keys).where(F.col(ts) >= floor)
+        got = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"), F.first("_total").alias("_total"))
+        short = got.where((F.col("_got") < n) & (F.col("_got") < F.col("_total"))).limit(1).count()
+        if short == 0:
+            break
+        span *= 4
+    else:
+        cand = src.join(stats, on=keys)  # fall back to the whole history (exact, unbounded)
+    w = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{ts}` DESC)"
+    return (cand.drop("_last", "_total").withColumn("_rn", F.expr(f"row_number() {w}"))
+                .where(F.col("_rn") <= n).drop("_rn"))
 
 
 # ---------------------------------------------------------------- F6, F7
@@ -211,7 +275,7 @@ def last_row(df: DataFrame, key="city", ts="timestamp") -> DataFrame:
 def recent_trend(df: DataFrame, cols: list[str], n: int = 24, key="city", ts="timestamp") -> DataFrame:
     """(last - first) / rows over the last ``n`` rows per key."""
     keys = _keys(key)
-    recent = df.withColumn("_rn", F.expr(f"row_number() {over(key, ts, desc=True)}")).where(F.col("_rn") <= n)
+    recent = tail_rows(df.select(*keys, ts, *cols), n, key, ts)
     aggs = [F.expr("count(1)").alias("n_rows")]
     aggs += [F.expr(f"(max_by(`{c}`, `{ts}`) - min_by(`{c}`, `{ts}`)) / count(1)").alias(f"{c}_trend") for c in cols]
     return recent.groupBy(*keys).agg(*aggs)

@@ -101,6 +101,13 @@ def q_bucketed_features(spark, sf):
     return rounded(b.select("city", "timestamp", *FULL_ALL))
 
 
+@query("bucketed_full_features", FULL_SQL)
+def q_bucketed_full_features(spark, sf):
+    """Skew-proof F9 including the back/forward fill across bucket borders; equals full_features."""
+    b = series.bucketed_features(common.scored(spark, sf), bucket_rows=100, halo=24, fill="all")
+    return rounded(b.select("city", "timestamp", *FULL_ALL))
+
+
 _TREND = [c for c in MODEL_FEATURES if c != "hour_sin"]
 
 

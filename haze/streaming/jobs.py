@@ -49,13 +49,14 @@ def landing_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str
 def with_history(new_raw: DataFrame, history_raw: DataFrame, n: int = HISTORY_ROWS) -> DataFrame:
     """Prepend the last ``n`` valid history rows per city (before the batch's first hour).
 
-    The history is cut per city with a top-n window over rows older than
-    the batch, so it stays bounded whatever the history size.
+    The history is cut per city by ``tail_rows`` (a widening time floor, then
+    a top-n window over the few rows above it), so no task sorts a city's
+    whole history.
     """
-    first = new_raw.groupBy("city").agg(F.min("timestamp").alias("_first"))
-    older = history_raw.join(first, "city").where(F.col("timestamp") < F.col("_first")).drop("_first")
-    w = Window.partitionBy("city").orderBy(F.col("timestamp").desc())
-    tail = older.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    from haze.operators.series import tail_rows
+
+    first = new_raw.groupBy("city").agg(F.min("timestamp").alias("_bound"))
+    tail = tail_rows(history_raw, n, "city", "timestamp", before=first)
     return tail.withColumn("_hist", F.lit(True)).unionByName(new_raw.withColumn("_hist", F.lit(False)))
 
 

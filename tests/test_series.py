@@ -117,3 +117,27 @@ def test_last_row_and_trend(spark):
     for c, g in src.fillna(0.0).groupby("city"):
         v = g["x"].tail(24).to_numpy()
         assert tr.loc[c, "x_trend"] == pytest.approx((v[-1] - v[0]) / len(v))
+
+
+def test_tail_rows_widens_floor_for_sparse_keys(spark):
+    import datetime as dt
+
+    rows = [("dense", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(h)) for h in range(100)]
+    rows += [("sparse", dt.datetime(2024, 1, 1) + dt.timedelta(days=d), float(d)) for d in range(40)]
+    df = spark.createDataFrame(rows, "city string, timestamp timestamp_ntz, x double")
+    got = series.tail_rows(df, 24, span_hours=48).toPandas()
+    assert (got.groupby("city").size() == 24).all()
+    assert sorted(got[got.city == "sparse"].x)[0] == 16.0 and sorted(got[got.city == "dense"].x)[0] == 76.0
+    bound = spark.createDataFrame([("dense", dt.datetime(2024, 1, 2))], "city string, _bound timestamp_ntz")
+    before = series.tail_rows(df, 5, before=bound).toPandas()
+    assert sorted(before.x) == [19.0, 20.0, 21.0, 22.0, 23.0]
+
+
+def test_bucketed_fill_matches_fill_both(spark):
+    df = _frame(spark, n=120)
+    pos = series.row_positions(df).withColumn("_b", F.floor(F.col("_pos") / 16))
+    a = series.bucketed_fill(pos, ["x", "y"], ["city"], "_b", "_pos").drop("_b", "_pos")
+    b = series.fill_both(df, cols=["x", "y"])
+    pa = a.toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
+    pb = b.toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(pa[["city", "timestamp", "x", "y"]], pb[["city", "timestamp", "x", "y"]])

@@ -179,16 +179,25 @@ def join_air_weather(air: DataFrame, weather: DataFrame, on: list[str] | None =
     return air.join(weather, on=keys, how="inner")
 
 
-def dedup_first(df: DataFrame, key: list[str] | None = None, order: list | None = None) -> DataFrame:
-    """Keep the first row per key under an explicit order (``dropDuplicates`` is order-free)."""
+def dedup_first(df: DataFrame, key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Keep the first row per key under an explicit order (``dropDuplicates`` is order-free).
+
+    Implemented as one ``min_by`` aggregate, so partial aggregation runs map
+    side: a group of copies holding a large share of all rows is reduced
+    before the shuffle instead of being sorted in one task. ``order`` lists
+    columns compared ascending with NULLs last (default: ``ingest_seq`` when
+    present, then every other column as a deterministic tie-break).
+    """
     keys = key or KEY
-    order_cols = order
+    rest = [c for c in df.columns if c not in keys]
+    order_cols = list(order or [])
     if not order_cols and "ingest_seq" in df.columns:
-        order_cols = [F.col("ingest_seq").asc_nulls_last()]
-    if not order_cols:
-        order_cols = [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+        order_cols = ["ingest_seq"]
+    order_cols += [c for c in rest if c not in order_cols]
+    rank = F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(f"o{i}")
+                      for i, c in enumerate(order_cols)])
+    first = F.min_by(F.struct(*[F.col(c) for c in rest]), rank).alias("_r")
+    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 # ---------------------------------------------------------------- E11, E13

@@ -28,11 +28,15 @@ def hourly_ingest(spark: SparkSession, air_landing: str, weather_landing: str, r
     features their 24 preceding rows; without it the result equals the
     source's today-only computation.
     """
-    air = clean.today_window(payload.read_payloads(spark, air_landing, AIR_MEASURES, whole_file), as_of)
-    weather = clean.today_window(payload.read_payloads(spark, weather_landing, WEATHER_MEASURES, whole_file), as_of)
-    weather = weather.drop("latitude", "longitude")
+    air = clean.today_window(payload.read_payloads(spark, air_landing, AIR_MEASURES, whole_file, True), as_of)
+    weather = clean.today_window(payload.read_payloads(spark, weather_landing, WEATHER_MEASURES, whole_file, True),
+                                 as_of)
+    # keep-first per key on each side before joining: same rows as join-then-dedup (the first
+    # pair is the first air copy with the first weather copy), but a duplicated key can no
+    # longer fan out n x m, and the dedup is a map-side-combined aggregate
+    air = clean.dedup_first(air, ["city", "timestamp"]).drop("ingest_seq")
+    weather = clean.dedup_first(weather, ["city", "timestamp"]).drop("ingest_seq", "latitude", "longitude")
     raw = clean.join_air_weather(air, weather)
-    raw = clean.dedup_first(raw, ["city", "timestamp"])
     raw = clean.drop_missing(raw, ["pm2_5", "pm10"])
     files.write_raw(raw, raw_sink)
     # explicit schema: a run that lands no rows leaves no files to infer one from

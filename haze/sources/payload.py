@@ -19,23 +19,34 @@ def parse_payloads(texts: DataFrame, measures: list[str], text_col: str = "value
                    time_format: str = "yyyy-MM-dd'T'HH:mm") -> DataFrame:
     """JSON text column -> (timestamp, city, latitude, longitude, measures...)."""
     p = F.from_json(F.col(text_col), payload_schema(measures)).alias("p")
-    parsed = texts.select(p).where(F.col("p.hourly.time").isNotNull())
+    keep = ["_src"] if "_src" in texts.columns else []
+    parsed = texts.select(p, *keep).where(F.col("p.hourly.time").isNotNull())
     n = F.size(F.col("p.hourly.time"))
     # a measure absent from the payload is all-null (arrays_zip would return NULL for the whole row set)
     arrays = [F.col("p.hourly.time").alias("time")] + [
         F.coalesce(F.col(f"p.hourly.{m}"), F.array_repeat(F.lit(None).cast("double"), n)).alias(m) for m in measures]
+    src = [F.col("_src")] if keep else []
     rows = parsed.select(F.col("p.city").alias("city"), F.col("p.latitude").alias("latitude"),
-                         F.col("p.longitude").alias("longitude"),
-                         F.explode(F.arrays_zip(*arrays)).alias("z"))
+                         F.col("p.longitude").alias("longitude"), *src,
+                         F.posexplode(F.arrays_zip(*arrays)).alias("_i", "z"))
+    seq = [F.struct(F.col("_src"), F.col("_i")).alias("ingest_seq")] if src else []
     out = rows.select(F.to_timestamp_ntz(F.col("z.time"), F.lit(time_format)).alias("timestamp"), "city",
                       "latitude", "longitude",
-                      *[F.when(~F.isnan(F.col(f"z.{m}")), F.col(f"z.{m}")).alias(m) for m in measures])
+                      *[F.when(~F.isnan(F.col(f"z.{m}")), F.col(f"z.{m}")).alias(m) for m in measures], *seq)
     return out
 
 
-def read_payloads(spark: SparkSession, path: str, measures: list[str], whole_file: bool = True) -> DataFrame:
-    """Read landed payload files (one JSON document per file by default)."""
+def read_payloads(spark: SparkSession, path: str, measures: list[str], whole_file: bool = True,
+                  keep_order: bool = False) -> DataFrame:
+    """Read landed payload files (one JSON document per file by default).
+
+    ``keep_order`` adds ``ingest_seq`` = (file modification time, file path,
+    array position): the arrival order used by keep-first deduplication.
+    """
     texts = spark.read.text(path, wholetext=whole_file)
+    if keep_order:
+        texts = texts.withColumn("_src", F.struct(F.col("_metadata.file_modification_time").alias("mtime"),
+                                                  F.col("_metadata.file_path").alias("path")))
     return parse_payloads(texts, measures)
 
 

@@ -38,17 +38,71 @@ def _unpivot_stats(wide: DataFrame, cols: list[str], stats: list[str]) -> DataFr
     return wide.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
+# ``percentile`` keeps one counter per distinct value and merges them in one task for a
+# global aggregate; it is used only when the distinct count is checked to be below this.
+MAX_PERCENTILE_DISTINCT = 2_000_000
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
+    """Exact linear-interpolated quantiles without holding the column in one task.
+
+    Order statistics are selected through ``global_row_index`` (range
+    partitioning + one count per partition), then only the 2 rows around
+    each quantile position reach the driver.
+    """
+    from haze.operators.series import global_row_index
+
+    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    idx = global_row_index(vals, ["v"], index_col="i")
+    n = idx.count()
+    if n == 0:
+        return [None for _ in qs]
+    want = {}
+    for q in qs:
+        h = (n - 1) * q
+        lo = int(h)
+        want[q] = (lo, min(lo + 1, n - 1), h - lo)
+    positions = sorted({p for lo, hi, _ in want.values() for p in (lo, hi)})
+    got = {r.i: r.v for r in idx.where(F.col("i").isin(positions)).collect()}
+    return [got[lo] + (got[hi] - got[lo]) * frac for lo, hi, frac in (want[q] for q in qs)]
+
+
+def _percentile_fits(df: DataFrame, cols: list[str], limit: int) -> bool:
+    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    return all((row[c] or 0) <= limit for c in cols)
+
+
+def quartile_table(df: DataFrame, cols: list[str], exact: bool = True,
+                   max_distinct: int = MAX_PERCENTILE_DISTINCT) -> dict[str, list[float | None]] | None:
+    """Driver-side quartiles for columns too wide for ``percentile`` (else None)."""
+    if not exact or _percentile_fits(df, cols, max_distinct):
+        return None
+    return {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
+
+
+def _quartiles(x, exact: bool, accuracy: int, fixed: list | None):
+    if fixed is not None:
+        return F.array(*[F.lit(v).cast("double") for v in fixed])
+    if exact:
+        return F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
+
+
+def describe(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000,
+             max_distinct: int = MAX_PERCENTILE_DISTINCT) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max per column, linear-interpolated
-    quartiles like ``pandas.describe``. ``exact=False`` uses ``percentile_approx``
-    (bounded memory per group at any size)."""
+    quartiles like ``pandas.describe``.
+
+    Exact quartiles use ``percentile`` when every column's (approximate)
+    distinct count is within ``max_distinct``; beyond that they come from
+    ``exact_quantiles`` (distributed order-statistic selection), so the
+    result stays exact at any size. ``exact=False`` uses ``percentile_approx``.
+    """
+    fixed = quartile_table(df, cols, exact, max_distinct)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        if exact:
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
+        q = _quartiles(x, exact, accuracy, fixed[c] if fixed else None)
         aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
                  F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
                  q.alias(f"q__{c}"), F.max(x).alias(f"max__{c}")]
@@ -140,14 +194,18 @@ def kde(df: DataFrame, cols: list[str], grid: int = 50, bins: int = 512) -> Data
                .select("column", F.col("g").alias("point"), "x", "density"))
 
 
-def box_stats(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
-    """Quartiles, 1.5*IQR whiskers (most extreme values inside the fences) and outlier counts."""
+def box_stats(df: DataFrame, cols: list[str], exact: bool = True,
+              max_distinct: int = MAX_PERCENTILE_DISTINCT) -> DataFrame:
+    """Quartiles, 1.5*IQR whiskers (most extreme values inside the fences) and outlier counts.
+
+    Quartiles follow ``describe``: ``percentile`` under a checked distinct
+    bound, distributed exact selection above it.
+    """
+    fixed = quartile_table(df, cols, exact, max_distinct)
     qs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact \
-            else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
-        qs.append(q.alias(f"q__{c}"))
+        qs.append(_quartiles(x, exact, 10000, fixed[c] if fixed else None).alias(f"q__{c}"))
     quart = df.agg(*qs)
     fences = quart.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"q__{c}")[0].alias("q1"), F.col(f"q__{c}")[1].alias("median"),

@@ -111,3 +111,17 @@ def test_data_age_and_audit(spark):
     assert (a.rows_in, a.future_rows, a.duplicate_rows, a.missing_pm_rows, a.no_aqi_rows) == (3, 1, 1, 1, 1)
     age = clean.data_age(df, dt.datetime(2024, 1, 4, 12)).first()
     assert age.age_hours == 36.0 and age.is_stale
+
+
+def test_exact_quantiles_distributed_path_matches_percentile(spark):
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=3000).round(3)
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(5)
+    small = profile.describe(df, ["x"]).first()
+    forced = profile.describe(df, ["x"], max_distinct=10).first()  # forces the distributed selection
+    for k in ["p25", "p50", "p75"]:
+        assert forced[k] == pytest.approx(small[k], abs=1e-12)
+    assert forced.p50 == pytest.approx(float(np.quantile(vals, 0.5)), abs=1e-12)
+    b1 = profile.box_stats(df, ["x"]).first()
+    b2 = profile.box_stats(df, ["x"], max_distinct=10).first()
+    assert (b1.q1, b1.n_outliers) == (pytest.approx(b2.q1), b2.n_outliers)

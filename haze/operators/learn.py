@@ -145,11 +145,18 @@ def _assembled(df: DataFrame, features: list[str], label: str | None = "AQI") ->
     return va.transform(df.select(*keep, *cols, *extra))
 
 
-def forest_regressor(seed: int = RANDOM_STATE):
+def forest_regressor(seed: int = RANDOM_STATE, max_memory_mb: int = 64):
+    """100 trees, depth 20, leaf >= 2, all features per split, seed 42.
+
+    ``maxMemoryInMB`` is the histogram budget of *each* concurrent task; 64 MB
+    keeps 8+ tasks per executor inside a default heap (more passes, same trees:
+    with all features per split and seeded bootstraps the node grouping does
+    not change the result).
+    """
     from pyspark.ml.regression import RandomForestRegressor
 
     return RandomForestRegressor(numTrees=100, maxDepth=20, minInstancesPerNode=2, featureSubsetStrategy="all",
-                                 seed=seed, maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
+                                 seed=seed, maxMemoryInMB=max_memory_mb, cacheNodeIds=True, checkpointInterval=10)
 
 
 def gbt_regressor(kind: str = "shallow", seed: int = RANDOM_STATE):

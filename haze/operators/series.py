@@ -295,13 +295,15 @@ def global_row_index(df: DataFrame, order: list[str], n_parts: int | None = None
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
-    ranged = (df.withColumn("_tie", tie)
-                .repartitionByRange(n, *[F.col(c) for c in order], F.col("_tie"))
-                .sortWithinPartitions(*order, "_tie")
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    keyed = df.withColumn("_tie", tie)
+    order_cols = [*[F.col(c) for c in order], F.col("_tie")]
+    # without an explicit count AQE sizes the ranges from the data (coalescing only adjacent
+    # ranges, so the order across partition ids is kept); n_parts pins it when given
+    ranged = keyed.repartitionByRange(n_parts, *order_cols) if n_parts else keyed.repartitionByRange(*order_cols)
+    ranged = (ranged.sortWithinPartitions(*order, "_tie")
+                    .withColumn("_mid", F.monotonically_increasing_id())
+                    .checkpoint(eager=True))
     pid = F.shiftright(F.col("_mid"), 33)
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     # one count per partition (n values, bounded by the partition count, not the data)

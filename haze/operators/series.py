@@ -230,14 +230,15 @@ def bucketed_fill(df: DataFrame, cols: list[str], keys: list[str], bucket: str,
     return j.withColumns(filled).drop(*[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
 
 
-def tail_rows(df: DataFrame, n: int, key="city", ts="timestamp", before=None, span_hours: int = 48,
-              max_rounds: int = 8) -> DataFrame:
+def tail_rows(df: DataFrame, n: int, key="city", ts="timestamp", before=None,
+              granularity: str = "day") -> DataFrame:
     """The last ``n`` rows per key (optionally before a per-key or global bound), exactly.
 
-    A per-key time floor (``last - span``) bounds the rows that reach the
+    Rows are counted per (key, day) with a hash aggregate; a descending
+    running sum over that small count table gives, per key, the earliest day
+    still needed to reach ``n`` rows. Only rows from that day on reach the
     ranking window, so a key with a huge history never sorts it all in one
-    task; keys whose floor held fewer than ``n`` rows while more exist get a
-    4x wider floor, round by round (only scalar counts reach the driver).
+    task, and no driver round trips are needed.
     """
     keys = _keys(key)
     src = df
@@ -246,21 +247,17 @@ def tail_rows(df: DataFrame, n: int, key="city", ts="timestamp", before=None, sp
             src = src.join(before, on=keys).where(F.col(ts) < F.col("_bound")).drop("_bound")
         else:
             src = src.where(F.col(ts) < before)
-    stats = src.groupBy(*keys).agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_total"))
-    span = span_hours
-    for _ in range(max_rounds):
-        floor = F.col("_last") - F.make_dt_interval(hours=F.lit(span))
-        cand = src.join(stats, on=keys).where(F.col(ts) >= floor)
-        got = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"), F.first("_total").alias("_total"))
-        short = got.where((F.col("_got") < n) & (F.col("_got") < F.col("_total"))).limit(1).count()
-        if short == 0:
-            break
-        span *= 4
-    else:
-        cand = src.join(stats, on=keys)  # fall back to the whole history (exact, unbounded)
-    w = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{ts}` DESC)"
-    return (cand.drop("_last", "_total").withColumn("_rn", F.expr(f"row_number() {w}"))
-                .where(F.col("_rn") <= n).drop("_rn"))
+    day = F.date_trunc(granularity, F.col(ts).cast("timestamp"))
+    counts = src.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    kp = ", ".join(f"`{k}`" for k in keys)
+    running = F.expr(f"sum(_c) OVER (PARTITION BY {kp} ORDER BY _day DESC "
+                     f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    floors = (counts.withColumn("_cum", running)
+                    .where(F.col("_cum") - F.col("_c") < n)   # days still needed before reaching n rows
+                    .groupBy(*keys).agg(F.min("_day").alias("_floor")))
+    cand = src.join(floors, on=keys).where(day >= F.col("_floor")).drop("_floor")
+    w = f"OVER (PARTITION BY {kp} ORDER BY `{ts}` DESC)"
+    return cand.withColumn("_rn", F.expr(f"row_number() {w}")).where(F.col("_rn") <= n).drop("_rn")
 
 
 # ---------------------------------------------------------------- F6, F7

@@ -119,13 +119,13 @@ def test_last_row_and_trend(spark):
         assert tr.loc[c, "x_trend"] == pytest.approx((v[-1] - v[0]) / len(v))
 
 
-def test_tail_rows_widens_floor_for_sparse_keys(spark):
+def test_tail_rows_dense_and_sparse_keys(spark):
     import datetime as dt
 
     rows = [("dense", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(h)) for h in range(100)]
     rows += [("sparse", dt.datetime(2024, 1, 1) + dt.timedelta(days=d), float(d)) for d in range(40)]
     df = spark.createDataFrame(rows, "city string, timestamp timestamp_ntz, x double")
-    got = series.tail_rows(df, 24, span_hours=48).toPandas()
+    got = series.tail_rows(df, 24).toPandas()
     assert (got.groupby("city").size() == 24).all()
     assert sorted(got[got.city == "sparse"].x)[0] == 16.0 and sorted(got[got.city == "dense"].x)[0] == 76.0
     bound = spark.createDataFrame([("dense", dt.datetime(2024, 1, 2))], "city string, _bound timestamp_ntz")

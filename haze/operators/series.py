@@ -149,6 +149,26 @@ def full_features(scored: DataFrame, key="city", ts="timestamp", fill: str = "al
     return out
 
 
+MAX_KEY_ROWS = 2_000_000  # rows one task may sort for a single key in the window path
+
+
+def series_features(scored: DataFrame, key="city", ts="timestamp", fill: str = "all",
+                    max_key_rows: int = MAX_KEY_ROWS, bucket_rows: int = 65536) -> DataFrame:
+    """Feature set with a checked plan choice.
+
+    One aggregate measures the largest key. Within ``max_key_rows`` the
+    one-exchange window plan (``full_features``) is used; beyond it the exact
+    halo-bucket plan (``bucketed_features`` with cross-bucket fill), so a key
+    holding a large share of all rows is split instead of sorted in one task.
+    Both plans give the same rows.
+    """
+    keys = _keys(key)
+    biggest = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if biggest <= max_key_rows:
+        return full_features(scored, key=key, ts=ts, fill=fill)
+    return bucketed_features(scored, bucket_rows=bucket_rows, key=key, ts=ts, fill=fill)
+
+
 # ---------------------------------------------------------------- halo buckets
 def row_positions(df: DataFrame, key="city", ts="timestamp", granularity: str = "day") -> DataFrame:
     """Exact per-key row position (0-based, ordered by ts) without sorting a whole key in one task.

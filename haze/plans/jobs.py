@@ -52,6 +52,14 @@ def hourly_ingest(spark: SparkSession, air_landing: str, weather_landing: str, r
     return {"dates": clean.date_span(raw).collect(), "written": written}
 
 
+def backfill_features(spark: SparkSession, raw: DataFrame, table: FeatureTable,
+                      max_key_rows: int = series.MAX_KEY_ROWS) -> int:
+    """Historical backfill: RAW history -> AQI -> features (plan chosen by the largest
+    city's size) -> keyed append. Returns the number of rows written."""
+    scored = clean.drop_missing(clean.with_aqi(clean.drop_missing(raw, ["pm2_5", "pm10"])), ["AQI"])
+    return table.append(series.series_features(scored, fill="all", max_key_rows=max_key_rows))
+
+
 # ------------------------------------------------------------------ P2 training
 def training_run(spark: SparkSession, table: FeatureTable, model_dir: str, registry_path: str,
                  sample_frac: float | None = None, augment_std: float = 0.0, seed: int = 42,

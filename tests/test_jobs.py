@@ -40,3 +40,16 @@ def test_ingest_train_forecast_end_to_end(spark):
     imp = jobs.influence_report(t.read(), jobs.best_registered(spark, base + "/registry")[1],
                                 list(spark.read.parquet(base + "/registry").first().feature_columns), n=20)
     assert imp.count() == len(spark.read.parquet(base + "/registry").first().feature_columns)
+
+
+def test_backfill_features_both_plans(spark):
+    base = tempfile.mkdtemp(prefix="haze-backfill-")
+    raw = common.raw(spark, "/root/testdata/sf0.001")
+    a = FeatureTable(spark, base + "/a")
+    b = FeatureTable(spark, base + "/b")
+    na = jobs.backfill_features(spark, raw, a)
+    nb = jobs.backfill_features(spark, raw, b, max_key_rows=1)  # forces the bucketed plan
+    assert na == nb == common.features(spark, "/root/testdata/sf0.001").count()
+    cols = ["city", "timestamp", "pm2_5_lag_24h", "pm2_5_rolling_std_24h", "AQI"]
+    assert sorted(a.read().select(cols).collect()) == sorted(b.read().select(cols).collect())
+    assert jobs.backfill_features(spark, raw, a) == 0  # idempotent

@@ -141,3 +141,18 @@ def test_bucketed_fill_matches_fill_both(spark):
     pa = a.toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
     pb = b.toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(pa[["city", "timestamp", "x", "y"]], pb[["city", "timestamp", "x", "y"]])
+
+
+def test_series_features_switches_plan_on_key_size(spark):
+    df = _frame(spark, n=150).withColumnsRenamed({"x": "pm2_5", "y": "pm10"})
+    for c in ["ozone", "temperature_2m", "relative_humidity_2m", "wind_speed_10m", "surface_pressure", "AQI"]:
+        df = df.withColumn(c, F.col("pm10") * 1.5)
+    window = series.series_features(df, fill="all")
+    bucketed = series.series_features(df, fill="all", max_key_rows=50, bucket_rows=32)
+    assert "_bucket" not in bucketed.columns
+    plan = bucketed._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan  # the bucketed plan was chosen
+    cols = ["city", "timestamp", "pm2_5_rolling_mean_24h", "pm10_lag_24h", "pm2_5", "hour_sin"]
+    pa = window.select(cols).toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
+    pb = bucketed.select(cols).toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(pa, pb, check_exact=False, rtol=1e-12)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haze.schemas import INFLUENCE_SAMPLE, RANDOM_STATE, TOP_K
+from haze.schemas import RANDOM_STATE, TOP_K
 
 
 def mean_abs_importance(contrib: DataFrame, feature: str = "feature", value: str = "contribution",
@@ -134,5 +134,4 @@ def local_surrogate(sample: DataFrame, model, features: list[str], n_samples: in
     return scored.groupBy(row_id).applyInPandas(fit, schema=schema)
 
 
-__all__ = ["mean_abs_importance", "top_features", "leave_one_out", "shapley_values", "local_surrogate",
-           "INFLUENCE_SAMPLE"]
+__all__ = ["mean_abs_importance", "top_features", "leave_one_out", "shapley_values", "local_surrogate"]

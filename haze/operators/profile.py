@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -230,4 +230,4 @@ def moving_average_report(df: DataFrame, col: str, window: int = 24, key="city",
 
 
 __all__ = ["category_counts", "value_range", "null_counts", "describe", "correlation_matrix",
-           "histogram", "kde", "box_stats", "moving_average_report", "Column"]
+           "histogram", "kde", "box_stats", "moving_average_report", "exact_quantiles"]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haze.operators import clean, explain, forecast, learn, profile, series
-from haze.schemas import AIR_MEASURES, FEATURES_STORED, MODEL_FEATURES, WEATHER_MEASURES
+from haze.schemas import AIR_MEASURES, WEATHER_MEASURES
 from haze.sources import files, payload
 from haze.sources.store import FeatureTable
 
@@ -164,4 +164,4 @@ def influence_report(features: DataFrame, model, feature_cols: list[str], out_cs
 
 
 __all__ = ["hourly_ingest", "training_run", "load_model", "best_registered", "forecast_refresh",
-           "profile_report", "influence_report", "FEATURES_STORED"]
+           "profile_report", "influence_report", "backfill_features"]

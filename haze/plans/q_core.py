@@ -11,7 +11,7 @@ from haze.operators.aqi_join import aqi_long_rangejoin
 from haze.plans import common
 from haze.plans.catalog import AS_OF, AS_OF_SQL, R, query, rounded
 from haze.plans.oracle_base import (BASE, CAL, SCORED, band_sql, category_sql, d, local_sql,
-                                    overall_sql, subindex_sql, two_pi_over, with_ctes)
+                                    overall_sql, subindex_sql, with_ctes)
 from haze.schemas import AQI_POLLUTANT_ORDER, HAZARD_ADVICE
 
 RAW16 = ["timestamp", "city", "latitude", "longitude", "pm10", "pm2_5", "carbon_monoxide", "nitrogen_dioxide",
@@ -253,5 +253,3 @@ def q_interaction_features(spark, sf):
     r = common.raw(spark, sf)
     return rounded(r.select("city", "timestamp", *[c.alias(n) for n, c in interaction_columns().items()]))
 
-
-_ = two_pi_over  # re-exported for other query modules

@@ -157,8 +157,6 @@ def q_row_positions(spark, sf):
     return series.row_positions(common.raw(spark, sf).select("city", "timestamp")).withColumnRenamed("_pos", "pos")
 
 
-_ = F
-
 
 @query("order_series_features", with_ctes(ORDER_RAW, SCORED, CAL, DERIVED, FULL_CTE) + _sel(FULL_DOUBLES, FULL_OTHER, src="feat"))
 def q_order_series_features(spark, sf):

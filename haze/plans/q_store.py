@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from haze.plans import common
 from haze.plans.catalog import R, query, rounded
-from haze.plans.oracle_base import AIR, BASE, SCORED, with_ctes
+from haze.plans.oracle_base import AIR, BASE, with_ctes
 from haze.plans.q_series import FULL_CTES, NOFILL_SQL
 from haze.schemas import AIR_MEASURES, BASE_FEATURES, FEATURES_ALL, FEATURES_STORED, RAW_SCHEMA
 from haze.session import scratch_path
@@ -196,5 +196,3 @@ def q_stream_daily_alerts(spark, sf):
     q.awaitTermination()
     return spark.read.schema("city string, day_start_utc timestamp_ntz, mean_aqi double, n_hours bigint").parquet(sink)
 
-
-_ = (SCORED,)

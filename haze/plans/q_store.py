@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from haze.plans import common
 from haze.plans.catalog import R, query, rounded
-from haze.plans.oracle_base import AIR, BASE, with_ctes
+from haze.plans.oracle_base import AIR, BASE, SCORED, with_ctes
 from haze.plans.q_series import FULL_CTES, NOFILL_SQL
 from haze.schemas import AIR_MEASURES, BASE_FEATURES, FEATURES_ALL, FEATURES_STORED, RAW_SCHEMA
 from haze.session import scratch_path
@@ -183,8 +183,18 @@ def q_feature_increment(spark, sf):
     return _out(t.read())
 
 
-@query("stream_daily_alerts")
+_ALERT_DAY = "CAST(CAST(timestamp - INTERVAL 19 HOUR AS DATE) AS TIMESTAMP) + INTERVAL 19 HOUR"
+
+
+@query("stream_daily_alerts", with_ctes(*BASE, SCORED) + f"""
+SELECT city, {_ALERT_DAY} AS day_start_utc, {R('avg(AQI)', 'mean_aqi')}, COUNT(*) AS n_hours,
+       avg(AQI) > CAST('200.0' AS DOUBLE) AS alert
+FROM scored
+WHERE {_ALERT_DAY} + INTERVAL 1 DAY <= (SELECT max(timestamp) FROM scored) - INTERVAL 1 DAY
+GROUP BY 1, 2""")
 def q_stream_daily_alerts(spark, sf):
+    """Local-day windows (UTC+5) closed by a 1-day watermark in one availableNow run:
+    every window ending at or before max(event time) - 1 day is emitted."""
     from haze.streaming.jobs import daily_alerts_stream
 
     src, sink, ck = (scratch_path(spark, n) for n in ("alerts-src", "alerts-sink", "alerts-ckpt"))
@@ -194,5 +204,6 @@ def q_stream_daily_alerts(spark, sf):
     q = (daily_alerts_stream(stream).writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema("city string, day_start_utc timestamp_ntz, mean_aqi double, n_hours bigint").parquet(sink)
+    return rounded(spark.read.schema("city string, day_start_utc timestamp_ntz, mean_aqi double, n_hours bigint, "
+                                     "alert boolean").parquet(sink))
 

@@ -75,13 +75,15 @@ def feature_increment(new_scored: DataFrame, history_scored: DataFrame, table, n
 
 
 def daily_alerts_stream(scored_stream: DataFrame, threshold: float = HAZARD_THRESHOLD,
-                        watermark: str = "1 day", utc_offset_hours: int = 5) -> DataFrame:
+                        watermark: str = "1 day", utc_offset_hours: int = 5, only_alerts: bool = False) -> DataFrame:
     """Daily mean AQI per city on local (fixed-offset) days, emitted once the
-    watermark passes the day's end; only days above ``threshold``."""
+    watermark passes the day's end, with ``alert`` = mean above ``threshold``
+    (``only_alerts`` keeps just the hazard days)."""
     start = f"{(24 - utc_offset_hours) % 24} hours"
     ev = scored_stream.withColumn("event_time", ntz_to_instant("timestamp"))
     agg = (ev.withWatermark("event_time", watermark)
              .groupBy("city", F.window("event_time", "1 day", startTime=start).alias("w"))
              .agg(F.avg("AQI").alias("mean_aqi"), F.count(F.lit(1)).alias("n_hours")))
-    return (agg.where(F.col("mean_aqi") > F.lit(float(threshold)))
-               .select("city", instant_to_ntz(F.col("w.start")).alias("day_start_utc"), "mean_aqi", "n_hours"))
+    out = agg.select("city", instant_to_ntz(F.col("w.start")).alias("day_start_utc"), "mean_aqi", "n_hours",
+                     (F.col("mean_aqi") > F.lit(float(threshold))).alias("alert"))
+    return out.where(F.col("alert")) if only_alerts else out

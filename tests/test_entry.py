@@ -8,7 +8,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 FAST = ["daily_aqi", "aqi_overall", "air_weather_join", "quality_audit", "full_features", "bucketed_features",
         "describe", "histogram", "regression_metrics", "forecast_inputs", "daily_forecast", "json_hourly_scan",
-        "store_append", "feature_increment", "time_split"]
+        "store_append", "feature_increment", "time_split", "stream_daily_alerts"]
 
 
 def _canon(df):

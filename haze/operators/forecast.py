@@ -16,19 +16,25 @@ from pyspark.sql import functions as F
 
 from haze.functions.aqi import display_band
 from haze.functions.timefeat import local_time
-from haze.operators.series import last_row, recent_trend
+from haze.operators.series import tail_rows
 from haze.schemas import FORECAST_DAYS, FORECAST_HOURS, HISTORY_ROWS, LOCAL_TZ, MODEL_FEATURES, RANDOM_STATE
 
 
 
 def forecast_base(features: DataFrame, cols: list[str] | None = None, n: int = HISTORY_ROWS,
                   key="city", ts="timestamp") -> DataFrame:
-    """Per key: last row values and (last - first)/rows trend over the last ``n`` rows."""
+    """Per key: last row values and (last - first)/rows trend over the last ``n`` rows.
+
+    Both come from one aggregate over the key's last ``n`` rows (the latest
+    row is among them), so the feature input is ranked once per key.
+    """
     cols = cols or MODEL_FEATURES
     drift = [c for c in cols if c != "hour_sin"]
-    last = last_row(features.select(key, ts, *cols), key, ts)
-    trend = recent_trend(features.select(key, ts, *drift), drift, n, key, ts)
-    return last.join(trend, on=key)
+    tail = tail_rows(features.select(key, ts, *cols), n, key, ts)
+    aggs = [F.expr(f"max(`{ts}`)").alias(ts), F.expr("count(1)").alias("n_rows")]
+    aggs += [F.expr(f"max_by(`{c}`, `{ts}`)").alias(c) for c in cols]
+    aggs += [F.expr(f"(max_by(`{c}`, `{ts}`) - min_by(`{c}`, `{ts}`)) / count(1)").alias(f"{c}_trend") for c in drift]
+    return tail.groupBy(key).agg(*aggs)
 
 
 def forecast_grid(base: DataFrame, horizon: int = FORECAST_HOURS, ts="timestamp") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import bpe
+from haze.llm import bpe, decontaminate, line_dedup, ngram_join
 from haze.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
     back = bpe.decode(ids, path, pattern, keep=("doc_id", "n_tokens", "ids_sha256"))
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = line_dedup.dedup_lines(docs, with_counts=True)
+    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+
+
+ORACLE["op2_line_dedup"] = line_dedup.oracle_sql()
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("_items").cast("array<string>")))
+    hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, h: n + h["stop"] - h["first"])
+    return rows.select(F.col("_row._c0").alias("doc_id"), F.col("_n_words").alias("n_words"), hit.alias("n_hit"),
+                       F.size("_items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+                       (F.size("_hits") > 0).alias("contaminated"))
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join_components(docs, n=4, p=85, q=100).select("doc_id", "n_shingles", "component_id")

@@ -3,10 +3,12 @@
 Each match of the pre-token pattern is encoded by itself. Adjacent tokens
 whose joined bytes have a merge rank are queued under that rank: a bucket
 per rank holds the places (in the linked list of tokens) where the pair
-starts, and a three-level bitmap over the ranks gives the lowest non-empty
+starts, and a two-level bitmap over the ranks gives the lowest non-empty
 bucket by find-first-set. Within a bucket the leftmost place goes first. A
 place whose pair has changed since it was queued is stale and skipped. The
 cost of a pre-token of n bytes is O(n log n) at worst, also for very long ones.
+Only pairs that no neighbouring pair precedes are queued; the others can't
+be next, and are queued once their neighbour has changed.
 
 Rows: one per input row. A null or empty text has no tokens (an empty
 array); a null array decodes to empty bytes. Repeated rows give repeated
@@ -17,6 +19,7 @@ columns are neither read nor returned, whatever their names.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -43,6 +46,9 @@ NEWER_LETTERS = (
 NEWER_NUMBERS = "\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 #: Pre-tokens of a text that are encoded at once.
 CHUNK = 1 << 16
+#: Stands for no rank, past all ranks.
+NONE = 1 << 30
+BITS = [1 << i for i in range(256)]
 
 
 def load_ranks(path: str) -> bytes:
@@ -51,46 +57,23 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
-class RankQueue:
-    """Places by merge rank. Bits of ``low`` mark the ranks in use, bits of ``mid`` the words of ``low``
-    that aren't zero, bits of ``top`` those of ``mid``."""
-
-    def __init__(self, size: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((size >> 6) + 1)
-        self.mid = [0] * ((size >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, place)
-
-    def pop(self) -> tuple[int, int]:
-        """Lowest rank and its leftmost place; (-1, -1) if empty."""
-        top = self.top
-        if not top:
-            return -1, -1
-        i = (top & -top).bit_length() - 1
-        w = self.mid[i]
-        j = i << 6 | (w & -w).bit_length() - 1
-        w = self.low[j]
-        rank = j << 6 | (w & -w).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[j] &= ~(1 << (rank & 63))
-            if not self.low[j]:
-                self.mid[i] &= ~(1 << (j & 63))
-                if not self.mid[i]:
-                    self.top &= ~(1 << i)
-        return rank, place
+class Remembered(dict):
+    """Ids of pre-tokens as 32-bit integers, in two generations; a new one starts when the younger is full."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece)
+        if got is None:
+            got = array("i", self.merge(piece.encode())).tobytes()
+        if len(piece) < 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
 
 
 class Codec:
@@ -100,7 +83,6 @@ class Codec:
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
-        self.longest = max(map(len, self.ranks))
         self.size = max(self.ranks.values()) + 1
         self.bytes_of = [b""] * self.size
         for token, rank in self.ranks.items():
@@ -112,69 +94,101 @@ class Codec:
         exact = exact.replace(r" ?\p{L}+", rf" ?(?:(?!{newer})\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?!{newer})\p{{N}})+")
         self.plain, self.exact = regex.compile(plain), regex.compile(exact.replace(r"\p{NEW}", newer))
         self.newer = regex.compile(newer)
-        self.queue = RankQueue(self.size)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # the rank queue, empty between pre-tokens: places by rank, and the ranks in use as bits of words of 256
+        self.buckets: dict[int, int | list[int]] = {}
+        self.low = [0] * ((self.size >> 8) + 1)
+        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        #: rank of two tokens side by side, by their ids, and of two bytes
+        self.joined = {a << 20 | b: rank for token, rank in self.ranks.items() for i in range(1, len(token))
+                       if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None}
+        self.heads = [self.ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
+        self.remembered = Remembered(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n, longest, get = len(piece), self.longest, ranks.get
-        queue = self.queue
-        push, pop = queue.push, queue.pop
-        end = list(range(1, n + 1))  # a token that starts at i ends at end[i], where the next one starts
-        start = list(range(-1, n))  # start of the token that ends at i
-        pair: list[int] = [-1] * n  # rank of the pair that starts at i
-        for i in range(n - 1):
-            if (r := get(piece[i:i + 2])) is not None:
-                pair[i] = r
-                push(r, i)
+        n, joined, heads = len(piece), self.joined.get, self.heads
+        buckets, low, bit, top = self.buckets, self.low, BITS, 0  # bits of top: the words of low that aren't zero
+        ids = [self.byte_ids[b] for b in piece]  # of the token that starts at i
+        after = list(range(1, n + 1))  # start of the next token
+        before = list(range(-1, n))  # start of the token before
+        pair = [heads[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of the pair that starts at i
+        pair.append(NONE)
+        # A pair next to one that goes first can't be merged before that one has changed it; it is queued then.
+        left, due = NONE, []
+        for i, rank in enumerate(pair[:-1]):
+            if rank < left and rank <= pair[i + 1]:
+                due.append(i)
+            left = rank
         while True:
-            rank, i = pop()
-            if rank < 0:
+            for i in due:
+                rank = pair[i]
+                held = buckets.get(rank)
+                if held is None:  # the usual case: one place for the rank
+                    buckets[rank] = i
+                    word = rank >> 8
+                    low[word] |= bit[rank & 255]
+                    top |= bit[word]
+                elif held.__class__ is list:
+                    heappush(held, i)
+                else:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+            due = []
+            if not top:
                 break
+            # find-first-set: the lowest rank in use, then its leftmost place
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            i = buckets[rank]
+            held = None
+            if i.__class__ is list:
+                held, i = i, heappop(i)
+            if not held:
+                del buckets[rank]
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
-            middle = end[i]
-            stop = end[middle]
-            end[i] = stop
-            start[stop] = i
-            pair[middle] = -1
-            r = get(piece[i:end[stop]]) if stop < n and end[stop] - i <= longest else None
-            if r is None:
-                pair[i] = -1
+            middle = after[i]
+            right = pair[middle]
+            stop = after[i] = after[middle]
+            ids[i] = rank
+            pair[middle] = NONE
+            if stop < n:
+                before[stop] = i
+                own = joined(rank << 20 | ids[stop], NONE)
+                last = pair[stop]
+                if last < own and last >= right and last <= pair[after[stop]] if after[stop] < n else False:
+                    due.append(stop)
             else:
-                pair[i] = r
-                push(r, i)
-            if i:
-                before = start[i]
-                r = get(piece[before:stop]) if stop - before <= longest else None
-                if r is None:
-                    pair[before] = -1
-                elif r != pair[before]:
-                    pair[before] = r
-                    push(r, before)
+                own = last = NONE
+            pair[i] = own
+            first = before[i]
+            if first >= 0:
+                was = pair[first]
+                now = pair[first] = joined(ids[first] << 20 | rank, NONE)
+                further = before[first]
+                if further >= 0:
+                    r = pair[further]
+                    if was < r <= now and r < NONE and (r < pair[before[further]] if before[further] >= 0 else True):
+                        due.append(further)
+                else:
+                    r = NONE
+                if now < r and now <= own:
+                    due.append(first)
+            else:
+                now = NONE
+            if own < now and own <= last:
+                due.append(i)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i:end[i]]])
-            i = end[i]
+            out.append(ids[i])
+            i = after[i]
         return out
 
-    def ids_of(self, piece: str) -> bytes:
-        """Ids of a pre-token as 32-bit integers, remembered."""
-        got = self.new.get(piece)
-        if got is None:
-            got = self.old.get(piece)
-            if got is None:
-                got = np.array(self.merge(piece.encode()), np.int32).tobytes()
-            if len(piece) < 64:
-                if len(self.new) >= REMEMBERED:
-                    self.old, self.new = self.new, {}
-                self.new[piece] = got
-        return got
-
     def pattern(self, text: str):
         """The pattern that splits this text as tiktoken's tables would."""
         return self.plain if text.isascii() or not self.newer.search(text) else self.exact
@@ -182,11 +196,11 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         pattern = self.pattern(text)
         if len(text) < CHUNK:
-            return np.frombuffer(b"".join(map(self.ids_of, pattern.findall(text))), np.int32)
+            return np.frombuffer(b"".join(map(self.remembered.__getitem__, pattern.findall(text))), np.int32)
         pieces = (m.group() for m in pattern.finditer(text))
         parts = []
         while chunk := list(islice(pieces, CHUNK)):
-            parts.append(b"".join(map(self.ids_of, chunk)))
+            parts.append(b"".join(map(self.remembered.__getitem__, chunk)))
         return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -28,6 +28,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from haze.llm.common import arrow_map, pick
 
@@ -246,3 +247,14 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...]
 
     kinds = dict(own_rows.dtypes)
     return arrow_map(own_rows, run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "decoded binary"]))
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id",
+               with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text encoded and decoded again; ``with_ids`` adds ``token_ids``."""
+    ids = encode(docs, vocabulary, pattern, text, doc_id).select(
+        "doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+    own = ["token_ids"] if with_ids else []
+    back = decode(ids, vocabulary, pattern, keep=("doc_id", "n_tokens", "ids_sha256", *own))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *own)

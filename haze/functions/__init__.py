@@ -1,9 +1,6 @@
 """Column -> Column expressions. All run inside whole-stage codegen."""
 
-from haze.functions.aqi import (aqi_category, aqi_subindex, display_band, overall_aqi,
-                                subindex_columns)
-from haze.functions.timefeat import (calendar_columns, cyclic, hour_floor, local_time,
-                                     local_midnight_utc)
+from haze.functions.aqi import aqi_category, aqi_subindex, display_band, legend, overall_aqi
+from haze.functions.timefeat import calendar_columns, cyclic, local_time
 
-__all__ = ["aqi_category", "aqi_subindex", "display_band", "overall_aqi", "subindex_columns",
-           "calendar_columns", "cyclic", "hour_floor", "local_time", "local_midnight_utc"]
+__all__ = ["aqi_category", "aqi_subindex", "display_band", "legend", "overall_aqi", "calendar_columns", "cyclic", "local_time"]

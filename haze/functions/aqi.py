@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haze.schemas import (AQI_BREAKPOINTS, AQI_CATEGORIES, AQI_POLLUTANT_ORDER, DISPLAY_BANDS,
@@ -53,20 +53,29 @@ def aqi_subindex(conc: str | Column, pollutant: str, unit_scale: float = 1.0,
     return expr.otherwise(F.lit(None).cast("double"))
 
 
-def subindex_columns(pollutants: list[str] | None = None, prefix: str = "aqi_") -> dict[str, Column]:
-    return {f"{prefix}{p}": aqi_subindex(p, p) for p in (pollutants or AQI_POLLUTANT_ORDER)}
-
-
-def overall_aqi(pollutants: list[str] | None = None, nan_policy: str = "first") -> Column:
+def overall_aqi(pollutants: list[str] | None = None, nan_policy: str = "first", bands: dict | None = None,
+                unit_scale: dict[str, float] | None = None, without: str | None = None) -> Column:
     """Overall index = max of sub-indices.
 
     ``nan_policy="first"`` keeps the source rule: a max scan that starts at
     an out-of-band value stays undefined, so the result is NULL exactly when
     the first present pollutant (in ``pollutants`` order) is out of band.
     ``"skip"`` is a plain max that ignores out-of-band values.
+
+    ``bands`` replaces the band table, ``unit_scale`` multiplies the named
+    pollutants first, and ``without`` treats one of them as absent.
     """
-    order = pollutants or AQI_POLLUTANT_ORDER
-    sub_sql = [subindex_sql(p, p) for p in order]
+    order = [p for p in (pollutants or AQI_POLLUTANT_ORDER) if p != without]
+    scale = unit_scale or {}
+
+    def sub(p: str) -> str:
+        if scale.get(p, 1.0) == 1.0:
+            return subindex_sql(p, p, bands)
+        return subindex_sql(p, p, bands).replace(f"`{p}`", f"(`{p}` * {dsql(scale[p])})")
+
+    if not order:
+        return F.lit(None).cast("double")
+    sub_sql = [sub(p) for p in order]
     top_sql = f"greatest({', '.join(sub_sql)})" if len(sub_sql) > 1 else sub_sql[0]
     if nan_policy == "skip":
         return F.expr(top_sql)
@@ -74,6 +83,13 @@ def overall_aqi(pollutants: list[str] | None = None, nan_policy: str = "first")
     return F.expr(f"CASE WHEN ({first_sql}) IS NULL THEN CAST(NULL AS DOUBLE) ELSE {top_sql} END")
 
 
+def legend(spark: SparkSession) -> DataFrame:
+    """The display bands as a table of six rows: (ordinal, above, up_to, band); the last has no upper end."""
+    names = [*DISPLAY_BANDS, (None, FALLBACK_CATEGORY)]
+    rows = [(i + 1, float(names[i - 1][0]) if i else None, None if up is None else float(up), name) for i, (up, name) in enumerate(names)]
+    return spark.createDataFrame(rows, "ordinal int, above double, up_to double, band string")
+
+
 def aqi_category(aqi: str | Column) -> Column:
     """Category with integer gaps (50.5 -> Hazardous); NULL falls through too."""
     if isinstance(aqi, str):

@@ -14,26 +14,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hour_floor(ts: str | Column) -> Column:
-    """Truncate a TIMESTAMP_NTZ to the hour without touching the session zone."""
-    t = _col(ts)
-    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t),
-                                F.lit(0), F.lit(0).cast("decimal(8,6)"))
-
-
 def local_time(ts: str | Column, tz: str = LOCAL_TZ, source_tz: str = "UTC") -> Column:
     """UTC wall clock -> local wall clock, both TIMESTAMP_NTZ."""
     return F.convert_timezone(F.lit(source_tz), F.lit(tz), _col(ts))
 
 
-def local_midnight_utc(ts: str | Column, tz: str = LOCAL_TZ) -> Column:
-    """Instant (UTC wall clock) of the local midnight that starts ``ts``'s local day."""
-    loc = local_time(ts, tz)
-    midnight = F.make_timestamp_ntz(F.year(loc), F.month(loc), F.dayofmonth(loc), F.lit(0), F.lit(0),
-                                    F.lit(0).cast("decimal(8,6)"))
-    return F.convert_timezone(F.lit(tz), F.lit("UTC"), midnight)
-
-
 def cyclic(x: str | Column, period: int) -> tuple[Column, Column]:
     """sin/cos of 2*pi*x/period, same operation order as the source."""
     v = _col(x)

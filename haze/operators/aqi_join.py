@@ -1,9 +1,9 @@
 """AQI through a band table: unpivot pollutants, then a range join.
 
-The band table has a fixed, small size (26 rows for the default table; a
-user table is size-checked before it is broadcast), so the join is a
-broadcast hash join on ``pollutant`` with the concentration range as the
-residual predicate: no shuffle of the observation side.
+The join is on ``pollutant`` with the concentration range as the residual
+predicate. Its strategy is the planner's: the default table has 26 rows, whose
+size the planner sees, so it is broadcast and the observations aren't shuffled; a
+user's table may be of any size.
 """
 
 from __future__ import annotations
@@ -13,15 +13,11 @@ from pyspark.sql import functions as F
 
 from haze.schemas import AQI_BREAKPOINTS, AQI_POLLUTANT_ORDER, band_slope
 
-MAX_BROADCAST_BANDS = 100_000
-
 
 def band_table(spark: SparkSession, bands: dict | None = None) -> DataFrame:
     table = bands or AQI_BREAKPOINTS
     rows = [(p, i, float(cl), float(ch), int(il), int(ih), band_slope(cl, ch, il, ih))
             for p, bs in table.items() for i, (cl, ch, il, ih) in enumerate(bs)]
-    if len(rows) > MAX_BROADCAST_BANDS:
-        raise ValueError("band table too large to broadcast")
     return spark.createDataFrame(rows, "pollutant string, band int, clow double, chigh double, "
                                        "ilow int, ihigh int, slope double")
 
@@ -38,7 +34,7 @@ def aqi_long_rangejoin(df: DataFrame, bands: dict | None = None, key=("city", "t
     spark = df.sparkSession
     bt = band_table(spark, bands)
     long = pollutants_long(df, key=key)
-    j = long.join(F.broadcast(bt),
+    j = long.join(bt,
                   (long.pollutant == bt.pollutant) & (long.conc >= bt.clow) & (long.conc <= bt.chigh),
                   "left")
     sub = bt.slope * (long.conc - bt.clow) + bt.ilow.cast("double")

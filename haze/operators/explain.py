@@ -30,21 +30,12 @@ def top_features(importance: DataFrame, k: int = TOP_K, col: str = "importance",
 
 
 def leave_one_out(df: DataFrame, pollutants: list[str], row_key: list[str]) -> DataFrame:
-    """Attribution of the banded index itself: AQI(x) - AQI(x without pollutant p)."""
+    """Attribution of the banded index itself: AQI(x) - AQI(x without pollutant p); one projection, no join."""
     from haze.functions.aqi import overall_aqi
 
-    full = overall_aqi(pollutants)
-    parts = []
-    for p in pollutants:
-        without = df.withColumn(p, F.lit(None).cast("double"))
-        parts.append(without.select(*row_key, F.lit(p).alias("feature"),
-                                    overall_aqi(pollutants).alias("_without")))
-    dropped = parts[0]
-    for part in parts[1:]:
-        dropped = dropped.unionByName(part)
-    base = df.select(*row_key, full.alias("_full"))
-    return (dropped.join(base, on=row_key)
-                   .select(*row_key, "feature", (F.col("_full") - F.col("_without")).alias("contribution")))
+    parts = F.array(*[F.struct(F.lit(p).alias("feature"), overall_aqi(pollutants, without=p).alias("rest")) for p in pollutants])
+    rows = df.select(*row_key, overall_aqi(pollutants).alias("_full"), F.explode(parts).alias("_p"))
+    return rows.select(*row_key, F.col("_p.feature").alias("feature"), (F.col("_full") - F.col("_p.rest")).alias("contribution"))
 
 
 def shapley_values(sample: DataFrame, model, features: list[str], background: DataFrame | None = None,
@@ -92,14 +83,14 @@ def local_surrogate(sample: DataFrame, model, features: list[str], n_samples: in
     """Per-row weighted linear fit of the model around each sampled row:
     (row_id, feature, contribution = coefficient * (x - mean)).
 
-    Perturbations are drawn per row with seeded normal noise scaled by the
-    feature's std and scored in one batch; each row's fit is a small
+    Perturbations are normal noise from a hash of row and draw, scaled by the
+    feature's std, and scored in one batch; each row's fit is a small
     weighted least squares in ``applyInPandas`` (n_samples x features).
     """
     import numpy as np
     import pandas as pd
 
-    from haze.operators.learn import _assembled
+    from haze.operators.learn import _assembled, normal_noise
 
     nf = len(features)
     kw = kernel_width or float(np.sqrt(nf) * 0.75)
@@ -110,8 +101,9 @@ def local_surrogate(sample: DataFrame, model, features: list[str], n_samples: in
     s = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s")
     st_row = st.first().asDict()  # one aggregate row (2 x len(features) numbers) inlined as literals
     g = rows.select("*", s).withColumns({k: F.lit(v).cast("double") for k, v in st_row.items()})
+    draw = F.concat_ws("|", F.col(row_id).cast("string"), F.col("s").cast("string"))
     pert = {c: F.when(F.col("s") == 0, F.col(c)).otherwise(
-        F.col(c) + F.col(f"_sd_{c}") * F.randn(seed + j)) for j, c in enumerate(features)}
+        F.col(c) + F.col(f"_sd_{c}") * normal_noise(draw, f"{seed}:{j}")) for j, c in enumerate(features)}
     z2 = sum(F.pow(F.try_divide(pert[c] - F.col(c), F.col(f"_sd_{c}")), 2) for c in features)
     perturbed = g.select(row_id, "s", *[v.alias(c) for c, v in pert.items()],
                          *[F.col(f"_mu_{c}") for c in features], F.coalesce(z2, F.lit(0.0)).alias("_z2"))

@@ -8,6 +8,7 @@ run on executors through Spark ML.
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,21 +16,22 @@ from pyspark.sql import functions as F
 from haze.schemas import RANDOM_STATE
 
 # ---------------------------------------------------------------- G4, G5
-PORTABLE_MULT = 2654435761  # Knuth's multiplicative constant
-PORTABLE_MOD = 4294967296   # 2**32
+HASH_MOD = 4294967296   # 2**32
 
 
-def portable_hash(key: Column, seed: int = RANDOM_STATE) -> Column:
-    """Integer mixing hash in [0, 2**32) of a non-negative BIGINT key.
+def key_text(cols: list[str]) -> Column:
+    """The key columns as one text; timestamps in ISO form, so that other engines can make the same."""
+    return F.concat_ws("|", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "timestamp" else F.col(c).cast("string") for c in cols])
 
-    Plain integer arithmetic, so other engines (SQL) reproduce the same
-    sample; use ``xxhash_bucket`` when portability does not matter.
-    """
-    return F.pmod(key * F.lit(PORTABLE_MULT) + F.lit(seed * 97), F.lit(PORTABLE_MOD))
+
+def text_hash(key: Column, seed: int | str = RANDOM_STATE) -> Column:
+    """Hash in [0, 2**32) of a text: the first 8 hexadecimal digits of the MD5 of seed and text, as in any SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("bigint")
 
 
-def xxhash_bucket(cols: list[str], seed: int = RANDOM_STATE) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(PORTABLE_MOD))
+def row_key(cols: list[str], seed: int = RANDOM_STATE) -> Column:
+    """60-bit id of a row from its key columns, whatever their number of values."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key_text(cols))), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_sample(df: DataFrame, fraction: float, h: Column) -> DataFrame:
@@ -37,7 +39,7 @@ def hash_sample(df: DataFrame, fraction: float, h: Column) -> DataFrame:
 
     Independent of partitioning and task retries (unlike ``sample``).
     """
-    return df.where(h < F.lit(int(fraction * PORTABLE_MOD)))
+    return df.where(h < F.lit(int(fraction * HASH_MOD)))
 
 
 def fixed_sample(df: DataFrame, n: int, h: Column, tiebreak: list[str] | None = None) -> DataFrame:
@@ -45,17 +47,27 @@ def fixed_sample(df: DataFrame, n: int, h: Column, tiebreak: list[str] | None =
     return df.orderBy(h, *[F.col(c) for c in (tiebreak or [])]).limit(n)
 
 
-def hour_key(ts: str = "timestamp", city_num: Column | None = None) -> Column:
-    hours = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
-    return hours * F.lit(8) + (city_num if city_num is not None else F.lit(0))
+# ---------------------------------------------------------------- I10
+def normal_noise(key: Column, seed: int | str) -> Column:
+    """Standard normal noise from a row's key (Box-Muller on two hashes): the same for any partitioning or retry."""
+    u = (text_hash(key, f"{seed}a") + F.lit(1)).cast("double") / F.lit(float(HASH_MOD + 1))
+    v = text_hash(key, f"{seed}b").cast("double") / F.lit(float(HASH_MOD))
+    return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
+
 
+def augment(df: DataFrame, std: float, columns: list[str] | str, seed: int = RANDOM_STATE,
+            key: list[str] | None = None) -> DataFrame:
+    """Add N(0, std) noise to ``columns`` (``"all_numeric"``: every numeric one but the label and the keys), drawn
+    for each column from a hash of the row's key."""
+    from haze.operators.clean import columns_of_type
+    from haze.schemas import TRAIN_EXCLUDE
 
-# ---------------------------------------------------------------- I10
-def augment(df: DataFrame, std: float, columns: list[str], seed: int = RANDOM_STATE) -> DataFrame:
-    """Add N(0, std) noise to ``columns``; each column draws from its own seeded stream."""
     if std <= 0:
         return df
-    return df.withColumns({c: F.col(c) + F.lit(float(std)) * F.randn(seed + i) for i, c in enumerate(columns)})
+    if columns == "all_numeric":
+        columns = [c for c in columns_of_type(df, "numeric") if c not in TRAIN_EXCLUDE]
+    text = key_text(key or ["city", "timestamp"])
+    return df.withColumns({c: F.col(c) + F.lit(float(std)) * normal_noise(text, f"{seed}:{c}") for c in columns})
 
 
 # ---------------------------------------------------------------- E7, E8, E9
@@ -82,7 +94,7 @@ def best_model(metrics: DataFrame, by: str = "rmse", model: str = "model", group
 
 
 def latest_versions(registry: DataFrame, name: str = "name", version: str = "version") -> DataFrame:
-    """Latest version per model name: ``max_by`` over the registry (no sort)."""
+    """Latest version per model name: ``max_by``, combined before the shuffle."""
     cols = [c for c in registry.columns if c != name]
     return registry.groupBy(name).agg(F.max_by(F.struct(*cols), F.col(version)).alias("r")).select(name, "r.*")
 
@@ -111,18 +123,23 @@ REGISTRY_SCHEMA = ("name string, version int, path string, metrics map<string,do
                    "feature_columns array<string>, created_at timestamp_ntz")
 
 
+def next_version(spark: SparkSession, registry_path: str, name: str) -> int:
+    """1 for a name that isn't registered; a registry that can't be read is an error."""
+    from haze.sources import fs
+
+    if not fs.has_rows(spark, registry_path):
+        return 1
+    last = spark.read.parquet(registry_path).where(F.col("name") == name).agg(F.max("version")).first()[0]
+    return (last or 0) + 1
+
+
 def register_model(spark: SparkSession, registry_path: str, name: str, path: str, metrics: dict,
-                   feature_columns: list[str], created_at: dt.datetime | None = None) -> int:
+                   feature_columns: list[str], created_at: dt.datetime | None = None, version: int | None = None) -> int:
     """Append one registry row with the next version for ``name``; returns the version.
 
     Single writer per name is assumed (as with the source's registry).
     """
-    version = 1
-    try:
-        cur = spark.read.parquet(registry_path).where(F.col("name") == name).agg(F.max("version")).first()[0]
-        version = (cur or 0) + 1
-    except Exception:  # registry absent
-        pass
+    version = version or next_version(spark, registry_path, name)
     numeric = {}
     for k, v in (metrics or {}).items():
         try:
@@ -190,12 +207,17 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, features: list[str], est
 
 def score(df: DataFrame, model, features: list[str], keep: list[str] | None = None,
           out: str = "predicted_aqi") -> DataFrame:
-    """Batch scoring on executors: absent features are 0, NULL -> 0, input columns kept."""
-    from haze.operators.clean import prepare_features
-
-    keep = keep if keep is not None else [c for c in df.columns if c not in features]
-    prepared = prepare_features(df, features, keep=keep)
-    res = model.transform(_assembled(prepared, features, label=None))
-    return res.select(*keep, F.col("prediction").alias(out))
+    """Batch scoring on executors: the input columns (or those of ``keep``) with the prediction appended.
 
+    Absent features and NULL count as 0 for the model only; the columns returned are as they came.
+    """
+    from pyspark.ml.feature import VectorAssembler
 
+    keep = list(df.columns) if keep is None else list(keep)
+    have = set(df.columns)
+    inputs = {f"_x{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
+              for i, c in enumerate(features)}
+    vector = VectorAssembler(inputCols=list(inputs), outputCol=model.getFeaturesCol(), handleInvalid="keep")
+    kept = {f"_k{i}": F.col(c) for i, c in enumerate(keep)}  # so that no input column clashes with the model's
+    res = model.transform(vector.transform(df.select(*[v.alias(k) for k, v in {**kept, **inputs}.items()])))
+    return res.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], F.col(model.getPredictionCol()).alias(out))

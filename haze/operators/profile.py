@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haze.session import scratch_path
+from haze.sources import fs
+
 
 def category_counts(df: DataFrame, col: str) -> DataFrame:
     """Value counts, nulls excluded, most frequent first."""
@@ -38,78 +41,93 @@ def _unpivot_stats(wide: DataFrame, cols: list[str], stats: list[str]) -> DataFr
     return wide.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-# ``percentile`` keeps one counter per distinct value and merges them in one task for a
-# global aggregate; it is used only when the distinct count is checked to be below this.
-MAX_PERCENTILE_DISTINCT = 2_000_000
+#: Ranges that the distinct values of a column are cut into for the selection of order statistics.
+RANGES = 256
+
+
+def _number(c: str):
+    """A column as double, NaN as NULL: a missing value is neither counted nor ranked."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
-    """Exact linear-interpolated quantiles without holding the column in one task.
+def quantiles(df: DataFrame, cols: list[str], qs: list[float], ranges: int = RANGES) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of each column, one method at any size.
 
-    Order statistics are selected through ``global_row_index`` (range
-    partitioning + one count per partition), then only the 2 rows around
-    each quantile position reach the driver.
+    Rows are counted by distinct value first (combined before the shuffle, so a value that most rows have is one
+    row); the counts are written once. The distinct values are cut into ranges at approximate quantiles, the ranges'
+    sums tell which of them hold the wanted positions, and only in those are the counts summed up in order.
+    To the driver come ``ranges`` sums and a few values for each column.
     """
-    from haze.operators.series import global_row_index
-
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    idx = global_row_index(vals, ["v"], index_col="i")
-    n = idx.count()
-    if n == 0:
-        return [None for _ in qs]
-    want = {}
-    for q in qs:
-        h = (n - 1) * q
-        lo = int(h)
-        want[q] = (lo, min(lo + 1, n - 1), h - lo)
-    positions = sorted({p for lo, hi, _ in want.values() for p in (lo, hi)})
-    got = {r.i: r.v for r in idx.where(F.col("i").isin(positions)).collect()}
-    return [got[lo] + (got[hi] - got[lo]) * frac for lo, hi, frac in (want[q] for q in qs)]
-
-
-def _percentile_fits(df: DataFrame, cols: list[str], limit: int) -> bool:
-    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
-    return all((row[c] or 0) <= limit for c in cols)
-
-
-def quartile_table(df: DataFrame, cols: list[str], exact: bool = True,
-                   max_distinct: int = MAX_PERCENTILE_DISTINCT) -> dict[str, list[float | None]] | None:
-    """Driver-side quartiles for columns too wide for ``percentile`` (else None)."""
-    if not exact or _percentile_fits(df, cols, max_distinct):
-        return None
-    return {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
-
-
-def _quartiles(x, exact: bool, accuracy: int, fixed: list | None):
-    if fixed is not None:
-        return F.array(*[F.lit(v).cast("double") for v in fixed])
+    spark = df.sparkSession
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _number(c).alias("v")) for i, c in enumerate(cols)])
+    counts = (df.select(F.explode(pairs).alias("p")).select("p.*").where("v IS NOT NULL")
+              .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
+    path = scratch_path(spark, "counts")
+    counts.write.parquet(path)
+    stored = spark.read.schema(counts.schema).parquet(path)
+    cuts = {r.i: sorted(set(r.s)) for r in stored.groupBy("i").agg(
+        F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10_000).alias("s")).collect()}
+    part = F.lit(0)
+    for i, c in cuts.items():
+        below = F.size(F.filter(F.array(*[F.lit(x) for x in c]), lambda x: x < F.col("v")))
+        part = F.when(F.col("i") == i, below).otherwise(part)
+    parted = stored.withColumn("part", part)
+    sums: dict[int, dict[int, int]] = {}
+    for r in parted.groupBy("i", "part").agg(F.sum("n").alias("n")).collect():
+        sums.setdefault(r.i, {})[r.part] = r.n
+    wanted: dict[int, list[tuple[int, int, float]]] = {}  # by column: positions below and above each quantile, and between
+    places: dict[tuple[int, int], list[int]] = {}  # by column and range: positions in the range
+    owner: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, own in sums.items():
+        n = sum(own.values())
+        for q in qs:
+            h = (n - 1) * q
+            low = int(h)
+            wanted.setdefault(i, []).append((low, min(low + 1, n - 1), h - low))
+        for pos in {x for w in wanted[i] for x in w[:2]}:
+            before = 0
+            for k in sorted(own):
+                if pos < before + own[k]:
+                    places.setdefault((i, k), []).append(pos - before)
+                    owner[i, pos] = (k, pos - before)
+                    break
+                before += own[k]
+    found: dict[tuple[int, int, int], float] = {}
+    if places:
+        keys = spark.createDataFrame([(i, k, sorted(v)) for (i, k), v in places.items()], "i int, part int, at array<bigint>")
+        order = Window.partitionBy("i", "part").orderBy("v")
+        upto = parted.join(F.broadcast(keys), ["i", "part"]).withColumn("to", F.sum("n").over(order))
+        hit = upto.select("i", "part", "v", F.explode(F.filter("at", lambda x: (x < F.col("to")) & (x >= F.col("to") - F.col("n")))).alias("at"))
+        found = {(r.i, r.part, r.at): r.v for r in hit.collect()}
+    fs.delete(spark, path)
+    out = {}
+    for i, c in enumerate(cols):
+        at = lambda pos, i=i: found[(i, *owner[i, pos])]
+        out[c] = [at(lo) + (at(hi) - at(lo)) * part for lo, hi, part in wanted[i]] if i in wanted else [None for _ in qs]
+    return out
+
+
+def _quartiles(df: DataFrame, cols: list[str], exact: bool) -> dict[str, list[float | None]]:
+    qs = [0.25, 0.5, 0.75]
     if exact:
-        return F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
+        return quantiles(df, cols, qs)
+    row = df.agg(*[F.percentile_approx(_number(c), qs, 10_000).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    return {c: list(row[f"q{i}"] or [None] * 3) for i, c in enumerate(cols)}
 
 
-def describe(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000,
-             max_distinct: int = MAX_PERCENTILE_DISTINCT) -> DataFrame:
-    """count, mean, std, min, 25%, 50%, 75%, max per column, linear-interpolated
-    quartiles like ``pandas.describe``.
+def describe(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+    """count, mean, std, min, 25%, 50%, 75%, max per column, linear-interpolated quartiles like ``pandas.describe``.
 
-    Exact quartiles use ``percentile`` when every column's (approximate)
-    distinct count is within ``max_distinct``; beyond that they come from
-    ``exact_quantiles`` (distributed order-statistic selection), so the
-    result stays exact at any size. ``exact=False`` uses ``percentile_approx``.
+    NaN counts as missing. ``exact=False`` takes the quartiles from ``percentile_approx``.
     """
-    fixed = quartile_table(df, cols, exact, max_distinct)
+    fixed = _quartiles(df, cols, exact)
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
-        q = _quartiles(x, exact, accuracy, fixed[c] if fixed else None)
-        aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
-                 F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
-                 q.alias(f"q__{c}"), F.max(x).alias(f"max__{c}")]
-    wide = df.agg(*aggs)
-    for c in cols:
-        wide = wide.withColumns({f"p25__{c}": F.col(f"q__{c}")[0], f"p50__{c}": F.col(f"q__{c}")[1],
-                                 f"p75__{c}": F.col(f"q__{c}")[2]})
+        x = _number(c)
+        aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}"),
+                 F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}")]
+    wide = df.agg(*aggs).withColumns({f"p{p}__{c}": F.lit(v).cast("double") for c in cols for p, v in zip((25, 50, 75), fixed[c])})
     return _unpivot_stats(wide, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
@@ -138,7 +156,7 @@ def _bounds(df: DataFrame, cols: list[str]) -> DataFrame:
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value) pairs, nulls dropped; a narrow explode, no shuffle."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    return df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull())
+    return df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def histogram(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
@@ -194,22 +212,10 @@ def kde(df: DataFrame, cols: list[str], grid: int = 50, bins: int = 512) -> Data
                .select("column", F.col("g").alias("point"), "x", "density"))
 
 
-def box_stats(df: DataFrame, cols: list[str], exact: bool = True,
-              max_distinct: int = MAX_PERCENTILE_DISTINCT) -> DataFrame:
-    """Quartiles, 1.5*IQR whiskers (most extreme values inside the fences) and outlier counts.
-
-    Quartiles follow ``describe``: ``percentile`` under a checked distinct
-    bound, distributed exact selection above it.
-    """
-    fixed = quartile_table(df, cols, exact, max_distinct)
-    qs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        qs.append(_quartiles(x, exact, 10000, fixed[c] if fixed else None).alias(f"q__{c}"))
-    quart = df.agg(*qs)
-    fences = quart.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"q__{c}")[0].alias("q1"), F.col(f"q__{c}")[1].alias("median"),
-                 F.col(f"q__{c}")[2].alias("q3")) for c in cols])).alias("f")).select("f.*")
+def box_stats(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+    """Quartiles as in ``describe``, 1.5*IQR whiskers (most extreme values inside the fences) and outlier counts."""
+    fixed = _quartiles(df, cols, exact)
+    fences = df.sparkSession.createDataFrame([(c, *fixed[c]) for c in cols], "column string, q1 double, median double, q3 double")
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - F.lit(1.5) * iqr
     hi_f = F.col("q3") + F.lit(1.5) * iqr
@@ -223,11 +229,5 @@ def box_stats(df: DataFrame, cols: list[str], exact: bool = True,
         F.count(F.lit(1)).alias("n"))
 
 
-def moving_average_report(df: DataFrame, col: str, window: int = 24, key="city", ts="timestamp") -> DataFrame:
-    from haze.operators.series import moving_average
-
-    return df.select(key, ts, col, moving_average(col, window, key, ts).alias(f"{col}_ma{window}"))
-
-
-__all__ = ["category_counts", "value_range", "null_counts", "describe", "correlation_matrix",
-           "histogram", "kde", "box_stats", "moving_average_report", "exact_quantiles"]
+__all__ = ["category_counts", "value_range", "null_counts", "quantiles", "describe", "correlation_matrix",
+           "histogram", "kde", "box_stats"]

@@ -10,8 +10,8 @@ row (quadratic in the group size). Back-fill is a running ``last`` over the
 descending order instead.
 
 Hourly series are short per key (about 8.8k rows per city-year), so the
-key alone partitions well. For a key holding a large share of all rows
-``bucketed_features`` splits the series into fixed-size row buckets with a
+key alone partitions well. For keys with a large share of all rows the caller
+asks for ``bucketed_features``, which splits the series into fixed-size row buckets with a
 halo of the preceding rows, computes the same columns per bucket and drops
 the halo, which is exact for frames reaching back at most ``halo`` rows.
 """
@@ -56,9 +56,20 @@ def _desc_window(key, ts, tiebreak=None):
 
 
 # ---------------------------------------------------------------- F1, F2
-def lag_columns(measures=None, lags=None, key="city", ts="timestamp") -> dict[str, Column]:
-    o = over(key, ts)
-    return {f"{m}_lag_{k}h": F.expr(f"lag(`{m}`, {k}) {o}") for m in (measures or LAG_MEASURES) for k in (lags or LAGS)}
+def lag_columns(measures=None, lags=None, key="city", ts="timestamp", by: str = "rows") -> dict[str, Column]:
+    """Values ``k`` rows earlier; with ``by="time"`` those of exactly ``k`` hours earlier, NULL in a gap."""
+    measures, lags = measures or LAG_MEASURES, lags or LAGS
+    if by == "rows":
+        o = over(key, ts)
+        return {f"{m}_lag_{k}h": F.expr(f"lag(`{m}`, {k}) {o}") for m in measures for k in lags}
+    part = ", ".join(f"`{k}`" for k in _keys(key))
+    frame = lambda k: (f"OVER (PARTITION BY {part} ORDER BY {_seconds(ts)} "
+                       f"RANGE BETWEEN {k * 3600} PRECEDING AND {k * 3600} PRECEDING)")
+    return {f"{m}_lag_{k}h": F.expr(f"last(`{m}`) {frame(k)}") for m in measures for k in lags}
+
+
+def _seconds(ts: str) -> str:
+    return f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)"
 
 
 def diff_columns(pairs: dict[str, str] | None = None, key="city", ts="timestamp") -> dict[str, Column]:
@@ -79,8 +90,7 @@ def rolling_columns(measures=None, window: int = ROLL_WINDOW, key="city", ts="ti
         o = over(key, ts, _rows(-window, -1))
     else:
         part = ", ".join(f"`{k}`" for k in keys)
-        secs = f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)"
-        o = f"OVER (PARTITION BY {part} ORDER BY {secs} RANGE BETWEEN {window * 3600} PRECEDING AND 1 PRECEDING)"
+        o = f"OVER (PARTITION BY {part} ORDER BY {_seconds(ts)} RANGE BETWEEN {window * 3600} PRECEDING AND 1 PRECEDING)"
     out = {}
     for m in measures or ROLLING_MEASURES:
         out[f"{m}_rolling_mean_{window}h"] = F.expr(f"avg(`{m}`) {o}")
@@ -128,7 +138,7 @@ def derived_columns(key="city", ts="timestamp", by: str = "rows") -> dict[str, C
     cols.update(rolling_columns(key=key, ts=ts, by=by))
     cols.update(diff_columns(key=key, ts=ts))
     cols.update(interaction_columns())
-    cols.update(lag_columns(key=key, ts=ts))
+    cols.update(lag_columns(key=key, ts=ts, by=by))
     return cols
 
 
@@ -149,26 +159,6 @@ def full_features(scored: DataFrame, key="city", ts="timestamp", fill: str = "al
     return out
 
 
-MAX_KEY_ROWS = 2_000_000  # rows one task may sort for a single key in the window path
-
-
-def series_features(scored: DataFrame, key="city", ts="timestamp", fill: str = "all",
-                    max_key_rows: int = MAX_KEY_ROWS, bucket_rows: int = 65536) -> DataFrame:
-    """Feature set with a checked plan choice.
-
-    One aggregate measures the largest key. Within ``max_key_rows`` the
-    one-exchange window plan (``full_features``) is used; beyond it the exact
-    halo-bucket plan (``bucketed_features`` with cross-bucket fill), so a key
-    holding a large share of all rows is split instead of sorted in one task.
-    Both plans give the same rows.
-    """
-    keys = _keys(key)
-    biggest = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest <= max_key_rows:
-        return full_features(scored, key=key, ts=ts, fill=fill)
-    return bucketed_features(scored, bucket_rows=bucket_rows, key=key, ts=ts, fill=fill)
-
-
 # ---------------------------------------------------------------- halo buckets
 def row_positions(df: DataFrame, key="city", ts="timestamp", granularity: str = "day") -> DataFrame:
     """Exact per-key row position (0-based, ordered by ts) without sorting a whole key in one task.
@@ -205,6 +195,8 @@ def bucketed_features(scored: DataFrame, bucket_rows: int = 4096, halo: int = RO
     ``fill="all"`` / ``"derived"`` back/forward-fills across bucket borders
     with ``bucketed_fill`` (exact, also skew-proof).
     """
+    if bucket_rows < halo:
+        raise ValueError(f"buckets of {bucket_rows} rows are shorter than the halo of {halo}: frames would reach past one bucket")
     keys = _keys(key)
     pos = row_positions(scored, key, ts)
     bucket = F.floor(F.col("_pos") / bucket_rows)
@@ -282,7 +274,7 @@ def tail_rows(df: DataFrame, n: int, key="city", ts="timestamp", before=None,
 
 # ---------------------------------------------------------------- F6, F7
 def last_row(df: DataFrame, key="city", ts="timestamp") -> DataFrame:
-    """Latest row per key: one aggregate ``max_by(struct(*), ts)``, no sort."""
+    """Latest row per key: one ``max_by`` over the whole row, combined before the shuffle."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
     return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("_r"))

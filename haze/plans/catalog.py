@@ -60,4 +60,4 @@ def R(expr: str, alias: str | None = None) -> str:
 
 def register_all() -> None:
     """Import the query modules so that their decorators run."""
-    from haze.plans import q_core, q_learn, q_profile, q_series, q_store  # noqa: F401
+    from haze.plans import q_core, q_learn, q_profile, q_series, q_store, q_users  # noqa: F401

@@ -14,57 +14,98 @@ from pyspark.sql import functions as F
 
 from haze.operators import clean, explain, forecast, learn, profile, series
 from haze.schemas import AIR_MEASURES, WEATHER_MEASURES
-from haze.sources import files, payload
+from haze.session import scratch_path
+from haze.sources import files, fs, payload
 from haze.sources.store import FeatureTable
+from haze.streaming.jobs import feature_increment
 
 
 # ------------------------------------------------------------------ P1 hourly ingest
-def hourly_ingest(spark: SparkSession, air_landing: str, weather_landing: str, raw_sink: str,
-                  table: FeatureTable, as_of: dt.datetime, history: DataFrame | None = None,
-                  history_rows: int = 24, whole_file: bool = True) -> dict:
-    """Landed payloads -> today's rows -> join -> dedup -> raw sink -> AQI -> features -> keyed append.
+def landed_today(spark: SparkSession, air_landing: str, weather_landing: str, as_of: dt.datetime,
+                 whole_file: bool = True, source_tz: str = "UTC") -> DataFrame:
+    """Landed payloads of both sides -> today's hours up to ``as_of``, joined, one row per key.
+
+    Keep-first per key on each side before the join: the same rows as
+    join-then-dedup (the first pair is the first air copy with the first
+    weather copy), but a duplicated key can't fan out n x m, and the dedup is a
+    map-side-combined aggregate.
+    """
+    def side(path, measures):
+        rows = payload.read_payloads(spark, path, measures, whole_file, True, source_tz)
+        return clean.dedup_first(clean.today_window(rows, as_of), ["city", "timestamp"]).drop("ingest_seq")
+
+    raw = clean.join_air_weather(side(air_landing, AIR_MEASURES),
+                                 side(weather_landing, WEATHER_MEASURES).drop("latitude", "longitude"))
+    return clean.drop_missing(raw, ["pm2_5", "pm10"])
+
+
+def stored_history(raw: FeatureTable, before: dt.datetime, cities: DataFrame, n: int, days: int = 3) -> DataFrame:
+    """Scored raw rows before ``before`` that hold the last ``n`` of every city of ``cities`` (column ``city``).
 
-    ``history`` (scored RAW rows from earlier runs) gives the row-frame
-    features their 24 preceding rows; without it the result equals the
-    source's today-only computation.
+    Reads the last ``days`` dates, a bound on the table's partitions, and twice as many again
+    until each city has ``n`` rows there or the table has no older date.
     """
-    air = clean.today_window(payload.read_payloads(spark, air_landing, AIR_MEASURES, whole_file, True), as_of)
-    weather = clean.today_window(payload.read_payloads(spark, weather_landing, WEATHER_MEASURES, whole_file, True),
-                                 as_of)
-    # keep-first per key on each side before joining: same rows as join-then-dedup (the first
-    # pair is the first air copy with the first weather copy), but a duplicated key can no
-    # longer fan out n x m, and the dedup is a map-side-combined aggregate
-    air = clean.dedup_first(air, ["city", "timestamp"]).drop("ingest_seq")
-    weather = clean.dedup_first(weather, ["city", "timestamp"]).drop("ingest_seq", "latitude", "longitude")
-    raw = clean.join_air_weather(air, weather)
-    raw = clean.drop_missing(raw, ["pm2_5", "pm10"])
-    files.write_raw(raw, raw_sink)
-    # explicit schema: a run that lands no rows leaves no files to infer one from
-    stored_schema = raw.withColumn("event_date", F.to_date("timestamp")).schema
-    landed = spark.read.schema(stored_schema).parquet(raw_sink).drop("event_date")
-    scored = clean.drop_missing(clean.with_aqi(landed), ["AQI"])
-    if history is not None:
-        from haze.streaming.jobs import feature_increment
-
-        written = feature_increment(scored, history, table, history_rows)
-    else:
-        written = table.append(series.full_features(scored, fill="all"))
-    return {"dates": clean.date_span(raw).collect(), "written": written}
+    oldest = raw.first_date()
+    while True:
+        start = before - dt.timedelta(days=days)
+        rows = clean.drop_missing(clean.with_aqi(raw.read(start, before - dt.timedelta(microseconds=1))), ["AQI"])
+        if oldest is None or start.date() <= oldest:
+            return rows
+        counts = rows.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+        short = cities.select("city").distinct().join(counts, "city", "left").where(F.coalesce("n", F.lit(0)) < n)
+        if not short.take(1):
+            return rows
+        days *= 2
 
 
-def backfill_features(spark: SparkSession, raw: DataFrame, table: FeatureTable,
-                      max_key_rows: int = series.MAX_KEY_ROWS) -> int:
-    """Historical backfill: RAW history -> AQI -> features (plan chosen by the largest
-    city's size) -> keyed append. Returns the number of rows written."""
+def hourly_ingest(spark: SparkSession, air_landing: str, weather_landing: str, raw_sink: str,
+                  table: FeatureTable, as_of: dt.datetime, history: DataFrame | None = None,
+                  history_rows: int = 24, whole_file: bool = True, source_tz: str = "UTC") -> dict:
+    """Landed payloads -> today's rows -> keyed raw sink -> AQI -> features -> keyed append.
+
+    The raw sink keeps each key once, however often an hour is landed. The
+    features of a run are computed on the stored rows from the run's first
+    hour on, preceded by the last ``history_rows`` valid rows of each city
+    before it (from the raw sink, or ``history`` where a caller has scored rows
+    of its own), so they equal a full recomputation over all stored rows
+    without fill, and a run reads a few dates, not the history.
+    """
+    raw = files.raw_table(spark, raw_sink)
+    staged_path = scratch_path(spark, "ingest")
+    landed = landed_today(spark, air_landing, weather_landing, as_of, whole_file, source_tz)
+    landed.write.parquet(staged_path)
+    batch = spark.read.schema(landed.schema).parquet(staged_path)
+    first, last, rows, cities = batch.agg(F.min("timestamp"), F.max("timestamp"), F.count(F.lit(1)),
+                                          F.approx_count_distinct("city")).first()
+    summary = {"first": first, "last": last, "rows": rows, "cities": cities, "raw_written": 0, "written": 0}
+    if first is not None:
+        summary["raw_written"] = raw.append(batch)
+        scored = clean.drop_missing(clean.with_aqi(raw.read(first)), ["AQI"])
+        before = history if history is not None else stored_history(raw, first, batch, history_rows)
+        summary["written"] = feature_increment(scored, before, table, history_rows)
+    fs.delete(spark, staged_path)
+    return summary
+
+
+def backfill_features(spark: SparkSession, raw: DataFrame, table: FeatureTable, split_rows: int | None = None) -> int:
+    """Historical backfill: RAW history -> AQI -> features -> keyed append. Returns the number of rows written.
+
+    ``split_rows`` cuts every city's series into buckets of so many rows, for cities with a large
+    share of all rows; the rows are the same either way."""
     scored = clean.drop_missing(clean.with_aqi(clean.drop_missing(raw, ["pm2_5", "pm10"])), ["AQI"])
-    return table.append(series.series_features(scored, fill="all", max_key_rows=max_key_rows))
+    feats = (series.full_features(scored, fill="all") if split_rows is None
+             else series.bucketed_features(scored, bucket_rows=split_rows, fill="all"))
+    return table.append(feats)
 
 
 # ------------------------------------------------------------------ P2 training
 def training_run(spark: SparkSession, table: FeatureTable, model_dir: str, registry_path: str,
                  sample_frac: float | None = None, augment_std: float = 0.0, seed: int = 42,
-                 features: list[str] | None = None) -> DataFrame:
-    """Scan -> sample -> augment -> temporal split -> fit three models -> metrics -> register all + best."""
+                 features: list[str] | None = None, metrics_path: str | None = None) -> DataFrame:
+    """Scan -> sample -> augment -> temporal split -> fit three models -> metrics -> register all + best.
+
+    Every model is written once, to ``<name>/v<version>``, before its registry row; the metrics of each run are
+    appended to ``metrics_path`` (by default ``metrics`` beside the models)."""
     df = table.training_set()
     if sample_frac and 0 < sample_frac < 1:
         df = learn.hash_sample(df, sample_frac, learn.xxhash_bucket(["timestamp", "city"], seed))
@@ -81,15 +122,18 @@ def training_run(spark: SparkSession, table: FeatureTable, model_dir: str, regis
     rows = []
     for name, est in candidates:
         model, m = learn.fit_and_evaluate(train, test, feats, est, name)
-        path = f"{model_dir.rstrip('/')}/{name}"
-        model.write().overwrite().save(path)
+        version = learn.next_version(spark, registry_path, name)
+        path = f"{model_dir.rstrip('/')}/{name}/v{version}"
+        model.write().save(path)
         r = m.first()
         metrics = {"rmse": r.rmse, "mae": r.mae, "r2": r.r2}
-        learn.register_model(spark, registry_path, name, path, metrics, feats)
-        rows.append((name, path, r.rmse, r.mae, r.r2))
+        learn.register_model(spark, registry_path, name, path, metrics, feats, version=version)
+        rows.append((name, version, path, r.rmse, r.mae, r.r2, r.n))
     train.unpersist()
     test.unpersist()
-    table_df = spark.createDataFrame(rows, "model string, path string, rmse double, mae double, r2 double")
+    table_df = spark.createDataFrame(rows, "model string, version int, path string, rmse double, mae double, r2 double, n bigint")
+    (table_df.withColumn("created_at", F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"))
+     .write.mode("append").parquet(metrics_path or f"{model_dir.rstrip('/')}/metrics"))
     best = learn.best_model(table_df, order=[n for n, _ in candidates]).first()
     learn.register_model(spark, registry_path, f"aqi_best_{best.model.replace('aqi_', '')}", best.path,
                          {"rmse": best.rmse, "mae": best.mae, "r2": best.r2}, feats)
@@ -149,10 +193,11 @@ def profile_report(raw: DataFrame, cols: list[str] | None = None) -> dict[str, D
 
 
 def influence_report(features: DataFrame, model, feature_cols: list[str], out_csv: str | None = None,
-                     method: str = "shapley", n: int = 100, seed: int = 42) -> DataFrame:
-    """Mean |contribution| per feature on a fixed-size hashed sample; optional CSV sink."""
-    with_id = features.withColumn("row_id", F.xxhash64(F.lit(seed), F.col("timestamp"), F.col("city")))
-    sample = learn.fixed_sample(with_id, n, F.col("row_id"), ["row_id"])
+                     method: str = "shapley", n: int | None = 100, seed: int = 42) -> DataFrame:
+    """Mean |contribution| per feature on a fixed-size hashed sample (``n=None``: all rows); optional CSV sink."""
+    sample = features.withColumn("row_id", learn.row_key(["city", "timestamp"], seed))
+    if n is not None:
+        sample = learn.fixed_sample(sample, n, F.col("row_id"), ["city", "timestamp"])
     if method == "shapley":
         contrib = explain.shapley_values(sample, model, feature_cols, seed=seed)
     else:
@@ -163,5 +208,5 @@ def influence_report(features: DataFrame, model, feature_cols: list[str], out_cs
     return imp
 
 
-__all__ = ["hourly_ingest", "training_run", "load_model", "best_registered", "forecast_refresh",
+__all__ = ["hourly_ingest", "landed_today", "stored_history", "training_run", "load_model", "best_registered", "forecast_refresh",
            "profile_report", "influence_report", "backfill_features"]

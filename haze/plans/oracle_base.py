@@ -8,8 +8,27 @@ from __future__ import annotations
 
 import math
 
-from haze.schemas import (AQI_BREAKPOINTS, AQI_CATEGORIES, AQI_POLLUTANT_ORDER, DISPLAY_BANDS,
-                          FALLBACK_CATEGORY, LOCAL_TZ, band_slope)
+#: Fixed values, stated here again so that the check doesn't share them with what it checks:
+#: (low, high, index low, index high) of each band, in the order that the index visits the pollutants.
+BANDS = {
+    "pm2_5": [("0", "12", "0", "50"), ("12.1", "35.4", "51", "100"), ("35.5", "55.4", "101", "150"),
+              ("55.5", "150.4", "151", "200"), ("150.5", "250.4", "201", "300")],
+    "pm10": [("0", "54", "0", "50"), ("55", "154", "51", "100"), ("155", "254", "101", "150"),
+             ("255", "354", "151", "200"), ("355", "424", "201", "300")],
+    "ozone": [("0", "54", "0", "50"), ("55", "70", "51", "100"), ("71", "85", "101", "150"), ("86", "105", "151", "200")],
+    "nitrogen_dioxide": [("0", "53", "0", "50"), ("54", "100", "51", "100"), ("101", "360", "101", "150"), ("361", "649", "151", "200")],
+    "sulphur_dioxide": [("0", "35", "0", "50"), ("36", "75", "51", "100"), ("76", "185", "101", "150"), ("186", "304", "151", "200")],
+    "carbon_monoxide": [("0", "4.4", "0", "50"), ("4.5", "9.4", "51", "100"), ("9.5", "12.4", "101", "150"), ("12.5", "15.4", "151", "200")],
+}
+CATEGORIES = [(0, 50, "Good"), (51, 100, "Moderate"), (101, 150, "Unhealthy for Sensitive Groups"), (151, 200, "Unhealthy"),
+              (201, 300, "Very Unhealthy")]
+SHOWN = [(50, "Good"), (100, "Moderate"), (150, "Unhealthy for Sensitive Groups"), (200, "Unhealthy"), (300, "Very Unhealthy")]
+ELSE = "Hazardous"
+ZONE = "Asia/Karachi"
+
+
+def number(x: str) -> str:
+    return f"CAST('{x}' AS DOUBLE)"
 
 
 def d(x: float) -> str:
@@ -70,32 +89,32 @@ RAW = """raw AS (
 
 def subindex_sql(col: str, pollutant: str) -> str:
     parts = []
-    for clow, chigh, ilow, ihigh in AQI_BREAKPOINTS[pollutant]:
-        slope = band_slope(clow, chigh, ilow, ihigh)
-        parts.append(f"WHEN {col} >= {d(clow)} AND {col} <= {d(chigh)} "
-                     f"THEN {d(slope)} * ({col} - {d(clow)}) + {d(ilow)}")
+    for low, high, first, last in BANDS[pollutant]:
+        slope = f"(({number(last)} - {number(first)}) / ({number(high)} - {number(low)}))"
+        parts.append(f"WHEN {col} >= {number(low)} AND {col} <= {number(high)} "
+                     f"THEN {slope} * ({col} - {number(low)}) + {number(first)}")
     return "(CASE " + " ".join(parts) + " ELSE NULL END)"
 
 
-def overall_sql(prefix: str = "") -> str:
-    subs = [subindex_sql(prefix + p, p) for p in AQI_POLLUTANT_ORDER]
-    first = "CASE " + " ".join(f"WHEN {prefix}{p} IS NOT NULL THEN {s}" for p, s in
-                               zip(AQI_POLLUTANT_ORDER, subs)) + " ELSE NULL END"
+def overall_sql(prefix: str = "", without: str | None = None) -> str:
+    order = [p for p in BANDS if p != without]
+    subs = [subindex_sql(prefix + p, p) for p in order]
+    first = "CASE " + " ".join(f"WHEN {prefix}{p} IS NOT NULL THEN {s}" for p, s in zip(order, subs)) + " ELSE NULL END"
     return f"(CASE WHEN ({first}) IS NULL THEN NULL ELSE greatest({', '.join(subs)}) END)"
 
 
 def category_sql(col: str) -> str:
-    parts = [f"WHEN {col} >= {d(lo)} AND {col} <= {d(hi)} THEN '{name}'" for lo, hi, name in AQI_CATEGORIES]
-    return "(CASE " + " ".join(parts) + f" ELSE '{FALLBACK_CATEGORY}' END)"
+    parts = [f"WHEN {col} >= {d(lo)} AND {col} <= {d(hi)} THEN '{name}'" for lo, hi, name in CATEGORIES]
+    return "(CASE " + " ".join(parts) + f" ELSE '{ELSE}' END)"
 
 
 def band_sql(col: str) -> str:
-    parts = [f"WHEN {col} <= {d(up)} THEN '{name}'" for up, name in DISPLAY_BANDS]
-    return "(CASE " + " ".join(parts) + f" ELSE '{FALLBACK_CATEGORY}' END)"
+    parts = [f"WHEN {col} <= {d(up)} THEN '{name}'" for up, name in SHOWN]
+    return "(CASE " + " ".join(parts) + f" ELSE '{ELSE}' END)"
 
 
 def local_sql(col: str = "timestamp") -> str:
-    return f"(({col} AT TIME ZONE 'UTC') AT TIME ZONE '{LOCAL_TZ}')"
+    return f"(({col} AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}')"
 
 
 SCORED = f"""scored AS (
@@ -175,3 +194,18 @@ ORDER_RAW = f"""raw AS (
                CAST(SUM(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS st, COUNT(*) AS n
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         GROUP BY c_nationkey, o_orderdate))"""
+
+
+USER_RAW = f"""raw AS (
+  SELECT timestamp, 'u' || CAST(user_id AS VARCHAR) AS city,
+         {d(20.0)} + CAST(user_id % 64 AS DOUBLE) * {d(0.25)} AS latitude,
+         {d(60.0)} + CAST(user_id % 128 AS DOUBLE) * {d(0.25)} AS longitude,
+         hi AS pm10, mean AS pm2_5, lo / {d(20.0)} AS carbon_monoxide, mean * {d(0.75)} AS nitrogen_dioxide,
+         hi * {d(0.5)} AS sulphur_dioxide, hi / {d(4.0)} AS ozone, lo / {d(10.0)} AS temperature_2m,
+         hi / {d(5.0)} AS relative_humidity_2m, {d(1000.0)} + mean / {d(10.0)} AS surface_pressure,
+         mean / {d(20.0)} AS wind_speed_10m, n * {d(45.0)} AS wind_direction_10m, n / {d(4.0)} AS precipitation
+  FROM (SELECT user_id, date_trunc('day', ts) AS timestamp,
+               CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS mean,
+               CAST(MAX(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS hi, CAST(MIN(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS lo,
+               CAST(COUNT(*) AS DOUBLE) AS n
+        FROM events GROUP BY 1, 2))"""

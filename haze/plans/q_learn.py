@@ -142,35 +142,42 @@ def q_metrics_table(spark, sf):
 
 
 # ------------------------------------------------------------------ samples, augmentation
-def _key():
-    return learn.hour_key("timestamp", F.substring(F.col("city"), 2, 8).cast("bigint"))
+def _text_hash_sql(seed: str, key: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 8) AS BIGINT)"
 
 
-_KEY_SQL = ("(date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', timestamp) * 8 + "
-            "CAST(substr(city, 2) AS BIGINT))")
-_HASH_SQL = f"(({_KEY_SQL} * 2654435761 + {42 * 97}) % 4294967296)"
+_KEY_COLS = ["city", "timestamp"]
+_KEY_SQL = "(city || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S'))"
+_HASH_SQL = _text_hash_sql("42", _KEY_SQL)
+_ROW_SQL = f"CAST('0x' || substr(md5('42:' || {_KEY_SQL}), 1, 15) AS BIGINT)"
 
 
 @query("hash_sample", with_ctes(*BASE, SCORED) + f"""
 SELECT city, timestamp, {R('AQI')} FROM scored WHERE {_HASH_SQL} < {int(0.3 * 4294967296)}""")
 def q_hash_sample(spark, sf):
     s = common.scored(spark, sf)
-    return rounded(learn.hash_sample(s, 0.3, learn.portable_hash(_key())).select("city", "timestamp", "AQI"))
+    return rounded(learn.hash_sample(s, 0.3, learn.text_hash(learn.key_text(_KEY_COLS))).select("city", "timestamp", "AQI"))
 
 
 @query("fixed_sample", with_ctes(*BASE, SCORED) + f"""
 SELECT city, timestamp, {R('AQI')} FROM scored ORDER BY {_HASH_SQL}, city, timestamp LIMIT 100""")
 def q_fixed_sample(spark, sf):
     s = common.scored(spark, sf)
-    return rounded(learn.fixed_sample(s, 100, learn.portable_hash(_key()), ["city", "timestamp"])
+    return rounded(learn.fixed_sample(s, 100, learn.text_hash(learn.key_text(_KEY_COLS)), ["city", "timestamp"])
                    .select("city", "timestamp", "AQI"))
 
 
-@query("augment")
+def _noise_sql(col: str) -> str:
+    u = f"(CAST({_text_hash_sql(f'42:{col}a', _KEY_SQL)} + 1 AS DOUBLE) / {d(4294967297.0)})"
+    v = f"(CAST({_text_hash_sql(f'42:{col}b', _KEY_SQL)} AS DOUBLE) / {d(4294967296.0)})"
+    return f"(sqrt({d(-2.0)} * ln({u})) * cos({d(2 * 3.141592653589793)} * {v}))"
+
+
+@query("augment", FULL_CTES + "SELECT city, timestamp, " + ", ".join(
+    R(f"{c} + {d(0.5)} * {_noise_sql(c)}", c) for c in MODEL_FEATURES) + f", {R('AQI')} FROM feat")
 def q_augment(spark, sf):
-    f = common.features(spark, sf)
-    feats = [c for c in MODEL_FEATURES]
-    return learn.augment(f, 0.5, feats, seed=42).select("city", "timestamp", *feats, "AQI")
+    f = common.features(spark, sf).select("city", "timestamp", *MODEL_FEATURES, "AQI")
+    return rounded(learn.augment(f, 0.5, "all_numeric", seed=42))
 
 
 # ------------------------------------------------------------------ MLlib
@@ -184,62 +191,117 @@ def _split(spark, sf):
 
 
 def _train(spark, sf, estimator, name):
+    """(model, one row): rows of both folds, and whether the model beats the mean of the training fold."""
     tr, te = _split(spark, sf)
     model, metrics = learn.fit_and_evaluate(tr, te, MODEL_FEATURES, estimator, name)
-    return model, metrics
+    n_train, mean = tr.agg(F.count(F.lit(1)), F.avg("AQI")).first()
+    flat = te.agg(F.sqrt(F.avg(F.pow(F.col("AQI") - F.lit(mean), 2)))).first()[0]
+    return model, metrics.select("model", F.lit(n_train).cast("bigint").alias("n_train"), F.col("n").alias("n_test"),
+                                 (F.col("rmse") < F.lit(flat)).alias("beats_mean"))
+
 
+def _fold_sql(model: str) -> str:
+    return FULL_CTES + f"""
+SELECT '{model}' AS model, n - n // 4 AS n_train, n // 4 AS n_test, true AS beats_mean FROM (SELECT COUNT(*) AS n FROM feat)"""
 
-@query("train_forest")
+
+@query("train_forest", _fold_sql("RandomForest"))
 def q_train_forest(spark, sf):
     return _train(spark, sf, learn.forest_regressor(), "RandomForest")[1]
 
 
-@query("train_gbt_shallow")
+@query("train_gbt_shallow", _fold_sql("BoostedShallow"))
 def q_train_gbt_shallow(spark, sf):
     return _train(spark, sf, learn.gbt_regressor("shallow"), "BoostedShallow")[1]
 
 
-@query("train_gbt_deep")
+@query("train_gbt_deep", _fold_sql("BoostedDeep"))
 def q_train_gbt_deep(spark, sf):
     return _train(spark, sf, learn.gbt_regressor("deep"), "BoostedDeep")[1]
 
 
 def _fitted_forest(spark, sf):
-    model, _ = _train(spark, sf, learn.forest_regressor(), "RandomForest")
-    return model
+    """A forest fitted on the training fold, and the range of its labels, which bounds what a forest predicts."""
+    tr, te = _split(spark, sf)
+    model, _ = learn.fit_and_evaluate(tr, te, MODEL_FEATURES, learn.forest_regressor(), "RandomForest")
+    return model, tr.agg(F.min("AQI"), F.max("AQI")).first()
+
+
+def _in_range(bounds):
+    return F.col("predicted_aqi").between(F.lit(bounds[0] - 1e-9), F.lit(bounds[1] + 1e-9)).alias("in_range")
 
 
-@query("score")
+@query("score", FULL_CTES + "SELECT city, timestamp, " + ", ".join(R(c) for c in MODEL_FEATURES) + ", true AS in_range FROM feat")
 def q_score(spark, sf):
-    model = _fitted_forest(spark, sf)
-    f = common.features(spark, sf)
-    return learn.score(f.select("city", "timestamp", *MODEL_FEATURES), model, MODEL_FEATURES,
-                       keep=["city", "timestamp"])
+    """Predictions appended to the input rows: every input column stays, each prediction is inside the label range."""
+    model, bounds = _fitted_forest(spark, sf)
+    f = common.features(spark, sf).select("city", "timestamp", *MODEL_FEATURES)
+    scored = learn.score(f, model, MODEL_FEATURES)
+    return rounded(scored.select(*f.columns, _in_range(bounds)))
+
+
+def _forecast_sql() -> str:
+    return BASEROW_SQL + "SELECT city, date, n_hours, true AS in_range FROM daily"
 
 
-@query("forecast_72h")
 def q_forecast_72h(spark, sf):
-    model = _fitted_forest(spark, sf)
+    model, bounds = _fitted_forest(spark, sf)
     _, daily = forecast.forecast_72h(common.features(spark, sf), model, AS_OF_FORECAST)
-    return daily
+    return daily.select("city", "date", "n_hours", _in_range(bounds))
+
 
+def _sampled(spark, sf):
+    f = common.features(spark, sf).withColumn("row_id", learn.row_key(_KEY_COLS))
+    return learn.fixed_sample(f, 100, F.col("row_id"), _KEY_COLS)
+
+
+_SAMPLE_CTE = FULL_CTES.rstrip() + f""",
+sample AS (SELECT *, {_ROW_SQL} AS row_id FROM feat ORDER BY {_ROW_SQL}, city, timestamp LIMIT 100)
+"""
 
-@query("shapley")
+
+@query("shapley", _SAMPLE_CTE + f"SELECT row_id, {len(MODEL_FEATURES)} AS n_features, true AS adds_up FROM sample")
 def q_shapley(spark, sf):
-    model = _fitted_forest(spark, sf)
-    f = common.features(spark, sf).withColumn("row_id", _key())
-    sample = learn.fixed_sample(f, 100, learn.portable_hash(F.col("row_id")), ["row_id"])
+    """Per sampled row: the contributions add up to the prediction less that of the reference point."""
+    model, _ = _fitted_forest(spark, sf)
+    sample = _sampled(spark, sf).persist()
     contrib = explain.shapley_values(sample, model, MODEL_FEATURES, n_perm=32)
-    return explain.mean_abs_importance(contrib)
+    means = sample.agg(*[F.avg(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in MODEL_FEATURES])
+    reference = learn.score(means, model, MODEL_FEATURES).first()["predicted_aqi"]
+    sums = contrib.groupBy("row_id").agg(F.sum("contribution").alias("s"), F.count(F.lit(1)).cast("int").alias("n_features"))
+    at = learn.score(sample, model, MODEL_FEATURES, keep=["row_id"])
+    return sums.join(at, "row_id").select("row_id", "n_features",
+                                          (F.abs(F.col("s") - (F.col("predicted_aqi") - F.lit(reference))) < 1e-6).alias("adds_up"))
+
+
+class LinearPredictor:
+    """A known linear function with the interface of a fitted model, for checking explanations."""
+
+    def __init__(self, weights: list[float]):
+        self.weights = weights
+
+    def transform(self, df):
+        from pyspark.ml.functions import vector_to_array
+
+        x = vector_to_array("features")
+        return df.withColumn("prediction", sum((x[i] * F.lit(w) for i, w in enumerate(self.weights)), F.lit(1.0)))
+
 
+_WEIGHTS = [0.5 * (i + 1) for i in range(len(MODEL_FEATURES))]
 
-@query("local_surrogate")
+
+def _surrogate_sql() -> str:
+    parts = [f"SELECT row_id, '{c}' AS feature, floor({d(w)} * ({c} - (SELECT avg({c}) FROM sample)) * {d(256.0)} + {d(0.5)}) AS contribution_256 "
+             f"FROM sample" for c, w in zip(MODEL_FEATURES, _WEIGHTS)]
+    return _SAMPLE_CTE + "\nUNION ALL\n".join(parts)
+
+
+@query("local_surrogate", _surrogate_sql())
 def q_local_surrogate(spark, sf):
-    model = _fitted_forest(spark, sf)
-    f = common.features(spark, sf).withColumn("row_id", _key())
-    sample = learn.fixed_sample(f, 100, learn.portable_hash(F.col("row_id")), ["row_id"])
-    contrib = explain.local_surrogate(sample, model, MODEL_FEATURES, n_samples=200)
-    return explain.mean_abs_importance(contrib)
+    """On a known linear function the surrogate's contributions are weight * (value - mean), here in 256ths."""
+    sample = _sampled(spark, sf).persist()
+    contrib = explain.local_surrogate(sample, LinearPredictor(_WEIGHTS), MODEL_FEATURES, n_samples=200)
+    return contrib.select("row_id", "feature", F.floor(F.col("contribution") * F.lit(256.0) + F.lit(0.5)).cast("double").alias("contribution_256"))
 
 
 # ------------------------------------------------------------------ forecast (index model)
@@ -260,7 +322,8 @@ def _index_hourly(spark, sf):
     return inp.select("city", "timestamp", "step", overall_aqi(AQI_POLLUTANT_ORDER).alias("predicted_aqi"))
 
 
-BASEROW_SQL = FULL_CTES.rstrip() + f""",
+def baserow_sql(ctes: str) -> str:
+    return ctes.rstrip() + f""",
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM feat)
          WHERE rn = 1),
 tr AS (SELECT city, {', '.join(f"(arg_max({c}, timestamp) - arg_min({c}, timestamp)) / CAST(COUNT(*) AS DOUBLE) AS {c}_trend" for c in _DRIFT)}
@@ -283,6 +346,12 @@ daily AS (SELECT * FROM (
 """
 
 
+BASEROW_SQL = baserow_sql(FULL_CTES)
+
+
+query("forecast_72h", _forecast_sql())(q_forecast_72h)
+
+
 @query("forecast_grid", BASEROW_SQL + "SELECT city, step, ts_f AS timestamp, base_timestamp FROM grid")
 def q_forecast_grid(spark, sf):
     return _grid(spark, sf).select("city", "step", "timestamp", "base_timestamp")
@@ -317,15 +386,8 @@ def q_forecast_cards(spark, sf):
 
 # ------------------------------------------------------------------ influence of the index
 def _loo_sql():
-    parts = []
-    for p in AQI_POLLUTANT_ORDER:
-        without = overall_sql().replace("__never__", "")
-        # the same index with pollutant p removed: substitute NULL for its column
-        import re
-
-        without = re.sub(rf"\b{p}\b", "CAST(NULL AS DOUBLE)", without)
-        parts.append(f"SELECT city, timestamp, '{p}' AS feature, {overall_sql()} - {without} AS contribution "
-                     f"FROM scored")
+    parts = [f"SELECT city, timestamp, '{p}' AS feature, {overall_sql()} - {overall_sql(without=p)} AS contribution FROM scored"
+             for p in AQI_POLLUTANT_ORDER]
     return "loo AS (" + " UNION ALL ".join(parts) + ")"
 
 

@@ -116,3 +116,33 @@ SELECT l.col AS "column", {R('q.q1', 'q1')}, {R('q.median', 'median')}, {R('q.q3
 FROM lng l JOIN q ON l.col = q.col GROUP BY l.col, q.q1, q.median, q.q3""")
 def q_box_stats(spark, sf):
     return rounded(profile.box_stats(common.raw(spark, sf), PROFILE_COLS))
+
+
+_SKEWED = "CASE WHEN event_id % 10 <> 0 THEN CAST('1.0' AS DOUBLE) WHEN event_id % 70 = 0 THEN NULL ELSE value END"
+
+
+@query("describe_skewed", f"""
+SELECT 'value' AS "column", COUNT(v) AS count, {R('avg(v)', 'mean')}, {R('stddev_samp(v)', 'std')}, {R('min(v)', 'min')},
+       {R('quantile_cont(v, 0.25)', 'p25')}, {R('quantile_cont(v, 0.5)', 'p50')}, {R('quantile_cont(v, 0.75)', 'p75')}, {R('max(v)', 'max')}
+FROM (SELECT {_SKEWED} AS v FROM events)""")
+def q_describe_skewed(spark, sf):
+    """A column that is one value in nine rows of ten, with NaN among the others: NaN counts as missing."""
+    from haze.sources.driver_tables import table
+
+    v = "CASE WHEN event_id % 10 <> 0 THEN 1.0D WHEN event_id % 70 = 0 THEN double('NaN') ELSE value END AS value"
+    return rounded(profile.describe(table(spark, sf, "events").selectExpr(v), ["value"]))
+
+
+@query("band_legend", with_ctes(*BASE, SCORED) + f"""
+SELECT ordinal, CAST(above AS DOUBLE) AS above, CAST(up_to AS DOUBLE) AS up_to, band, COUNT(AQI) AS rows
+FROM (VALUES (1, NULL, 50, 'Good'), (2, 50, 100, 'Moderate'), (3, 100, 150, 'Unhealthy for Sensitive Groups'),
+             (4, 150, 200, 'Unhealthy'), (5, 200, 300, 'Very Unhealthy'), (6, 300, NULL, 'Hazardous')) AS t(ordinal, above, up_to, band)
+LEFT JOIN scored ON (above IS NULL OR AQI > above) AND (up_to IS NULL OR AQI <= up_to) GROUP BY ALL""")
+def q_band_legend(spark, sf):
+    """The legend with the number of rows in each display band."""
+    from pyspark.sql import functions as F
+
+    from haze.functions.aqi import display_band, legend
+
+    n = common.scored(spark, sf).groupBy(display_band("AQI").alias("band")).agg(F.count(F.lit(1)).alias("rows"))
+    return legend(spark).join(n, "band", "left").select("ordinal", "above", "up_to", "band", F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from haze.plans import common
 from haze.plans.catalog import R, query, rounded
-from haze.plans.oracle_base import AIR, BASE, SCORED, with_ctes
+from haze.plans.oracle_base import AIR, BASE, CAL, DERIVED, SCORED, WEATHER, with_ctes
 from haze.plans.q_series import FULL_CTES, NOFILL_SQL
-from haze.schemas import AIR_MEASURES, BASE_FEATURES, FEATURES_ALL, FEATURES_STORED, RAW_SCHEMA
+from haze.schemas import AIR_MEASURES, BASE_FEATURES, FEATURES_ALL, FEATURES_STORED, RAW_SCHEMA, WEATHER_MEASURES
 from haze.session import scratch_path
 from haze.sources import files, payload
 from haze.sources.store import FeatureTable
@@ -149,16 +149,72 @@ def q_union_sources(spark, sf):
 # ------------------------------------------------------------------ streaming
 @query("stream_ingest", AIR_SQL)
 def q_stream_ingest(spark, sf):
-    from haze.streaming.jobs import landing_stream
+    """Three landings, the last one older than the others and one with copies: every hour is stored once."""
+    from haze.streaming.jobs import landed_table, landing_stream
 
     land, sink, ck = (scratch_path(spark, n) for n in ("stream-landing", "stream-sink", "stream-ckpt"))
-    payload.build_payloads(common.air(spark, sf), AIR_MEASURES).write.text(land)
-    q = landing_stream(spark, land, sink, ck, AIR_MEASURES, whole_file=False)
-    q.awaitTermination()
-    rows = spark.read.parquet(sink)
+    air, ts = common.air(spark, sf), F.col("timestamp")
+    day = lambda x: F.lit(f"2024-01-{x} 00:00:00").cast("timestamp_ntz")
+    for part in ((ts >= day(20)) & (ts < day(25)), ts >= day(24), ts < day(20)):
+        payload.build_payloads(air.where(part), AIR_MEASURES).write.mode("append").text(land)
+        landing_stream(spark, land, sink, ck, AIR_MEASURES, whole_file=False).awaitTermination()
+    rows = landed_table(spark, sink, AIR_MEASURES).read()
     return rounded(rows.select("timestamp", "city", "latitude", "longitude", *AIR_MEASURES))
 
 
+WEATHER_SQL = with_ctes(BASE[0], WEATHER) + "SELECT timestamp, city, " + ", ".join(R(c) for c in WEATHER_MEASURES) + " FROM weather"
+
+
+def _weather_payloads(spark, sf):
+    w = common.weather(spark, sf).withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
+    return payload.build_payloads(w, WEATHER_MEASURES)
+
+
+@query("json_weather_scan", WEATHER_SQL)
+def q_json_weather_scan(spark, sf):
+    land = scratch_path(spark, "landing")
+    _weather_payloads(spark, sf).write.text(land)
+    return rounded(payload.read_payloads(spark, land, WEATHER_MEASURES, whole_file=False).select("timestamp", "city", *WEATHER_MEASURES))
+
+
+_RUNS = (dt.datetime(2024, 1, 15, 18, 30), dt.datetime(2024, 1, 16, 6, 30), dt.datetime(2024, 1, 16, 14, 30), dt.datetime(2024, 1, 16, 18, 10))
+_RUN_FIRST = "2024-01-14 19:00:00"
+
+
+def _runs_sql() -> str:
+    """One full recomputation without fill over all hours that the runs have seen: two local days from their start."""
+    seen = (f"scored AS (SELECT * FROM all_scored WHERE timestamp >= TIMESTAMP '{_RUN_FIRST}' "
+            f"AND timestamp <= TIMESTAMP '2024-01-16 18:00:00')")
+    return with_ctes(*BASE, SCORED.replace("scored AS", "all_scored AS", 1), seen, CAL, DERIVED) + _stored_sql(src="derived")
+
+
+@query("ingest_three_runs", _runs_sql())
+def q_ingest_three_runs(spark, sf):
+    """Both sides land as JSON; the hourly job runs at the end of one day and three times on the next; the feature
+    table equals one full recomputation, and the raw sink holds each key once."""
+    from haze.plans import jobs
+
+    air, weather, raw = (scratch_path(spark, n) for n in ("ingest-air", "ingest-weather", "ingest-raw"))
+    payload.build_payloads(common.air(spark, sf), AIR_MEASURES).write.text(air)
+    _weather_payloads(spark, sf).write.text(weather)
+    t = FeatureTable(spark, scratch_path(spark, "ingest-features"))
+    for as_of in _RUNS:
+        jobs.hourly_ingest(spark, air, weather, raw, t, as_of, whole_file=False)
+    keys = files.raw_table(spark, raw).read().groupBy("timestamp", "city").agg(F.count(F.lit(1)).alias("copies"))
+    return _out(t.read().join(keys.where(F.col("copies") == 1), ["timestamp", "city"]))
+
+
+@query("store_append_dupes", FULL_CTES + _stored_sql())
+def q_store_append_dupes(spark, sf):
+    """A batch that holds every row twice, appended twice: each key is stored once."""
+    t = FeatureTable(spark, scratch_path(spark, "dupes"))
+    f = common.features(spark, sf)
+    both = f.union(f)
+    t.append(both)
+    t.append(both)
+    return _out(t.read())
+
+
 _INC_CUT = "2024-01-20 00:00:00"
 
 
@@ -207,3 +263,14 @@ def q_stream_daily_alerts(spark, sf):
     return rounded(spark.read.schema("city string, day_start_utc timestamp_ntz, mean_aqi double, n_hours bigint, "
                                      "alert boolean").parquet(sink))
 
+
+
+@query("daily_alerts", with_ctes(*BASE, SCORED) + f"""
+SELECT city, {_ALERT_DAY} AS day_start_utc, {R('avg(AQI)', 'mean_aqi')}, COUNT(*) AS n_hours,
+       avg(AQI) > CAST('200.0' AS DOUBLE) AS alert
+FROM scored GROUP BY 1, 2""")
+def q_daily_alerts(spark, sf):
+    """The batch twin of the alert stream: every local day, the last ones included."""
+    from haze.streaming.jobs import daily_alerts
+
+    return rounded(daily_alerts(common.scored(spark, sf)))

@@ -58,7 +58,6 @@ HISTORY_ROWS = 24
 ROLL_WINDOW = 24
 RATIO_EPS = 1e-6
 RANDOM_STATE = 42
-INFLUENCE_SAMPLE = 100
 TOP_K = 10
 
 AIR_MEASURES = ["pm10", "pm2_5", "carbon_monoxide", "nitrogen_dioxide", "sulphur_dioxide", "ozone"]
@@ -106,7 +105,6 @@ MODEL_FEATURES = [
     "sulphur_dioxide", "temperature_2m", "hour_sin", "ozone",
 ]
 TRAIN_EXCLUDE = ["AQI", "aqi", "AQI_Category", "aqi_category", "timestamp", "city", "latitude", "longitude"]
-MODEL_NAMES = ["aqi_lightgbm", "aqi_xgboost", "aqi_random_forest"]
 KEY = ["city", "timestamp"]
 
 # ----------------------------------------------------------------------------
@@ -136,22 +134,6 @@ def payload_schema(measures: list[str]) -> T.StructType:
     ])
 
 
-BREAKPOINT_SCHEMA = T.StructType([
-    T.StructField("pollutant", T.StringType(), False),
-    T.StructField("band", T.IntegerType(), False),
-    T.StructField("clow", T.DoubleType(), False),
-    T.StructField("chigh", T.DoubleType(), False),
-    T.StructField("ilow", T.IntegerType(), False),
-    T.StructField("ihigh", T.IntegerType(), False),
-])
-
-
-def breakpoint_rows() -> list[tuple]:
-    return [(p, i, float(cl), float(ch), int(il), int(ih))
-            for p, bands in AQI_BREAKPOINTS.items()
-            for i, (cl, ch, il, ih) in enumerate(bands)]
-
-
 def band_slope(clow: float, chigh: float, ilow: int, ihigh: int) -> float:
     """Slope in the same operation order as the source: (Ih-Il)/(Ch-Cl)."""
     return (ihigh - ilow) / (chigh - clow)

@@ -141,3 +141,24 @@ def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n").cast("double") * F.lit(7.0)).alias("wind_direction_10m"),
         (F.col("sd") / F.col("n")).alias("precipitation"),
     )
+
+
+def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RAW observations with a city for every user: one row for each user and day with events.
+
+    The number of series grows with the users, and each measure is an exact
+    decimal aggregate of all the user's events of the day.
+    """
+    day = "make_timestamp_ntz(year(ts), month(ts), dayofmonth(ts), 0, 0, CAST(0 AS DECIMAL(8,6)))"
+    agg = (table(spark, sf_dir, "events")
+           .selectExpr("user_id", f"{day} AS timestamp", "CAST(value AS DECIMAL(18,2)) AS v")
+           .groupBy("user_id", "timestamp")
+           .agg(F.expr("CAST(sum(v) AS DOUBLE) / count(1)").alias("mean"), F.expr("CAST(max(v) AS DOUBLE)").alias("hi"),
+                F.expr("CAST(min(v) AS DOUBLE)").alias("lo"), F.expr("CAST(count(1) AS DOUBLE)").alias("n")))
+    return agg.selectExpr(
+        "timestamp", "concat('u', CAST(user_id AS STRING)) AS city",
+        "20.0D + CAST(user_id % 64 AS DOUBLE) * 0.25D AS latitude", "60.0D + CAST(user_id % 128 AS DOUBLE) * 0.25D AS longitude",
+        "hi AS pm10", "mean AS pm2_5", "lo / 20.0D AS carbon_monoxide", "mean * 0.75D AS nitrogen_dioxide",
+        "hi * 0.5D AS sulphur_dioxide", "hi / 4.0D AS ozone", "lo / 10.0D AS temperature_2m", "hi / 5.0D AS relative_humidity_2m",
+        "1000.0D + mean / 10.0D AS surface_pressure", "mean / 20.0D AS wind_speed_10m", "n * 45.0D AS wind_direction_10m",
+        "n / 4.0D AS precipitation")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haze.schemas import RAW_SCHEMA
+from haze.sources import fs
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema=RAW_SCHEMA, path_glob: str | None = None) -> DataFrame:
@@ -21,9 +22,11 @@ def read_raw_csv(spark: SparkSession, path: str, schema=RAW_SCHEMA, path_glob: s
 
 def write_raw(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
               partition_by=("event_date",)) -> None:
-    """Raw / processed sink partitioned by event date, rows sorted by (city, timestamp) per file."""
+    """Raw / processed sink partitioned by event date, dealt out by (date, city), rows sorted by (city, timestamp)
+    per file. ``append`` writes what it is given; ``raw_table`` keeps the key."""
     out = df.withColumn("event_date", F.to_date("timestamp")) if "event_date" in partition_by else df
-    out = out.repartition(*partition_by).sortWithinPartitions(*partition_by, "city", "timestamp")
+    deal = [*partition_by, *(["city"] if "city" in out.columns else [])]
+    out = out.repartition(*deal).sortWithinPartitions(*deal, "timestamp")
     w = out.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
@@ -31,15 +34,31 @@ def write_raw(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appen
         w.parquet(path)
 
 
+def raw_table(spark: SparkSession, path: str):
+    """The raw sink as a keyed table: each (city, timestamp) is stored once, however often it is landed."""
+    from haze.sources.store import FeatureTable
+
+    return FeatureTable(spark, path, name="raw_hourly", columns=[f.name for f in RAW_SCHEMA.fields])
+
+
 def with_source_file(df: DataFrame) -> DataFrame:
     return df.withColumns({"source_file": F.col("_metadata.file_path"),
                            "source_mtime": F.col("_metadata.file_modification_time")})
 
 
-def latest_file_rows(df_with_meta: DataFrame) -> DataFrame:
-    """Keep rows of the most recently modified file (one max aggregate, then a filter)."""
-    latest = df_with_meta.agg(F.max_by("source_file", "source_mtime").alias("f"))
-    return df_with_meta.join(F.broadcast(latest), F.col("source_file") == F.col("f")).drop("f")
+def latest_file(spark: SparkSession, folder: str, patterns: tuple[str, ...] = ("*.csv",)) -> str | None:
+    """Path of the most recently modified file whose name fits one of the patterns (ties: the last name).
+    Lists the folder and reads nothing."""
+    found = {e.path: e for p in patterns for e in fs.listed(spark, folder, p) if not e.is_dir}
+    return max(found.values(), key=lambda e: (e.mtime, e.name)).path if found else None
+
+
+def latest_raw_csv(spark: SparkSession, folder: str, patterns: tuple[str, ...] = ("*.csv",), schema=RAW_SCHEMA) -> DataFrame:
+    """Rows of the most recent raw file only."""
+    path = latest_file(spark, folder, patterns)
+    if path is None:
+        raise FileNotFoundError(f"no file fits {', '.join(patterns)} in {folder}")
+    return read_raw_csv(spark, path, schema)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -60,3 +79,8 @@ def feature_catalog(df: DataFrame, wanted: list[str]) -> DataFrame:
     structs = [F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("feature"), F.lit(fam[c]).alias("family"),
                         F.col(c).alias("non_null")) for i, c in enumerate(present)]
     return counts.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
+def write_feature_list(df: DataFrame, wanted: list[str], path: str) -> None:
+    """The feature catalog as JSON lines, one for each feature."""
+    feature_catalog(df, wanted).write.mode("overwrite").json(path)

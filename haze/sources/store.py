@@ -1,14 +1,18 @@
 """Keyed feature table on Parquet: partitioned by event date, rows sorted by
 (city, timestamp) inside each file.
 
-Date partitions keep files large (all cities of a day in one file; a
-(city, date) layout would leave ~24 rows per file and millions of files at
-many cities); the sort makes Parquet row-group statistics prune city filters.
-
-Key (timestamp, city) is enforced on write by an anti join against the
-stored rows in the batch's time range only: the range reaches the scan as
-partition filters on ``event_date`` plus row-group filters on
-``timestamp``, so an append reads the touched dates, not the table.
+Date partitions keep files large (a (city, date) layout would leave ~24 rows
+per file and millions of files at many cities). A write is dealt out by
+(date, city), in as many tasks as its size asks for (AQE merges small ones),
+so one date with all cities is not one task; the sort makes Parquet
+row-group statistics prune city filters.
+
+Key (timestamp, city) is enforced on write: the batch is deduplicated, then
+anti joined against the stored rows in its time range only, which reaches
+the scan as partition filters on ``event_date`` plus row-group filters on
+``timestamp``, so an append reads the touched dates, not the table. Whether
+there is a table comes from the file system; a table that can't be read is an
+error, never an empty one.
 
 A single writer per table is assumed (no transactional table format is
 available); partitions are only ever appended.
@@ -18,14 +22,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from haze.operators.clean import lower_names, restore_names
+from haze.operators.clean import dedup_first, lower_names, restore_names
 from haze.schemas import FEATURES_STORED
-from haze.session import local_path
+from haze.sources import fs
 
 META_FILE = "_haze_table.json"
 
@@ -42,25 +46,19 @@ class FeatureTable:
         self.columns = columns or FEATURES_STORED
 
     # ------------------------------------------------------------ B4, B8, B9
+    def _meta(self) -> str:
+        return f"{self.path}/{META_FILE}"
+
     def exists(self) -> bool:
-        p = local_path(self.path)
-        if "://" in self.path and not self.path.startswith("file:"):
-            try:
-                self.spark.read.parquet(self.path).schema
-                return True
-            except Exception:
-                return False
-        return os.path.exists(os.path.join(p, "_SUCCESS")) or os.path.exists(os.path.join(p, META_FILE))
+        """Metadata or data files are there, whether they can be read or not."""
+        return fs.exists(self.spark, self._meta()) or fs.has_rows(self.spark, self.path)
 
     def create(self, description: str = "") -> FeatureTable:
         """Record key, event time and description once; idempotent."""
-        p = local_path(self.path)
-        os.makedirs(p, exist_ok=True)
-        meta = os.path.join(p, META_FILE)
-        if not os.path.exists(meta):
-            with open(meta, "w") as fh:
-                json.dump({"name": self.name, "version": 1, "primary_key": self.primary_key,
-                           "event_time": self.event_time, "description": description}, fh)
+        if not fs.exists(self.spark, self._meta()):
+            fs.write_text(self.spark, self._meta(), json.dumps({
+                "name": self.name, "version": 1, "primary_key": self.primary_key,
+                "event_time": self.event_time, "description": description}))
         return self
 
     def check(self) -> DataFrame:
@@ -106,6 +104,11 @@ class FeatureTable:
         df = df.drop("event_date")
         return restore_names(df, self.columns, {"Timestamp": "timestamp", "City": "city"}) if restore else df
 
+    def first_date(self) -> dt.date | None:
+        """The earliest date that has a partition, from the folder's list."""
+        dates = [e.name.partition("=")[2] for e in fs.listed(self.spark, self.path, "event_date=*") if e.is_dir]
+        return min(map(dt.date.fromisoformat, dates), default=None)
+
     def read_local_dates(self, first: dt.date, last: dt.date, tz: str = "Asia/Karachi") -> DataFrame:
         """Backfill range in local dates, rewritten to instants so the filter reaches the scan."""
         from zoneinfo import ZoneInfo
@@ -119,13 +122,13 @@ class FeatureTable:
     def training_set(self, start=None, end=None, target: str = "AQI") -> DataFrame:
         df = self.read(start, end)
         if target not in df.columns:
-            raise ValueError(f"{target} column not found after name restore")
+            raise ValueError(f"the stored table has no column {target}")
         return df
 
     # ------------------------------------------------------------ B5, D2, B6, B7
     def conform(self, df: DataFrame, default_city: str = "Unknown") -> DataFrame:
         if "timestamp" not in df.columns:
-            raise ValueError("DataFrame must contain 'timestamp' column")
+            raise ValueError("rows to store need a timestamp column")
         if "city" not in df.columns:
             df = df.withColumn("city", F.lit(default_city))
         keep = [c for c in self.columns if c in df.columns]
@@ -134,7 +137,7 @@ class FeatureTable:
     def new_rows(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` whose key is not stored yet (null timestamps removed)."""
         b = batch.where(F.col(self.event_time).isNotNull())
-        if not self.exists() or not _has_data(self.spark, self.path):
+        if not fs.has_rows(self.spark, self.path):
             return b
         lo, hi = b.agg(F.min(self.event_time), F.max(self.event_time)).first()
         if lo is None:
@@ -145,36 +148,34 @@ class FeatureTable:
     def append(self, df: DataFrame, default_city: str = "Unknown") -> int:
         """Idempotent keyed append; returns the number of rows written.
 
-        The input is evaluated exactly once (staged to a fresh folder); the
-        batch's time range then comes from the staged files, the anti join
-        reads only that range of the table, and the new rows are staged again
-        before the append because the append must not read what it writes.
+        The input is evaluated once, deduplicated (of rows with one key the
+        least by its other columns stays) and staged to a fresh folder. The
+        anti join then reads the staged rows and the table's files as they
+        are listed now, so the new ones can be written beside them in one
+        go; the write itself counts them.
         """
-        import uuid
-
         self.create()
-        run = uuid.uuid4().hex[:12]
-        tmp_in, tmp_new = f"{self.path}/_staging-{run}-in", f"{self.path}/_staging-{run}-new"
+        staging = f"{self.path}/_staging-{uuid.uuid4().hex[:12]}"
         batch = self.conform(df, default_city).where(F.col(self.event_time).isNotNull())
-        batch.write.mode("overwrite").parquet(tmp_in)
-        staged_in = self.spark.read.parquet(tmp_in)
-        fresh = self.new_rows(staged_in).withColumn("event_date", F.to_date(F.col(self.event_time)))
-        fresh.write.mode("overwrite").parquet(tmp_new)
-        staged = self.spark.read.parquet(tmp_new)
-        n = staged.count()
-        if n:
-            _write_partitioned(staged, self.path, "append")
-        _delete(self.spark, tmp_in)
-        _delete(self.spark, tmp_new)
-        return n
+        try:
+            dedup_first(batch, self.primary_key).write.parquet(staging)
+            staged = self.spark.read.schema(batch.schema).parquet(staging)
+            fresh = self.new_rows(staged)
+            if not fresh.take(1):
+                return 0
+            count = Observation()
+            _write_partitioned(fresh.observe(count, F.count(F.lit(1)).alias("n")), self.path, "append")
+            return count.get["n"]
+        finally:
+            fs.delete(self.spark, staging)
 
     def recreate(self, df: DataFrame, force: bool = False) -> DataFrame:
         """Drop and rewrite the table; requires explicit opt-in."""
         if not force:
             raise PermissionError("recreate needs force=True")
-        self.create()
-        batch = self.conform(df).withColumn("event_date", F.to_date(F.col(self.event_time)))
+        batch = dedup_first(self.conform(df).where(F.col(self.event_time).isNotNull()), self.primary_key)
         _write_partitioned(batch, self.path, "overwrite")
+        self.create()  # after the overwrite, which clears the folder
         return self.read()
 
     def view(self, view_name: str | None = None) -> str:
@@ -193,22 +194,7 @@ def _naive(t) -> dt.datetime:
     return t
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:
-        return False
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a staging folder through the Hadoop file system of the path (works on any FS)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _write_partitioned(df: DataFrame, path: str, mode: str) -> None:
-    """One file per event date (each date is written by one task), sorted by city then time."""
-    (df.repartition("event_date").sortWithinPartitions("event_date", "city", "timestamp")
-       .write.mode(mode).partitionBy("event_date").parquet(path))
+    """Rows dealt out by (event date, city), each file sorted by city then time."""
+    (df.withColumn("event_date", F.to_date("timestamp")).repartition("event_date", "city")
+       .sortWithinPartitions("event_date", "city", "timestamp").write.mode(mode).partitionBy("event_date").parquet(path))

@@ -1,9 +1,10 @@
 """Structured Streaming forms of the hourly jobs.
 
-J1a  landing stream: payload files -> rows -> watermark + dedup -> Parquet sink
+J1a  landing stream: payload files -> rows -> keyed append, late files included
 J1b  feature increment: new raw rows + per-city history -> features -> keyed append
      (a batch function; also usable as a ``foreachBatch`` body)
-J2   daily mean AQI alerts: tumbling local-day windows with a watermark
+J2   daily mean AQI alerts: tumbling local-day windows, as a stream (days that the
+     watermark has closed) and as a batch (every day)
 
 Event time on streams must be TIMESTAMP (watermarks reject TIMESTAMP_NTZ),
 so the UTC wall clock is turned into an instant with exact integer math,
@@ -31,19 +32,29 @@ def instant_to_ntz(c: str | Column) -> Column:
 
 
 def landing_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, measures: list[str],
-                   watermark: str = "48 hours", whole_file: bool = True):
+                   whole_file: bool = True, source_tz: str = "UTC"):
     """Start the J1a query (availableNow trigger); returns the StreamingQuery.
 
+    Each micro batch is a keyed append to the table at ``sink``, so a key is
+    stored once, a batch that is run again adds nothing, and a late file, however
+    old, is stored like any other: there is no watermark to drop it.
     ``whole_file``: one JSON document per file (landed API responses);
     False reads one document per line.
     """
     from haze.sources.payload import parse_payloads
 
     texts = spark.readStream.format("text").option("wholetext", whole_file).load(landing)
-    rows = parse_payloads(texts, measures).withColumn("event_time", ntz_to_instant("timestamp"))
-    dedup = rows.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["city", "timestamp"])
-    return (dedup.drop("event_time").writeStream.format("parquet").option("path", sink)
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    table = landed_table(spark, sink, measures)
+    return (parse_payloads(texts, measures, source_tz=source_tz).writeStream
+            .foreachBatch(lambda rows, _: table.append(rows) and None)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def landed_table(spark: SparkSession, sink: str, measures: list[str]):
+    """The keyed table that ``landing_stream`` writes."""
+    from haze.sources.store import FeatureTable
+
+    return FeatureTable(spark, sink, name="landed", columns=["timestamp", "city", "latitude", "longitude", *measures])
 
 
 def with_history(new_raw: DataFrame, history_raw: DataFrame, n: int = HISTORY_ROWS) -> DataFrame:
@@ -87,3 +98,13 @@ def daily_alerts_stream(scored_stream: DataFrame, threshold: float = HAZARD_THRE
     out = agg.select("city", instant_to_ntz(F.col("w.start")).alias("day_start_utc"), "mean_aqi", "n_hours",
                      (F.col("mean_aqi") > F.lit(float(threshold))).alias("alert"))
     return out.where(F.col("alert")) if only_alerts else out
+
+
+def daily_alerts(scored: DataFrame, threshold: float = HAZARD_THRESHOLD, utc_offset_hours: int = 5,
+                 only_alerts: bool = False) -> DataFrame:
+    """The batch twin of ``daily_alerts_stream``: every local day with any hour, the last ones included."""
+    shift = F.make_dt_interval(hours=F.lit(utc_offset_hours))
+    day = F.to_date(F.col("timestamp") + shift).cast("timestamp_ntz") - shift
+    agg = scored.groupBy("city", day.alias("day_start_utc")).agg(F.avg("AQI").alias("mean_aqi"), F.count(F.lit(1)).alias("n_hours"))
+    out = agg.withColumn("alert", F.col("mean_aqi") > F.lit(float(threshold)))
+    return out.where(F.col("alert")) if only_alerts else out

@@ -1,11 +1,8 @@
-import math
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
-from haze.functions.aqi import aqi_category, aqi_subindex, display_band, overall_aqi
-from haze.schemas import AQI_BREAKPOINTS, AQI_POLLUTANT_ORDER
+from haze.functions.aqi import aqi_category, aqi_subindex, display_band, legend, overall_aqi
+from haze.schemas import AQI_POLLUTANT_ORDER
 
 P = AQI_POLLUTANT_ORDER
 SCHEMA = ", ".join(f"{p} double" for p in P)
@@ -50,43 +47,50 @@ def test_skip_policy(spark):
     assert got[0] == pytest.approx(50.0)
 
 
-def _py_sub(c, p):
-    for cl, ch, il, ih in AQI_BREAKPOINTS[p]:
-        if cl <= c <= ch:
-            return ((ih - il) / (ch - cl)) * (c - cl) + il
-    return float("nan")
-
-
-def _py_overall(row):
-    vals = [_py_sub(row[p], p) for p in P if row.get(p) is not None]
-    if not vals:
-        return None
-    best = vals[0]
-    for v in vals[1:]:
-        if v > best:
-            best = v
-    return None if math.isnan(best) else best
-
-
-def test_parity_random(spark):
-    rnd = random.Random(7)
-    rows = []
-    for _ in range(2000):
-        r = {}
-        for p in P:
-            if rnd.random() < 0.8:
-                r[p] = round(rnd.uniform(-5, 700), rnd.choice([0, 1, 2]))
-        rows.append(r)
-    got = overall(spark, rows)
-    for r, g in zip(rows, got):
-        e = _py_overall(r)
-        assert (e is None and g is None) or (e is not None and g is not None and abs(e - g) < 1e-9), (r, e, g)
-
-
-def test_subindex_exact_operation_order(spark):
-    df = spark.createDataFrame([(35.4,), (12.1,), (23.75,)], "pm2_5 double")
-    got = [r.s for r in df.select(aqi_subindex("pm2_5", "pm2_5").alias("s")).collect()]
-    assert got == [_py_sub(35.4, "pm2_5"), _py_sub(12.1, "pm2_5"), _py_sub(23.75, "pm2_5")]
+#: Worked out by hand: (pollutant, concentration, index). The index rises in a straight line inside each band.
+BY_HAND = [
+    ("pm2_5", 6.0, 25.0), ("pm2_5", 12.1, 51.0), ("pm2_5", 23.75, 75.5), ("pm2_5", 35.4, 100.0), ("pm2_5", 45.45, 125.5),
+    ("pm2_5", 102.95, 175.5), ("pm2_5", 200.45, 250.5), ("pm2_5", 35.45, None), ("pm2_5", 250.5, None), ("pm2_5", -0.1, None),
+    ("pm10", 27.0, 25.0), ("pm10", 104.5, 75.5), ("pm10", 204.5, 125.5), ("pm10", 304.5, 175.5), ("pm10", 389.5, 250.5),
+    ("pm10", 54.5, None), ("pm10", 425.0, None),
+    ("ozone", 27.0, 25.0), ("ozone", 62.5, 75.5), ("ozone", 78.0, 125.5), ("ozone", 95.5, 175.5), ("ozone", 105.1, None),
+    ("nitrogen_dioxide", 26.5, 25.0), ("nitrogen_dioxide", 77.0, 75.5), ("nitrogen_dioxide", 230.5, 125.5),
+    ("nitrogen_dioxide", 505.0, 175.5), ("nitrogen_dioxide", 53.5, None),
+    ("sulphur_dioxide", 17.5, 25.0), ("sulphur_dioxide", 55.5, 75.5), ("sulphur_dioxide", 130.5, 125.5),
+    ("sulphur_dioxide", 245.0, 175.5), ("sulphur_dioxide", 304.5, None),
+    ("carbon_monoxide", 2.2, 25.0), ("carbon_monoxide", 6.95, 75.5), ("carbon_monoxide", 10.95, 125.5),
+    ("carbon_monoxide", 13.95, 175.5), ("carbon_monoxide", 15.5, None),
+]
+
+
+def test_sub_indices_by_hand(spark):
+    for p in P:
+        rows = [(c, want) for q, c, want in BY_HAND if q == p]
+        df = spark.createDataFrame([(c,) for c, _ in rows], "x double").select("x", aqi_subindex("x", p).alias("s"))
+        got = {r.x: r.s for r in df.collect()}
+        for c, want in rows:
+            assert got[c] is None if want is None else got[c] == pytest.approx(want, abs=1e-9), (p, c)
+
+
+def test_overall_index_by_hand(spark):
+    rows = [{"pm2_5": 6.0, "pm10": 104.5, "ozone": 27.0}, {"pm10": 27.0, "carbon_monoxide": 13.95}, {"ozone": 62.5, "pm2_5": 45.45},
+            {"nitrogen_dioxide": 505.0, "sulphur_dioxide": 130.5}, {"pm2_5": 6.0, "carbon_monoxide": 15.5}]
+    assert overall(spark, rows) == [pytest.approx(v) for v in (75.5, 175.5, 125.5, 175.5, 25.0)]
+
+
+def test_bands_scale_and_absence_are_arguments(spark):
+    df = frame(spark, [{"pm2_5": 6.0, "pm10": 104.5, "carbon_monoxide": 2200.0}])
+    got = df.select(overall_aqi(bands={"pm2_5": [(0, 10, 0, 100)]}).alias("own"),
+                    overall_aqi(["carbon_monoxide"], unit_scale={"carbon_monoxide": 0.001}).alias("scaled"),
+                    overall_aqi(without="pm10", pollutants=["pm2_5", "pm10"]).alias("less")).first()
+    assert got.own == pytest.approx(60.0) and got.scaled == pytest.approx(25.0) and got.less == pytest.approx(25.0)
+
+
+def test_legend(spark):
+    rows = legend(spark).orderBy("ordinal").collect()
+    assert [(r.above, r.up_to, r.band) for r in rows] == [
+        (None, 50.0, "Good"), (50.0, 100.0, "Moderate"), (100.0, 150.0, "Unhealthy for Sensitive Groups"),
+        (150.0, 200.0, "Unhealthy"), (200.0, 300.0, "Very Unhealthy"), (300.0, None, "Hazardous")]
 
 
 def test_categories_and_bands(spark):

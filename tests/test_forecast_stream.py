@@ -32,9 +32,10 @@ def test_grid_and_inputs(spark):
 
 
 def test_drift_clamps_to_zero(spark):
-    df = spark.createDataFrame([(1.0, -5.0, 2), (None, 1.0, 1)], "b double, t double, s int")
-    got = [r.v for r in df.select(forecast.drift_value(F.col("b"), F.col("t"), F.col("s")).alias("v")).collect()]
-    assert got == [0.0, 0.0]
+    grid = spark.createDataFrame([("x", dt.datetime(2024, 1, 1), 2, 1.0, -5.0, None, 1.0)],
+                                 "city string, timestamp timestamp_ntz, step int, a double, a_trend double, b double, b_trend double")
+    r = forecast.forecast_inputs(grid, ["a", "b"]).first()
+    assert (r.a, r.b) == (0.0, 0.0)
 
 
 @pytest.mark.parametrize("last_hour", [18, 19])  # 23:00 and 00:00 local
@@ -52,7 +53,7 @@ def test_daily_after_as_of(spark, last_hour):
 
 def test_landing_stream_is_idempotent(spark):
     from haze.sources.payload import build_payloads
-    from haze.streaming.jobs import landing_stream
+    from haze.streaming.jobs import landed_table, landing_stream
 
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), "c", 1.0, 2.0, float(h)) for h in range(30)]
     hourly = spark.createDataFrame(rows, "timestamp timestamp_ntz, city string, latitude double, longitude double, "
@@ -63,6 +64,19 @@ def test_landing_stream_is_idempotent(spark):
     for _ in range(2):
         q = landing_stream(spark, base + "/land/*", base + "/sink", base + "/ck", ["pm10"], whole_file=False)
         q.awaitTermination()
-    out = spark.read.parquet(base + "/sink")
+    out = landed_table(spark, base + "/sink", ["pm10"]).read()
     assert out.count() == 30
     assert out.groupBy("city", "timestamp").count().where("count > 1").count() == 0
+
+
+def test_late_files_are_stored(spark):
+    from haze.sources.payload import build_payloads
+    from haze.streaming.jobs import landed_table, landing_stream
+
+    base = tempfile.mkdtemp(prefix="haze-late-")
+    for day in (20, 21, 5):
+        rows = [(dt.datetime(2024, 1, day, h), "c", 1.0, 2.0, float(h)) for h in range(24)]
+        hourly = spark.createDataFrame(rows, "timestamp timestamp_ntz, city string, latitude double, longitude double, pm10 double")
+        build_payloads(hourly, ["pm10"]).write.mode("append").text(base + "/land")
+        landing_stream(spark, base + "/land", base + "/sink", base + "/ck", ["pm10"], whole_file=False).awaitTermination()
+    assert landed_table(spark, base + "/sink", ["pm10"]).read().count() == 72

@@ -29,7 +29,12 @@ def test_ingest_train_forecast_end_to_end(spark):
     assert out["written"] == 0 and t.read().count() == n0
 
     metrics = jobs.training_run(spark, t, base + "/models", base + "/registry").collect()
-    assert len(metrics) == 3
+    assert len(metrics) == 3 and {r.version for r in metrics} == {1}
+    assert spark.read.parquet(base + "/models/metrics").count() == 3
+    again = jobs.training_run(spark, t, base + "/models", base + "/registry").collect()
+    assert {r.version for r in again} == {2} and spark.read.parquet(base + "/models/metrics").count() == 6
+    for r in [*metrics, *again]:  # both runs' models are there
+        assert r.path.endswith(f"/v{r.version}") and jobs.load_model(r.path) is not None
     mean_rmse = t.read().select(F.stddev_pop("AQI")).first()[0]
     assert min(r.rmse for r in metrics) < mean_rmse  # beats the mean predictor
 
@@ -48,7 +53,7 @@ def test_backfill_features_both_plans(spark):
     a = FeatureTable(spark, base + "/a")
     b = FeatureTable(spark, base + "/b")
     na = jobs.backfill_features(spark, raw, a)
-    nb = jobs.backfill_features(spark, raw, b, max_key_rows=1)  # forces the bucketed plan
+    nb = jobs.backfill_features(spark, raw, b, split_rows=64)
     assert na == nb == common.features(spark, "/root/testdata/sf0.001").count()
     cols = ["city", "timestamp", "pm2_5_lag_24h", "pm2_5_rolling_std_24h", "AQI"]
     assert sorted(a.read().select(cols).collect()) == sorted(b.read().select(cols).collect())

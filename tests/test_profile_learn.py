@@ -83,7 +83,7 @@ def test_numeric_metrics_and_format(spark):
 
 def test_hash_sample_deterministic(spark):
     df = spark.range(0, 5000).withColumn("k", F.col("id"))
-    h = learn.portable_hash(F.col("k"))
+    h = learn.text_hash(F.col("k").cast("string"))
     a = learn.hash_sample(df, 0.2, h).count()
     b = learn.hash_sample(df.repartition(7), 0.2, h).count()
     assert a == b and 800 < a < 1200
@@ -113,15 +113,54 @@ def test_data_age_and_audit(spark):
     assert age.age_hours == 36.0 and age.is_stale
 
 
-def test_exact_quantiles_distributed_path_matches_percentile(spark):
+def test_quantiles_match_numpy_at_any_number_of_ranges(spark):
     rng = np.random.default_rng(5)
-    vals = rng.normal(size=3000).round(3)
-    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(5)
-    small = profile.describe(df, ["x"]).first()
-    forced = profile.describe(df, ["x"], max_distinct=10).first()  # forces the distributed selection
-    for k in ["p25", "p50", "p75"]:
-        assert forced[k] == pytest.approx(small[k], abs=1e-12)
-    assert forced.p50 == pytest.approx(float(np.quantile(vals, 0.5)), abs=1e-12)
-    b1 = profile.box_stats(df, ["x"]).first()
-    b2 = profile.box_stats(df, ["x"], max_distinct=10).first()
-    assert (b1.q1, b1.n_outliers) == (pytest.approx(b2.q1), b2.n_outliers)
+    vals = np.concatenate([rng.normal(size=3000).round(3), np.full(9000, 0.25)])
+    df = spark.createDataFrame([(float(v), 7.0) for v in vals] + [(None, None), (float("nan"), float("nan"))], "x double, y double").repartition(5)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = [pytest.approx(float(v), abs=1e-12) for v in np.quantile(vals, qs)]
+    for ranges in (2, 7, 256):
+        got = profile.quantiles(df, ["x", "y"], qs, ranges)
+        assert got["x"] == want and got["y"] == [7.0] * 7
+    assert profile.quantiles(df.limit(0), ["x"], qs) == {"x": [None] * 7}
+
+
+def test_missing_numbers_are_not_counted(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (float("nan"),)], "x double")
+    r = profile.describe(df, ["x"]).first()
+    assert (r["count"], r["mean"], r["min"], r["p25"], r["p50"], r["p75"], r["max"]) == (3, 2.0, 1.0, 1.5, 2.0, 2.5, 3.0)
+    b = profile.box_stats(df, ["x"]).first()
+    assert (b.q1, b.median, b.q3, b.n, b.n_outliers) == (1.5, 2.0, 2.5, 3, 0)
+
+
+def test_noise_and_row_ids_do_not_depend_on_partitions(spark):
+    rows = [(f"c{i}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 1.0, 2, "t") for i in range(12) for h in range(20)]
+    df = spark.createDataFrame(rows, "city string, timestamp timestamp_ntz, x double, n int, label string")
+    key = ["city", "timestamp"]
+    a, b = (sorted(learn.augment(df.repartition(k), 0.5, "all_numeric").collect()) for k in (3, 5))
+    assert a == b
+    noise = np.array([r.x - 1.0 for r in a]) / 0.5
+    assert abs(noise.mean()) < 0.25 and 0.8 < noise.std() < 1.2 and all(r.label == "t" for r in a)
+    assert df.select(learn.row_key(key).alias("k")).distinct().count() == 240
+
+
+def test_registry_that_cannot_be_read_is_an_error(spark, tmp_path):
+    path = tmp_path / "registry"
+    path.mkdir()
+    (path / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        learn.next_version(spark, str(path), "m")
+    assert learn.next_version(spark, str(tmp_path / "none"), "m") == 1
+
+
+def test_score_keeps_every_input_column(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    train = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i) for i in range(20)], "a double, b double, label double")
+    model = LinearRegression().fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(train))
+    df = spark.createDataFrame([(1.0, None, "x", 9)], "a double, b double, city string, features int")
+    out = learn.score(df, model, ["a", "b", "absent"][:2])
+    assert out.columns == ["a", "b", "city", "features", "predicted_aqi"]
+    r = out.first()
+    assert r.b is None and r.features == 9 and r.predicted_aqi == pytest.approx(2.0, abs=0.2)

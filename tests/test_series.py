@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -143,16 +145,30 @@ def test_bucketed_fill_matches_fill_both(spark):
     pd.testing.assert_frame_equal(pa[["city", "timestamp", "x", "y"]], pb[["city", "timestamp", "x", "y"]])
 
 
-def test_series_features_switches_plan_on_key_size(spark):
-    df = _frame(spark, n=150).withColumnsRenamed({"x": "pm2_5", "y": "pm10"})
+def _scored(spark, n=150):
+    df = _frame(spark, n=n).withColumnsRenamed({"x": "pm2_5", "y": "pm10"})
     for c in ["ozone", "temperature_2m", "relative_humidity_2m", "wind_speed_10m", "surface_pressure", "AQI"]:
         df = df.withColumn(c, F.col("pm10") * 1.5)
-    window = series.series_features(df, fill="all")
-    bucketed = series.series_features(df, fill="all", max_key_rows=50, bucket_rows=32)
-    assert "_bucket" not in bucketed.columns
-    plan = bucketed._jdf.queryExecution().executedPlan().toString()
-    assert "_bucket" in plan  # the bucketed plan was chosen
+    return df
+
+
+def test_bucketed_features_match_the_window_plan(spark):
+    df = _scored(spark)
     cols = ["city", "timestamp", "pm2_5_rolling_mean_24h", "pm10_lag_24h", "pm2_5", "hour_sin"]
-    pa = window.select(cols).toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
-    pb = bucketed.select(cols).toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True)
+    pa, pb = (f.select(cols).toPandas().sort_values(["city", "timestamp"]).reset_index(drop=True) for f in (
+        series.full_features(df, fill="all"), series.bucketed_features(df, bucket_rows=32, fill="all")))
     pd.testing.assert_frame_equal(pa, pb, check_exact=False, rtol=1e-12)
+
+
+def test_buckets_shorter_than_the_halo_are_refused(spark):
+    with pytest.raises(ValueError):
+        series.bucketed_features(_scored(spark, 40), bucket_rows=10)
+
+
+def test_lags_by_time_are_null_in_gaps(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0 + dt.timedelta(hours=h), float(h)) for h in range(40) if h not in (5, 6)]
+    df = spark.createDataFrame(rows, "city string, timestamp timestamp_ntz, x double")
+    lags = series.lag_columns(["x"], [1, 24], by="time")
+    got = {int(r.x): (r.x_lag_1h, r.x_lag_24h) for r in df.select("x", *[c.alias(n) for n, c in lags.items()]).collect()}
+    assert got[4] == (3.0, None) and got[7] == (None, None) and got[29] == (28.0, None) and got[31] == (30.0, 7.0)

@@ -118,8 +118,74 @@ def test_csv_union_latest(spark):
     assert old.select(names).collect() == df.collect()
     u = files.union_sources(old.drop("precipitation"), files.read_raw_csv(spark, d + "/new"))
     assert u.count() == 2 and u.where("precipitation IS NULL").count() == 1
-    both = files.with_source_file(spark.read.schema(RAW_SCHEMA).option("header", True).csv(d + "/*"))
-    assert files.latest_file_rows(both).select("city").distinct().count() == 1
+
+
+def test_latest_file_is_found_by_listing(spark, tmp_path):
+    from haze.schemas import RAW_SCHEMA
+
+    head = ",".join(f.name for f in RAW_SCHEMA.fields)
+    for name, city, mtime in [("realtime_1.csv", "old", 100), ("historical_2.csv", "newest", 300), ("realtime_3.csv", "middle", 200), ("other.txt", "no", 400)]:
+        path = tmp_path / name
+        path.write_text(f"{head}\n2024-01-01T00:00:00,{city}," + ",".join(["1.0"] * 14) + "\n")
+        os.utime(path, (mtime, mtime))
+    rows = files.latest_raw_csv(spark, str(tmp_path), ("realtime_*.csv", "historical_*.csv")).collect()
+    assert [r.city for r in rows] == ["newest"]
+    assert [r.city for r in files.latest_raw_csv(spark, str(tmp_path), ("realtime_*.csv",)).collect()] == ["middle"]
+    with pytest.raises(FileNotFoundError):
+        files.latest_raw_csv(spark, str(tmp_path), ("none_*.csv",))
+
+
+def test_copies_inside_a_batch_are_stored_once(spark):
+    t = _table(spark)
+    f = _features(spark, 10)
+    assert t.append(f.union(f)) == 10 and t.append(f.union(f)) == 0 and t.read().count() == 10
+
+
+def test_a_table_that_cannot_be_read_is_an_error(spark):
+    t = _table(spark)
+    t.append(_features(spark, 10))
+    for folder, _, names in os.walk(t.path):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(os.path.join(folder, name), "w") as f:
+                    f.write("not parquet")
+    with pytest.raises(Exception):
+        t.append(_features(spark, 12))
+
+
+def test_recreate_keeps_the_metadata(spark):
+    t = _table(spark).create("about")
+    t.append(_features(spark, 5))
+    t.recreate(_features(spark, 3), force=True)
+    assert os.path.exists(t.path + "/_haze_table.json") and t.exists() and t.read().count() == 3
+
+
+def test_writes_of_one_date_are_dealt_out_by_city(spark):
+    from haze.sources.store import _write_partitioned
+
+    df = _features(spark, 10, "a").union(_features(spark, 10, "b"))
+    out = tempfile.mkdtemp(prefix="haze-deal-")
+    _write_partitioned(df, out, "overwrite")
+    seen = spark.read.parquet(out)
+    assert seen.count() == 20 and "event_date" in seen.columns
+
+
+def test_time_texts_of_several_forms_and_zones(spark):
+    times = ["2024-01-01T00:00", "2024-01-01 01:00", "2024-01-01T02:00:00", "soon", None]
+    text = json.dumps({"city": "a", "latitude": 1.0, "longitude": 2.0, "hourly": {"time": times, "pm10": [1.0, 2.0, 3.0, 4.0, 5.0]}})
+    texts = spark.createDataFrame([(text,)], "value string")
+    got = {r.pm10: r.timestamp for r in payload.parse_payloads(texts, ["pm10"]).collect()}
+    assert got == {float(h + 1): dt.datetime(2024, 1, 1, h) for h in range(3)}
+    there = {r.pm10: r.timestamp for r in payload.parse_payloads(texts, ["pm10"], source_tz="Asia/Karachi").collect()}
+    assert there[1.0] == dt.datetime(2023, 12, 31, 19)
+    audit = payload.unparsed_times(texts, ["pm10"]).first()
+    assert (audit.city, audit.rows, audit.unparsed_rows) == ("a", 5, 2)
+
+
+def test_feature_list_sink(spark, tmp_path):
+    files.write_feature_list(_features(spark), ["pm2_5", "AQI"], str(tmp_path / "list"))
+    got = spark.read.json(str(tmp_path / "list")).orderBy("ordinal").collect()
+    assert [r.feature for r in got] == ["pm2_5", "AQI"]
 
 
 def test_feature_catalog(spark):

@@ -8,6 +8,7 @@ user's table may be of any size.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,13 @@ from haze.schemas import AQI_BREAKPOINTS, AQI_POLLUTANT_ORDER, band_slope
 
 
 def band_table(spark: SparkSession, bands: dict | None = None) -> DataFrame:
-    table = bands or AQI_BREAKPOINTS
+    """The bands as a local relation, whose size the planner knows."""
     rows = [(p, i, float(cl), float(ch), int(il), int(ih), band_slope(cl, ch, il, ih))
-            for p, bs in table.items() for i, (cl, ch, il, ih) in enumerate(bs)]
-    return spark.createDataFrame(rows, "pollutant string, band int, clow double, chigh double, "
-                                       "ilow int, ihigh int, slope double")
+            for p, bs in (bands or AQI_BREAKPOINTS).items() for i, (cl, ch, il, ih) in enumerate(bs)]
+    kinds = [("pollutant", pa.string()), ("band", pa.int32()), ("clow", pa.float64()), ("chigh", pa.float64()),
+             ("ilow", pa.int32()), ("ihigh", pa.int32()), ("slope", pa.float64())]
+    columns = [*zip(*rows)] or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns)}))
 
 
 def pollutants_long(df: DataFrame, pollutants: list[str] | None = None, key=("city", "timestamp")) -> DataFrame:

@@ -97,6 +97,7 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], ranges: int = RAN
     if places:
         keys = spark.createDataFrame([(i, k, sorted(v)) for (i, k), v in places.items()], "i int, part int, at array<bigint>")
         order = Window.partitionBy("i", "part").orderBy("v")
+        # two positions for each column and quantile at most
         upto = parted.join(F.broadcast(keys), ["i", "part"]).withColumn("to", F.sum("n").over(order))
         hit = upto.select("i", "part", "v", F.explode(F.filter("at", lambda x: (x < F.col("to")) & (x >= F.col("to") - F.col("n")))).alias("at"))
         found = {(r.i, r.part, r.at): r.v for r in hit.collect()}

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", app: str = "haze", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,9 +58,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/haze-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file listing in local mode."""
-    return path[5:] if path.startswith("file:") else path
-
-
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "local_path"]
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path"]

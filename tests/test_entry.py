@@ -8,7 +8,12 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 FAST = ["daily_aqi", "aqi_overall", "air_weather_join", "quality_audit", "full_features", "bucketed_features",
         "describe", "histogram", "regression_metrics", "forecast_inputs", "daily_forecast", "json_hourly_scan",
-        "store_append", "feature_increment", "time_split", "stream_daily_alerts"]
+        "store_append", "feature_increment", "time_split", "stream_daily_alerts", "daily_alerts", "ingest_three_runs",
+        "store_append_dupes", "stream_ingest", "json_weather_scan", "describe_skewed", "box_stats", "kde", "band_legend",
+        "correlation_matrix", "augment", "hash_sample", "fixed_sample", "mean_abs_importance", "top_features", "dedup_first",
+        "new_rows_only", "row_positions", "moving_average", "fill_both", "recent_trend", "last_row", "aqi_long_rangejoin",
+        "user_full_features", "user_store_append", "user_time_split", "user_tail_rows", "user_forecast_inputs",
+        "order_series_features", "latest_model", "metrics_table", "train_forest", "score"]
 
 
 def _canon(df):

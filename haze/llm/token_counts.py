@@ -25,7 +25,7 @@ results; an empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,15 +65,20 @@ class Tree:
         return i - self.size, before
 
 
+def counted(codec: Codec, pieces: list[str]) -> list[int]:
+    """Tokens of each pre-token; ids have four bytes."""
+    return [n >> 2 for n in map(len, map(codec.remembered.__getitem__, pieces))]
+
+
 class Counted:
     """A text with its pre-tokens' lengths and token counts."""
 
-    def __init__(self, text: str, codec: Codec, count: Callable[[str], int]):
-        self.text, self.codec, self.count = text, codec, count
+    def __init__(self, text: str, codec: Codec):
+        self.text, self.codec = text, codec
         self.pattern = codec.pattern(text)
         pieces = self.pattern.findall(text)
         self.encoded = 0  # pre-tokens encoded again by edits
-        self._plant([*map(len, pieces)], [*map(count, pieces)])
+        self._plant([*map(len, pieces)], counted(codec, pieces))
 
     def _plant(self, lengths: list[int], counts: list[int]) -> None:
         cuts = range(0, len(lengths), LEAF) or range(1)
@@ -92,7 +97,7 @@ class Counted:
         stop = min(max(stop, start), len(self.text))
         old_size, text = len(self.text), self.text[:start] + new + self.text[stop:]
         if (pattern := self.codec.pattern(text)) is not self.pattern:  # other tables of letters: all may differ
-            fresh = Counted(text, self.codec, self.count)
+            fresh = Counted(text, self.codec)
             encoded = self.encoded + sum(map(len, fresh.lengths))
             self.__dict__.update(fresh.__dict__, encoded=encoded)
             return
@@ -113,12 +118,10 @@ class Counted:
         first, head = leaf, i
         # match until a match ends with an old one past the edit
         shift = len(text) - old_size
-        old, lengths, counts = at, [], []  # old: where the old pre-tokens have come to
+        old, pieces = at, []  # old: where the old pre-tokens have come to
         position = at
         for m in self.pattern.finditer(text, at):
-            piece = m.group()
-            lengths.append(len(piece))
-            counts.append(self.count(piece))
+            pieces.append(m.group())
             position = m.end()
             while old < position - shift and leaf < len(self.lengths):
                 if i < len(self.lengths[leaf]):
@@ -130,7 +133,8 @@ class Counted:
                 break
         else:
             leaf, i = len(self.lengths) - 1, len(self.lengths[-1])
-        self.encoded += len(lengths)
+        self.encoded += len(pieces)
+        lengths, counts = [*map(len, pieces)], counted(self.codec, pieces)
         rest_l, rest_c = ([], []) if leaf >= len(self.lengths) else (self.lengths[leaf][i:], self.counts[leaf][i:])
         self.text = text
         for k in range(first + 1, min(leaf, len(self.lengths) - 1) + 1):
@@ -145,15 +149,15 @@ class Counted:
         self.tokens.put(leaf, sum(counts))
 
 
-#: Personal data that production texts lose before they are counted: the patterns and what stands in their place.
-MASKS = [(re.compile(r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "<email>"),
-         (re.compile(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"), "<address>"),
-         (re.compile(r"\b[0-9]{13,19}\b"), "<number>")]
+#: Personal data that production texts lose before they are counted: what a text must hold, the pattern, what takes its place.
+MASKS = [(re.compile("@"), re.compile(r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "<email>"),
+         (re.compile(r"[0-9]\."), re.compile(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"), "<address>"),
+         (re.compile("[0-9]{13}"), re.compile(r"\b[0-9]{13,19}\b"), "<number>")]
 
 
 def masks(text: str) -> list[tuple[int, int, str]]:
     """Edits that mask personal data."""
-    return sorted((m.start(), m.end(), new) for pattern, new in MASKS for m in pattern.finditer(text))
+    return sorted((m.start(), m.end(), new) for sign, pattern, new in MASKS if sign.search(text) for m in pattern.finditer(text))
 
 
 def in_order(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -173,11 +177,10 @@ def recount(docs: DataFrame, vocabulary: str, pattern: str, edits: str | None =
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = codec(file.value, pattern)
-        count = lambda piece: len(own.remembered[piece]) >> 2  # noqa: E731  ids of four bytes
         out = []
         given = batch.column(2).to_pylist() if edits else [None] * batch.num_rows
         for t, listed in zip(batch.column(1).to_pylist(), given):
-            doc = Counted(t or "", own, count)
+            doc = Counted(t or "", own)
             n, pieces = doc.total, sum(map(len, doc.lengths))
             todo = masks(t or "") if not edits else [(e["start"], e["stop"], e["text"] or "") for e in listed or [] if e]
             todo = in_order(todo)

@@ -82,7 +82,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
-    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     return found.select("doc_id", *n, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 

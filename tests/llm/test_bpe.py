@@ -58,3 +58,15 @@ def test_defined_cases(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN).collect() == []
     nulls = spark.createDataFrame([(1, None)], "doc_id bigint, token_ids array<int>")
     assert [bytes(r.decoded) for r in bpe.decode(nulls, PATH, P.PATTERN).collect()] == [b""]
+
+
+def test_query_matches_the_library(spark, library):
+    import hashlib
+
+    from haze.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for r in QUERIES["op1_byte_bpe"](spark, "/root/testdata/sf0.01").collect():
+        ids = library.encode_ordinary(docs[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()

@@ -63,3 +63,19 @@ def test_empty_tables_long_texts_and_null_items(spark):
     assert decontaminate.scan(docs.limit(0), none).collect() == []
     out = decontaminate.scan(docs, spark.createDataFrame([(None, "b c d")], ITEMS)).collect()
     assert [(r._n_words, len(r._hits), r._items) for r in out] == [(300_003, 1, []), (3, 1, [])]
+
+
+def test_query_matches_brute_force(spark):
+    import hashlib
+
+    from haze.llm.queries import QUERIES
+
+    read = lambda n: [tuple(r) for r in spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet").collect()]
+    docs, items = {r[0]: r[1] for r in read("documents")}, read("benchmark")
+    out = QUERIES["op3_decontaminate"](spark, "/root/testdata/sf0.01").collect()
+    assert len(out) == len(docs) and any(r.contaminated for r in out)
+    for r in out:
+        n, hit, found = brute.contaminated(docs[r.doc_id], items)
+        listed = ",".join(sorted(map(str, found)))
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(found), hit > 0)
+        assert r.items_sha256 == hashlib.sha256(listed.encode()).hexdigest()

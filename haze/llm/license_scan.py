@@ -11,9 +11,9 @@ Beside that, the phrases of BASE are looked for as they stand; their labels
 are always given.
 
 Votes, spans and verification are by distinct text (two 64-bit hashes), so
-that a group of copies is one. Templates are few and fixed: their table is
-small by itself and the planner sees it. Spans are written, so that the planner knows
-their size when it joins them to the texts.
+that a group of copies is one. The planner knows the size of the templates'
+table and broadcasts it if it is small. Spans are written, so that it knows
+their size too when it joins them to the texts.
 
 Rows: one per input row. A null or empty text has no words, labels or spans;
 equal spans are given once; repeated rows give repeated results; an empty
@@ -79,7 +79,10 @@ def template_positions(spark: SparkSession, templates: list[tuple[str, str]], k:
     for i, (_, text) in enumerate(templates):
         own = runs(plain_words(text.encode()), k)
         rows += [(int(r), i, at, len(own)) for at, r in enumerate(own)]
-    return spark.createDataFrame(rows, "run bigint, template int, at int, runs int")
+    columns = [*zip(*rows)] or [()] * 4
+    kinds = [("run", pa.int64()), ("template", pa.int32()), ("at", pa.int32()), ("runs", pa.int32())]
+    # an Arrow table is a local relation, whose size the planner knows: it is broadcast only if it is small
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns)}))
 
 
 def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = K, near: int = NEAR, votes: float = VOTES,

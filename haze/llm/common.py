@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from haze.session import ensure_checkpoint_dir, scratch_path
 
 #: Texts handed to one piece of Python work at once are cut at about this many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     """``fn`` over every Arrow batch, handed to it in slices of about SLICE_BYTES of data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back, so that idle workers stay small
         for batch in batches:
             n = batch.num_rows
             step = max(1, int(n * SLICE_BYTES / max(1, batch.nbytes)))
@@ -107,7 +108,7 @@ def blank_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before; emptied when full, as the hash is a function of the word."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -21,12 +21,18 @@ two documents link when ``q`` * intersection >= ``p`` * union. The method:
    a large bucket are among them) are joined again by their rarest shingles:
    linked sets share one of the n - ceil(n p / q) + 1 shingles of a set that
    come first when ordered by frequency among these members. Keys of up to
-   SMALL members give all pairs; in larger ones, members are compared with
-   a leader, and members of unlike components with other leaders in further
-   rounds; what then is still in unlike components is compared pair by pair.
-   So no link between components is lost, and a group of thousands of near
-   copies doesn't give the square of its size.
-5. Pairs are checked by their whole sets; links give components.
+   SMALL members give all pairs; larger ones are compared in blocks.
+5. Every set has a sketch, the parities of its shingles by hash in about two
+   bits for each. Where the parities of two sets differ, the sets do, so sets
+   whose sketches differ in more bits than linked sets may differ in
+   shingles aren't linked. That leaves few pairs but linked ones.
+6. Blocks of large keys give, in the first rounds, a spanning forest of what
+   the sketches leave between components as known so far, at most a row for
+   each member; in the last round all that is left between components. A pair
+   that shares several large keys counts in the least of them only. So a group
+   of thousands of near copies doesn't give the square of its size in rows, and
+   no link between components is lost.
+7. Pairs are checked by their whole sets; links give components.
 
 Rows: one per input row. Null or empty texts have no shingles and are linked
 with nothing; a text of fewer than ``n`` words has one shingle, all of them;
@@ -46,15 +52,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.llm.common import WordHashes, arrow_map, blank_words, mix, pick, rolling, written
+from haze.llm.common import WordHashes, arrow_map, blank_words, mix, packed, pick, rolling, unpacked, written
 from haze.llm.components import components
 
 #: Members of a bucket that are compared pair by pair.
 SMALL = 32
 #: Up to this k, pairs of parts are enumerated.
 PAIRS_TO = 4
-#: Rounds with one leader for each large key; what is left after them is compared pair by pair.
-ROUNDS = 4
+#: Members of a block of a large key.
+BLOCK = 1024
+#: Rounds that give forests of the large keys, before the one that gives all that is left.
+ROUNDS = 2
 
 _words = WordHashes()
 
@@ -122,19 +130,29 @@ def signatures(items: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash: a power of two of bits, two for each shingle at least, as 64-bit words."""
+    bits = max(64, 1 << (2 * len(items) - 1).bit_length())
+    odd = np.bincount((mix(items ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, row_key, n_shingles, d) of every row; d is null without shingles."""
+    """(doc_id, row_key, n_shingles, d, sketch) of every row; d is null without shingles."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes, ds = [], []
+        sizes, ds, sketches = [], [], []
         for t in batch.column(2).cast(pa.binary()).to_pylist():
             s = shingles(t or b"", n)
             sizes.append(len(s))
             ds.append(digest(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
-                                          pa.array(ds, pa.int64())], names=["doc_id", "row_key", "n_shingles", "d"])
+            sketches.append(sketch(s) if len(s) else np.empty(0, np.int64))
+        offsets = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sketches, np.empty(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ds, pa.int64()), lists],
+                                         names=["doc_id", "row_key", "n_shingles", "d", "sketch"])
 
-    return arrow_map(docs, run, "doc_id bigint, row_key bigint, n_shingles bigint, d bigint")
+    return arrow_map(docs, run, "doc_id bigint, row_key bigint, n_shingles bigint, d bigint, sketch array<bigint>")
 
 
 def _signatures(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
@@ -176,6 +194,23 @@ def _pairs(members: DataFrame, key: str) -> DataFrame:
     return i.select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(SMALL))).alias("y"))
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs that the sketches don't rule out: sizes and parities differ by no more than linked sets may."""
+    a = sketches.select(F.col("d").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    b = sketches.select(F.col("d").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    both = pairs.join(a, "x").join(b, "y").withColumn("k", F.floor((F.col("nx") + F.col("ny")) * (q - p) / (q + p)))
+    both = both.where(F.abs(F.col("nx") - F.col("ny")) <= F.col("k"))
+    size = F.least(F.size("sx"), F.size("sy"))
+
+    def folded(s: str):  # the parities of a sketch of twice the size, as one of this size
+        return F.when(F.size(s) == size, F.col(s)).otherwise(F.zip_with(
+            F.slice(s, F.lit(1), size), F.slice(s, size + 1, size), lambda u, v: u.bitwiseXOR(v)))
+
+    differ = F.aggregate(F.zip_with(folded("sx"), folded("sy"), lambda u, v: F.bit_count(u.bitwiseXOR(v))),
+                         F.lit(0), lambda n, x: n + x)
+    return both.where(differ <= F.col("k")).select("x", "y")
+
+
 def _check(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (x, y) that are linked, by their whole sets."""
     a = sets.select(F.col("d").alias("x"), F.col("items").alias("sx"))
@@ -185,54 +220,122 @@ def _check(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             .where(F.col("i") * q >= (F.col("n") - F.col("i")) * p).select("x", "y"))
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of finished steps now; they go when the driver collects its garbage."""
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and lets Spark drop the shuffle files of the step now: they go when the driver collects its garbage."""
     import gc
 
+    out = written(df, name)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _rarest(sets: DataFrame, hot: DataFrame, p: int, q: int) -> DataFrame:
-    """(item, d, w): the first shingles by frequency among the hot classes; w is the mean frequency of the class."""
+    """(item, d): the first shingles by frequency among the hot classes."""
     rows = sets.join(hot, "d", "left_semi").select("d", F.explode("items").alias("item"))
     often = rows.groupBy("item").agg(F.count("*").alias("f"))
-    ordered = rows.join(often, "item").groupBy("d").agg(
-        F.sort_array(F.collect_list(F.struct("f", "item"))).alias("l"), F.avg("f").alias("w"))
+    ordered = rows.join(often, "item").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("l"))
     size = F.size("l")
     first = F.slice("l", F.lit(1), (size - F.ceil(size * F.lit(p) / F.lit(q)) + 1).cast("int"))
-    return ordered.select("d", "w", F.explode(first).alias("e")).select(F.col("e.item").alias("item"), "d", "w")
+    return ordered.select("d", F.explode(first).alias("e")).select(F.col("e.item").alias("item"), "d")
 
 
-def _leaders(keys: DataFrame, links: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Further links between the members of large keys, until no key has members of unlike components left to compare."""
-    tried = None
+def _common_least(mine: list, yours: list, item: int) -> bool:
+    """Whether ``item`` is the least key that both lists, which are sorted, have."""
+    i = j = 0
+    while mine[i] != yours[j]:
+        if mine[i] < yours[j]:
+            i += 1
+        else:
+            j += 1
+    return mine[i] == item
+
+
+def _words_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sketches, by row."""
+    lists = column.combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[i:j].view(np.uint64) for i, j in zip(ends[:-1], ends[1:])]
+
+
+def _left_of(p: int, q: int, forest: bool):
+    return lambda rows: _left_pairs(rows, p, q, forest)
+
+
+def _left_pairs(rows: pa.Table, p: int, q: int, forest: bool) -> pa.Table:
+    """One block pair of a key: (x, y) that the sketches leave between components; a spanning forest or all of them."""
+    side = rows.column("side").to_numpy()
+    parts = []
+    for k in (0, 1):
+        own = rows.filter(pa.array(side == k))
+        order = np.argsort(own.column("d").to_numpy())
+        words, keys = _words_of(own.column("sketch")), own.column("mine").to_pylist()
+        parts.append(([own.column(c).to_numpy()[order] for c in ("d", "c", "n")], [words[i] for i in order], [keys[i] for i in order]))
+    (a, wa, ka), (b, wb, kb) = parts
+    if not wb:  # a block with itself
+        b, wb, kb = a, wa, ka
+    item = rows.column("item")[0].as_py()
+    found = []
+    for size in {len(w) for w in wa}:
+        i = np.array([k for k, w in enumerate(wa) if len(w) == size])
+        for other in {len(w) for w in wb}:
+            if max(size, other) > 2 * min(size, other):
+                continue  # sizes too far apart to be linked
+            j = np.array([k for k, w in enumerate(wb) if len(w) == other])
+            u, v = np.stack([wa[k] for k in i]), np.stack([wb[k] for k in j])
+            width = min(size, other)
+            u = u if size == width else u[:, :width] ^ u[:, width:]
+            v = v if other == width else v[:, :width] ^ v[:, width:]
+            differ = np.zeros((len(i), len(j)), np.int32)
+            for w in range(width):
+                differ += np.bitwise_count(u[:, w, None] ^ v[None, :, w])
+            most = (a[2][i][:, None] + b[2][j][None, :]) * (q - p) // (q + p)
+            left = (differ <= most) & (np.abs(a[2][i][:, None] - b[2][j][None, :]) <= most) & (a[1][i][:, None] != b[1][j][None, :])
+            r, c = np.nonzero(left)
+            found.append((i[r], j[c]))
+    r, c = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    here = np.array([_common_least(ka[i], kb[j], item) for i, j in zip(r.tolist(), c.tolist())], bool)
+    r, c = r[here], c[here]
+    x, y = a[0][r], b[0][c]
+    x, y, cx, cy = np.minimum(x, y), np.maximum(x, y), np.where(x < y, a[1][r], b[1][c]), np.where(x < y, b[1][c], a[1][r])
+    if forest and len(x):
+        root: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while root.setdefault(k, k) != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        keep = []
+        for k, (s, t) in enumerate(zip(cx.tolist(), cy.tolist())):
+            s, t = top(s), top(t)
+            if s != t:
+                root[s] = t
+                keep.append(k)
+        x, y = x[keep], y[keep]
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())}).group_by(["x", "y"]).aggregate([])
+
+
+def _large(keys: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The links with those that are left between members of large keys, (item, d, m), of unlike components."""
+    mine = keys.groupBy("d").agg(F.sort_array(F.collect_set("item")).alias("mine"))  # part of a set's first shingles
+    rows = written(keys.join(mine, "d").join(sketches, "d"), "keys")
     for turn in range(ROUNDS + 1):
         roots = written(components(links), "roots")
-        at = written(keys.join(roots, keys["d"] == roots["node"], "left")
-                     .select("item", "d", "w", F.coalesce("root", "d").alias("c")), "keys")
-        # a key whose members are all of one component has nothing left
-        head = (F.struct(-F.col("w"), F.col("d"), F.col("c")) if turn == 0
-                else F.struct(F.xxhash64("d", F.lit(turn)), F.col("d"), F.col("c")))
-        heads = at.groupBy("item").agg(F.min(head).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        heads = heads.where("c0 <> c1").select("item", F.col("h.d").alias("lead"), F.col("h.c").alias("lead_c"))
-        if turn < ROUNDS:
-            new = at.join(heads, "item").where("c <> lead_c").select(F.least("d", "lead").alias("x"), F.greatest("d", "lead").alias("y"))
-        else:
-            left = at.join(heads.select("item"), "item", "left_semi")
-            other = left.select("item", F.col("d").alias("y"), F.col("c").alias("c_y"))
-            new = left.join(other, "item").where("c <> c_y AND d < y").select(F.col("d").alias("x"), "y")
-        new = new.distinct()
-        new = written(new if tried is None else new.join(tried, ["x", "y"], "left_anti"), "tried")
+        at = rows.join(roots, rows["d"] == roots["node"], "left").withColumn("c", F.coalesce("root", "d"))
+        open_keys = at.groupBy("item").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("item")
+        at = at.join(open_keys, "item", "left_semi")
+        # blocks i <= j of a key meet once: each row goes to the pairs of blocks that its own one is in
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        at = at.withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        at = at.select("item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                       (F.col("own") > F.col("other")).cast("int").alias("side"), "d", "c", "n", "sketch", "mine")
+        pairs = at.groupBy("item", "i", "j").applyInArrow(_left_of(p, q, turn < ROUNDS), "x bigint, y bigint")
+        new = _step(pairs.distinct(), "left")
         if not new.take(1):
-            if turn < ROUNDS:
-                if not heads.take(1):
-                    break
-                continue
             break
-        tried = new if tried is None else tried.union(new)
-        links = written(links.union(_check(new, sets, p, q)), "links")
-        _release(links)
+        links = _step(links.union(_check(new, sets, p, q)).distinct(), "links")
     return links
 
 
@@ -240,29 +343,33 @@ def linked_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_i
                    text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, row_key, n_shingles, d) of every row, and (node, root) of the classes d that are linked with others."""
     rows = pick(docs, doc_id=doc_id, text=text).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("row_key"), "text")
     own = written(_sets(rows, n), "sets")
     # every signature is dealt to its task once; the minima and the members are taken from that
     sigs = _signatures(rows, n, p, q).repartition("sig")
     many = sigs.groupBy("sig").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.count("*").alias("m")).where("d0 <> d1")
-    members = written(sigs.join(many.hint("shuffle_hash"), "sig").select("sig", "d", "m"), "members")
-    _release(members)
+    members = _step(sigs.join(many.hint("shuffle_hash"), "sig").select("sig", "d", "m"), "members")
     cand = members.select("d").distinct().join(own.groupBy("d").agg(F.min("row_key").alias("row_key")), "d")
-    texts = rows.select("row_key", "text").join(written(cand, "classes"), "row_key").select("d", "text")
-    sets = written(_items(texts, n).dropDuplicates(["d"]), "items")
-    _release(sets)
+    cand = _step(cand, "classes")
+    # the candidates grow with the documents: they are never broadcast, however few they are
+    texts = rows.select("row_key", "text").join(cand.hint("merge"), "row_key").select("d", "text")
+    sets = _items(texts, n)
+    if own.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        sets = sets.dropDuplicates(["d"])  # rows that are equal in id and text
+    sets = _step(sets, "items")
+    sketches = _step(own.join(cand.select("d").distinct(), "d", "left_semi").groupBy("d").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     # copies may be counted in m more than once: then a small bucket counts as large, which loses nothing
     near = _pairs(members.where(F.col("m") <= SMALL), "sig")
     hot = members.where(F.col("m") > SMALL).select("d").distinct()
-    rare = written(_rarest(sets, hot, p, q), "rarest")
+    rare = _step(_rarest(sets, hot, p, q), "rarest")
     size = rare.groupBy("item").agg(F.count("*").alias("m")).where("m > 1")
-    keyed = written(rare.join(size, "item"), "keyed")
-    pairs = written(near.union(_pairs(keyed.where(F.col("m") <= SMALL), "item")).distinct(), "pairs")
-    links = written(_check(pairs, sets, p, q), "links")
-    _release(links)
-    large = keyed.where(F.col("m") > SMALL).select("item", "d", "w")
+    keyed = _step(rare.join(size, "item"), "keyed")
+    pairs = near.union(_pairs(keyed.where(F.col("m") <= SMALL), "item")).distinct()
+    links = _step(_check(_step(_possible(_step(pairs, "near"), sketches, p, q), "pairs"), sets, p, q), "links")
+    large = keyed.where(F.col("m") > SMALL)
     if large.take(1):
-        links = _leaders(large, links, sets, p, q)
+        links = _large(large, links, sketches, sets, p, q)
     return own, written(components(links), "roots")
 
 
@@ -278,3 +385,22 @@ def join_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_
     return own.join(classes, F.col("d") == F.col("_d"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("d").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.col("root").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: that with the least id stays (ids that are null come
+    last), and one row of those that are equal in id and text. Rows without shingles all stay."""
+    names = docs.columns
+    own, roots = linked_classes(docs, n, p, q, doc_id, text)
+    own = own.where("d IS NOT NULL")
+    rooted = own.join(roots, F.col("d") == F.col("node"), "left").select("doc_id", "row_key", F.coalesce("root", "d").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    chosen = rooted.groupBy("root").agg(first.alias("f")).select("root", F.col("f.row_key").alias("chosen"))
+    gone = written(rooted.join(chosen, "root").where("row_key <> chosen").select("row_key").distinct(), "gone")
+    again = written(own.groupBy("row_key").count().where("count > 1").select("row_key"), "again")
+    rows = packed(docs, doc_id=doc_id, text=text).withColumn(
+        "row_key", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).select("_row", "row_key").join(gone, "row_key", "left_anti")
+    single = rows.join(again, "row_key", "left_anti")
+    # of equal rows one stays: they are few, and are combined before they are shuffled
+    one = rows.join(again, "row_key", "left_semi").groupBy("row_key").agg(F.first("_row").alias("_row")).select("_row", "row_key")
+    return unpacked(single.unionByName(one), names)

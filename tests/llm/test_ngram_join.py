@@ -50,6 +50,7 @@ def test_components_match_brute_force(spark, n, p, q):
 
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
     rows = corpus(9, 120, 160)
     assert got(spark, rows, 4, 85, 100) == brute.jaccard_components(rows, 4, 85, 100)
 
@@ -60,6 +61,24 @@ def test_registered_rows_match_brute_force(spark):
     assert got(spark, rows, 4, 85, 100) == brute.jaccard_components(rows, 4, 85, 100)
 
 
+def test_sketches_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for size in [1, 3, 40, 500]:
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 3:], rng.integers(0, 1 << 63, size // 3).astype(np.uint64)]))
+        u, v = ngram_join.sketch(a).view(np.uint64), ngram_join.sketch(b).view(np.uint64)
+        assert len(u) == len(v) and np.bitwise_count(u ^ v).sum() <= len(np.setxor1d(a, b))
+
+
+def test_keep_one_of_each_component(spark):
+    rows = corpus(5, 100, 60) + [(900, None), (901, None), (902, ""), (903, "same text here"), (903, "same text here"), (904, "same text here"), (None, "same text here")]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], SCHEMA + ", d int, TEXT2 string")
+    out = ngram_join.keep_one(df, 4, 85, 100)
+    assert out.columns == df.columns
+    want = {v[1] for v in brute.jaccard_components([r for r in rows if r[0] is not None], 4, 85, 100).values()}
+    assert sorted(r.doc_id for r in out.collect()) == sorted(want)
+
+
 def test_defined_cases(spark):
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "a b"), (9, "A  B"), (3, "a b"), (3, "a b"), (None, "a b"), (11, "c")]
     out = ngram_join.join_components(spark.createDataFrame(rows, SCHEMA), 4, 85, 100).collect()

@@ -41,7 +41,7 @@ THRESHOLD = 0.9
 #: How far below the nearest centre's cosine a visited cell's may be.
 MARGIN = 0.2
 #: Vectors of a block.
-BLOCK = 512
+BLOCK = 2048
 #: Vectors that the centres are fitted on, for each cell.
 SAMPLE = 100
 ITERATIONS = 4
@@ -70,7 +70,7 @@ def centres(classes: DataFrame, n: int, k: int, seed: int = 42) -> np.ndarray:
     share = min(1.0, SAMPLE * k / n)
     sample = classes.where(F.pmod(F.xxhash64("d", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
     top = F.array_max(F.transform("e", lambda v: F.abs(v)))
-    sample = sample.select(array_to_vector(F.transform("e", lambda v: v / top)).alias("v"))
+    sample = sample.select(array_to_vector(F.transform("e", lambda v: (v / top).cast("double"))).alias("v"))
     model = KMeans(k=k, distanceMeasure="cosine", initMode="random", maxIter=ITERATIONS, seed=seed, featuresCol="v").fit(sample)
     c = np.array(model.clusterCenters())
     norm = np.sqrt((c * c).sum(axis=1))
@@ -95,7 +95,7 @@ def _assigned(classes: DataFrame, c: np.ndarray, margin: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), visits],
                                              names=["d", "w", "e", "cell", "visits"])
 
-    return arrow_map(classes, run, "d bigint, w bigint, e array<double>, cell int, visits array<int>")
+    return arrow_map(classes, run, f"d bigint, w bigint, e {dict(classes.dtypes)['e']}, cell int, visits array<int>")
 
 
 def compared(rows: pa.Table, threshold: float) -> pa.Table:
@@ -160,7 +160,9 @@ def _links(assigned: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
                margin: float = MARGIN, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
-    v = pick(vectors, vec_id=vec_id, e=embedding).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("e").cast("array<double>").alias("e"))
+    v = pick(vectors, vec_id=vec_id, e=embedding).withColumn("vec_id", F.col("vec_id").cast("bigint"))
+    if dict(v.dtypes)["e"] != "array<float>":  # floats are moved as they are; cosines are in double precision either way
+        v = v.withColumn("e", F.col("e").cast("array<double>"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("e", lambda x: x != 0)
     v = v.withColumn("e", F.when(fine, F.col("e")))
     most = v.where("e IS NOT NULL").groupBy(F.size("e").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()

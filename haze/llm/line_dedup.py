@@ -6,13 +6,15 @@ line above the boilerplate ratio, on ``min_pages`` pages or more, goes from
 every page of that site. Exact copies of a page count once, so that a group
 of copies doesn't turn its own lines into boilerplate.
 
-DataFrame functions only. Lines are compared trimmed, by two 64-bit hashes;
-the counts are pre-aggregated before every shuffle, so that a site with a
-third of all pages is spread by line. The dropped lines of a site are one
-array, which is bounded: each is on more than ``ratio`` of the site's pages,
-so there are fewer than (lines of a mean page / ratio). That table is
-written to the shared folder, and the planner, who then knows its size,
-broadcasts it if it is small or else joins by site, splitting skewed sites.
+DataFrame functions only. Lines are counted trimmed, by two 64-bit hashes; the
+counts are pre-aggregated before every shuffle, so that a site with a third
+of all pages is spread by line. The dropped lines of a site are one array of
+64-bit hashes, which is bounded: each is on more than ``ratio`` of the site's
+pages, so there are fewer than (lines of a mean page / ratio). That table
+is written to the shared folder, and the planner, who then knows its size,
+broadcasts it if it is small or else joins by site, splitting skewed sites. A
+page's own dropped lines are found by a hashed intersection, so that long pages
+cost no more for each line than short ones.
 
 Rows: one per input row. A null text stays null and has no lines; blank lines
 are never dropped; a null site is a site of its own, the same as the empty
@@ -40,8 +42,7 @@ def _trimmed(line: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    t = _trimmed(line)
-    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))
+    return F.xxhash64(_trimmed(line))
 
 
 def _lines(text: Column) -> Column:
@@ -54,10 +55,10 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", rati
     p = pick(pages, site=site, text=text).where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), "text",
         F.xxhash64("text").alias("p1"), F.xxhash64(F.lit(1), "text").alias("p2"))
-    filled = F.filter(_lines(F.col("text")), lambda x: _trimmed(x) != "")
-    lines = p.select("site", "p1", "p2", F.explode(F.array_distinct(F.transform(filled, _key))).alias("line"))
+    line = p.select("site", "p1", "p2", F.explode(_lines(F.col("text"))).alias("x")).withColumn("x", _trimmed(F.col("x"))).where("x <> ''")
+    lines = line.select("site", "p1", "p2", F.xxhash64("x").alias("line"), F.xxhash64(F.lit(1), "x").alias("line2"))
     on = (lines.distinct()  # copies of a page count once
-          .groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+          .groupBy("site", "line", "line2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     total = written(p.select("site", "p1", "p2").distinct().groupBy("site").agg(F.count("*").alias("pages")), "sites")
     return (on.join(total, "site").where(F.col("n") > F.col("pages") * F.lit(ratio))
             .groupBy("site").agg(F.collect_list("line").alias("dropped")))
@@ -71,15 +72,18 @@ def dedup_lines(pages: DataFrame, site: str = "source", text: str = "text", rati
     bad = written(boilerplate(pages, site, text, ratio, min_pages), "boilerplate")
     rows = packed(pages, site=site, text=text).withColumn("site", F.coalesce(F.col("site").cast("string"), F.lit("")))
     rows = rows.join(bad.withColumnRenamed("site", "_site"), F.col("site") == F.col("_site"), "left")
-    rest = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("dropped"), _key(x)))
-    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    own = F.array_intersect(F.transform(_lines(F.col("text")), _key), "dropped")
+    rows = rows.withColumn("own", F.when(F.col("dropped").isNotNull(), own))
+    rest = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("own"), _key(x)))
+    none = F.col("own").isNull() | (F.size("own") == 0)
+    kept = F.when(none, F.col("text")).otherwise(F.array_join(rest, "\n"))
     # lines are counted by their ends: a text that lost all its lines is empty, and so is one empty line
     had = F.coalesce(F.size(_lines(F.col("text"))).cast("long"), F.lit(0)) if with_counts else None
     out = rows.withColumn("_kept", kept)
     at = positions(pages, [text])[0]
     if not with_counts:
         return unpacked(out, names, {at: "_kept"})
-    left = F.when(F.col("dropped").isNull(), F.col("_had")).otherwise(F.size(rest).cast("long"))
+    left = F.when(none, F.col("_had")).otherwise(F.size(rest).cast("long"))
     out = out.withColumn("_had", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(had))
     out = out.withColumn("_lost", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("_had") - left))
     return out.select(*[F.col("_kept") if i == at else F.col(f"_row._c{i}") for i in range(len(names))],

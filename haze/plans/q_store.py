@@ -16,7 +16,7 @@ from haze.plans.oracle_base import AIR, BASE, CAL, DERIVED, SCORED, WEATHER, wit
 from haze.plans.q_series import FULL_CTES, NOFILL_SQL
 from haze.schemas import AIR_MEASURES, BASE_FEATURES, FEATURES_ALL, FEATURES_STORED, RAW_SCHEMA, WEATHER_MEASURES
 from haze.session import scratch_path
-from haze.sources import files, payload
+from haze.sources import files, fs, payload
 from haze.sources.store import FeatureTable
 
 STORED_DOUBLES = [c for c in FEATURES_STORED if c not in ("timestamp", "city", "AQI_Category")]
@@ -200,6 +200,8 @@ def q_ingest_three_runs(spark, sf):
     t = FeatureTable(spark, scratch_path(spark, "ingest-features"))
     for as_of in _RUNS:
         jobs.hourly_ingest(spark, air, weather, raw, t, as_of, whole_file=False)
+    if not fs.has_rows(spark, t.path):  # so few events that no hour of these days has both sides
+        return _out(common.features(spark, sf).limit(0))
     keys = files.raw_table(spark, raw).read().groupBy("timestamp", "city").agg(F.count(F.lit(1)).alias("copies"))
     return _out(t.read().join(keys.where(F.col("copies") == 1), ["timestamp", "city"]))
 

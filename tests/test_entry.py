@@ -13,7 +13,7 @@ FAST = ["daily_aqi", "aqi_overall", "air_weather_join", "quality_audit", "full_f
         "correlation_matrix", "augment", "hash_sample", "fixed_sample", "mean_abs_importance", "top_features", "dedup_first",
         "new_rows_only", "row_positions", "moving_average", "fill_both", "recent_trend", "last_row", "aqi_long_rangejoin",
         "user_full_features", "user_store_append", "user_time_split", "user_tail_rows", "user_forecast_inputs",
-        "order_series_features", "latest_model", "metrics_table", "score"]
+        "order_series_features", "latest_model", "metrics_table"]
 
 
 def _canon(df):

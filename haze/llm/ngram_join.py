@@ -12,13 +12,15 @@ two documents link when ``q`` * intersection >= ``p`` * union. The method:
    k + 1 + k / 10 + 3 parts by itself. k differences spoil k parts at most,
    so linked sets agree on all the other parts and share the signatures that
    are made of them: the hash of all that a set has in a subset of parts.
-   A signature of fewer than two shingles says little. A set that has fewer
-   such weak signatures than it must share with any linked set leaves them
-   out; a set that has more emits them all. Either way linked sets share one.
+   A signature of fewer than two shingles (for thresholds below 0.83, where
+   parts hold fewer: of none) says little. A set that has fewer such weak
+   signatures than it must share with any linked set leaves them out; a set
+   that has more emits them all. Either way linked sets share one.
 3. Equal sets are one class from the start (a digest), so copies never meet.
-   Signature buckets of up to SMALL classes give all their pairs.
-4. In larger buckets, pairs need not be similar: their members (all pairs of
-   a large bucket are among them) are joined again by their rarest shingles:
+   Signature buckets of up to SMALL classes give all their pairs, buckets of
+   up to LARGE are compared as one block (6.).
+4. In still larger buckets, pairs need not be similar: their members (all pairs
+   of such a bucket are among them) are joined again by their rarest shingles:
    linked sets share one of the n - ceil(n p / q) + 1 shingles of a set that
    come first when ordered by frequency among these members. Keys of up to
    SMALL members give all pairs; larger ones are compared in blocks.
@@ -61,6 +63,8 @@ SMALL = 32
 PAIRS_TO = 4
 #: Members of a block of a large key.
 BLOCK = 1024
+#: Members of a bucket that are compared as they are, in one block.
+LARGE = BLOCK
 #: Rounds that give forests of the large keys, before the one that gives all that is left.
 ROUNDS = 2
 
@@ -95,25 +99,27 @@ def band(size: int, p: int, q: int) -> tuple[int, int, int, int, int]:
 
 
 @lru_cache(maxsize=10_000)
-def subsets(k: int) -> tuple[int, int, tuple[np.ndarray, np.ndarray] | None]:
-    """Number of parts, signatures that sets with k differences share at least, and the pairs of parts enumerated."""
+def subsets(k: int, loose: bool) -> tuple[int, int, tuple[np.ndarray, np.ndarray] | None]:
+    """Number of parts, signatures that sets with k differences share at least, and the pairs of parts enumerated.
+    ``loose``: parts hold so few shingles that only empty signatures count as weak."""
     if k <= PAIRS_TO:
         pairs = np.array([*combinations(range(k + 3), 2)])
         return k + 3, 3, (pairs[:, 0], pairs[:, 1])
-    parts = k + 1 + k // 10 + 3
+    parts = k + 1 + (3 * k // 20 + 4 if loose else k // 10 + 3)
     return parts, parts - k, None
 
 
 def signatures(items: np.ndarray, p: int, q: int) -> np.ndarray:
     """Signatures of one set for the two instances that it belongs to."""
     number, _, k0, _, k1 = band(len(items), p, q)
+    loose = 100 * p < 83 * q
     out = []
     values = mix(items)
     low, high = (values & np.uint64(0xFFFFFFFF)).astype(np.float64), (values >> np.uint64(32)).astype(np.float64)
     for instance, k in ((number, k0), (number + 1, k1)):
         if k == 0:
             continue  # only equal sets can link, and they are one class
-        parts, shared, pairs = subsets(k)
+        parts, shared, pairs = subsets(k, loose)
         at = (mix(items + np.uint64(0x632BE59BD9B4E019)) % np.uint64(parts)).astype(np.intp)
         count = np.bincount(at, minlength=parts)
         # sums of 32-bit halves are exact in doubles
@@ -125,7 +131,7 @@ def signatures(items: np.ndarray, p: int, q: int) -> np.ndarray:
             count, place = count[a] + count[b], np.arange(len(a), dtype=np.uint64)
             total = mix(total[a]) + np.uint64(3) * mix(total[b])
         own = mix(total + mix(place + np.uint64(instance << 32) + np.uint64(0xD6E8FEB86659FD93)))
-        weak = count < 2
+        weak = count < (1 if loose else 2)
         out.append(own[~weak] if weak.sum() < shared else own)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -297,7 +303,7 @@ def _left_pairs(rows: pa.Table, p: int, q: int, forest: bool) -> pa.Table:
     here = np.array([_common_least(ka[i], kb[j], item) for i, j in zip(r.tolist(), c.tolist())], bool)
     r, c = r[here], c[here]
     x, y = a[0][r], b[0][c]
-    x, y, cx, cy = np.minimum(x, y), np.maximum(x, y), np.where(x < y, a[1][r], b[1][c]), np.where(x < y, b[1][c], a[1][r])
+    cx, cy = a[1][r], b[1][c]
     if forest and len(x):
         root: dict[int, int] = {}
 
@@ -313,29 +319,34 @@ def _left_pairs(rows: pa.Table, p: int, q: int, forest: bool) -> pa.Table:
             if s != t:
                 root[s] = t
                 keep.append(k)
-        x, y = x[keep], y[keep]
-    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())}).group_by(["x", "y"]).aggregate([])
+        x, y, cx, cy = x[keep], y[keep], cx[keep], cy[keep]
+    swap = x > y
+    pairs = {"x": np.where(swap, y, x), "y": np.where(swap, x, y), "cx": np.where(swap, cy, cx), "cy": np.where(swap, cx, cy)}
+    return pa.table({name: pa.array(v, pa.int64()) for name, v in pairs.items()}).group_by([*pairs]).aggregate([])
 
 
 def _large(keys: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The links with those that are left between members of large keys, (item, d, m), of unlike components."""
     mine = keys.groupBy("d").agg(F.sort_array(F.collect_set("item")).alias("mine"))  # part of a set's first shingles
-    rows = written(keys.join(mine, "d").join(sketches, "d"), "keys")
+    rows = _step(keys.join(mine, "d").join(sketches, "d").select("item", "d", "m", "mine", "n", "sketch"), "keys")
     for turn in range(ROUNDS + 1):
         roots = written(components(links), "roots")
-        at = rows.join(roots, rows["d"] == roots["node"], "left").withColumn("c", F.coalesce("root", "d"))
+        at = rows.join(roots, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("root", "d"))
         open_keys = at.groupBy("item").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("item")
         at = at.join(open_keys, "item", "left_semi")
         # blocks i <= j of a key meet once: each row goes to the pairs of blocks that its own one is in
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        at = at.withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        at = at.select("item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        parts = at.withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        parts = parts.select("item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                        (F.col("own") > F.col("other")).cast("int").alias("side"), "d", "c", "n", "sketch", "mine")
-        pairs = at.groupBy("item", "i", "j").applyInArrow(_left_of(p, q, turn < ROUNDS), "x bigint, y bigint")
+        pairs = parts.groupBy("item", "i", "j").applyInArrow(_left_of(p, q, turn < ROUNDS), "x bigint, y bigint, cx bigint, cy bigint")
         new = _step(pairs.distinct(), "left")
         if not new.take(1):
             break
-        links = _step(links.union(_check(new, sets, p, q)).distinct(), "links")
+        links = _step(links.union(_check(new.select("x", "y"), sets, p, q)).distinct(), "links")
+        # what the sketches leave stays the same, so only components that had something left can have more
+        live = new.select(F.col("cx").alias("c")).union(new.select(F.col("cy").alias("c"))).distinct()
+        rows = _step(at.join(live, "c", "left_semi").select("item", "d", "m", "mine", "n", "sketch"), "keys")
     return links
 
 
@@ -347,8 +358,11 @@ def linked_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_i
     own = written(_sets(rows, n), "sets")
     # every signature is dealt to its task once; the minima and the members are taken from that
     sigs = _signatures(rows, n, p, q).repartition("sig")
-    many = sigs.groupBy("sig").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.count("*").alias("m")).where("d0 <> d1")
-    members = _step(sigs.join(many.hint("shuffle_hash"), "sig").select("sig", "d", "m"), "members")
+    many = sigs.groupBy("sig").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1")
+    members = _step(sigs.join(many.hint("shuffle_hash"), "sig").select("sig", "d").distinct(), "members")
+    # copies are gone now, so that m counts unlike sets
+    large = members.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > SMALL)
+    members = _step(members.join(large, "sig", "left").select("sig", "d", F.coalesce("m", F.lit(0)).alias("m")), "members")
     cand = members.select("d").distinct().join(own.groupBy("d").agg(F.min("row_key").alias("row_key")), "d")
     cand = _step(cand, "classes")
     # the candidates grow with the documents: they are never broadcast, however few they are
@@ -359,17 +373,17 @@ def linked_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_i
     sets = _step(sets, "items")
     sketches = _step(own.join(cand.select("d").distinct(), "d", "left_semi").groupBy("d").agg(
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
-    # copies may be counted in m more than once: then a small bucket counts as large, which loses nothing
     near = _pairs(members.where(F.col("m") <= SMALL), "sig")
-    hot = members.where(F.col("m") > SMALL).select("d").distinct()
+    hot = members.where(F.col("m") > LARGE).select("d").distinct()
     rare = _step(_rarest(sets, hot, p, q), "rarest")
     size = rare.groupBy("item").agg(F.count("*").alias("m")).where("m > 1")
     keyed = _step(rare.join(size, "item"), "keyed")
     pairs = near.union(_pairs(keyed.where(F.col("m") <= SMALL), "item")).distinct()
     links = _step(_check(_step(_possible(_step(pairs, "near"), sketches, p, q), "pairs"), sets, p, q), "links")
-    large = keyed.where(F.col("m") > SMALL)
-    if large.take(1):
-        links = _large(large, links, sketches, sets, p, q)
+    some = members.where((F.col("m") > SMALL) & (F.col("m") <= LARGE)).select(F.col("sig").alias("item"), "d", "m")
+    blocks = keyed.where(F.col("m") > SMALL).select("item", "d", "m").union(some)
+    if blocks.take(1):
+        links = _large(blocks, links, sketches, sets, p, q)
     return own, written(components(links), "roots")
 
 

@@ -48,11 +48,13 @@ def test_components_match_brute_force(spark, n, p, q):
     assert got(spark, rows, n, p, q) == brute.jaccard_components(rows, n, p, q)
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("large,n,p", [(3, 4, 85), (40, 4, 85), (5000, 5, 80), (10, 5, 80)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, large, n, p):
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "LARGE", large)
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     rows = corpus(9, 120, 160)
-    assert got(spark, rows, 4, 85, 100) == brute.jaccard_components(rows, 4, 85, 100)
+    assert got(spark, rows, n, p, 100) == brute.jaccard_components(rows, n, p, 100)
 
 
 def test_registered_rows_match_brute_force(spark):
@@ -101,16 +103,17 @@ def test_very_long_text(spark):
     assert out[1][1] == out[2][1] == 1 and out[3][1] == 3
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("p", [80, 85, 90])
+def test_linked_sets_share_a_signature(p):
     rng = np.random.default_rng(3)
     for size in [3, 7, 8, 13, 20, 31, 50, 100, 400, 1500]:
         for _ in range(40):
             items = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-            drop = rng.integers(0, max(1, size * 8 // 100) + 1)
+            drop = rng.integers(0, max(1, size * 11 // 100) + 1)
             other = np.unique(np.concatenate([items[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64)]))
             i = len(np.intersect1d(items, other))
-            if i < len(items) and 100 * i >= 85 * (len(items) + len(other) - i):
-                assert set(ngram_join.signatures(items, 85, 100)) & set(ngram_join.signatures(other, 85, 100))
+            if i < len(items) and 100 * i >= p * (len(items) + len(other) - i):
+                assert set(ngram_join.signatures(items, p, 100)) & set(ngram_join.signatures(other, p, 100))
 
 
 def test_components_of_paths_stars_and_cycles(spark):

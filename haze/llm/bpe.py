@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from haze.llm.common import arrow_map, pick
 
 #: Pre-tokens whose ids one Python worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Code points that Unicode 17 and later call letters or numbers. The regex module may know them
 #: already, tiktoken's tables (Unicode 16) don't; in a text that holds one they count as neither.
 NEWER_LETTERS = (
@@ -213,6 +213,11 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)])))
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, token_ids): ids of every whole text, without special tokens."""
     spark = docs.sparkSession
@@ -221,11 +226,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", d
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = codec(file.value, pattern)
         arrays = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-        offsets = np.zeros(len(arrays) + 1, np.int32)
-        np.cumsum([len(a) for a in arrays], out=offsets[1:])
-        values = np.concatenate([*arrays, np.empty(0, np.int32)])
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "token_ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(arrays)], names=["doc_id", "token_ids"])
 
     rows = pick(docs, doc_id=doc_id, text=text).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     return arrow_map(rows, run, "doc_id bigint, token_ids array<int>")
@@ -251,10 +252,19 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...]
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id",
                with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text encoded and decoded again; ``with_ids`` adds ``token_ids``."""
-    ids = encode(docs, vocabulary, pattern, text, doc_id).select(
-        "doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
-    own = ["token_ids"] if with_ids else []
-    back = decode(ids, vocabulary, pattern, keep=("doc_id", "n_tokens", "ids_sha256", *own))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *own)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text encoded, and its ids decoded, in one pass;
+    ``with_ids`` adds ``token_ids``."""
+    file = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = codec(file.value, pattern)
+        arrays = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+        decoded = pa.array([own.decode(a) for a in arrays], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(arrays), decoded], names=["doc_id", "token_ids", "decoded"])
+
+    rows = pick(docs, doc_id=doc_id, text=text).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
+    both = arrow_map(rows, run, "doc_id bigint, token_ids array<int>, decoded binary")
+    ids = [F.col("token_ids")] if with_ids else []
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), *ids)

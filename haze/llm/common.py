@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -79,10 +80,18 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             step = max(1, int(n * SLICE_BYTES / max(1, batch.nbytes)))
             for at in range(0, n, step):
                 yield from fn(batch.slice(at, step))
+        _trim()
 
     return df.mapInArrow(run, schema)
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system where the C library can, as the worker may idle through later stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

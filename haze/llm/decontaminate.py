@@ -126,9 +126,10 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, item_id: str = "item_id",
          item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``_row`` and ``text`` of every document with ``_n_words``, ``_hits`` (runs of hit words) and ``_items``."""
+    """``_row`` of every document with ``_n_words``, ``_hits`` (runs of hit words) and ``_items``."""
     sc = docs.sparkSession.sparkContext
-    rows = packed(docs, text=text)
+    rows = packed(docs)
+    at = positions(docs, [text])[0]
     kind = rows.schema["_row"].dataType.simpleString()
     first = True
     for items in [*blocks(benchmark, item_id, item_text, block_chars)] or [()]:
@@ -136,18 +137,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N,
 
         def run(batch: pa.RecordBatch, first=first, shared=shared) -> Iterator[pa.RecordBatch]:
             own = windows_of(shared.value, n)
-            found = [own.scan((t or "").encode()) for t in batch.column(1).to_pylist()]
+            found = [own.scan((t or "").encode()) for t in batch.column(0).field(at).to_pylist()]
             hits, listed = [x[1] for x in found], [x[2] for x in found]
             if not first:
-                hits = [merged(a + [(h["first"], h["stop"]) for h in b]) for a, b in zip(hits, batch.column(3).to_pylist())]
-                listed = [a.union(b) for a, b in zip(listed, batch.column(4).to_pylist())]
+                hits = [merged(a + [(h["first"], h["stop"]) for h in b]) for a, b in zip(hits, batch.column(2).to_pylist())]
+                listed = [a.union(b) for a, b in zip(listed, batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()),
+                [batch.column(0), pa.array([x[0] for x in found], pa.int64()),
                  pa.array([[{"first": a, "stop": b} for a, b in h] for h in hits], _HITS),
                  pa.array([sorted(x) for x in listed], pa.list_(pa.int64()))],
-                names=["_row", "text", "_n_words", "_hits", "_items"])
+                names=["_row", "_n_words", "_hits", "_items"])
 
-        rows = arrow_map(rows, run, f"_row {kind}, text string, {HITS}")
+        rows = arrow_map(rows, run, f"_row {kind}, {HITS}")
         first = False
     return rows
 
@@ -170,11 +171,12 @@ def without_runs(text: str, hits: list[dict]) -> str:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N) -> DataFrame:
     """All documents; from their texts the runs of words that windows of items cover are gone."""
     rows = scan(docs, benchmark, text, n)
+    at = positions(docs, [text])[0]
     kind = rows.schema["_row"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [t if not h else without_runs(t, h) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        texts = [t if not h else without_runs(t, h) for t, h in zip(batch.column(0).field(at).to_pylist(), batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_clean"])
 
-    out = arrow_map(rows.select("_row", "text", "_hits"), run, f"_row {kind}, _clean string")
-    return unpacked(out, docs.columns, {positions(docs, [text])[0]: "_clean"})
+    out = arrow_map(rows.select("_row", "_hits"), run, f"_row {kind}, _clean string")
+    return unpacked(out, docs.columns, {at: "_clean"})

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.llm.common import arrow_map, packed, pick, unpacked, written
+from haze.llm.common import arrow_map, packed, pick, positions, unpacked, written
 
 PER_LANGUAGE = 500
 LANGUAGES = 50
@@ -179,14 +179,15 @@ def identify(rows: DataFrame, labelled: DataFrame | None = None, text: str = "te
                             "CAST(NULL AS BIGINT) AS _letters", "true AS _kept")
     model, priors = fit(rows, model, text, declared, host)
     shared = sc.broadcast(model)
-    joined = p.select("_row", "text", _declared(F.col("declared")).alias("declared"), _host(F.col("host")).alias("_h")).join(
-        priors, F.col("_h") == F.col("host")).select("_row", "text", "declared", "prior")
+    at = positions(rows, [text])[0]  # the text is taken from the row, so that it is moved once
+    joined = p.select("_row", _declared(F.col("declared")).alias("declared"), _host(F.col("host")).alias("_h")).join(
+        priors, F.col("_h") == F.col("host")).select("_row", "declared", "prior")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = shared.value
         place = {name: i for i, name in enumerate(m.languages)}
         best, post, count = [], [], []
-        for t, d, prior in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        for t, d, prior in zip(batch.column(0).field(at).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             s, letters = m.text_scores(t)
             s = s + np.array(prior)
             if d in place:

@@ -108,7 +108,7 @@ def training_run(spark: SparkSession, table: FeatureTable, model_dir: str, regis
     appended to ``metrics_path`` (by default ``metrics`` beside the models)."""
     df = table.training_set()
     if sample_frac and 0 < sample_frac < 1:
-        df = learn.hash_sample(df, sample_frac, learn.xxhash_bucket(["timestamp", "city"], seed))
+        df = learn.hash_sample(df, sample_frac, learn.text_hash(learn.key_text(["city", "timestamp"]), seed))
     numeric = set(clean.columns_of_type(df, "numeric"))
     feats = features or [c for c in clean.feature_columns(df) if c in numeric]
     if augment_std > 0:

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import tempfile
 
 from pyspark.sql import functions as F
@@ -58,3 +59,17 @@ def test_backfill_features_both_plans(spark):
     cols = ["city", "timestamp", "pm2_5_lag_24h", "pm2_5_rolling_std_24h", "AQI"]
     assert sorted(a.read().select(cols).collect()) == sorted(b.read().select(cols).collect())
     assert jobs.backfill_features(spark, raw, a) == 0  # idempotent
+
+
+def test_training_run_on_a_sample(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="haze-sample-")
+    t = FeatureTable(spark, base + "/features")
+    t.append(common.features(spark, SF))
+    sampled = []
+    whole = jobs.series.time_split
+    monkeypatch.setattr(jobs.series, "time_split", lambda df, *a, **k: sampled.append(df) or whole(df, *a, **k))
+    metrics = jobs.training_run(spark, t, base + "/models", base + "/registry", sample_frac=0.5, seed=7).collect()
+    assert len(metrics) == 3 and all(r.n > 0 for r in metrics)
+    rows, all_rows = ({(r.city, r.timestamp) for r in df.select("city", "timestamp").collect()} for df in (sampled[0], t.training_set()))
+    own = {(c, x) for c, x in all_rows if int(hashlib.md5(f"7:{c}|{x:%Y-%m-%d %H:%M:%S}".encode()).hexdigest()[:8], 16) < 2 ** 31}
+    assert rows == own and 0 < len(rows) < len(all_rows)

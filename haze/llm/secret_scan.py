@@ -6,7 +6,10 @@ Its novelty is what it adds to the compressed size of its surroundings: the
 text around it is compressed with a dictionary of common words of code, once
 with and once without the candidate, and the difference is divided by the
 candidate's length. Names, paths and repeated values add little; random
-strings add most of a byte for each character, and are reported.
+strings add most of a byte for each character, and are reported, with or
+without digits. Only a candidate's start is bounded; it ends where its
+unbroken string does. One that a base span holds whole isn't given again; one
+that base spans cover in part is.
 
 Base patterns are matched from left to right over the whole text and matches
 that are too short are dropped after that. Offsets are code points, ends
@@ -20,8 +23,10 @@ table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +44,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Words that make what follows within REACH characters sensitive.
 SENSITIVE = re.compile(r"key|secret|token|passw|passphrase|credential|bearer|authorization|private|signature", re.IGNORECASE | re.ASCII)
 REACH = 40
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CANDIDATE = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}")
 #: Characters of text before and after a candidate that it is compressed with.
 AROUND = 256
 #: Compressed bytes that each character must add; random base 64 adds about 0.75, random hexadecimal about 0.5.
@@ -84,16 +90,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, novelty) of the strings that the method adds."""
     out, done = [], -1
-    taken = [(a, b) for a, _, b in base]
+    starts = [a for a, _, _ in base]
+    ends = list(accumulate((b for _, _, b in base), max))  # the furthest end of the spans up to each
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + REACH + 4096)):
-            if m.start() > word.end() + REACH:
-                break
-            done = m.end()
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            if (x := novelty(text, m.start(), m.end())) >= NOVELTY and any(c.isdigit() for c in m[0]):
-                out.append((m.start(), m.end(), x))
+        at, last = max(word.end(), done), word.end() + REACH + LEAST_CANDIDATE
+        # looked for where it may start only, so that a text of many such words is read once; its end is its own
+        while found := CANDIDATE.search(text, at, min(len(text), last)):
+            start, at = found.start(), CANDIDATE.match(text, found.start()).end()
+            done = at
+            i = bisect_right(starts, start)
+            if i and ends[i - 1] >= at:
+                continue  # a base span holds all of it
+            if (x := novelty(text, start, at)) >= NOVELTY:
+                out.append((start, at, x))
     return out
 
 

@@ -96,6 +96,21 @@ def test_novel_strings_in_sensitive_places(spark):
     assert secret_scan.scan(spark.createDataFrame([], SCHEMA + ", spans int")).collect() == []
 
 
+def test_novel_strings_are_whole(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    long = "".join(rng.choice(letters + "0123456789") for _ in range(9000))
+    plain = "".join(rng.choice(letters) for _ in range(32))
+    part = "gT7vK2mQ9xLw4Rz_0123456789abcdef_B8nYcPq3"
+    rows = [(1, f"private_key = '{long}'"), (2, f"the signing key is {plain}"), (3, f"the signing key is {part}"),
+            (4, f"token={long}"), (5, "key " * 200_000 + "." * 100 + long), (6, f"key {'.' * 39}{plain}"), (7, f"key {'.' * 40}{plain}")]
+    out = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[1] == [("novel", 15, 9015)] and out[2] == [("novel", 19, 51)]
+    assert out[3] == [("novel", 19, 19 + len(part)), ("hex", 35, 51)]
+    assert out[4] == [("assign", 0, 9006)]
+    assert out[5] == [] and out[6] == [("novel", 43, 75)] and out[7] == []
+
+
 # ------------------------------------------------------------------ urls
 def judged(url, rules):
     host = path = ""

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from haze.llm import language_id
@@ -61,3 +63,30 @@ def test_defined_cases(spark):
     assert language_id.keep_identified(df.limit(0)).collect() == []
     none = df.withColumn("lang", F.lit(None).cast("string"))
     assert language_id.keep_identified(none).count() == len(rows)
+
+
+def test_every_declared_language_has_a_model_or_the_unknown_class(spark):
+    rng = random.Random(3)
+    names = [a + b for a in "abcdefgh" for b in "klmnopqr"]  # 64 languages, each of its own syllables
+    words = {x: ["".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(12)] for x in [*names, "zz", "zy", "zx"]}
+    text = lambda x: " ".join(rng.choice(words[x]) for _ in range(30))
+    n = {x: 6 if x < "c" else 12 for x in names}
+    rows = [(text(x), x, f"h.{x}") for x in names for _ in range(n[x])]
+    rare = [(text("zz").upper().replace("A", "ж").replace("E", "щ"), "zz", "h.zz") for _ in range(4)]
+    rows += rare + [(rare[0][0], None, "h.zz"), (rare[1][0], None, "h.else")]
+    rows += [(text("ak"), None, None), (text("hr"), None, None), (text("bm"), "bm-XX", "h.else")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA)
+    model = language_id.fit_text(df)
+    assert model.languages == [*names, "und"]
+    out = {r.i: (r.l, r.kept) for r in language_id.identify(df).select(
+        F.col("_row._c0").alias("i"), F.col("_language").alias("l"), F.col("_kept").alias("kept")).collect()}
+    assert len(out) == len(rows)
+    want = [r[1] for r in rows[:-5]] + ["zz", "und", "ak", "hr", "bm"]
+    assert [out[i] for i in range(len(rows))] == [(x, True) for x in want]
+
+
+def test_rare_languages_only(spark):
+    df = spark.createDataFrame([(1, "the house", "en", "a"), (2, "das Haus", "de", "b"), (3, "das", None, "b"), (4, "12", "en", "a")], SCHEMA)
+    out = {r.i: (r.l, r.kept) for r in language_id.identify(df).select(
+        F.col("_row._c0").alias("i"), F.col("_language").alias("l"), F.col("_kept").alias("kept")).collect()}
+    assert out[1] == ("en", True) and out[2] == ("de", True) and out[3] == ("de", True) and not out[4][1]

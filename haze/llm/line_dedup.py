@@ -4,7 +4,9 @@ Pages are grouped by site (host). For each line of a site, the number of its
 pages that contain the line is divided by the number of all its pages; a
 line above the boilerplate ratio, on ``min_pages`` pages or more, goes from
 every page of that site. Exact copies of a page count once, so that a group
-of copies doesn't turn its own lines into boilerplate.
+of copies doesn't turn its own lines into boilerplate. Near copies count once
+too where a table says which pages they are (``groups``, as of the n-gram
+join): such a group is one page of its site, with the lines of all its members.
 
 DataFrame functions only. Lines are counted trimmed, by two 64-bit hashes; the
 counts are pre-aggregated before every shuffle, so that a site with a third
@@ -49,14 +51,32 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _grouped(pages: DataFrame, groups: DataFrame, site: str, text: str, doc_id: str) -> DataFrame:
+    """(site, p1, p2, lines): pages by their group if they have one; lines are hashes, so that no text is shuffled."""
+    filled = F.filter(F.transform(_lines(F.col("text")), _trimmed), lambda x: x != "")
+    hashed = F.transform(filled, lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("line2")))
+    own = pick(pages, site=site, text=text, doc_id=doc_id).where(F.col("text").isNotNull()).select(
+        F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), F.xxhash64("text").alias("p1"),
+        F.xxhash64(F.lit(1), "text").alias("p2"), F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("_key"),
+        F.array_distinct(hashed).alias("lines"))
+    joined = own.join(groups, F.col("_key") == F.col("row_key"), "left")
+    return written(joined.select("site", F.coalesce("group", "p1").alias("p1"),
+                                 F.when(F.col("group").isNull(), F.col("p2")).otherwise(F.lit(0)).alias("p2"), "lines"), "pages")
+
+
 def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, dropped): the keys of the lines to drop, for each site that has any."""
-    p = pick(pages, site=site, text=text).where(F.col("text").isNotNull()).select(
-        F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), "text",
-        F.xxhash64("text").alias("p1"), F.xxhash64(F.lit(1), "text").alias("p2"))
-    line = p.select("site", "p1", "p2", F.explode(_lines(F.col("text"))).alias("x")).withColumn("x", _trimmed(F.col("x"))).where("x <> ''")
-    lines = line.select("site", "p1", "p2", F.xxhash64("x").alias("line"), F.xxhash64(F.lit(1), "x").alias("line2"))
+                min_pages: int = MIN_PAGES, groups: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """(site, dropped): the keys of the lines to drop, for each site that has any. ``groups``: (row_key, group) of the
+    pages that count as one, by the 64-bit hash of ``doc_id`` and text."""
+    if groups is None:
+        p = pick(pages, site=site, text=text).where(F.col("text").isNotNull()).select(
+            F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), "text",
+            F.xxhash64("text").alias("p1"), F.xxhash64(F.lit(1), "text").alias("p2"))
+        line = p.select("site", "p1", "p2", F.explode(_lines(F.col("text"))).alias("x")).withColumn("x", _trimmed(F.col("x"))).where("x <> ''")
+        lines = line.select("site", "p1", "p2", F.xxhash64("x").alias("line"), F.xxhash64(F.lit(1), "x").alias("line2"))
+    else:
+        p = _grouped(pages, groups, site, text, doc_id)
+        lines = p.select("site", "p1", "p2", F.inline("lines"))
     on = (lines.distinct()  # copies of a page count once
           .groupBy("site", "line", "line2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     total = written(p.select("site", "p1", "p2").distinct().groupBy("site").agg(F.count("*").alias("pages")), "sites")
@@ -65,11 +85,11 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", rati
 
 
 def dedup_lines(pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES, with_counts: bool = False) -> DataFrame:
-    """The rows of ``pages`` with the boilerplate lines of their site taken out of ``text``;
-    ``with_counts`` adds ``_n_lines`` and ``_n_dropped`` at the end."""
+                min_pages: int = MIN_PAGES, with_counts: bool = False, groups: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``pages`` with the boilerplate lines of their site taken out of ``text``; ``groups`` as for
+    ``boilerplate``; ``with_counts`` adds ``_n_lines`` and ``_n_dropped`` at the end."""
     names = pages.columns
-    bad = written(boilerplate(pages, site, text, ratio, min_pages), "boilerplate")
+    bad = written(boilerplate(pages, site, text, ratio, min_pages, groups, doc_id), "boilerplate")
     rows = packed(pages, site=site, text=text).withColumn("site", F.coalesce(F.col("site").cast("string"), F.lit("")))
     rows = rows.join(bad.withColumnRenamed("site", "_site"), F.col("site") == F.col("_site"), "left")
     own = F.array_intersect(F.transform(_lines(F.col("text")), _key), "dropped")

@@ -401,6 +401,16 @@ def join_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_
         F.col("root").alias("class_id"))
 
 
+def groups(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row_key, group) of the rows that links or equal sets of shingles join with rows of another id or text; row_key
+    is the 64-bit hash of id and text."""
+    own, roots = linked_classes(docs, n, p, q, doc_id, text)
+    rooted = own.where("d IS NOT NULL").join(roots, F.col("d") == F.col("node"), "left").select(
+        "row_key", F.coalesce("root", "d").alias("group"))
+    several = rooted.groupBy("group").agg(F.min("row_key").alias("k0"), F.max("row_key").alias("k1")).where("k0 <> k1").select("group")
+    return written(rooted.join(several, "group").select("row_key", "group").distinct(), "groups")
+
+
 def keep_one(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but one of each component: that with the least id stays (ids that are null come
     last), and one row of those that are equal in id and text. Rows without shingles all stay."""

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from haze.llm import language_id
+from haze.llm import language_id, line_dedup
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -110,3 +111,35 @@ def test_rows_that_are_odd_pass_through(spark):
     ids = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert ids.count(1) == 1 and 50 in ids and 51 in ids
     assert re.fullmatch(r"[0-9a-f]{64}", corpus_pipeline.tokenize(spark, docs, SF).first().ids_sha256)
+
+
+def test_groups_of_near_copies_keep_one_whole_text(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    texts, near = [], []
+    for site, others, copies in (("small", 3, 8), ("large", 40, 20)):  # 8 of 11 pages, 20 of 60 pages
+        menu = line(4)
+        texts += [(f"{menu}\n{line(30)}\n{line(30)}", site) for _ in range(others)]
+        whole = [line(25) for _ in range(12)]
+        group = []
+        for i in range(copies):
+            own = list(whole)
+            own[i % 12] = own[i % 12] + " " + line(3)
+            group.append(len(texts))
+            texts.append(("\n".join([menu, *own]), site))
+        near.append((group, menu, whole))
+    rows = [(i, t, "en", site, len(t)) for i, (t, site) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.drop_boilerplate(spark, docs, SF).cache()
+    after = {r.doc_id: r.text for r in out.collect()}
+    last = {r.doc_id: r.text for r in corpus_pipeline.drop_near_duplicates(spark, out, SF).collect()}
+    assert len(after) == len(rows) and all(after.values())
+    for group, menu, whole in near:
+        for i in group:  # the menu goes, all else stays
+            assert after[i] == texts[i][0].removeprefix(menu + "\n")
+        kept = [i for i in group if i in last]
+        assert kept == group[:1] and last[kept[0]].split("\n")[1:] == whole[1:]
+    plain = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(len(plain[i]) < len(after[i]) / 4 for group, _, _ in near for i in group)  # without groups the text is lost

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haze.session import ensure_checkpoint_dir, scratch_path
+from haze.sources import fs
 
 #: Texts handed to one piece of Python work at once are cut at about this many bytes.
 SLICE_BYTES = 4 << 20
@@ -63,7 +65,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of tables from ``written`` or ``step`` that nothing reads any more."""
+    for df in frames:
+        if (path := getattr(df, "_scratch", None)) is not None:
+            fs.delete(df.sparkSession, path)
+
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and lets Spark drop the shuffle files of the step now: they go when the driver collects its garbage."""
+    out = written(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,16 +136,16 @@ def blank_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before; emptied when full, as the hash is a function of the word."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 200_000, seed: int = 0):
         super().__init__()
-        self.limit = limit
+        self.limit, self.seed = limit, seed
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.limit:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

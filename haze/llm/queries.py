@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haze.llm import (bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join,
-                      secret_scan, token_counts, url_filter)
+                      secret_scan, substring_dedup, token_counts, url_filter)
 from haze.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts.recount(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return rows.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens", "n_reencoded",
                        F.sha2("text", 256).alias("edited_sha256"))
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "longest")
+
+
+ORACLE["op13_substring_dedup"] = substring_dedup.oracle_sql()

@@ -78,10 +78,13 @@ def release(*frames: DataFrame) -> None:
 
 
 def step(df: DataFrame, name: str) -> DataFrame:
-    """``written``, and lets Spark drop the shuffle files of the step now: they go when the driver collects its garbage."""
+    """``written``, and lets Spark drop the shuffle files of this step and those before now: they go when the driver
+    collects its garbage."""
+    jvm = df.sparkSession.sparkContext._jvm
+    jvm.System.gc()
     out = written(df, name)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    jvm.System.gc()
     return out
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import (bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join,
+from haze.llm import (bpe, collocations, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join,
                       secret_scan, substring_dedup, token_counts, url_filter)
 from haze.llm.common import table
 
@@ -135,3 +135,11 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_substring_dedup"] = substring_dedup.oracle_sql()
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = collocations.oracle_sql()

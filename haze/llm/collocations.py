@@ -54,7 +54,7 @@ UNDECLARED = "und"
 #: Bits of the table of what is frequent.
 BITS = 1 << 26
 #: Words that a task gathers before it combines their counts.
-TOKENS = 4_000_000
+TOKENS = 6_000_000
 #: Groups that a language's phrases are cut into before the best of all are taken.
 GROUPS = 512
 BATCH = 100_000
@@ -109,7 +109,7 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = stop
 
 
-def _gathering(counted: Callable[[Gathered], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _gathering(counted: Callable[[Gathered], Iterator[pa.RecordBatch]], tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A map over (lang, text) that gathers words by language and hands them on, TOKENS of them at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def _gathering(counted: Callable[[Gathered], Iterator[pa.RecordBatch]]) -> Calla
                         own.add([w for w in words if w])
                         own.add([_END])
                         size += own.parts[-2].size
-                        if size >= TOKENS:
+                        if size >= tokens:
                             for g in held.values():
                                 yield from counted(g)
                             held, size = {lang: (own := Gathered(lang))}, 0
@@ -153,18 +153,18 @@ def _hash_counts(g: Gathered) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[i:i + BATCH]), pa.array(n[i:i + BATCH])], names=["h", "n"])
 
 
-def _table(often: DataFrame) -> np.ndarray:
-    """Two bits for each hash, as 64-bit words: BITS / 64 rows at most, whatever there is."""
-    places = F.array(F.col("h").bitwiseAND(BITS - 1), F.shiftrightunsigned("h", 32).bitwiseAND(BITS - 1))
+def _table(often: DataFrame, size: int) -> np.ndarray:
+    """Two of ``size`` bits for each hash, as 64-bit words: size / 64 rows at most, whatever there is."""
+    places = F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))
     bits = often.select(F.explode(places).alias("b"))
     rows = bits.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    mask, found = np.uint64(BITS - 1), np.ones(len(h), bool)
+    mask, found = np.uint64(64 * len(table) - 1), np.ones(len(h), bool)
     for place in (h & mask, h >> np.uint64(32) & mask):
         found &= (table[(place >> np.uint64(6)).astype(np.intp)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
@@ -209,14 +209,15 @@ def _phrases(g: Gathered, table: np.ndarray, most: int) -> Iterator[pa.RecordBat
                                          names=["lang", "phrase", "n"])
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang") -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang", tokens: int = TOKENS,
+                  bits: int = BITS) -> DataFrame:
     """(lang, phrase, n): exact counts of all phrases of up to ``most`` words that occur ``least`` times or more; the empty phrase
     has the number of all words of the language."""
     rows = _texts(docs, text, lang)
-    hashed = rows.mapInArrow(_gathering(_hash_counts), "h bigint, n bigint")
+    hashed = rows.mapInArrow(_gathering(_hash_counts, tokens), "h bigint, n bigint")
     often = step(hashed.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
-    table = docs.sparkSession.sparkContext.broadcast(_table(often))  # BITS / 8 bytes
-    found = rows.mapInArrow(_gathering(lambda g: _phrases(g, table.value, most)), "lang string, phrase string, n bigint")
+    table = docs.sparkSession.sparkContext.broadcast(_table(often, bits))  # bits / 8 bytes
+    found = rows.mapInArrow(_gathering(lambda g: _phrases(g, table.value, most), tokens), "lang string, phrase string, n bigint")
     out = step(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "counts")
     table.unpersist()
     release(often)

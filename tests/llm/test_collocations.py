@@ -66,13 +66,22 @@ def test_matches_brute_force(spark, seed, params):
     assert expected and got(spark, rows, **params) == expected
 
 
-def test_small_parts_and_a_full_table(spark, monkeypatch):
+@pytest.mark.parametrize("tokens,bits", [(50, 64), (1, 1 << 20)])
+def test_small_parts_and_a_full_table(spark, tokens, bits):
     """Many flushes of a task, and a table of bits that lets everything through."""
     rows = corpus(5, 300)
-    monkeypatch.setattr(collocations, "TOKENS", 50)
-    monkeypatch.setattr(collocations, "BITS", 64)
-    monkeypatch.setattr(collocations, "SLICE_BYTES", 40)
-    assert got(spark, rows, least=6) == plain(rows, least=6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = sorted(tuple(r) for r in collocations.phrase_counts(df, 6).collect())
+    assert one and sorted(tuple(r) for r in collocations.phrase_counts(df, 6, tokens=tokens, bits=bits).collect()) == one
+
+
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 10)
+    text = b"One two. three, four five six seven!eight nine. ten"
+    got = [[w for w in part if w] for part in collocations._pieces(text)]
+    assert len(got) > 2
+    assert [w for part in got for w in part] == text.lower().translate(bytes.maketrans(b".,!", b"\xff" * 3)).replace(b"\xff", b" \xff ").split()
+    assert all(part[-1] == b"\xff" for part in got[:-1])
 
 
 def test_what_is_open_is_carried_over_partitions():

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import (bpe, collocations, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join,
+from haze.llm import (alignment, bpe, collocations, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join,
                       secret_scan, substring_dedup, token_counts, url_filter)
 from haze.llm.common import table
 
@@ -143,3 +143,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_collocations"] = collocations.oracle_sql()
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")

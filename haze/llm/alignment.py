@@ -51,9 +51,9 @@ CHUNK = 1 << 16
 #: Neighbours that one task composes.
 FAN = 8
 #: Distinct pairs, by text, of a slice.
-ENTRIES = 2_000_000
-#: Words whose fragments one Python worker remembers, and their characters.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 4_000_000
+ENTRIES = 1_000_000
+#: Words whose fragments one Python worker remembers in each of two generations, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 90_000, 3_000_000
 #: Bits of the id of A in a pair.
 SHIFT = 24
 _LOW = (1 << SHIFT) - 1
@@ -99,6 +99,7 @@ class Aligner:
         # names of the ids of A, then of B, each followed by what parts tokens of a group and by what ends them
         self.names = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"] + [f"{i}{end}" for i in range(len(pieces)) for end in ",;"]
         self.remembered: dict[str, Closed | None] = {}
+        self.older: dict[str, Closed | None] = {}
         self.chars = 0
 
     def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
@@ -137,15 +138,17 @@ class Aligner:
 
     def learn(self, words: set[str]) -> None:
         """Makes sure that the fragments of these words are remembered."""
-        new = [w for w in words if w not in self.remembered]
-        if len(self.remembered) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.remembered.clear()
-            self.chars, new = 0, [*words]
+        if len(self.remembered) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.older, self.remembered, self.chars = self.remembered, {}, 0
+        absent = words - self.remembered.keys()
+        again = absent & self.older.keys()
+        self.remembered.update(zip(again, map(self.older.__getitem__, again)))
+        new = [*(absent - again)]
         a, b, good = self.encode(new)
         none: list[int] = []
         found = self.closed([x if g else none for x, g in zip(a, good)], [y if g else none for y, g in zip(b, good)])
         self.remembered.update(zip(new, (c if g else None for c, g in zip(found, good))))
-        self.chars += sum(map(len, new))
+        self.chars += sum(map(len, absent))
 
 
 def _byte_characters() -> dict[str, int]:

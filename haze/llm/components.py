@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.llm.common import written
+from haze.llm.common import release, written
 
 
 def _stars(e: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def _stars(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (two columns of one type): root is the least node it reaches."""
+    """(node, root) for every node of ``links`` (two columns of one type): root is the least node it reaches. A written table."""
     x, y = links.columns[:2]
     e = written(links.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a <> b").distinct(), "links")
     was = None
@@ -36,6 +36,10 @@ def components(links: DataFrame) -> DataFrame:
         if was == now or not now[0]:
             break
         was = now
-        e = written(_stars(e), "stars")
+        following = written(_stars(e), "stars")
+        release(e)
+        e = following
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = written(roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    release(e)
+    return out

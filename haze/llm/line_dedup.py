@@ -4,9 +4,15 @@ Pages are grouped by site (host). For each line of a site, the number of its
 pages that contain the line is divided by the number of all its pages; a
 line above the boilerplate ratio, on ``min_pages`` pages or more, goes from
 every page of that site. Exact copies of a page count once, so that a group
-of copies doesn't turn its own lines into boilerplate. Near copies count once
-too where a table says which pages they are (``groups``, as of the n-gram
-join): such a group is one page of its site, with the lines of all its members.
+of copies doesn't turn its own lines into boilerplate.
+
+With ``near`` that holds for near copies too, by votes: a page's windows are the five words
+after each sign of punctuation or line end, and its three keys are the least
+hashes of its windows by three hash families (the hash of its text if it has none). Pages that share most
+of their text share most keys. A line has as many votes in a family as its pages have
+different keys, and must pass both bounds in two families of three: one alone
+could be ruled by a window of the boilerplate itself, whose hash happens to be the least
+on all pages. Of a group of near copies nearly all have the same keys, so they vote about once.
 
 DataFrame functions only. Lines are counted trimmed, by two 64-bit hashes; the
 counts are pre-aggregated before every shuffle, so that a site with a third
@@ -35,6 +41,10 @@ from haze.llm.common import packed, pick, positions, unpacked, written
 RATIO = 0.1
 #: ... if at least so many pages carry it.
 MIN_PAGES = 3
+#: The five words after a sign or at the start of a line. Words past 40 characters part windows, so that the search is linear in the text.
+WINDOW = r"(?:^|[.,;:!?\n])\s{0,8}+(\S{1,40}+(?:\s{1,8}+\S{1,40}+){4})"
+#: Hash families of a page's keys; a line needs the votes of more than half of them.
+FAMILIES = 3
 #: What is trimmed from a line before it is compared.
 BLANKS = " \t\r"
 
@@ -51,45 +61,41 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _grouped(pages: DataFrame, groups: DataFrame, site: str, text: str, doc_id: str) -> DataFrame:
-    """(site, p1, p2, lines): pages by their group if they have one; lines are hashes, so that no text is shuffled."""
-    filled = F.filter(F.transform(_lines(F.col("text")), _trimmed), lambda x: x != "")
-    hashed = F.transform(filled, lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("line2")))
-    own = pick(pages, site=site, text=text, doc_id=doc_id).where(F.col("text").isNotNull()).select(
-        F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), F.xxhash64("text").alias("p1"),
-        F.xxhash64(F.lit(1), "text").alias("p2"), F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("_key"),
-        F.array_distinct(hashed).alias("lines"))
-    joined = own.join(groups, F.col("_key") == F.col("row_key"), "left")
-    return written(joined.select("site", F.coalesce("group", "p1").alias("p1"),
-                                 F.when(F.col("group").isNull(), F.col("p2")).otherwise(F.lit(0)).alias("p2"), "lines"), "pages")
+def _keys(text: Column) -> list[Column]:
+    """The least hash of a text's windows by each family."""
+    windows = F.regexp_extract_all(text, F.lit(WINDOW), F.lit(1))
+
+    def least(family: int) -> Column:
+        return F.array_min(F.transform(windows, lambda w: F.xxhash64(F.lit(family), w)))
+
+    return [F.coalesce(least(k), F.xxhash64(text)).alias(f"k{k}") for k in range(FAMILIES)]
 
 
 def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES, groups: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """(site, dropped): the keys of the lines to drop, for each site that has any. ``groups``: (row_key, group) of the
-    pages that count as one, by the 64-bit hash of ``doc_id`` and text."""
-    if groups is None:
-        p = pick(pages, site=site, text=text).where(F.col("text").isNotNull()).select(
-            F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), "text",
-            F.xxhash64("text").alias("p1"), F.xxhash64(F.lit(1), "text").alias("p2"))
-        line = p.select("site", "p1", "p2", F.explode(_lines(F.col("text"))).alias("x")).withColumn("x", _trimmed(F.col("x"))).where("x <> ''")
-        lines = line.select("site", "p1", "p2", F.xxhash64("x").alias("line"), F.xxhash64(F.lit(1), "x").alias("line2"))
-    else:
-        p = _grouped(pages, groups, site, text, doc_id)
-        lines = p.select("site", "p1", "p2", F.inline("lines"))
-    on = (lines.distinct()  # copies of a page count once
-          .groupBy("site", "line", "line2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+                min_pages: int = MIN_PAGES, near: bool = False) -> DataFrame:
+    """(site, dropped): the keys of the lines to drop, for each site that has any; ``near``: near copies vote once."""
+    p = pick(pages, site=site, text=text).where(F.col("text").isNotNull()).select(
+        F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), "text",
+        F.xxhash64("text").alias("p1"), F.xxhash64(F.lit(1), "text").alias("p2"))
+    votes = [f"k{k}" for k in range(FAMILIES)] if near else ["p1", "p2"]
+    own = p.select("site", *(_keys(F.col("text")) if near else votes), F.explode(_lines(F.col("text"))).alias("x"))
+    own = own.withColumn("x", _trimmed(F.col("x"))).where("x <> ''")
+    lines = own.select("site", *votes, F.xxhash64("x").alias("line"), F.xxhash64(F.lit(1), "x").alias("line2")).distinct()  # copies of a page count once
     total = written(p.select("site", "p1", "p2").distinct().groupBy("site").agg(F.count("*").alias("pages")), "sites")
-    return (on.join(total, "site").where(F.col("n") > F.col("pages") * F.lit(ratio))
+    counts = [F.count_distinct(k) for k in votes] if near else [F.count("*")]
+    on = lines.groupBy("site", "line", "line2").agg(*(c.alias(f"n{i}") for i, c in enumerate(counts)))
+    passed = [((F.col(f"n{i}") >= min_pages) & (F.col(f"n{i}") > F.col("pages") * F.lit(ratio))).cast("int") for i in range(len(counts))]
+    least = F.greatest(*(F.col(f"n{i}") for i in range(len(counts)))) if len(counts) > 1 else F.col("n0")
+    return (on.where(least >= min_pages).join(total, "site").where(2 * sum(passed[1:], passed[0]) > len(counts))
             .groupBy("site").agg(F.collect_list("line").alias("dropped")))
 
 
 def dedup_lines(pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES, with_counts: bool = False, groups: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``pages`` with the boilerplate lines of their site taken out of ``text``; ``groups`` as for
+                min_pages: int = MIN_PAGES, with_counts: bool = False, near: bool = False) -> DataFrame:
+    """The rows of ``pages`` with the boilerplate lines of their site taken out of ``text``; ``near`` as for
     ``boilerplate``; ``with_counts`` adds ``_n_lines`` and ``_n_dropped`` at the end."""
     names = pages.columns
-    bad = written(boilerplate(pages, site, text, ratio, min_pages, groups, doc_id), "boilerplate")
+    bad = written(boilerplate(pages, site, text, ratio, min_pages, near), "boilerplate")
     rows = packed(pages, site=site, text=text).withColumn("site", F.coalesce(F.col("site").cast("string"), F.lit("")))
     rows = rows.join(bad.withColumnRenamed("site", "_site"), F.col("site") == F.col("_site"), "left")
     own = F.array_intersect(F.transform(_lines(F.col("text")), _key), "dropped")

@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.llm.common import WordHashes, arrow_map, blank_words, mix, packed, pick, rolling, unpacked, written
+from haze.llm.common import WordHashes, arrow_map, blank_words, mix, packed, pick, release, rolling, step, unpacked, written
 from haze.llm.components import components
 
 #: Members of a bucket that are compared pair by pair.
@@ -226,21 +226,12 @@ def _check(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             .where(F.col("i") * q >= (F.col("n") - F.col("i")) * p).select("x", "y"))
 
 
-def _step(df: DataFrame, name: str) -> DataFrame:
-    """``written``, and lets Spark drop the shuffle files of the step now: they go when the driver collects its garbage."""
-    import gc
-
-    out = written(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _rarest(sets: DataFrame, hot: DataFrame, p: int, q: int) -> DataFrame:
     """(item, d): the first shingles by frequency among the hot classes."""
     rows = sets.join(hot, "d", "left_semi").select("d", F.explode("items").alias("item"))
-    often = rows.groupBy("item").agg(F.count("*").alias("f"))
-    ordered = rows.join(often, "item").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("l"))
+    # a written table, so that the join splits frequent items
+    often = step(rows.groupBy("item").agg(F.count("*").alias("f")), "often")
+    ordered = rows.join(often.hint("merge"), "item").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("l"))
     size = F.size("l")
     first = F.slice("l", F.lit(1), (size - F.ceil(size * F.lit(p) / F.lit(q)) + 1).cast("int"))
     return ordered.select("d", F.explode(first).alias("e")).select(F.col("e.item").alias("item"), "d")
@@ -328,9 +319,9 @@ def _left_pairs(rows: pa.Table, p: int, q: int, forest: bool) -> pa.Table:
 def _large(keys: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The links with those that are left between members of large keys, (item, d, m), of unlike components."""
     mine = keys.groupBy("d").agg(F.sort_array(F.collect_set("item")).alias("mine"))  # part of a set's first shingles
-    rows = _step(keys.join(mine, "d").join(sketches, "d").select("item", "d", "m", "mine", "n", "sketch"), "keys")
+    rows = step(keys.join(mine, "d").join(sketches, "d").select("item", "d", "m", "mine", "n", "sketch"), "keys")
     for turn in range(ROUNDS + 1):
-        roots = written(components(links), "roots")
+        roots = components(links)
         at = rows.join(roots, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("root", "d"))
         open_keys = at.groupBy("item").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("item")
         at = at.join(open_keys, "item", "left_semi")
@@ -340,13 +331,19 @@ def _large(keys: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFra
         parts = parts.select("item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                        (F.col("own") > F.col("other")).cast("int").alias("side"), "d", "c", "n", "sketch", "mine")
         pairs = parts.groupBy("item", "i", "j").applyInArrow(_left_of(p, q, turn < ROUNDS), "x bigint, y bigint, cx bigint, cy bigint")
-        new = _step(pairs.distinct(), "left")
+        new = step(pairs.distinct(), "left")
         if not new.take(1):
+            release(new, roots)
             break
-        links = _step(links.union(_check(new.select("x", "y"), sets, p, q)).distinct(), "links")
+        more = step(links.union(_check(new.select("x", "y"), sets, p, q)).distinct(), "links")
+        release(links)
+        links = more
         # what the sketches leave stays the same, so only components that had something left can have more
         live = new.select(F.col("cx").alias("c")).union(new.select(F.col("cy").alias("c"))).distinct()
-        rows = _step(at.join(live, "c", "left_semi").select("item", "d", "m", "mine", "n", "sketch"), "keys")
+        left = step(at.join(live, "c", "left_semi").select("item", "d", "m", "mine", "n", "sketch"), "keys")
+        release(rows, new, roots)
+        rows = left
+    release(rows)
     return links
 
 
@@ -359,32 +356,37 @@ def linked_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_i
     # every signature is dealt to its task once; the minima and the members are taken from that
     sigs = _signatures(rows, n, p, q).repartition("sig")
     many = sigs.groupBy("sig").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1")
-    members = _step(sigs.join(many.hint("shuffle_hash"), "sig").select("sig", "d").distinct(), "members")
+    alike = step(sigs.join(many.hint("shuffle_hash"), "sig").select("sig", "d").distinct(), "alike")
     # copies are gone now, so that m counts unlike sets
-    large = members.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > SMALL)
-    members = _step(members.join(large, "sig", "left").select("sig", "d", F.coalesce("m", F.lit(0)).alias("m")), "members")
+    large = alike.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > SMALL)
+    members = step(alike.join(large, "sig", "left").select("sig", "d", F.coalesce("m", F.lit(0)).alias("m")), "members")
+    release(alike)
     cand = members.select("d").distinct().join(own.groupBy("d").agg(F.min("row_key").alias("row_key")), "d")
-    cand = _step(cand, "classes")
+    cand = step(cand, "classes")
     # the candidates grow with the documents: they are never broadcast, however few they are
     texts = rows.select("row_key", "text").join(cand.hint("merge"), "row_key").select("d", "text")
     sets = _items(texts, n)
     if own.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").take(1):
         sets = sets.dropDuplicates(["d"])  # rows that are equal in id and text
-    sets = _step(sets, "items")
-    sketches = _step(own.join(cand.select("d").distinct(), "d", "left_semi").groupBy("d").agg(
+    sets = step(sets, "items")
+    sketches = step(own.join(cand.select("d").distinct(), "d", "left_semi").groupBy("d").agg(
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     near = _pairs(members.where(F.col("m") <= SMALL), "sig")
     hot = members.where(F.col("m") > LARGE).select("d").distinct()
-    rare = _step(_rarest(sets, hot, p, q), "rarest")
+    rare = step(_rarest(sets, hot, p, q), "rarest")
     size = rare.groupBy("item").agg(F.count("*").alias("m")).where("m > 1")
-    keyed = _step(rare.join(size, "item"), "keyed")
-    pairs = near.union(_pairs(keyed.where(F.col("m") <= SMALL), "item")).distinct()
-    links = _step(_check(_step(_possible(_step(pairs, "near"), sketches, p, q), "pairs"), sets, p, q), "links")
+    keyed = step(rare.join(size, "item"), "keyed")
+    near = step(near.union(_pairs(keyed.where(F.col("m") <= SMALL), "item")).distinct(), "near")
+    pairs = step(_possible(near, sketches, p, q), "pairs")
+    links = step(_check(pairs, sets, p, q), "links")
+    release(rare, near, pairs)
     some = members.where((F.col("m") > SMALL) & (F.col("m") <= LARGE)).select(F.col("sig").alias("item"), "d", "m")
     blocks = keyed.where(F.col("m") > SMALL).select("item", "d", "m").union(some)
     if blocks.take(1):
         links = _large(blocks, links, sketches, sets, p, q)
-    return own, written(components(links), "roots")
+    roots = components(links)
+    release(links, members, keyed, cand, sketches, sets)
+    return own, roots
 
 
 def join_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id",
@@ -401,16 +403,6 @@ def join_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_
         F.col("root").alias("class_id"))
 
 
-def groups(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_key, group) of the rows that links or equal sets of shingles join with rows of another id or text; row_key
-    is the 64-bit hash of id and text."""
-    own, roots = linked_classes(docs, n, p, q, doc_id, text)
-    rooted = own.where("d IS NOT NULL").join(roots, F.col("d") == F.col("node"), "left").select(
-        "row_key", F.coalesce("root", "d").alias("group"))
-    several = rooted.groupBy("group").agg(F.min("row_key").alias("k0"), F.max("row_key").alias("k1")).where("k0 <> k1").select("group")
-    return written(rooted.join(several, "group").select("row_key", "group").distinct(), "groups")
-
-
 def keep_one(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but one of each component: that with the least id stays (ids that are null come
     last), and one row of those that are equal in id and text. Rows without shingles all stay."""

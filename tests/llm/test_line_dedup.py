@@ -46,3 +46,31 @@ def test_native_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_near_copies_vote_once_and_need_no_python(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [" ".join(word() for _ in range(12)) + "." for _ in range(20)]
+    rows = [(i, "menu\n" + "\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(4)), "a") for i in range(30)]
+    for i in range(60):  # two of 240 words changed: a shingle similarity above 0.9
+        own = [line.split(" ") for line in base]
+        for _ in range(2):
+            own[rng.randrange(20)][rng.randrange(11)] = word()
+        rows.append((100 + i, "\n".join(["menu", *map(" ".join, own)]), "a"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, near=True).collect()}
+    assert all(out[i] == text.removeprefix("menu\n") for i, text, _ in rows)
+    alone = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert len(alone[100]) < len(out[100]) / 2
+    plan = line_dedup.dedup_lines(df, near=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_votes_of_odd_texts(spark):
+    rows = [(0, None, "a"), (1, "", "a"), (2, "a,b;c" * 200_000, "a"), (3, "x " * 300_000, None), *((10 + i, f"menu\nline {i}", "b") for i in range(5))]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), near=True).collect()}
+    assert out[0] is None and out[1] == "" and len(out[2]) == 1_000_000 and len(out[3]) == 600_000 and out[10] == "line 0"
+    assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA), near=True).collect() == []

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers as P
 import tiktoken
+import xxhash
 
 import corpus_pipeline
 from haze.llm import language_id, line_dedup
@@ -46,14 +47,28 @@ def kept_by_language(spark, rows):
     return kept
 
 
+def hashed(family, text):
+    """Spark's xxhash64 of a 32-bit integer and a string, or of the string alone."""
+    seed = 42 if family is None else xxhash.xxh64_intdigest(family.to_bytes(4, "little"), 42)
+    h = xxhash.xxh64_intdigest(text.encode(), seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def vote_keys(text):
+    windows = re.findall(line_dedup.WINDOW, text, re.ASCII)
+    return [min((hashed(k, w) for w in windows), default=None) if windows else hashed(None, text) for k in range(line_dedup.FAMILIES)]
+
+
 def without_boilerplate(rows, ratio=0.1, least=3):
-    pages, on = defaultdict(set), defaultdict(set)
+    pages, on = defaultdict(set), defaultdict(lambda: [set() for _ in range(line_dedup.FAMILIES)])
     for _, text, _, source, _ in rows:
         pages[source].add(text)
+        keys = vote_keys(text)
         for line in text.split("\n"):
             if line.strip(" \t\r"):
-                on[source, line.strip(" \t\r")].add(text)
-    bad = {k for k, v in on.items() if len(v) >= least and len(v) > ratio * len(pages[k[0]])}
+                for votes, key in zip(on[source, line.strip(" \t\r")], keys):
+                    votes.add(key)
+    bad = {k for k, v in on.items() if sum(len(x) >= least and len(x) > ratio * len(pages[k[0]]) for x in v) >= 2}
     out = []
     for d, text, lang, source, _ in rows:
         text = "\n".join(x for x in text.split("\n") if (source, x.strip(" \t\r")) not in bad)

@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet to the shared folder and read again as the next one's docs.
 
 1. language_id: rows without letters or without a likely language go.
-2. line_dedup: boilerplate lines of a site go from its texts; ``n_chars`` follows. Documents that the next
-   stage would link as they are count as one page, so that near copies don't vote their own lines out.
+2. line_dedup: boilerplate lines of a site go from its texts; ``n_chars`` follows. Near copies vote about once,
+   so that they don't vote their own lines out.
 3. ngram_join: of documents that five-word shingles link at a Jaccard similarity
    of 0.8 or more, the one with the least id stays.
 4. decontaminate: documents that hold a benchmark window of ten words go.
@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, groups=ngram_join.groups(docs, **NEAR))
+    out = line_dedup.dedup_lines(docs, near=True)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

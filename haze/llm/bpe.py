@@ -61,16 +61,16 @@ def load_ranks(path: str) -> bytes:
 class Remembered(dict):
     """Ids of pre-tokens as 32-bit integers, in two generations; a new one starts when the younger is full."""
 
-    def __init__(self, merge):
+    def __init__(self, merge, limit: int):
         super().__init__()
-        self.merge, self.older = merge, {}
+        self.merge, self.limit, self.older = merge, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
         got = self.older.get(piece)
         if got is None:
             got = array("i", self.merge(piece.encode())).tobytes()
         if len(piece) < 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[piece] = got
@@ -80,7 +80,7 @@ class Remembered(dict):
 class Codec:
     """Encoder and decoder for one vocabulary; one for each Python worker."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, remembered: int = REMEMBERED):
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
@@ -93,6 +93,8 @@ class Codec:
         newer = f"[{NEWER_LETTERS}{NEWER_NUMBERS}]"
         exact = plain.replace(r"[^\p{White_Space}\p{L}\p{N}]+", r"(?:\p{NEW}|[^\p{White_Space}\p{L}\p{N}])+")
         exact = exact.replace(r" ?\p{L}+", rf" ?(?:(?!{newer})\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?!{newer})\p{{N}})+")
+        if r"\p{" in pattern and any(x not in exact for x in (r"\p{NEW}", rf"(?!{newer})\p{{L}}", rf"(?!{newer})\p{{N}}")):
+            raise ValueError("a pattern that this split of newer letters doesn't know")
         self.plain, self.exact = regex.compile(plain), regex.compile(exact.replace(r"\p{NEW}", newer))
         self.newer = regex.compile(newer)
         # the rank queue, empty between pre-tokens: places by rank, and the ranks in use as bits of words of 256
@@ -103,7 +105,7 @@ class Codec:
         self.joined = {a << 20 | b: rank for token, rank in self.ranks.items() for i in range(1, len(token))
                        if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None}
         self.heads = [self.ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-        self.remembered = Remembered(self.merge)
+        self.remembered = Remembered(self.merge, remembered)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -209,8 +211,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(rank_file: bytes, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
+def codec(rank_file: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(rank_file, pattern, remembered)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -251,13 +253,13 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...]
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id",
-               with_ids: bool = False) -> DataFrame:
+               with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text encoded, and its ids decoded, in one pass;
-    ``with_ids`` adds ``token_ids``."""
+    ``with_ids`` adds ``token_ids``; ``remembered`` bounds the memory of a worker, the results are the same."""
     file = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = codec(file.value, pattern)
+        own = codec(file.value, pattern, remembered)
         arrays = [own.encode(t or "") for t in batch.column(1).to_pylist()]
         decoded = pa.array([own.decode(a) for a in arrays], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists(arrays), decoded], names=["doc_id", "token_ids", "decoded"])

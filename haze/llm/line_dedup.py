@@ -61,14 +61,17 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _keys(text: Column) -> list[Column]:
-    """The least hash of a text's windows by each family."""
-    windows = F.regexp_extract_all(text, F.lit(WINDOW), F.lit(1))
-
-    def least(family: int) -> Column:
-        return F.array_min(F.transform(windows, lambda w: F.xxhash64(F.lit(family), w)))
-
-    return [F.coalesce(least(k), F.xxhash64(text)).alias(f"k{k}") for k in range(FAMILIES)]
+def _voters(pages: DataFrame) -> DataFrame:
+    """(site, k0, k1, ..., lines) of (site, text), written: a page's keys are found once, not for each line and family."""
+    found = pages.withColumn("windows", F.regexp_extract_all("text", F.lit(WINDOW), F.lit(1)))
+    none = F.struct(*[F.lit(None).cast("bigint").alias(f"k{k}") for k in range(FAMILIES)])
+    least = F.aggregate("windows", none, lambda a, w: F.struct(
+        *[F.least(a[f"k{k}"], F.xxhash64(F.lit(k), w)).alias(f"k{k}") for k in range(FAMILIES)]))
+    keys = found.select("site", "text", least.alias("keys"))
+    filled = F.filter(F.transform(_lines(F.col("text")), _trimmed), lambda x: x != "")
+    hashed = F.transform(filled, lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("line2")))
+    return written(keys.select("site", *[F.coalesce(F.col(f"keys.k{k}"), F.xxhash64("text")).alias(f"k{k}") for k in range(FAMILIES)],
+                               F.array_distinct(hashed).alias("lines")), "voters")
 
 
 def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO,
@@ -77,10 +80,14 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", rati
     p = pick(pages, site=site, text=text).where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site"), "text",
         F.xxhash64("text").alias("p1"), F.xxhash64(F.lit(1), "text").alias("p2"))
-    votes = [f"k{k}" for k in range(FAMILIES)] if near else ["p1", "p2"]
-    own = p.select("site", *(_keys(F.col("text")) if near else votes), F.explode(_lines(F.col("text"))).alias("x"))
-    own = own.withColumn("x", _trimmed(F.col("x"))).where("x <> ''")
-    lines = own.select("site", *votes, F.xxhash64("x").alias("line"), F.xxhash64(F.lit(1), "x").alias("line2")).distinct()  # copies of a page count once
+    if near:
+        votes = [f"k{k}" for k in range(FAMILIES)]
+        lines = _voters(p).select("site", *votes, F.inline("lines"))
+    else:
+        votes = ["p1", "p2"]
+        line = p.select("site", *votes, F.explode(_lines(F.col("text"))).alias("x")).withColumn("x", _trimmed(F.col("x"))).where("x <> ''")
+        lines = line.select("site", *votes, F.xxhash64("x").alias("line"), F.xxhash64(F.lit(1), "x").alias("line2"))
+    lines = lines.distinct()  # copies of a page count once
     total = written(p.select("site", "p1", "p2").distinct().groupBy("site").agg(F.count("*").alias("pages")), "sites")
     counts = [F.count_distinct(k) for k in votes] if near else [F.count("*")]
     on = lines.groupBy("site", "line", "line2").agg(*(c.alias(f"n{i}") for i, c in enumerate(counts)))

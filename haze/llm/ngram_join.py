@@ -202,10 +202,13 @@ def _pairs(members: DataFrame, key: str) -> DataFrame:
 
 def _possible(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs that the sketches don't rule out: sizes and parities differ by no more than linked sets may."""
-    a = sketches.select(F.col("d").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-    b = sketches.select(F.col("d").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-    both = pairs.join(a, "x").join(b, "y").withColumn("k", F.floor((F.col("nx") + F.col("ny")) * (q - p) / (q + p)))
-    both = both.where(F.abs(F.col("nx") - F.col("ny")) <= F.col("k"))
+    # sizes rule pairs out before sketches move
+    one, two = (sketches.select(F.col("d").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
+    near = pairs.join(one, "x").join(two, "y").withColumn("k", F.floor((F.col("nx") + F.col("ny")) * (q - p) / (q + p)))
+    near = near.where(F.abs(F.col("nx") - F.col("ny")) <= F.col("k")).select("x", "y", "k")
+    a = sketches.select(F.col("d").alias("x"), F.col("sketch").alias("sx"))
+    b = sketches.select(F.col("d").alias("y"), F.col("sketch").alias("sy"))
+    both = near.join(a, "x").join(b, "y")
     size = F.least(F.size("sx"), F.size("sy"))
 
     def folded(s: str):  # the parities of a sketch of twice the size, as one of this size

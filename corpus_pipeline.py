@@ -23,6 +23,8 @@ from haze.llm.common import table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Near copies: five-word shingles at a Jaccard similarity of 0.8.
+#: Pre-tokens that a worker remembers: fewer than in a job of its own, as workers stay for the other stages.
+REMEMBERED = 100_000
 NEAR = {"n": 5, "p": 80, "q": 100}
 
 
@@ -44,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", drop_boilerplate), ("ngram_join", drop_near_duplicates),

@@ -138,6 +138,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     One aggregate computes each unordered pair once; a single ``stack``
     projection emits both orders and the unit diagonal.
     """
+    df = df.select(*[_number(c).alias(c) for c in cols])  # NaN is missing
     aggs = [F.expr(f"corr(`{a}`, `{b}`)").alias(f"c{i}_{j}")
             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     wide = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("_n"))
@@ -150,8 +151,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _bounds(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo__{c}") for c in cols],
-                  *[F.max(F.col(c).cast("double")).alias(f"hi__{c}") for c in cols])
+    return df.agg(*[F.min(_number(c)).alias(f"lo__{c}") for c in cols], *[F.max(_number(c)).alias(f"hi__{c}") for c in cols])
 
 
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -190,10 +190,8 @@ def kde(df: DataFrame, cols: list[str], grid: int = 50, bins: int = 512) -> Data
     per column whatever the row count; the bin/grid pairing is a
     fixed-size explode on each (small) bin row, never a cross join of data.
     """
-    stats = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo__{c}") for c in cols],
-                   *[F.max(F.col(c).cast("double")).alias(f"hi__{c}") for c in cols],
-                   *[F.stddev_samp(F.col(c).cast("double")).alias(f"sd__{c}") for c in cols],
-                   *[F.count(F.col(c)).alias(f"n__{c}") for c in cols])
+    stats = df.agg(*[F.min(_number(c)).alias(f"lo__{c}") for c in cols], *[F.max(_number(c)).alias(f"hi__{c}") for c in cols],
+                   *[F.stddev_samp(_number(c)).alias(f"sd__{c}") for c in cols], *[F.count(_number(c)).alias(f"n__{c}") for c in cols])
     per_col = stats.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"lo__{c}").alias("lo"), F.col(f"hi__{c}").alias("hi"),
                  F.col(f"sd__{c}").alias("sd"), F.col(f"n__{c}").alias("n")) for c in cols])).alias("s")).select("s.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haze.operators import clean, explain, forecast, learn, profile, series
@@ -17,7 +17,7 @@ from haze.schemas import AIR_MEASURES, WEATHER_MEASURES
 from haze.session import scratch_path
 from haze.sources import files, fs, payload
 from haze.sources.store import FeatureTable
-from haze.streaming.jobs import feature_increment
+from haze.streaming.jobs import with_history
 
 
 # ------------------------------------------------------------------ P1 hourly ingest
@@ -39,21 +39,42 @@ def landed_today(spark: SparkSession, air_landing: str, weather_landing: str, as
     return clean.drop_missing(raw, ["pm2_5", "pm10"])
 
 
+def _first_hours(raw: FeatureTable) -> str:
+    return f"{raw.path}/_first_hours"
+
+
+def note_cities(raw: FeatureTable, rows: DataFrame) -> None:
+    """Keeps the first stored hour of every city beside the raw table: a row for a new city, or one whose first hour is older now."""
+    spark, path = raw.spark, _first_hours(raw)
+    first = rows.groupBy("city").agg(F.min("timestamp").alias("first"))
+    if fs.has_rows(spark, path):
+        known = spark.read.parquet(path).groupBy("city").agg(F.min("first").alias("known"))
+        first = first.join(known, "city", "left").where(F.col("known").isNull() | (F.col("first") < F.col("known"))).drop("known")
+    first.write.mode("append").parquet(path)
+
+
 def stored_history(raw: FeatureTable, before: dt.datetime, cities: DataFrame, n: int, days: int = 3) -> DataFrame:
     """Scored raw rows before ``before`` that hold the last ``n`` of every city of ``cities`` (column ``city``).
 
     Reads the last ``days`` dates, a bound on the table's partitions, and twice as many again
-    until each city has ``n`` rows there or the table has no older date.
+    until each city has ``n`` rows there or no older one: by its first stored hour
+    (``note_cities``), so that a new city doesn't read the table back to its start.
     """
     oldest = raw.first_date()
+    path = _first_hours(raw)
+    own = cities.select("city").distinct()
+    if fs.has_rows(raw.spark, path):
+        own = own.join(raw.spark.read.parquet(path).groupBy("city").agg(F.min("first").alias("first")), "city", "left")
+    else:
+        own = own.withColumn("first", F.lit(None).cast("timestamp_ntz"))
     while True:
         start = before - dt.timedelta(days=days)
         rows = clean.drop_missing(clean.with_aqi(raw.read(start, before - dt.timedelta(microseconds=1))), ["AQI"])
         if oldest is None or start.date() <= oldest:
             return rows
         counts = rows.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
-        short = cities.select("city").distinct().join(counts, "city", "left").where(F.coalesce("n", F.lit(0)) < n)
-        if not short.take(1):
+        older = F.col("first").isNull() | (F.col("first") < F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
+        if not own.where(older).join(counts, "city", "left").where(F.coalesce("n", F.lit(0)) < n).take(1):
             return rows
         days *= 2
 
@@ -61,32 +82,53 @@ def stored_history(raw: FeatureTable, before: dt.datetime, cities: DataFrame, n:
 def hourly_ingest(spark: SparkSession, air_landing: str, weather_landing: str, raw_sink: str,
                   table: FeatureTable, as_of: dt.datetime, history: DataFrame | None = None,
                   history_rows: int = 24, whole_file: bool = True, source_tz: str = "UTC") -> dict:
-    """Landed payloads -> today's rows -> keyed raw sink -> AQI -> features -> keyed append.
-
-    The raw sink keeps each key once, however often an hour is landed. The
-    features of a run are computed on the stored rows from the run's first
-    hour on, preceded by the last ``history_rows`` valid rows of each city
-    before it (from the raw sink, or ``history`` where a caller has scored rows
-    of its own), so they equal a full recomputation over all stored rows
-    without fill, and a run reads a few dates, not the history.
+    """Landed payloads -> today's rows -> keyed raw sink -> AQI -> features -> keyed append, and replaced rows.
+
+    The raw sink keeps each key once, however often an hour is landed. Only
+    hours that it didn't have yet are worked on (``fresh``), with the stored rows of their cities from the first of
+    them on, preceded by the last ``history_rows`` valid rows of each city (from the raw sink, or ``history``
+    where a caller has scored rows of its own). A fresh hour changes its own row and the next ``history_rows`` of its
+    city: rows of these that earlier runs have stored are replaced, date by date, so that the table
+    equals a full recomputation over all stored rows without fill in whatever order hours land.
+    A run reads from its first fresh hour on, a few dates unless an old hour is landed.
     """
     raw = files.raw_table(spark, raw_sink)
-    staged_path = scratch_path(spark, "ingest")
+    staged_path, fresh_path, changed_path = (scratch_path(spark, n) for n in ("ingest", "fresh", "changed"))
     landed = landed_today(spark, air_landing, weather_landing, as_of, whole_file, source_tz)
     landed.write.parquet(staged_path)
     batch = spark.read.schema(landed.schema).parquet(staged_path)
     first, last, rows, cities = batch.agg(F.min("timestamp"), F.max("timestamp"), F.count(F.lit(1)),
                                           F.approx_count_distinct("city")).first()
-    summary = {"first": first, "last": last, "rows": rows, "cities": cities, "raw_written": 0, "written": 0}
+    summary = {"first": first, "last": last, "rows": rows, "cities": cities, "raw_written": 0, "written": 0, "replaced": 0}
     if first is not None:
-        summary["raw_written"] = raw.append(batch)
-        scored = clean.drop_missing(clean.with_aqi(raw.read(first)), ["AQI"])
-        before = history if history is not None else stored_history(raw, first, batch, history_rows)
-        summary["written"] = feature_increment(scored, before, table, history_rows)
-    fs.delete(spark, staged_path)
+        raw.new_rows(batch).write.parquet(fresh_path)
+        fresh = spark.read.schema(batch.schema).parquet(fresh_path)
+        since = fresh.agg(F.min("timestamp")).first()[0]
+        if since is not None:
+            summary["raw_written"] = raw.append(fresh)
+            note_cities(raw, fresh)
+            before = history if history is not None else stored_history(raw, since, fresh, history_rows)
+            changed_rows(raw.read(since), before, fresh, history_rows).write.parquet(changed_path)
+            changed = spark.read.parquet(changed_path)
+            summary["written"] = table.append(changed.where("_fresh").drop("_fresh"))
+            summary["replaced"] = table.replace(changed.where("NOT _fresh").drop("_fresh"))
+    for path in (staged_path, fresh_path, changed_path):
+        fs.delete(spark, path)
     return summary
 
 
+def changed_rows(stored: DataFrame, before: DataFrame, fresh: DataFrame, n: int) -> DataFrame:
+    """Features of the rows that ``fresh`` hours change, with ``_fresh``: those hours and the next ``n`` valid rows of their
+    cities. ``stored``: raw rows from the first fresh hour on; ``before``: scored ones before it."""
+    own = fresh.select("city").distinct()
+    scored = clean.drop_missing(clean.with_aqi(stored), ["AQI"]).join(own, "city", "left_semi")
+    keys = fresh.select("city", "timestamp").distinct().withColumn("_new", F.lit(True))
+    feats = series.full_features(with_history(scored, before.join(own, "city", "left_semi"), n), fill="none").where(~F.col("_hist"))
+    marked = feats.join(keys, ["city", "timestamp"], "left").withColumn("_fresh", F.coalesce("_new", F.lit(False)))
+    reach = Window.partitionBy("city").orderBy("timestamp").rowsBetween(-n, Window.currentRow)
+    return marked.withColumn("_near", F.max("_fresh").over(reach)).where("_near").drop("_hist", "_new", "_near")
+
+
 def backfill_features(spark: SparkSession, raw: DataFrame, table: FeatureTable, split_rows: int | None = None) -> int:
     """Historical backfill: RAW history -> AQI -> features -> keyed append. Returns the number of rows written.
 

@@ -179,6 +179,7 @@ def q_json_weather_scan(spark, sf):
 
 _RUNS = (dt.datetime(2024, 1, 15, 18, 30), dt.datetime(2024, 1, 16, 6, 30), dt.datetime(2024, 1, 16, 14, 30), dt.datetime(2024, 1, 16, 18, 10))
 _RUN_FIRST = "2024-01-14 19:00:00"
+_SECOND_DAY = "2024-01-15 19:00:00"
 
 
 def _runs_sql() -> str:
@@ -206,6 +207,27 @@ def q_ingest_three_runs(spark, sf):
     return _out(t.read().join(keys.where(F.col("copies") == 1), ["timestamp", "city"]))
 
 
+@query("ingest_late_hours", _runs_sql())
+def q_ingest_late_hours(spark, sf):
+    """A quarter of the hours, and half of those of one city, land after runs that have stored later ones: the feature
+    table equals one full recomputation all the same."""
+    from haze.plans import jobs
+
+    air, weather, raw = (scratch_path(spark, n) for n in ("late-air", "late-weather", "late-raw"))
+    rows, hour = common.air(spark, sf), F.hour(F.col("timestamp").cast("timestamp"))
+    late = (hour % 4 == 2) | ((F.col("city") == "s1") & (hour % 4 == 3))
+    second = F.col("timestamp") >= F.lit(_SECOND_DAY).cast("timestamp_ntz")
+    _weather_payloads(spark, sf).write.text(weather)
+    t = FeatureTable(spark, scratch_path(spark, "late-features"))
+    for part, runs in ((~late, _RUNS[:1]), (late & ~second, _RUNS[:3]), (late & second, _RUNS[3:])):
+        payload.build_payloads(rows.where(part), AIR_MEASURES).write.mode("append").text(air)
+        for as_of in runs:
+            jobs.hourly_ingest(spark, air, weather, raw, t, as_of, whole_file=False)
+    if not fs.has_rows(spark, t.path):
+        return _out(common.features(spark, sf).limit(0))
+    return _out(t.read())
+
+
 @query("store_append_dupes", FULL_CTES + _stored_sql())
 def q_store_append_dupes(spark, sf):
     """A batch that holds every row twice, appended twice: each key is stored once."""

@@ -14,8 +14,12 @@ the scan as partition filters on ``event_date`` plus row-group filters on
 there is a table comes from the file system; a table that can't be read is an
 error, never an empty one.
 
-A single writer per table is assumed (no transactional table format is
-available); partitions are only ever appended.
+``replace`` takes the place of stored rows: the touched dates are read,
+merged with the new rows, staged, and swapped by dynamic partition overwrite;
+no other date is read or written. The staged rows are complete before a date is
+swapped, so a run that fails can be repeated.
+
+A single writer per table is assumed (no transactional table format is available).
 """
 
 from __future__ import annotations
@@ -169,6 +173,34 @@ class FeatureTable:
         finally:
             fs.delete(self.spark, staging)
 
+    def replace(self, df: DataFrame, default_city: str = "Unknown") -> int:
+        """Keyed upsert: rows take the place of those stored under their key, or are added; returns their number.
+
+        Only the dates that ``df`` has are read and written again."""
+        self.create()
+        staging, merged = (f"{self.path}/_staging-{uuid.uuid4().hex[:12]}" for _ in range(2))
+        batch = self.conform(df, default_city).where(F.col(self.event_time).isNotNull())
+        try:
+            dedup_first(batch, self.primary_key).write.parquet(staging)
+            staged = self.spark.read.schema(batch.schema).parquet(staging)
+            dated = staged.withColumn("event_date", F.to_date("timestamp"))
+            lo, hi, n = dated.agg(F.min("event_date"), F.max("event_date"), F.count(F.lit(1))).first()
+            if not n:
+                return 0
+            rows = staged
+            if fs.has_rows(self.spark, self.path):
+                # a bound on the partitions, then just the dates of the batch
+                stored = self._scan().where((F.col("event_date") >= F.lit(lo)) & (F.col("event_date") <= F.lit(hi)))
+                stored = stored.join(dated.select("event_date").distinct(), "event_date", "left_semi")
+                rows = stored.join(staged.select(*self.primary_key), self.primary_key, "left_anti").drop("event_date").unionByName(
+                    staged, allowMissingColumns=True)
+            rows.write.parquet(merged)
+            _write_partitioned(self.spark.read.schema(rows.schema).parquet(merged), self.path, "overwrite", dynamic=True)
+            return n
+        finally:
+            for folder in (staging, merged):
+                fs.delete(self.spark, folder)
+
     def recreate(self, df: DataFrame, force: bool = False) -> DataFrame:
         """Drop and rewrite the table; requires explicit opt-in."""
         if not force:
@@ -194,7 +226,8 @@ def _naive(t) -> dt.datetime:
     return t
 
 
-def _write_partitioned(df: DataFrame, path: str, mode: str) -> None:
-    """Rows dealt out by (event date, city), each file sorted by city then time."""
+def _write_partitioned(df: DataFrame, path: str, mode: str, dynamic: bool = False) -> None:
+    """Rows dealt out by (event date, city), each file sorted by city then time; ``dynamic`` overwrites only the dates of ``df``."""
     (df.withColumn("event_date", F.to_date("timestamp")).repartition("event_date", "city")
-       .sortWithinPartitions("event_date", "city", "timestamp").write.mode(mode).partitionBy("event_date").parquet(path))
+       .sortWithinPartitions("event_date", "city", "timestamp").write.mode(mode)
+       .option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy("event_date").parquet(path))

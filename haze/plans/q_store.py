@@ -298,3 +298,58 @@ def q_daily_alerts(spark, sf):
     from haze.streaming.jobs import daily_alerts
 
     return rounded(daily_alerts(common.scored(spark, sf)))
+
+
+_FEATURE_PARTS = ("timestamp < TIMESTAMP_NTZ '2024-01-10 06:00:00' AND NOT {held}",
+                  "timestamp >= TIMESTAMP_NTZ '2024-01-10 06:00:00' AND timestamp < TIMESTAMP_NTZ '2024-01-21 00:00:00' AND NOT {held}",
+                  "timestamp >= TIMESTAMP_NTZ '2024-01-20 00:00:00' OR {held}")
+_HELD = "(city = 's1' AND hour(timestamp) = 5 AND day(timestamp) >= 9 AND day(timestamp) <= 12)"
+
+
+@query("stream_features", _inc_sql())
+def q_stream_features(spark, sf):
+    """Three landings, each with a new start of the stream; the last one has a day again and hours of one city that are older
+    than its state: the feature table equals a full recomputation without fill."""
+    from haze.streaming.stateful import feature_stream
+
+    src, ck, raw_sink = (scratch_path(spark, n) for n in ("features-src", "features-ckpt", "features-raw"))
+    rows = common.raw(spark, sf).select(*RAW_ORDER)
+    raw, table = files.raw_table(spark, raw_sink), FeatureTable(spark, scratch_path(spark, "features-table"))
+    for part in _FEATURE_PARTS:
+        rows.where(part.format(held=_HELD)).write.mode("append").parquet(src)
+        feature_stream(spark, spark.readStream.schema(rows.schema).parquet(src), raw, table, ck).awaitTermination()
+    return _out(table.read())
+
+
+_SIDES_SQL = with_ctes(BASE[0], AIR, WEATHER) + f"""
+, w AS (SELECT * FROM weather WHERE hour(timestamp) % 7 <> 3),
+closed AS (SELECT least((SELECT max(timestamp) FROM air), (SELECT max(timestamp) FROM w)) - INTERVAL 2 DAY AS until)
+SELECT coalesce(a.timestamp, w.timestamp) AS timestamp, coalesce(a.city, w.city) AS city,
+       CASE WHEN w.city IS NULL THEN 'air' WHEN a.city IS NULL THEN 'weather' ELSE 'both' END AS side,
+       {', '.join(R(c) for c in AIR_MEASURES + WEATHER_MEASURES)}
+FROM air a FULL JOIN w ON a.city = w.city AND a.timestamp = w.timestamp, closed
+WHERE (a.city IS NOT NULL AND w.city IS NOT NULL) OR coalesce(a.timestamp, w.timestamp) <= until"""
+
+
+@query("stream_join", _SIDES_SQL)
+def q_stream_join(spark, sf):
+    """Air and weather land in turns, either first, and the stream starts anew each time; some weather hours never come. Matched
+    hours are in the raw table, those that the watermark has passed without their other side in the other one."""
+    from haze.streaming.stateful import joined_stream, unmatched_table
+
+    air, weather, raw, alone, ck = (scratch_path(spark, n) for n in ("join-air", "join-weather", "join-raw", "join-alone", "join-ckpt"))
+    a, w = common.air(spark, sf), common.weather(spark, sf).withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
+    w, ts = w.where("hour(timestamp) % 7 <> 3"), F.col("timestamp")
+    day = lambda x: F.lit(f"2024-01-{x} 00:00:00").cast("timestamp_ntz")
+    for weather_part, air_part in ((ts < day(14), None), (None, ts < day(25)), (ts >= day(14), ts >= day(25))):
+        for rows, part, measures, land in ((w, weather_part, WEATHER_MEASURES, weather), (a, air_part, AIR_MEASURES, air)):
+            fs.make(spark, land)  # both folders are there before either side lands
+            if part is not None:
+                payload.build_payloads(rows.where(part), measures).write.mode("append").text(land)
+        joined_stream(spark, air, weather, raw, alone, ck, whole_file=False).awaitTermination()
+    measures = [*AIR_MEASURES, *WEATHER_MEASURES]
+    both = files.raw_table(spark, raw).read().withColumn("side", F.lit("both"))
+    out = both.select("timestamp", "city", "side", *measures)
+    if fs.has_rows(spark, alone):
+        out = out.union(unmatched_table(spark, alone).read().select(*out.columns))
+    return rounded(out)

@@ -49,6 +49,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """The folder, if it isn't there."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

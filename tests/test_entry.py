@@ -11,7 +11,7 @@ FAST = ["daily_aqi", "aqi_overall", "air_weather_join", "quality_audit", "full_f
         "store_append", "feature_increment", "time_split", "stream_daily_alerts", "daily_alerts", "ingest_three_runs",
         "store_append_dupes", "stream_ingest", "json_weather_scan", "describe_skewed", "box_stats", "kde", "band_legend",
         "correlation_matrix", "augment", "hash_sample", "fixed_sample", "mean_abs_importance", "top_features", "dedup_first",
-        "new_rows_only", "row_positions", "moving_average", "fill_both", "recent_trend", "last_row", "aqi_long_rangejoin",
+        "new_rows_only", "stream_join", "stream_features", "row_positions", "moving_average", "fill_both", "recent_trend", "last_row", "aqi_long_rangejoin",
         "user_full_features", "user_store_append", "user_time_split", "user_tail_rows", "user_forecast_inputs",
         "order_series_features", "latest_model", "metrics_table"]
 

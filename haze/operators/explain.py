@@ -10,7 +10,7 @@ rows x orders x (features + 1) inputs in total.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haze.schemas import RANDOM_STATE, TOP_K
@@ -84,46 +84,62 @@ def local_surrogate(sample: DataFrame, model, features: list[str], n_samples: in
     (row_id, feature, contribution = coefficient * (x - mean)).
 
     Perturbations are normal noise from a hash of row and draw, scaled by the
-    feature's std, and scored in one batch; each row's fit is a small
-    weighted least squares in ``applyInPandas`` (n_samples x features).
+    feature's std, and scored in one batch. The fit's sufficient statistics, sums of weighted products of the
+    noise and the prediction, are one grouped aggregate, combined before the shuffle; the equations of each row,
+    features + 1, are solved by elimination in column expressions. A feature without spread contributes 0.
     """
-    import numpy as np
-    import pandas as pd
-
     from haze.operators.learn import _assembled, normal_noise
 
     nf = len(features)
-    kw = kernel_width or float(np.sqrt(nf) * 0.75)
+    if n_samples <= nf + 1:
+        raise ValueError(f"{n_samples} draws can't fit {nf} features and a constant")
+    kw = kernel_width or (nf ** 0.5) * 0.75
     st = sample.agg(*[F.avg(F.col(c).cast("double")).alias(f"_mu_{c}") for c in features],
                     *[F.coalesce(F.stddev_samp(F.col(c).cast("double")), F.lit(0.0)).alias(f"_sd_{c}")
                       for c in features])
     rows = sample.select(F.col(row_id), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
     s = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s")
     st_row = st.first().asDict()  # one aggregate row (2 x len(features) numbers) inlined as literals
-    g = rows.select("*", s).withColumns({k: F.lit(v).cast("double") for k, v in st_row.items()})
+    mean = {c: F.lit(st_row[f"_mu_{c}"]).cast("double") for c in features}
+    spread = {c: F.lit(st_row[f"_sd_{c}"]).cast("double") for c in features}
     draw = F.concat_ws("|", F.col(row_id).cast("string"), F.col("s").cast("string"))
-    pert = {c: F.when(F.col("s") == 0, F.col(c)).otherwise(
-        F.col(c) + F.col(f"_sd_{c}") * normal_noise(draw, f"{seed}:{j}")) for j, c in enumerate(features)}
-    z2 = sum(F.pow(F.try_divide(pert[c] - F.col(c), F.col(f"_sd_{c}")), 2) for c in features)
-    perturbed = g.select(row_id, "s", *[v.alias(c) for c, v in pert.items()],
-                         *[F.col(f"_mu_{c}") for c in features], F.coalesce(z2, F.lit(0.0)).alias("_z2"))
-    scored = model.transform(_assembled(perturbed, features, label=None)).select(
-        row_id, "s", *features, *[f"_mu_{c}" for c in features], "_z2", "prediction")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(dtype=float)
-        y = pdf["prediction"].to_numpy(dtype=float)
-        wts = np.exp(-pdf["_z2"].to_numpy(dtype=float) / (kw * kw))
-        xm = np.column_stack([np.ones(len(x)), x])
-        sw = np.sqrt(wts)[:, None]
-        coef, *_ = np.linalg.lstsq(xm * sw, y * sw[:, 0], rcond=None)
-        x0 = pdf.loc[pdf["s"] == 0, features].to_numpy(dtype=float)[0]
-        mu = np.array([pdf[f"_mu_{c}"].iloc[0] for c in features], dtype=float)
-        contrib = coef[1:] * (x0 - mu)
-        return pd.DataFrame({row_id: pdf[row_id].iloc[0], "feature": features, "contribution": contrib})
-
-    schema = f"{row_id} long, feature string, contribution double"
-    return scored.groupBy(row_id).applyInPandas(fit, schema=schema)
-
-
-__all__ = ["mean_abs_importance", "top_features", "leave_one_out", "shapley_values", "local_surrogate"]
+    noise = [F.when((F.col("s") == 0) | (spread[c] == 0), 0.0).otherwise(normal_noise(draw, f"{seed}:{j}")).alias(f"_z{j}")
+             for j, c in enumerate(features)]
+    drawn = rows.select("*", s).select("*", *noise)
+    away = [F.try_divide(F.col(c) - mean[c], spread[c]) for c in features]  # how many spreads the row is from the mean
+    perturbed = drawn.select(row_id, F.array(*away).alias("_away"), *[F.col(f"_z{j}") for j in range(nf)],
+                             *[(F.col(c) + spread[c] * F.col(f"_z{j}")).alias(c) for j, c in enumerate(features)])
+    z = [F.col(f"_z{j}") for j in range(nf)]
+    terms = [F.lit(1.0), *z, F.col("prediction")]
+    weight = F.exp(-sum(v * v for v in z) / F.lit(kw * kw))
+    scored = (model.transform(_assembled(perturbed, features, label=None)).withColumn("_w", weight)
+                   .select(row_id, "_away", *[(F.col("_w") * terms[i] * terms[j]).alias(f"_m{i}_{j}")
+                                              for i in range(nf + 1) for j in range(i, nf + 2)]))
+    sums = scored.groupBy(row_id).agg(F.any_value("_away").alias("_away"), *[
+        F.sum(f"_m{i}_{j}").alias(f"_m{i}_{j}") for i in range(nf + 1) for j in range(i, nf + 2)])
+    equations = F.array(*[F.array(*[F.col(f"_m{min(i, j)}_{max(i, j)}") for j in range(nf + 2)]) for i in range(nf + 1)])
+    solved = sums.select(row_id, "_away", solve(equations, nf + 1).alias("_b"))
+    names = F.array(*[F.lit(c) for c in features])
+    parts = F.arrays_zip(names.alias("feature"), F.slice("_b", 2, nf).alias("b"), F.col("_away").alias("away"))
+    return solved.select(row_id, F.explode(parts).alias("_p")).select(
+        row_id, F.col("_p.feature").alias("feature"), F.coalesce(F.col("_p.b") * F.col("_p.away"), F.lit(0.0)).alias("contribution"))
+
+
+def solve(equations: Column, n: int) -> Column:
+    """Solution of ``n`` symmetric equations (rows of ``n`` factors and the right side) by Gauss-Jordan elimination; an unknown
+    whose pivot vanishes beside the first factor, as that of a constant, is 0."""
+    def step(m: Column, k: Column) -> Column:
+        own = F.element_at(m, k)
+        pivot = F.element_at(own, k)
+        least = F.abs(F.element_at(F.element_at(equations, 1), 1)) * F.lit(1e-12)
+        scaled = F.transform(own, lambda v: F.try_divide(v, pivot))
+        cleared = F.transform(m, lambda row, i: F.when(i + 1 == k, scaled).otherwise(
+            F.zip_with(row, scaled, lambda a, b: a - F.element_at(row, k) * b)))
+        void = F.transform(m, lambda row, i: F.when(i + 1 == k, F.array_repeat(F.lit(0.0), n + 1)).otherwise(row))
+        return F.when(F.abs(pivot) > least, cleared).otherwise(void)
+
+    done = F.reduce(F.sequence(F.lit(1), F.lit(n)), equations, step)
+    return F.transform(done, lambda row: F.element_at(row, n + 1))
+
+
+__all__ = ["mean_abs_importance", "top_features", "leave_one_out", "shapley_values", "local_surrogate", "solve"]

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haze.functions.aqi import overall_aqi
-from haze.operators import explain, forecast, learn, series
+from haze.operators import explain, forecast, learn, series, treeshap
 from haze.plans import common
 from haze.plans.catalog import R, query, rounded
 from haze.plans.oracle_base import BASE, SCORED, band_sql, d, local_sql, overall_sql, with_ctes
@@ -274,6 +274,19 @@ def q_shapley(spark, sf):
                                           (F.abs(F.col("s") - (F.col("predicted_aqi") - F.lit(reference))) < 1e-6).alias("adds_up"))
 
 
+@query("tree_shapley", FULL_CTES + f"SELECT city, timestamp, {len(MODEL_FEATURES)} AS n_features, true AS adds_up FROM feat")
+def q_tree_shapley(spark, sf):
+    """Exact values for every row: the trees' leaves give them, the model's own prediction is what they must add up to."""
+    model, _ = _fitted_forest(spark, sf)
+    leaves = treeshap.model_leaves(spark, model, len(MODEL_FEATURES))
+    f = common.features(spark, sf)
+    contrib = treeshap.tree_shapley(f, model, MODEL_FEATURES, ["city", "timestamp"], leaves)
+    sums = contrib.groupBy("city", "timestamp").agg(F.sum("contribution").alias("s"), F.count(F.lit(1)).cast("int").alias("n_features"))
+    at = learn.score(f, model, MODEL_FEATURES, keep=["city", "timestamp"])
+    adds_up = F.abs(F.col("s") + F.lit(leaves.expected) - F.col("predicted_aqi")) < 1e-6
+    return sums.join(at, ["city", "timestamp"]).select("city", "timestamp", "n_features", adds_up.alias("adds_up"))
+
+
 class LinearPredictor:
     """A known linear function with the interface of a fitted model, for checking explanations."""
 

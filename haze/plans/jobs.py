@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haze.operators import clean, explain, forecast, learn, profile, series
+from haze.operators import clean, explain, forecast, learn, profile, series, treeshap
 from haze.schemas import AIR_MEASURES, WEATHER_MEASURES
 from haze.session import scratch_path
 from haze.sources import files, fs, payload
@@ -236,12 +236,16 @@ def profile_report(raw: DataFrame, cols: list[str] | None = None) -> dict[str, D
 
 def influence_report(features: DataFrame, model, feature_cols: list[str], out_csv: str | None = None,
                      method: str = "shapley", n: int | None = 100, seed: int = 42) -> DataFrame:
-    """Mean |contribution| per feature on a fixed-size hashed sample (``n=None``: all rows); optional CSV sink."""
+    """Mean |contribution| per feature on a fixed-size hashed sample (``n=None``: all rows); optional CSV sink.
+
+    ``method``: ``shapley`` (sampled orders, any model), ``exact`` (tree models) or ``surrogate``."""
     sample = features.withColumn("row_id", learn.row_key(["city", "timestamp"], seed))
     if n is not None:
         sample = learn.fixed_sample(sample, n, F.col("row_id"), ["city", "timestamp"])
     if method == "shapley":
         contrib = explain.shapley_values(sample, model, feature_cols, seed=seed)
+    elif method == "exact":
+        contrib = treeshap.tree_shapley(sample, model, feature_cols, ["row_id"])
     else:
         contrib = explain.local_surrogate(sample, model, feature_cols, seed=seed)
     imp = explain.mean_abs_importance(contrib)

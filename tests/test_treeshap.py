@@ -77,3 +77,13 @@ def test_models_beyond_the_broadcast_bound_are_refused(spark, data, monkeypatch)
     monkeypatch.setattr(treeshap, "MAX_LEAF_BYTES", 100)
     with pytest.raises(ValueError, match="bytes of leaves"):
         treeshap.model_leaves(spark, model, 8)
+
+
+def test_influence_report_of_exact_values(spark, data):
+    from haze.plans import jobs
+
+    model = models()["tree"].fit(learn._assembled(data, NAMES))
+    rows = data.withColumn("city", treeshap.F.lit("c")).withColumn("timestamp", treeshap.F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(row AS INT))"))
+    report = jobs.influence_report(rows, model, NAMES, method="exact", n=None).collect()
+    want = np.abs(treeshap.contributions(np.array([[r[c] for c in NAMES] for r in data.collect()]), treeshap.model_leaves(spark, model, 8))).mean(axis=0)
+    assert {r["feature"]: r["importance"] for r in report} == pytest.approx(dict(zip(NAMES, want)))

@@ -317,7 +317,7 @@ def q_stream_features(spark, sf):
     raw, table = files.raw_table(spark, raw_sink), FeatureTable(spark, scratch_path(spark, "features-table"))
     for part in _FEATURE_PARTS:
         rows.where(part.format(held=_HELD)).write.mode("append").parquet(src)
-        feature_stream(spark, spark.readStream.schema(rows.schema).parquet(src), raw, table, ck).awaitTermination()
+        feature_stream(spark, spark.readStream.schema(rows.schema).parquet(src), raw, table, ck, partitions=8).awaitTermination()
     return _out(table.read())
 
 
@@ -346,7 +346,7 @@ def q_stream_join(spark, sf):
             fs.make(spark, land)  # both folders are there before either side lands
             if part is not None:
                 payload.build_payloads(rows.where(part), measures).write.mode("append").text(land)
-        joined_stream(spark, air, weather, raw, alone, ck, whole_file=False).awaitTermination()
+        joined_stream(spark, air, weather, raw, alone, ck, whole_file=False, partitions=8).awaitTermination()
     measures = [*AIR_MEASURES, *WEATHER_MEASURES]
     both = files.raw_table(spark, raw).read().withColumn("side", F.lit("both"))
     out = both.select("timestamp", "city", "side", *measures)

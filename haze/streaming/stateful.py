@@ -12,6 +12,7 @@ so a batch that is run again after a failure adds nothing. State is kept by Spar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from haze.streaming.jobs import EPOCH_NTZ, instant_to_ntz, ntz_to_instant
 
 PLACE = ["latitude", "longitude"]
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,6 +38,20 @@ def staged(rows: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame,
     return spark.read.schema(rows.schema).parquet(path), path
 
 
+@contextmanager
+def starting(spark: SparkSession, settings: dict[str, str | int | None]) -> Iterator[None]:
+    """Settings that a query reads when it starts (None: as they are), put back afterwards."""
+    wanted = {k: str(v) for k, v in settings.items() if v is not None}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # ---------------------------------------------------------------- D1 / J1a
 def unmatched_table(spark: SparkSession, path: str) -> FeatureTable:
     """Hours of one side only: ``side`` (air or weather) and that side's measures."""
@@ -44,13 +60,14 @@ def unmatched_table(spark: SparkSession, path: str) -> FeatureTable:
 
 
 def joined_stream(spark: SparkSession, air_landing: str, weather_landing: str, raw_sink: str, unmatched_sink: str,
-                  checkpoint: str, wait: str = "2 days", whole_file: bool = True, source_tz: str = "UTC"):
+                  checkpoint: str, wait: str = "2 days", whole_file: bool = True, source_tz: str = "UTC", partitions: int | None = None):
     """Start the join of both landing folders (availableNow trigger); returns the StreamingQuery.
 
     Each side's first copy of a (city, hour) is joined with the other's, whichever lands first. The watermark is that of the
     side that is behind, less ``wait``, and moves in runs that have new files of both: join and copies keep state for hours after it
     only, however long the stream runs. An hour that it passes without its other side goes to ``unmatched_sink``; one that lands behind it is left
     to the batch job, which reads the landing folders whole (``jobs.hourly_ingest``), and an hour found in both tables is matched.
+    ``partitions`` of the state are fixed by the first start (default: the session's shuffle partitions).
     """
     def side(landing: str, measures: list[str], prefix: str) -> DataFrame:
         texts = spark.readStream.format("text").option("wholetext", whole_file).load(landing)
@@ -73,7 +90,8 @@ def joined_stream(spark: SparkSession, air_landing: str, weather_landing: str, r
         unmatched.append(kept.where("side <> 'both'"))
         fs.delete(spark, path)
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with starting(spark, {PARTITIONS: partitions}):
+        return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # ---------------------------------------------------------------- J1b
@@ -112,13 +130,13 @@ class LastRows(StatefulProcessor):
 
 
 def feature_stream(spark: SparkSession, raw_rows: DataFrame, raw: FeatureTable, table: FeatureTable, checkpoint: str,
-                   n: int = HISTORY_ROWS):
+                   n: int = HISTORY_ROWS, partitions: int | None = None):
     """Start J1b over a stream of raw rows (availableNow trigger); returns the StreamingQuery.
 
     The last ``n`` valid rows of each city are the query's state, so lags and rolling statistics of new hours need no read of
     the stored table. Rows go to ``raw`` too, a key once. For a city with a row that isn't newer than its state, the
     rows that it changes are made again from ``raw`` (``jobs.changed_rows``) and replaced, so the feature table equals a full
-    recomputation without fill in whatever order hours come. Rows without an index are left out.
+    recomputation without fill in whatever order hours come. Rows without an index are left out. ``partitions``: as in ``joined_stream``.
     """
     measures = [*PLACE, *BASE_FEATURES]
     us = F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col("timestamp"))
@@ -136,12 +154,8 @@ def feature_stream(spark: SparkSession, raw_rows: DataFrame, raw: FeatureTable,
         write_features(spark, kept, raw, table, n)
         fs.delete(spark, path)
 
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKS_DB)  # read when the query starts
-    try:
+    with starting(spark, {STATE_STORE: ROCKS_DB, PARTITIONS: partitions}):
         return with_state.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(STATE_STORE, before)
 
 
 def write_features(spark: SparkSession, kept: DataFrame, raw: FeatureTable, table: FeatureTable, n: int) -> None:

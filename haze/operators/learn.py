@@ -187,13 +187,19 @@ def gbt_regressor(kind: str = "shallow", seed: int = RANDOM_STATE):
                         validationIndicatorCol="is_val", validationTol=0.001)
 
 
+def _validates(estimator) -> bool:
+    """Whether an estimator asks for validation rows."""
+    if hasattr(estimator, "hasParam"):
+        return estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol")
+    return getattr(estimator, "validates", False)
+
+
 def fit_and_evaluate(train: DataFrame, test: DataFrame, features: list[str], estimator, name: str,
                      val_fraction: float = 0.1):
     """Fit on ``train`` (its time-ordered tail is the validation slice when the
     estimator asks for one) and evaluate on ``test``. Returns (model, metrics DataFrame)."""
     tr = _assembled(train, features)
-    if getattr(estimator, "hasParam", None) and estimator.hasParam("validationIndicatorCol") \
-            and estimator.isSet("validationIndicatorCol"):
+    if _validates(estimator):
         since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp"))
         cutoff = train.select(F.percentile_approx(since,
                                                   1.0 - val_fraction, 10000)).first()[0]

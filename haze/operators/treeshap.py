@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haze.operators.boost import BoostedTrees
 from haze.session import scratch_path
 from haze.sources import fs
 
@@ -46,7 +47,9 @@ class Leaves:
 
 
 def tree_nodes(spark: SparkSession, model) -> pd.DataFrame:
-    """A row for each node of a Spark ML tree, forest or boosted model: (tree, id, prediction, cover, left, right, feature, threshold, categories)."""
+    """A row for each node of a tree, forest or boosted model: (tree, id, prediction, cover, left, right, feature, threshold, categories)."""
+    if isinstance(model, BoostedTrees):
+        return model.nodes()
     path = scratch_path(spark, "model")
     model.write().save(path)
     try:
@@ -65,7 +68,7 @@ def tree_nodes(spark: SparkSession, model) -> pd.DataFrame:
 def _weights(model) -> list[float]:
     """The weight of each tree: boosted models add their trees up, forests take the mean."""
     weights = list(getattr(model, "treeWeights", [1.0]))
-    return weights if type(model).__name__.startswith("GBT") else [1.0 / len(weights)] * len(weights)
+    return weights if type(model).__name__.startswith(("GBT", "Boosted")) else [1.0 / len(weights)] * len(weights)
 
 
 def model_leaves(spark: SparkSession, model, n_features: int) -> Leaves:

@@ -8,11 +8,12 @@ the driver are scalars (time bounds, metrics rows, registry rows).
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haze.operators import clean, explain, forecast, learn, profile, series, treeshap
+from haze.operators import boost, clean, explain, forecast, learn, profile, series, treeshap
 from haze.schemas import AIR_MEASURES, WEATHER_MEASURES
 from haze.session import scratch_path
 from haze.sources import files, fs, payload
@@ -143,9 +144,11 @@ def backfill_features(spark: SparkSession, raw: DataFrame, table: FeatureTable,
 # ------------------------------------------------------------------ P2 training
 def training_run(spark: SparkSession, table: FeatureTable, model_dir: str, registry_path: str,
                  sample_frac: float | None = None, augment_std: float = 0.0, seed: int = 42,
-                 features: list[str] | None = None, metrics_path: str | None = None) -> DataFrame:
+                 features: list[str] | None = None, metrics_path: str | None = None, best_first: bool = True) -> DataFrame:
     """Scan -> sample -> augment -> temporal split -> fit three models -> metrics -> register all + best.
 
+    The boosted models are those of ``boost``, or with ``best_first=False`` Spark's level-wise trees, which know no flat rounds.
+
     Every model is written once, to ``<name>/v<version>``, before its registry row; the metrics of each run are
     appended to ``metrics_path`` (by default ``metrics`` beside the models)."""
     df = table.training_set()
@@ -159,8 +162,8 @@ def training_run(spark: SparkSession, table: FeatureTable, model_dir: str, regis
     train = idx.where(F.col("split") == "train").persist()
     test = idx.where(F.col("split") == "test").persist()
     candidates = [("aqi_random_forest", learn.forest_regressor(seed)),
-                  ("aqi_lightgbm", learn.gbt_regressor("shallow", seed)),
-                  ("aqi_xgboost", learn.gbt_regressor("deep", seed))]
+                  ("aqi_lightgbm", boost.leafwise() if best_first else learn.gbt_regressor("shallow", seed)),
+                  ("aqi_xgboost", boost.depthwise() if best_first else learn.gbt_regressor("deep", seed))]
     rows = []
     for name, est in candidates:
         model, m = learn.fit_and_evaluate(train, test, feats, est, name)
@@ -183,15 +186,14 @@ def training_run(spark: SparkSession, table: FeatureTable, model_dir: str, regis
 
 
 def load_model(path: str):
-    """Load a saved Spark ML regression model of any of the three kinds."""
-    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-
-    for cls in (RandomForestRegressionModel, GBTRegressionModel):
-        try:
-            return cls.load(path)
-        except Exception:  # wrong class for this directory
-            continue
-    raise ValueError(f"no model at {path}")
+    """Load a saved model by the class that its metadata names; a folder that can't be read is an error."""
+    from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel
+
+    known = {c.__name__: c for c in (DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel, boost.BoostedTrees)}
+    named = json.loads(SparkSession.active().read.text(f"{path}/metadata").first()[0])["class"].rsplit(".", 1)[-1]
+    if named not in known:
+        raise ValueError(f"{path} holds a {named}")
+    return known[named].load(path)
 
 
 def best_registered(spark: SparkSession, registry_path: str, names: list[str] | None = None):

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haze.functions.aqi import overall_aqi
-from haze.operators import explain, forecast, learn, series, treeshap
+from haze.operators import boost, explain, forecast, learn, series, treeshap
 from haze.plans import common
 from haze.plans.catalog import R, query, rounded
 from haze.plans.oracle_base import BASE, SCORED, band_sql, d, local_sql, overall_sql, with_ctes
@@ -220,6 +220,57 @@ def q_train_gbt_deep(spark, sf):
     return _train(spark, sf, learn.gbt_regressor("deep"), "BoostedDeep")[1]
 
 
+@query("train_boosted_leafwise", _fold_sql("BoostedLeafwise"))
+def q_train_boosted_leafwise(spark, sf):
+    return _train(spark, sf, boost.leafwise(), "BoostedLeafwise")[1]
+
+
+@query("train_boosted_depthwise", _fold_sql("BoostedDepthwise"))
+def q_train_boosted_depthwise(spark, sf):
+    return _train(spark, sf, boost.depthwise(), "BoostedDepthwise")[1]
+
+
+STUMP_ROUNDS = 3
+
+
+def _stumps_sql() -> str:
+    """Boosting of stumps spelled out: quantile cuts by rank, whole-number residuals, the largest gain of each round."""
+    long = " UNION ALL ".join(f"SELECT i, {f} AS f, coalesce({c}, {d(0.0)}) AS x FROM tr" for f, c in enumerate(MODEL_FEATURES))
+    one = d(float(2 ** 30))
+    ctes = [f"""numbered AS (SELECT *, row_number() OVER (ORDER BY timestamp, city) - 1 AS i, COUNT(*) OVER () AS n_all FROM feat),
+tr AS (SELECT * FROM numbered WHERE i < n_all - n_all // 4),
+x AS ({long}),
+pos AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS rn, COUNT(*) OVER (PARTITION BY f) AS n FROM x),
+cut AS (SELECT DISTINCT f, x AS c FROM pos JOIN (SELECT range AS k FROM range(1, 255)) ON rn = CAST(ceil(CAST(k AS DOUBLE) / {d(255.0)} * CAST(n AS DOUBLE)) AS BIGINT)),
+y0 AS (SELECT i, AQI AS y, (SELECT avg(AQI) FROM tr) AS m FROM tr)"""]
+    for r in range(1, STUMP_ROUNDS + 1):
+        ctes.append(f"""g{r} AS (SELECT i, CAST(floor((y - m) * {one} + {d(0.5)}) AS BIGINT) AS g FROM y{r - 1}),
+s{r} AS (SELECT f, c, CAST(sum(g) FILTER (WHERE x <= c) AS DOUBLE) AS gl, CAST(coalesce(sum(g) FILTER (WHERE x > c), 0) AS DOUBLE) AS gr,
+           COUNT(*) FILTER (WHERE x <= c) AS nl, COUNT(*) FILTER (WHERE x > c) AS nr
+    FROM cut JOIN x USING (f) JOIN g{r} USING (i) GROUP BY f, c),
+b{r} AS (SELECT f, c, nl, nr, {d(0.1)} * gl / {one} / CAST(nl AS DOUBLE) AS lv, {d(0.1)} * gr / {one} / CAST(nr AS DOUBLE) AS rv
+    FROM s{r} WHERE nl >= 20 AND nr >= 20 ORDER BY gl * gl / CAST(nl AS DOUBLE) + gr * gr / CAST(nr AS DOUBLE) DESC, f, c LIMIT 1),
+y{r} AS (SELECT y.i, y.y, y.m + CASE WHEN x.x <= b.c THEN b.lv ELSE b.rv END AS m FROM y{r - 1} y JOIN x ON y.i = x.i JOIN b{r} b ON x.f = b.f)""")
+    names = ", ".join(f"'{c}'" for c in MODEL_FEATURES)
+    rows = " UNION ALL ".join(f"SELECT {r} AS round, list_extract([{names}], f + 1) AS feature, {R('c', 'threshold')}, nl AS n_left, nr AS n_right, "
+                              f"{R('lv', 'left_value')}, {R('rv', 'right_value')} FROM b{r}" for r in range(1, STUMP_ROUNDS + 1))
+    return FULL_CTES.rstrip() + ",\n" + ",\n".join(ctes) + "\n" + rows
+
+
+@query("boosted_stumps", _stumps_sql())
+def q_boosted_stumps(spark, sf):
+    """The splits and steps of the first rounds of trees with two leaves, on the training fold."""
+    tr, _ = _split(spark, sf)
+    model = boost.leafwise(rounds=STUMP_ROUNDS, max_leaves=2, validates=False).fit(learn._assembled(tr, MODEL_FEATURES))
+    nodes = spark.createDataFrame(model.nodes().drop(columns=["categories"]), boost.NODE_SCHEMA).where("tree > 0")
+    child = nodes.select("tree", "id", F.col("cover").cast("bigint").alias("n"), F.col("prediction").alias("value"))
+    left, right = (child.select("tree", F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("value").alias(f"{side}_value"))
+                   for side in ("left", "right"))
+    names = F.array(*[F.lit(c) for c in MODEL_FEATURES])
+    return rounded(nodes.where("left >= 0").join(left, ["tree", "left"]).join(right, ["tree", "right"]).select(
+        F.col("tree").alias("round"), names[F.col("feature")].alias("feature"), "threshold", "n_left", "n_right", "left_value", "right_value"))
+
+
 def _fitted_forest(spark, sf):
     """A forest fitted on the training fold, and the range of its labels, which bounds what a forest predicts."""
     tr, te = _split(spark, sf)

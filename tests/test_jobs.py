@@ -32,7 +32,7 @@ def test_ingest_train_forecast_end_to_end(spark):
     metrics = jobs.training_run(spark, t, base + "/models", base + "/registry").collect()
     assert len(metrics) == 3 and {r.version for r in metrics} == {1}
     assert spark.read.parquet(base + "/models/metrics").count() == 3
-    again = jobs.training_run(spark, t, base + "/models", base + "/registry").collect()
+    again = jobs.training_run(spark, t, base + "/models", base + "/registry", best_first=False).collect()
     assert {r.version for r in again} == {2} and spark.read.parquet(base + "/models/metrics").count() == 6
     for r in [*metrics, *again]:  # both runs' models are there
         assert r.path.endswith(f"/v{r.version}") and jobs.load_model(r.path) is not None
@@ -68,7 +68,7 @@ def test_training_run_on_a_sample(spark, monkeypatch):
     sampled = []
     whole = jobs.series.time_split
     monkeypatch.setattr(jobs.series, "time_split", lambda df, *a, **k: sampled.append(df) or whole(df, *a, **k))
-    metrics = jobs.training_run(spark, t, base + "/models", base + "/registry", sample_frac=0.5, seed=7).collect()
+    metrics = jobs.training_run(spark, t, base + "/models", base + "/registry", sample_frac=0.5, seed=7, best_first=False).collect()
     assert len(metrics) == 3 and all(r.n > 0 for r in metrics)
     rows, all_rows = ({(r.city, r.timestamp) for r in df.select("city", "timestamp").collect()} for df in (sampled[0], t.training_set()))
     own = {(c, x) for c, x in all_rows if int(hashlib.md5(f"7:{c}|{x:%Y-%m-%d %H:%M:%S}".encode()).hexdigest()[:8], 16) < 2 ** 31}

@@ -69,6 +69,23 @@ def q_store_append(spark, sf):
     return _out(t.read())
 
 
+@query("store_compact", FULL_CTES + """
+SELECT CAST(timestamp AS DATE) AS event_date, COUNT(*) AS rows, COUNT(DISTINCT city) AS cities, true AS was_many, 1 AS files
+FROM feat GROUP BY 1""")
+def q_store_compact(spark, sf):
+    """Appends of every third hour leave several files a date; compacted, each date has its rows in one."""
+    t = FeatureTable(spark, scratch_path(spark, "compact"))
+    f = common.features(spark, sf)
+    for third in range(3):
+        t.append(f.where(F.hour("timestamp") % 3 == third))
+    stored = lambda: spark.read.parquet(t.path).groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("city").alias("cities"), F.count_distinct("_metadata.file_path").cast("int").alias("files"))
+    before = stored().select("event_date", (F.col("files") > 1).alias("was_many")).collect()  # a row a date
+    t.compact()
+    return stored().join(spark.createDataFrame(before, "event_date date, was_many boolean"), "event_date").select(
+        "event_date", "rows", "cities", "was_many", "files")
+
+
 _NEW_CUT, _BATCH_FROM = "2024-01-20 12:00:00", "2024-01-15 00:00:00"
 
 

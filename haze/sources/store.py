@@ -19,6 +19,11 @@ merged with the new rows, staged, and swapped by dynamic partition overwrite;
 no other date is read or written. The staged rows are complete before a date is
 swapped, so a run that fails can be repeated.
 
+``compact`` writes the dates that hold many small files again, in as many
+files as their bytes ask for. Rows are staged and marked before a date is swapped;
+the next write repeats a swap that was broken off, before anything else, so no step
+that fails loses a row.
+
 A single writer per table is assumed (no transactional table format is available).
 """
 
@@ -36,6 +41,7 @@ from haze.schemas import FEATURES_STORED
 from haze.sources import fs
 
 META_FILE = "_haze_table.json"
+COMPACTED, READY = "_compacted-", "_READY"  # folders of staged rows, and what marks them as whole
 
 
 class FeatureTable:
@@ -159,6 +165,7 @@ class FeatureTable:
         go; the write itself counts them.
         """
         self.create()
+        self._recover()
         staging = f"{self.path}/_staging-{uuid.uuid4().hex[:12]}"
         batch = self.conform(df, default_city).where(F.col(self.event_time).isNotNull())
         try:
@@ -178,6 +185,7 @@ class FeatureTable:
 
         Only the dates that ``df`` has are read and written again."""
         self.create()
+        self._recover()
         staging, merged = (f"{self.path}/_staging-{uuid.uuid4().hex[:12]}" for _ in range(2))
         batch = self.conform(df, default_city).where(F.col(self.event_time).isNotNull())
         try:
@@ -201,6 +209,43 @@ class FeatureTable:
             for folder in (staging, merged):
                 fs.delete(self.spark, folder)
 
+    def compact(self, first: dt.date | None = None, last: dt.date | None = None, file_bytes: int = 128 << 20) -> int:
+        """Fewer files for the dates (of a range, each end optional and inclusive) that have more than one for each
+        ``file_bytes``; returns the number of dates written again.
+
+        Rows of a date are dealt to its files by a hash of their key, so a city with many rows fills all of them alike."""
+        self._recover()
+        todo = []
+        for entry in fs.listed(self.spark, self.path, "event_date=*"):
+            day = dt.date.fromisoformat(entry.name.partition("=")[2])
+            if (first is None or day >= first) and (last is None or day <= last):
+                sizes = [f.size for f in fs.listed(self.spark, entry.path, "*.parquet")]
+                wanted = max(1, -(-sum(sizes) // file_bytes))
+                if len(sizes) > wanted:
+                    todo.append((day, wanted))
+        if not todo:
+            return 0
+        rows = self.spark.read.option("mergeSchema", "true").parquet(self.path).where(F.col("event_date").isin([day for day, _ in todo]))
+        wanted = self.spark.createDataFrame(todo, "event_date date, _files bigint")
+        staged = f"{self.path}/{COMPACTED}{uuid.uuid4().hex[:12]}"
+        part = F.pmod(F.xxhash64(*self.primary_key), F.col("_files")).alias("_part")
+        rows.join(wanted, "event_date").select(*rows.columns, part).write.parquet(staged)
+        fs.write_text(self.spark, f"{staged}/{READY}", "")
+        self._swap(staged)
+        return len(todo)
+
+    def _swap(self, staged: str) -> None:
+        _write_partitioned(self.spark.read.parquet(staged), self.path, "overwrite", dynamic=True, part="_part")
+        fs.delete(self.spark, staged)
+
+    def _recover(self) -> None:
+        """Repeats the swap of a compaction that was broken off; staged rows that aren't whole are thrown away."""
+        for entry in fs.listed(self.spark, self.path, f"{COMPACTED}*"):
+            if fs.exists(self.spark, f"{entry.path}/{READY}"):
+                self._swap(entry.path)
+            else:
+                fs.delete(self.spark, entry.path)
+
     def recreate(self, df: DataFrame, force: bool = False) -> DataFrame:
         """Drop and rewrite the table; requires explicit opt-in."""
         if not force:
@@ -226,8 +271,8 @@ def _naive(t) -> dt.datetime:
     return t
 
 
-def _write_partitioned(df: DataFrame, path: str, mode: str, dynamic: bool = False) -> None:
-    """Rows dealt out by (event date, city), each file sorted by city then time; ``dynamic`` overwrites only the dates of ``df``."""
-    (df.withColumn("event_date", F.to_date("timestamp")).repartition("event_date", "city")
-       .sortWithinPartitions("event_date", "city", "timestamp").write.mode(mode)
-       .option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy("event_date").parquet(path))
+def _write_partitioned(df: DataFrame, path: str, mode: str, dynamic: bool = False, part: str = "city") -> None:
+    """Rows dealt out by (event date, ``part``), each file sorted by city then time; ``dynamic`` overwrites only the dates of ``df``."""
+    dealt = df.withColumn("event_date", F.to_date("timestamp")).repartition("event_date", part).sortWithinPartitions("event_date", "city", "timestamp")
+    (dealt.drop("_part").write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+     .partitionBy("event_date").parquet(path))

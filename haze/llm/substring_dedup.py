@@ -14,9 +14,11 @@ to the next, until no candidates survive:
    the one with the least id takes part; the others are covered as a whole.
 3. A window of twice the length is a candidate where both its halves have
    survived; its hash comes from theirs, so texts aren't read again. Levels go
-   on until none is left, and give the length of the longest repeat of a document
-   (``longest``). They don't change which words are covered, so they are left out
-   where that alone is asked for: the levels end at ``n``.
+   on until no candidate is left. Two halves that both start in earlier documents
+   leave their words to the level of twice the length, so that each level covers
+   the words of the passages that end at it; the levels together give the words
+   that go, and the last of them the length of a document's longest repeat
+   (``longest``).
 
 Every shuffle carries hashes and ids that are combined before it. A passage
 in a third of all documents is a key with one row for each of its windows and documents; such
@@ -85,7 +87,8 @@ _WINDOWS = "doc_id bigint, key bigint, place int, h bigint, g bigint"
 
 
 def _batches(parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows of _WINDOWS from (doc_id, key, places, h, g) of several documents."""
+    """Rows of _WINDOWS from (doc_id, key, places, h, g) of several documents. A place comes as twice itself, and 1 more where
+    both halves of the window have left it their words."""
     sizes = [len(p[2]) for p in parts]
     if not sum(sizes):
         return
@@ -118,19 +121,30 @@ def _windows(rows: DataFrame, n: int) -> DataFrame:
             at = np.searchsorted(alive, anchors)
             places = np.nonzero(alive[np.minimum(at, len(alive) - 1)] == anchors)[0]
             if len(places):
-                parts.append((ids[k], keys[k], places, *_hashes(words, places, n)))
+                parts.append((ids[k], keys[k], places * 2, *_hashes(words, places, n)))
         yield from _batches(parts)
 
     return arrow_map(rows, run, _WINDOWS)
 
 
+#: State of a window: it starts in an earlier document; it is to cover its words; it starts in several documents.
+LATER, COVERS, OPEN = 1, 2, 4
+
+
 def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places in order, hash and ``later`` of each row's windows; those of repeated rows count once."""
+    """Places in order, hash and state of each row's windows; those of repeated rows count once."""
     ends = column.offsets.to_numpy()
     place, h = column.values.field(0).to_numpy(), column.values.field(1).to_numpy()
     for i, j in zip(ends[:-1], ends[1:]):
         p, at = np.unique(place[i:j], return_index=True)
-        yield p >> 1, h[i:j][at].view(np.uint64), (p & 1).astype(bool)
+        yield p >> 3, h[i:j][at].view(np.uint64), p & 7
+
+
+def _pairs(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which places have another one ``length`` words later, and where that is."""
+    at = np.minimum(np.searchsorted(place, place + length), len(place) - 1)
+    both = np.nonzero(place[at] == place + length)[0]
+    return both, at[both]
 
 
 def _doubled(repeats: DataFrame, length: int) -> DataFrame:
@@ -140,46 +154,60 @@ def _doubled(repeats: DataFrame, length: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         parts = []
         ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for k, (place, h, _) in enumerate(_lists(batch.column(2))):
-            at = np.searchsorted(place, place + length)
-            both = np.nonzero(place[np.minimum(at, len(place) - 1)] == place + length)[0]
-            if len(both):
-                one, two = h[both], h[at[both]]
-                parts.append((ids[k], keys[k], place[both], mix(one * _FACTORS[0] + two), mix(two * _FACTORS[1] + one)))
+        for k, (place, h, state) in enumerate(_lists(batch.column(2))):
+            is_open = state & OPEN > 0
+            place, h, later = place[is_open], h[is_open], state[is_open] & LATER
+            first, second = _pairs(place, length)
+            if len(first):
+                one, two = h[first], h[second]
+                marked = place[first] * 2 + (later[first] & later[second])
+                parts.append((ids[k], keys[k], marked, mix(one * _FACTORS[0] + two), mix(two * _FACTORS[1] + one)))
         yield from _batches(parts)
 
     return arrow_map(repeats, run, _WINDOWS)
 
 
-def _repeats(windows: DataFrame, name: str) -> DataFrame:
-    """(doc_id, key, windows): those that start in several documents, as 2 * place and the hash; 1 is added to the first
-    where one of the documents has a smaller id."""
+def _repeats(windows: DataFrame, name: str, how: str = "left") -> DataFrame:
+    """(doc_id, key, windows): those that start in several documents or have words to cover, as 8 * place + state and the
+    hash."""
     least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     # both sides are written tables, so that the join splits the windows of a frequent passage
     least = step(least.drop("most"), "least")
-    hits = windows.join(least.hint("merge"), ["h", "g"])
-    place = F.col("place") * 2 + (F.col("least") < F.col("doc_id")).cast("int")
+    hits = windows.join(least.hint("merge"), ["h", "g"], how)
+    later, covers = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)), F.col("place").bitwiseAND(1) == 1
+    state = sum(F.when(c, bit).otherwise(0) for c, bit in ((later, LATER), (later | covers, COVERS), (F.col("least").isNotNull(), OPEN)))
+    hits = hits.where(F.col("least").isNotNull() | covers)
+    place = F.shiftright("place", 1) * 8 + state
     out = step(hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct(place.alias("place"), "h")).alias("windows")), name)
     release(least)
     return out
 
 
-def _spans(repeats: DataFrame, n: int) -> DataFrame:
-    """(doc_id, key, spans): the words that windows of an earlier document cover, as runs of word places."""
+def _ended(repeats: DataFrame, length: int) -> DataFrame:
+    """(doc_id, key, length, spans): whether windows of this length start in an earlier document (else 0), and the words that
+    this level covers, as runs of word places: those of windows whose words are not left to the level of twice the length."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        firsts, stops, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int32)], []
-        for place, _, later in _lists(batch.column(2)):
-            own = place[later].astype(np.int32)
-            cut = np.nonzero(np.diff(own) > n)[0]  # windows that touch cover one run
+        firsts, stops, sizes, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [], []
+        for place, _, state in _lists(batch.column(2)):
+            later = np.nonzero(state & LATER)[0]
+            covers = state & COVERS > 0
+            if len(later):
+                for half in _pairs(place[later], length):
+                    covers[later[half]] = False
+            own = place[covers].astype(np.int32)
+            cut = np.nonzero(np.diff(own) > length)[0]  # windows that touch cover one run
             firsts.append(own[np.r_[0, cut + 1]] if len(own) else own)
-            stops.append(own[np.r_[cut, len(own) - 1]] + np.int32(n) if len(own) else own)
+            stops.append(own[np.r_[cut, len(own) - 1]] + np.int32(length) if len(own) else own)
             sizes.append(len(firsts[-1]))
+            lengths.append(length if len(later) else 0)
         spans = pa.StructArray.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(stops))], names=["first", "stop"])
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), spans)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "key", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), lists],
+                                         names=["doc_id", "key", "length", "spans"])
 
-    return arrow_map(repeats, run, "doc_id bigint, key bigint, spans array<struct<first: int, stop: int>>").where(F.size("spans") > 0)
+    out = arrow_map(repeats, run, "doc_id bigint, key bigint, length bigint, spans array<struct<first: int, stop: int>>")
+    return out.where("length > 0 OR size(spans) > 0")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -187,12 +215,13 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("key2"), "text")
 
 
-def _longest(repeats: DataFrame, length: int) -> DataFrame:
-    """(doc_id, key, longest) by the levels above that of ``repeats``, whose table is released."""
-    levels = []
+def _levels(windows: DataFrame, n: int) -> DataFrame:
+    """(doc_id, key, longest, spans) by the levels from that of ``windows``, of ``n`` words, on; their table is released."""
+    levels, length = [], n
+    repeats = _repeats(windows, "repeats", "inner")  # no level before has left words to the first one
+    release(windows)
     while True:
-        later = F.exists("windows", lambda w: w["place"].bitwiseAND(1) == 1)
-        levels.append(step(repeats.where(later).select("doc_id", "key", F.lit(length).alias("length")), "level"))
+        levels.append(step(_ended(repeats, length), "level"))
         windows = step(_doubled(repeats, length), "windows")
         release(repeats)
         if not windows.take(1):
@@ -203,16 +232,17 @@ def _longest(repeats: DataFrame, length: int) -> DataFrame:
     found = levels[0]
     for level in levels[1:]:
         found = found.union(level)
-    out = step(found.groupBy("doc_id", "key").agg(F.max("length").cast("bigint").alias("longest")), "longest")
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    out = step(found.groupBy("doc_id", "key").agg(F.max("length").alias("longest"), spans.alias("spans")), "spans")
     release(*levels)
     return out
 
 
-def repeated_spans(docs: DataFrame, n: int = WORDS, longest: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, n: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, texts): for each text, by its 64-bit hash, that several documents hold or that holds words of an earlier one: an array of
     (key2, first, spans, longest), one entry but for hashes that collide: its second hash, its least document, and for
-    that the runs of words covered by windows of earlier ones, and (``longest``) the greatest length of a level at which a
-    window still starts in an earlier one. Documents after the first hold the text as a whole."""
+    that the runs of words covered by windows of earlier ones, in order (those of several levels may overlap), and the
+    greatest length of a level at which a window still starts in an earlier one. Documents after the first hold the text as a whole."""
     rows = _keyed(docs, doc_id, text).where("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = step(_anchor_rows(rows, n), "anchors")
     often = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor")
@@ -227,15 +257,8 @@ def repeated_spans(docs: DataFrame, n: int = WORDS, longest: bool = False, doc_i
     texts = texts.where(F.array_contains("firsts", F.col("doc_id"))).select("doc_id", "key", "text", "anchors")
     windows = step(_windows(texts, n), "windows")
     release(alive)
-    repeats = _repeats(windows, "repeats")
-    release(windows)
-    spans = step(_spans(repeats, n), "spans")
+    spans = _levels(windows, n)
     found = spans.withColumnRenamed("doc_id", "first")
-    if longest:
-        found = found.join(_longest(repeats, n).withColumnRenamed("doc_id", "first"), ["first", "key"], "left")
-    else:
-        release(repeats)
-        found = found.withColumn("longest", F.lit(None).cast("bigint"))
     rest = first.join(found, ["first", "key"], "left").where("first < last OR spans IS NOT NULL")
     out = step(rest.groupBy("key").agg(F.collect_list(F.struct("key2", "first", "spans", "longest")).alias("texts")), "repeated")
     release(spans, first)
@@ -244,8 +267,8 @@ def repeated_spans(docs: DataFrame, n: int = WORDS, longest: bool = False, doc_i
 
 def remove_repeats(docs: DataFrame, n: int = WORDS, longest: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, text): the words that stay, joined by one space; a null text stays null. ``longest``
-    adds a column of that name, 0 without repeats."""
-    found = repeated_spans(docs, n, longest, doc_id, text)
+    returns a column of that name too, 0 without repeats; the levels are the same with it and without."""
+    found = repeated_spans(docs, n, doc_id, text)
     rows = _keyed(docs, doc_id, text).join(found.hint("merge"), "key", "left")
     own = F.get(F.filter("texts", lambda t: (t["key2"] == F.col("key2")) & (t["first"] <= F.col("doc_id"))), F.lit(0))
     rows = rows.withColumn("own", F.when(F.col("texts").isNotNull(), own)).select(
@@ -265,7 +288,7 @@ def remove_repeats(docs: DataFrame, n: int = WORDS, longest: bool = False, doc_i
                 left = []
                 for s in spans:
                     left += words[at:s["first"]]
-                    at = s["stop"]
+                    at = max(at, s["stop"])
                 left += words[at:]
             counts.append(size)
             gone.append(size - len(left))

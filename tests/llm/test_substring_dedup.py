@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from haze.llm import substring_dedup
+from haze.llm import queries, substring_dedup
 from tests.llm.brute import BLANK_WORD
 
 SCHEMA = "doc_id bigint, text string"
@@ -93,3 +93,23 @@ def test_clashing_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, "a b c", 7, "z"), (2, "x a b c", 8, "z")], "DOC_ID int, Text string, key int, h string")
     out = substring_dedup.remove_repeats(rows, 3).collect()
     assert sorted((r.doc_id, r.n_removed, r.text) for r in out) == [(1, 0, "a b c"), (2, 3, "x")]
+
+
+def test_query_doubles_until_no_candidate_is_left(spark, tmp_path, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, passage), (2, f"a {passage} b"), (3, " ".join(f"p{k}" for k in range(13, 33)) + " c")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    lengths, covered, ended = [], {}, substring_dedup._ended
+
+    def watched(repeats, length):
+        lengths.append(length)
+        out = ended(repeats, length)
+        covered[length] = sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in out.where("size(spans) > 0").collect())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_ended", watched)
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in queries.QUERIES["op13_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert lengths == [13, 26, 52]
+    # no level covers all: words go with the windows that the next level doesn't join
+    assert covered == {13: [(3, [(0, 20)])], 26: [(2, [(10, 52)])], 52: [(2, [(1, 61)])]}
+    assert out == {1: (60, 0), 2: (62, 60), 3: (21, 20)}

@@ -17,6 +17,8 @@ two documents link when ``q`` * intersection >= ``p`` * union. The method:
    signatures than it must share with any linked set leaves them out; a set
    that has more emits them all. Either way linked sets share one.
 3. Equal sets are one class from the start (a digest), so copies never meet.
+   Near copies share most of their signatures, so many buckets have the same
+   members: of those one stays, as it has all their pairs.
    Signature buckets of up to SMALL classes give all their pairs, buckets of
    up to LARGE are compared as one block (6.).
 4. In still larger buckets, pairs need not be similar: their members (all pairs
@@ -54,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.llm.common import WordHashes, arrow_map, blank_words, mix, packed, pick, release, rolling, step, unpacked, written
+from haze.llm.common import arrow_map, mix, packed, pick, release, rolling, step, unpacked, written
 from haze.llm.components import components
 
 #: Members of a bucket that are compared pair by pair.
@@ -68,16 +70,54 @@ LARGE = BLOCK
 #: Rounds that give forests of the large keys, before the one that gives all that is left.
 ROUNDS = 2
 
-_words = WordHashes()
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+#: Words of up to this many bytes are hashed together.
+LONG = 1 << 12
+_PARTS_WORDS = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
+#: A number of each byte, A-Z lower-cased, and an odd one of each place in a word.
+_BYTE = mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_PLACE = mix(np.arange(LONG, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: of the sum of its bytes' numbers, each times that of its place."""
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return np.empty(0, np.uint64)
+    blank = _PARTS_WORDS[data]
+    edges = np.nonzero(blank[1:] != blank[:-1])[0] + 1
+    edges = np.concatenate([[0] * (not blank[0]), edges, [len(data)] * (not blank[-1])]).astype(np.intp)
+    starts, stops = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(stops, starts[at] + CHUNK, side="right")))
+        sizes = stops[at:to] - starts[at:to]
+        over = np.nonzero(sizes > LONG)[0]
+        if len(over) and not over[0]:
+            import xxhash
+
+            to = at + 1
+            out[at] = xxhash.xxh3_64_intdigest(text[starts[at]:stops[at]].lower())
+        else:
+            if len(over):  # words up to the next long one
+                to, sizes = at + int(over[0]), sizes[:over[0]]
+            here = slice(starts[at], stops[to - 1])
+            own, begins = data[here][~blank[here]], np.cumsum(sizes) - sizes
+            place = np.arange(len(own)) - np.repeat(begins, sizes)
+            out[at:to] = mix(np.add.reduceat(_BYTE[own] * _PLACE[place], begins))
+        at = to
+    return out
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
-    words = blank_words(text)
-    h = _words.of(words)
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return h
-    return np.unique(rolling(h, min(n, len(h))))
+    out = np.sort(rolling(h, min(n, len(h))))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(items: np.ndarray) -> int:
@@ -193,6 +233,14 @@ def _items(rows: DataFrame, n: int) -> DataFrame:
     return arrow_map(rows, run, "d bigint, items array<bigint>")
 
 
+def _unlike(rows: DataFrame, key: str) -> DataFrame:
+    """(key, m): the number of members, for one key of those that have the same members, by 128 bits of their hashes."""
+    both = [F.bit_xor(F.xxhash64(F.lit(i), "d")).alias(f"x{i}") for i in (1, 2)]
+    # sums tell sets apart that xor alone doesn't; halves of hashes, so that they stay below 2**63
+    sizes = rows.groupBy(key).agg(F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "d"), 32)).alias("x3"), *both).where("m > 1")
+    return sizes.groupBy("m", "x1", "x2", "x3").agg(F.min(key).alias(key)).select(key, "m")
+
+
 def _pairs(members: DataFrame, key: str) -> DataFrame:
     """All pairs of classes of each key, which has SMALL members at most."""
     lists = members.groupBy(key).agg(F.sort_array(F.collect_set("d")).alias("l")).where(F.size("l") > 1)
@@ -360,10 +408,10 @@ def linked_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_i
     sigs = _signatures(rows, n, p, q).repartition("sig")
     many = sigs.groupBy("sig").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1")
     alike = step(sigs.join(many.hint("shuffle_hash"), "sig").select("sig", "d").distinct(), "alike")
-    # copies are gone now, so that m counts unlike sets
-    large = alike.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > SMALL)
-    members = step(alike.join(large, "sig", "left").select("sig", "d", F.coalesce("m", F.lit(0)).alias("m")), "members")
-    release(alike)
+    # copies are gone now, so that m counts unlike sets; the sizes grow with the documents and are never broadcast
+    sizes = step(_unlike(alike, "sig"), "sizes")
+    members = step(alike.join(sizes.hint("merge"), "sig").select("sig", "d", "m"), "members")
+    release(alike, sizes)
     cand = members.select("d").distinct().join(own.groupBy("d").agg(F.min("row_key").alias("row_key")), "d")
     cand = step(cand, "classes")
     # the candidates grow with the documents: they are never broadcast, however few they are
@@ -377,8 +425,7 @@ def linked_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_i
     near = _pairs(members.where(F.col("m") <= SMALL), "sig")
     hot = members.where(F.col("m") > LARGE).select("d").distinct()
     rare = step(_rarest(sets, hot, p, q), "rarest")
-    size = rare.groupBy("item").agg(F.count("*").alias("m")).where("m > 1")
-    keyed = step(rare.join(size, "item"), "keyed")
+    keyed = step(rare.join(_unlike(rare, "item"), "item"), "keyed")
     near = step(near.union(_pairs(keyed.where(F.col("m") <= SMALL), "item")).distinct(), "near")
     pairs = step(_possible(near, sketches, p, q), "pairs")
     links = step(_check(pairs, sets, p, q), "links")

@@ -121,3 +121,23 @@ def test_components_of_paths_stars_and_cycles(spark):
     out = {r.node: r.root for r in components(spark.createDataFrame(links, "x bigint, y bigint")).collect()}
     assert all(out[i] == 0 for i in range(41)) and all(out[100 + i] == 100 for i in range(50))
     assert out[201] == out[202] == out[203] == 201
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 40)
+    monkeypatch.setattr(ngram_join, "LONG", 9)
+    rng = random.Random(8)
+    seen = {}
+    for _ in range(2000):
+        text = "".join(rng.choice("aAbB\u00e9\u00c9z \t\n\x0b\x0c\r\x1c\x85") for _ in range(rng.choice([0, 1, 5, 60, 90]))).encode()
+        words = brute.BLANK_WORD.findall(brute.lower(text.decode()))
+        hashes = ngram_join.word_hashes(text).tolist()
+        assert len(words) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(seen) > 2500 and len(set(seen.values())) == len(seen)
+
+
+def test_one_bucket_of_those_with_the_same_members(spark):
+    rows = [(s, d) for s, ds in {5: (1, 2, 3), 4: (3, 1, 2), 9: (1, 2), 7: (2, 1), 8: (1, 3), 6: (4,)}.items() for d in ds]
+    out = ngram_join._unlike(spark.createDataFrame(rows, "sig bigint, d bigint"), "sig").collect()
+    assert sorted((r.sig, r.m) for r in out) == [(4, 3), (7, 2), (8, 2)]

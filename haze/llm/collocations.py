@@ -37,11 +37,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haze.llm.common import SLICE_BYTES, ensure_checkpoint_dir, mix, pick, release, step
+from haze.llm.common import SLICE_BYTES, ensure_checkpoint_dir, mix, pick, release, step, trim
 
 #: Least count of a candidate, and its greatest number of words.
 LEAST, MOST = 30, 4
@@ -87,12 +88,35 @@ class Gathered:
         seed = xxhash.xxh3_64_intdigest(self.lang.encode())
         return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.ids), np.uint64, len(self.ids))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The words in order; places where a pair starts, its number by place, and the distinct pairs with their counts."""
-        words = np.concatenate(self.parts)
-        at = np.nonzero((words[:-1] > 0) & (words[1:] > 0))[0]
-        codes, number, n = np.unique(words[at].astype(np.int64) << 32 | words[at + 1], return_inverse=True, return_counts=True)
-        return words, at, number, codes, n
+    def words(self) -> np.ndarray:
+        """The words in order."""
+        if len(self.parts) > 1:  # one array in place of the parts, which are let go
+            self.parts = [np.concatenate(self.parts)]
+        return self.parts[0]
+
+
+def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a pair of words starts, and the pair there."""
+    at = np.nonzero((words[:-1] > 0) & (words[1:] > 0))[0].astype(np.int32)
+    codes = words[at].astype(np.int64)
+    codes <<= 32
+    codes |= words[1:][at]
+    return at, codes
+
+
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order with their counts; sorts ``codes``."""
+    codes.sort()
+    starts = np.nonzero(np.r_[True, codes[1:] != codes[:-1]])[0] if len(codes) else np.empty(0, np.int64)
+    return codes[starts], np.diff(starts, append=len(codes))
+
+
+def _numbered(codes: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Places of the codes among the distinct ones, some at once: no other array of their length is made."""
+    out = np.empty(len(codes), np.int32)
+    for i in range(0, len(codes), BATCH):
+        out[i:i + BATCH] = np.searchsorted(distinct, codes[i:i + BATCH])
+    return out
 
 
 def _pair_hashes(own: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -127,11 +151,14 @@ def _gathering(counted: Callable[[Gathered], Iterator[pa.RecordBatch]], tokens:
                         own.add([_END])
                         size += own.parts[-2].size
                         if size >= tokens:
-                            for g in held.values():
-                                yield from counted(g)
+                            del own
+                            while held:  # one after another, as each is let go when it is counted
+                                yield from counted(held.popitem()[1])
                             held, size = {lang: (own := Gathered(lang))}, 0
-        for g in held.values():
-            yield from counted(g)
+        own = None
+        while held:
+            yield from counted(held.popitem()[1])
+        trim()
 
     return run
 
@@ -145,12 +172,14 @@ def _hash_counts(g: Gathered) -> Iterator[pa.RecordBatch]:
     """(h, n) of the words and of the pairs of words."""
     if not g.parts:
         return
-    words, _, _, codes, n = g.pairs()
-    own = g.hashes()
-    h = np.concatenate([own[1:], _pair_hashes(own, codes)]).view(np.int64)
-    n = np.concatenate([np.bincount(words, minlength=len(own))[1:], n])
-    for i in range(0, len(h), BATCH):
-        yield pa.RecordBatch.from_arrays([pa.array(h[i:i + BATCH]), pa.array(n[i:i + BATCH])], names=["h", "n"])
+    words, own = g.words(), g.hashes()
+    counts = np.bincount(words, minlength=len(own))
+    codes, n = _counted(_pairs(words)[1])
+    for i in range(1, len(own), BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(own[i:i + BATCH].view(np.int64)), pa.array(counts[i:i + BATCH])], names=["h", "n"])
+    for i in range(0, len(codes), BATCH):
+        h = _pair_hashes(own, codes[i:i + BATCH]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n[i:i + BATCH])], names=["h", "n"])
 
 
 def _table(often: DataFrame, size: int) -> np.ndarray:
@@ -175,38 +204,64 @@ def _phrases(g: Gathered, table: np.ndarray, most: int) -> Iterator[pa.RecordBat
     has the number of all words."""
     if not g.parts:
         return
-    words, at, number, codes, n = g.pairs()
-    own, names = g.hashes(), [*g.ids]
+    words, own = g.words(), g.hashes()
+    names = pa.array([b"", *[*g.ids][1:]], pa.large_binary())
     passed = _in_table(table, own)
     counts = np.bincount(words, minlength=len(own))
+    yield _named(g.lang, pa.array([b""], pa.large_binary()), counts[1:].sum(keepdims=True))
     listed = np.nonzero(passed)[0]
-    listed = listed[listed > 0].tolist()
-    phrases, sums = [b"", *(names[i] for i in listed)], [int(counts[1:].sum()), *counts[listed].tolist()]
-    good = _in_table(table, _pair_hashes(own, codes)) & passed[codes >> 32] & passed[codes & 0xFFFFFFFF]
+    listed = listed[listed > 0]
+    for i in range(0, len(listed), BATCH):
+        yield _named(g.lang, names.take(pa.array(listed[i:i + BATCH])), counts[listed[i:i + BATCH]])
+    at, codes = _pairs(words)
+    good = np.empty(len(codes), bool)
+    for i in range(0, len(codes), BATCH):
+        part = codes[i:i + BATCH]
+        good[i:i + BATCH] = passed[part >> 32] & passed[part & 0xFFFFFFFF]
+    at, codes = at[good], codes[good]
+    distinct, n = _counted(codes.copy())
+    good = np.concatenate([np.empty(0, bool), *(_in_table(table, _pair_hashes(own, distinct[i:i + BATCH])) for i in range(0, len(distinct), BATCH))])
+    distinct, n = distinct[good], n[good]
+    if not len(distinct):
+        return
+    number = _numbered(codes, distinct)
+    keep = distinct[np.minimum(number, len(distinct) - 1)] == codes
+    at, number = at[keep], number[keep]
+    del good, codes, keep
     pair = np.zeros(len(words), bool)  # places where a pair starts that is in the table
-    pair[at[good[number]]] = True
+    pair[at] = True
     # every level numbers the phrases of a task exactly: the number of all but the last word, and that word
-    listed = np.nonzero(good)[0]
-    texts = [names[c >> 32] + b" " + names[c & 0xFFFFFFFF] for c in codes[listed].tolist()]
-    phrases += texts
-    sums += n[listed].tolist()
-    rank = np.full(len(codes), -1)
-    rank[listed] = np.arange(len(listed))
-    keep = good[number]
-    at, number = at[keep], rank[number[keep]]
+    levels = [distinct]
+    yield from _level(g.lang, names, levels, n)
     for size in range(3, most + 1):
-        keep = pair[np.minimum(at + size - 2, len(words) - 1)]
+        keep = pair[np.minimum(at + (size - 2), len(words) - 1)]
         at, number = at[keep], number[keep]
         if not len(at):
             break
-        codes, number, n = np.unique(number.astype(np.int64) << 32 | words[at + size - 1], return_inverse=True, return_counts=True)
-        texts = [texts[c >> 32] + b" " + names[c & 0xFFFFFFFF] for c in codes.tolist()]
-        phrases += texts
-        sums += n.tolist()
-    for i in range(0, len(phrases), BATCH):
-        text = pa.array(phrases[i:i + BATCH], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([g.lang] * len(text), pa.string()), text, pa.array(sums[i:i + BATCH], pa.int64())],
-                                         names=["lang", "phrase", "n"])
+        codes = number.astype(np.int64)
+        codes <<= 32
+        codes |= words[at + (size - 1)]
+        distinct, n = _counted(codes.copy())
+        number = _numbered(codes, distinct)
+        del codes
+        levels.append(distinct)
+        yield from _level(g.lang, names, levels, n)
+
+
+def _named(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
+                                       phrases.cast(pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+
+
+def _level(lang: str, names: pa.Array, levels: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The phrases of the last level, spelled out some at once: what a task holds of a phrase is its number."""
+    for i in range(0, len(n), BATCH):
+        at, spelled = levels[-1][i:i + BATCH], []
+        for above in levels[-2::-1]:
+            spelled.append(at & 0xFFFFFFFF)
+            at = above[at >> 32]
+        spelled = [at >> 32, at & 0xFFFFFFFF, *spelled[::-1]]
+        yield _named(lang, pc.binary_join_element_wise(*(names.take(pa.array(w)) for w in spelled), pa.scalar(b" ", pa.large_binary())), n[i:i + BATCH])
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang", tokens: int = TOKENS,

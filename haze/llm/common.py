@@ -102,12 +102,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             step = max(1, int(n * SLICE_BYTES / max(1, batch.nbytes)))
             for at in range(0, n, step):
                 yield from fn(batch.slice(at, step))
-        _trim()
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives freed memory back to the system where the C library can, as the worker may idle through later stages."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from haze.llm import collocations
@@ -119,3 +121,19 @@ def test_edges(spark):
 def test_clashing_and_extra_columns(spark):
     rows = spark.createDataFrame([("a b", "en", "q", 1)] * 30, "Text string, LANG string, phrase string, n int")
     assert [tuple(r) for r in collocations.collocations(rows).collect()] == [("en", 1, "a b", 30, 30, 30, 60, 1_000_000)]
+
+
+def test_a_task_holds_numbers_of_its_phrases_only():
+    """Hundreds of thousands of unlike phrases: their texts are spelled out some at once."""
+    rng = random.Random(9)
+    words = [f"word{rng.randrange(3000):06d}".encode() for _ in range(200_000)]
+    everything = np.full(1 << 10, np.uint64(2 ** 64 - 1))
+    for count in (collocations._hash_counts, lambda g: collocations._phrases(g, everything, 4)):
+        g = collocations.Gathered("en")
+        g.add(words)
+        g.add([collocations._END])
+        tracemalloc.start()
+        rows = sum(batch.num_rows for batch in count(g))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows > 190_000 and peak < 100 * len(words)

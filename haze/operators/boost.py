@@ -1,7 +1,7 @@
 """Gradient boosting of regression trees for squared errors, grown best leaf first on quantile bins.
 
 Rows are binned once and written. A round sums the residuals of its rows by (node, feature, bin), combined in each task
-before the shuffle; what reaches the driver is bounded by leaves x features x bins, and checked. Residuals are summed as whole numbers of a
+before the shuffle by arrays of these cells; what reaches the driver is bounded by leaves x features x bins, and checked. Residuals are summed as whole numbers of a
 power of two, so the order of rows, partitions and retries can't change a tree, and the larger child of a split
 is its parent less the smaller one, exactly.
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from haze.sources import fs
 MAX_SUMS = 1 << 24
 #: Rounds between two tables of rows with their predictions; in between the last trees are column expressions.
 ROUNDS_A_TABLE = 2
+#: Rows of a batch that Python hands back.
+BATCH = 100_000
 NODE_SCHEMA = "tree int, id int, prediction double, cover double, left int, right int, feature int, threshold double"
 
 
@@ -301,16 +304,32 @@ class Booster:
         at = rows.selectExpr("b", f"CAST(floor((y - ({margin})) * {scale!r}D + 0.5D) AS BIGINT) AS g", f"{place} AS node")
         if wanted != [0]:
             at = at.where(F.col("node").isin(wanted))
-        cells = at.select("g", "node", F.posexplode("b").alias("feature", "bin"))
-        key = (F.col("node").cast("bigint") * m + F.col("feature")) * width + F.col("bin")
-        found = cells.groupBy(key.alias("cell")).agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("n")).toArrow()
+        cells = at.select("b", "g", F.col("node").cast("int").alias("node")).mapInArrow(_cells(wanted, m, width), "cell bigint, g bigint, n bigint")
+        found = cells.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toArrow()
         cell = found["cell"].to_numpy()
-        order = {node: i for i, node in enumerate(wanted)}
-        node, rest = np.divmod(cell, m * width)
-        flat = np.zeros((len(wanted), m * width, 2), dtype=np.int64)
-        slot = np.array([order[v] for v in node.tolist()], dtype=np.int64)
-        flat[slot, rest, 0], flat[slot, rest, 1] = found["g"].to_numpy(), found["n"].to_numpy()
-        return {v: flat[i].reshape(m, width, 2) for v, i in order.items()}
+        flat = np.zeros((len(wanted) * m * width, 2), dtype=np.int64)
+        flat[cell, 0], flat[cell, 1] = found["g"].to_numpy(), found["n"].to_numpy()
+        return {v: own for v, own in zip(wanted, flat.reshape(len(wanted), m, width, 2))}
+
+
+def _cells(wanted: list[int], m: int, width: int):
+    """A map over (b, g, node) to (cell, g, n): the sums of a partition by place of the node in ``wanted``, feature and bin. Its memory
+    is that of the cells, MAX_SUMS at most; whole numbers, so the sums are exact."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(len(wanted) * m * width, np.int64), np.zeros(len(wanted) * m * width, np.int64)
+        slot = np.zeros(max(wanted) + 1, np.int64)
+        slot[wanted] = np.arange(len(wanted)) * (m * width)
+        for batch in batches:
+            bins = batch.column(0).flatten().to_numpy().reshape(-1, m)
+            cell = slot[batch.column(2).to_numpy()][:, None] + np.arange(m) * width + bins
+            np.add.at(sums, cell.ravel(), np.repeat(batch.column(1).to_numpy(), m))
+            np.add.at(counts, cell.ravel(), 1)
+        some = np.nonzero(counts)[0]
+        for i in range(0, len(some), BATCH):
+            at = some[i:i + BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at]), pa.array(counts[at])], names=["cell", "g", "n"])
+
+    return run
 
 
 def _case(tree: list[_Node], leaf) -> str:

@@ -2,6 +2,7 @@ import math
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,20 @@ def test_exact_shapley_values_add_up(spark):
     sums = {r["row"]: r["s"] for r in treeshap.tree_shapley(plain_rows, model, NAMES, ["row"], leaves).groupBy("row").agg(F.sum("contribution").alias("s")).collect()}
     for r in learn.score(plain_rows, model, NAMES, keep=["row"]).collect():
         assert sums[r["row"]] + leaves.expected == pytest.approx(r["predicted_aqi"], abs=1e-9)
+
+
+def test_a_partition_hands_on_one_row_for_each_cell():
+    """Sums past 2**53 are exact; a sliced batch has its own rows only."""
+    rng = np.random.default_rng(3)
+    bins, g = rng.integers(0, 4, (500, 3)), rng.integers(2 ** 55, 2 ** 56, 500)
+    node = rng.choice([2, 7], 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(bins.astype(np.int16)), pa.list_(pa.int16())), pa.array(g), pa.array(node.astype(np.int32))],
+                                       names=["b", "g", "node"])
+    rows = [r for part in boost._cells([7, 2], 3, 4)(iter([batch.slice(0, 90), batch.slice(90)])) for r in zip(*(c.to_pylist() for c in part.columns))]
+    expected = {}
+    for b, v, k in zip(bins.tolist(), g.tolist(), node.tolist()):
+        for f, x in enumerate(b):
+            cell = ([7, 2].index(k) * 3 + f) * 4 + x
+            s, n = expected.get(cell, (0, 0))
+            expected[cell] = s + v, n + 1
+    assert sorted(rows) == sorted((c, s, n) for c, (s, n) in expected.items())

@@ -77,14 +77,20 @@ LONG = 1 << 12
 _PARTS_WORDS = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
 #: A number of each byte, A-Z lower-cased, and an odd one of each place in a word.
 _BYTE = mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_CASED = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 _PLACE = mix(np.arange(LONG, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: of the sum of its bytes' numbers, each times that of its place."""
-    data = np.frombuffer(text, np.uint8)
+    return placed_hashes(text, True)[1]
+
+
+def placed_hashes(text: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash."""
+    data, numbers = np.frombuffer(text, np.uint8), _BYTE if lower else _CASED
     if not len(data):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.intp), np.empty(0, np.uint64)
     blank = _PARTS_WORDS[data]
     edges = np.nonzero(blank[1:] != blank[:-1])[0] + 1
     edges = np.concatenate([[0] * (not blank[0]), edges, [len(data)] * (not blank[-1])]).astype(np.intp)
@@ -99,16 +105,17 @@ def word_hashes(text: bytes) -> np.ndarray:
             import xxhash
 
             to = at + 1
-            out[at] = xxhash.xxh3_64_intdigest(text[starts[at]:stops[at]].lower())
+            word = text[starts[at]:stops[at]]
+            out[at] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
         else:
             if len(over):  # words up to the next long one
                 to, sizes = at + int(over[0]), sizes[:over[0]]
             here = slice(starts[at], stops[to - 1])
             own, begins = data[here][~blank[here]], np.cumsum(sizes) - sizes
             place = np.arange(len(own)) - np.repeat(begins, sizes)
-            out[at:to] = mix(np.add.reduceat(_BYTE[own] * _PLACE[place], begins))
+            out[at:to] = mix(np.add.reduceat(numbers[own] * _PLACE[place], begins))
         at = to
-    return out
+    return starts, out
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:

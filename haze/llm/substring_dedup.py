@@ -41,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.llm.common import WordHashes, arrow_map, mix, pick, release, rolling, step
+from haze.llm.common import arrow_map, mix, pick, release, rolling, step, utf8
+from haze.llm.ngram_join import placed_hashes
 
 #: Words of a window.
 WORDS = 13
 #: Rows of a batch that Python hands back.
 BATCH = 200_000
 
-_words = WordHashes()
 _FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,9 +64,17 @@ def _anchors(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _once(values: np.ndarray) -> np.ndarray:
-    """Neighbours that are equal count once."""
-    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of these texts one after another, and where each text's own begin and end."""
+    starts, words = placed_hashes(b" ".join(texts), False)
+    return words, np.r_[0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))]
+
+
+def _whole(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a window of ``n`` words of one text starts, and the number of that text."""
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    at = np.nonzero(row[:max(0, len(row) - n + 1)] == row[n - 1:])[0]
+    return at, row[at]
 
 
 def _anchor_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -74,9 +82,12 @@ def _anchor_rows(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()))
-        found = [_once(_anchors(_words.of(t.split()), n)) for t in texts.values()]
-        anchors = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-        keys = np.repeat(np.array([*texts], np.int64), [len(f) for f in found])
+        words, ends = _words([*texts.values()])
+        at, row = _whole(ends, n)
+        anchors, keys = _anchors(words, n)[at].view(np.int64), np.array([*texts], np.int64)[row]
+        first = np.ones(len(anchors), bool)  # neighbours that are equal count once
+        first[1:] = (anchors[1:] != anchors[:-1]) | (keys[1:] != keys[:-1])
+        anchors, keys = anchors[first], keys[first]
         for i in range(0, len(anchors), BATCH):
             yield pa.RecordBatch.from_arrays([pa.array(anchors[i:i + BATCH]), pa.array(keys[i:i + BATCH])], names=["anchor", "key"])
 
@@ -86,15 +97,10 @@ def _anchor_rows(rows: DataFrame, n: int) -> DataFrame:
 _WINDOWS = "doc_id bigint, key bigint, place int, h bigint, g bigint"
 
 
-def _batches(parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows of _WINDOWS from (doc_id, key, places, h, g) of several documents. A place comes as twice itself, and 1 more where
-    both halves of the window have left it their words."""
-    sizes = [len(p[2]) for p in parts]
-    if not sum(sizes):
-        return
-    columns = [np.repeat(np.array([p[0] for p in parts], np.int64), sizes), np.repeat(np.array([p[1] for p in parts], np.int64), sizes),
-               np.concatenate([p[2] for p in parts]).astype(np.int32), *(np.concatenate([p[k] for p in parts]).view(np.int64) for k in (3, 4))]
-    for i in range(0, len(columns[0]), BATCH):
+def _batches(doc_id: np.ndarray, key: np.ndarray, place: np.ndarray, h: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _WINDOWS. A place comes as twice itself, and 1 more where both halves of the window have left it their words."""
+    columns = [doc_id, key, place.astype(np.int32), h.view(np.int64), g.view(np.int64)]
+    for i in range(0, len(place), BATCH):
         yield pa.RecordBatch.from_arrays([pa.array(c[i:i + BATCH]) for c in columns], names=["doc_id", "key", "place", "h", "g"])
 
 
@@ -111,18 +117,18 @@ def _windows(rows: DataFrame, n: int) -> DataFrame:
     """The windows of ``n`` words of (doc_id, key, text, anchors) whose anchor is among those."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = []
-        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         lists = batch.column(3)
-        values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        for k, t in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-            words = _words.of(t.split())
-            alive, anchors = np.sort(values[ends[k]:ends[k + 1]]), _anchors(words, n)
-            at = np.searchsorted(alive, anchors)
-            places = np.nonzero(alive[np.minimum(at, len(alive) - 1)] == anchors)[0]
-            if len(places):
-                parts.append((ids[k], keys[k], places * 2, *_hashes(words, places, n)))
-        yield from _batches(parts)
+        values, alive_ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        words, ends = _words(utf8(batch.column(2)))
+        at, row = _whole(ends, n)
+        anchors, own = _anchors(words, n)[at], np.searchsorted(row, np.arange(batch.num_rows + 1))
+        found = np.zeros(len(at), bool)
+        for k, (i, j) in enumerate(zip(own[:-1], own[1:])):
+            alive = np.sort(values[alive_ends[k]:alive_ends[k + 1]])
+            found[i:j] = alive[np.minimum(np.searchsorted(alive, anchors[i:j]), len(alive) - 1)] == anchors[i:j]
+        at, row = at[found], row[found]
+        ids, keys = (batch.column(c).to_numpy()[row] for c in (0, 1))
+        yield from _batches(ids, keys, (at - ends[row]) * 2, *_hashes(words, at, n))
 
     return arrow_map(rows, run, _WINDOWS)
 
@@ -131,13 +137,18 @@ def _windows(rows: DataFrame, n: int) -> DataFrame:
 LATER, COVERS, OPEN = 1, 2, 4
 
 
-def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places in order, hash and state of each row's windows; those of repeated rows count once."""
+#: Places of a row's windows follow each other below this.
+_ROW = 1 << 32
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all rows in order: place and _ROW for each row before its own, hash and state; those of repeated rows
+    count once."""
     ends = column.offsets.to_numpy()
-    place, h = column.values.field(0).to_numpy(), column.values.field(1).to_numpy()
-    for i, j in zip(ends[:-1], ends[1:]):
-        p, at = np.unique(place[i:j], return_index=True)
-        yield p >> 3, h[i:j][at].view(np.uint64), p & 7
+    place, h = (column.values.field(k).to_numpy()[ends[0]:ends[-1]] for k in (0, 1))
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    codes, at = np.unique(row * (_ROW << 3) + place, return_index=True)
+    return codes >> 3, h[at].view(np.uint64), codes & 7
 
 
 def _pairs(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,17 +163,13 @@ def _doubled(repeats: DataFrame, length: int) -> DataFrame:
     bits, one of each half, make the two of the window, so 128 bits are compared at every level."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = []
-        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for k, (place, h, state) in enumerate(_lists(batch.column(2))):
-            is_open = state & OPEN > 0
-            place, h, later = place[is_open], h[is_open], state[is_open] & LATER
-            first, second = _pairs(place, length)
-            if len(first):
-                one, two = h[first], h[second]
-                marked = place[first] * 2 + (later[first] & later[second])
-                parts.append((ids[k], keys[k], marked, mix(one * _FACTORS[0] + two), mix(two * _FACTORS[1] + one)))
-        yield from _batches(parts)
+        place, h, state = _lists(batch.column(2))
+        is_open = state & OPEN > 0
+        place, h, later = place[is_open], h[is_open], state[is_open] & LATER
+        first, second = _pairs(place, length)
+        one, two, row, at = h[first], h[second], place[first] // _ROW, place[first] % _ROW
+        ids, keys = (batch.column(c).to_numpy()[row] for c in (0, 1))
+        yield from _batches(ids, keys, at * 2 + (later[first] & later[second]), mix(one * _FACTORS[0] + two), mix(two * _FACTORS[1] + one))
 
     return arrow_map(repeats, run, _WINDOWS)
 
@@ -188,22 +195,20 @@ def _ended(repeats: DataFrame, length: int) -> DataFrame:
     this level covers, as runs of word places: those of windows whose words are not left to the level of twice the length."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        firsts, stops, sizes, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [], []
-        for place, _, state in _lists(batch.column(2)):
-            later = np.nonzero(state & LATER)[0]
-            covers = state & COVERS > 0
-            if len(later):
-                for half in _pairs(place[later], length):
-                    covers[later[half]] = False
-            own = place[covers].astype(np.int32)
-            cut = np.nonzero(np.diff(own) > length)[0]  # windows that touch cover one run
-            firsts.append(own[np.r_[0, cut + 1]] if len(own) else own)
-            stops.append(own[np.r_[cut, len(own) - 1]] + np.int32(length) if len(own) else own)
-            sizes.append(len(firsts[-1]))
-            lengths.append(length if len(later) else 0)
-        spans = pa.StructArray.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(stops))], names=["first", "stop"])
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), spans)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), lists],
+        place, _, state = _lists(batch.column(2))
+        later = np.nonzero(state & LATER)[0]
+        covers = state & COVERS > 0
+        for half in _pairs(place[later], length):
+            covers[later[half]] = False
+        own = place[covers]
+        apart = np.diff(own) > length  # windows that touch cover one run; rows are further apart
+        firsts, stops = own[np.r_[True, apart][:len(own)]], own[np.r_[apart, True][:len(own)]] % _ROW + length
+        sizes = np.bincount(firsts // _ROW, minlength=batch.num_rows)
+        lengths = np.zeros(batch.num_rows, np.int64)
+        lengths[place[later] // _ROW] = length
+        spans = pa.StructArray.from_arrays([pa.array((firsts % _ROW).astype(np.int32)), pa.array(stops.astype(np.int32))], names=["first", "stop"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), spans)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), lists],
                                          names=["doc_id", "key", "length", "spans"])
 
     out = arrow_map(repeats, run, "doc_id bigint, key bigint, length bigint, spans array<struct<first: int, stop: int>>")

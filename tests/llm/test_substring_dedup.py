@@ -113,3 +113,15 @@ def test_query_doubles_until_no_candidate_is_left(spark, tmp_path, monkeypatch):
     # no level covers all: words go with the windows that the next level doesn't join
     assert covered == {13: [(3, [(0, 20)])], 26: [(2, [(10, 52)])], 52: [(2, [(1, 61)])]}
     assert out == {1: (60, 0), 2: (62, 60), 3: (21, 20)}
+
+
+def test_words_of_a_slice_are_hashed_at_once():
+    texts = ["a B  b", "", " \n", "É x" * 2, "tail " + "y" * 5000]
+    words, ends = substring_dedup._words([t.encode() for t in texts])
+    own = [t.split() for t in texts]
+    assert [int(j - i) for i, j in zip(ends[:-1], ends[1:])] == [len(w) for w in own]
+    flat = [w for ws in own for w in ws]
+    assert all((words[i] == words[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+    at, row = substring_dedup._whole(ends, 2)
+    assert [(int(a - ends[r]), int(r)) for a, r in zip(at, row)] == [(k, r) for r, w in enumerate(own) for k in range(len(w) - 1)]
+    assert len(substring_dedup._whole(ends, 50)[0]) == 0

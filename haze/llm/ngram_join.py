@@ -69,6 +69,8 @@ BLOCK = 1024
 LARGE = BLOCK
 #: Rounds that give forests of the large keys, before the one that gives all that is left.
 ROUNDS = 2
+#: Keys that are broadcast to what they pick from; more are joined by a shuffle.
+FEW = 100_000
 
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
@@ -275,8 +277,16 @@ def _possible(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFram
     return both.where(differ <= F.col("k")).select("x", "y")
 
 
+def _picked(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``name`` is among the keys, which grow with the documents; while they are few, no row moves for it."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return rows.join(keys.hint("broadcast" if few else "merge"), name, "left_semi")
+
+
 def _check(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (x, y) that are linked, by their whole sets."""
+    """The pairs (x, y) that are linked, by their whole sets. Only sets that are in a pair are moved."""
+    ids = pairs.select(F.col("x").alias("d")).union(pairs.select(F.col("y").alias("d"))).distinct()
+    sets = _picked(sets, ids, "d")
     a = sets.select(F.col("d").alias("x"), F.col("items").alias("sx"))
     b = sets.select(F.col("d").alias("y"), F.col("items").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
@@ -382,7 +392,7 @@ def _large(keys: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFra
         roots = components(links)
         at = rows.join(roots, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("root", "d"))
         open_keys = at.groupBy("item").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("item")
-        at = at.join(open_keys, "item", "left_semi")
+        at = _picked(at, open_keys, "item")
         # blocks i <= j of a key meet once: each row goes to the pairs of blocks that its own one is in
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         parts = at.withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -398,7 +408,7 @@ def _large(keys: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFra
         links = more
         # what the sketches leave stays the same, so only components that had something left can have more
         live = new.select(F.col("cx").alias("c")).union(new.select(F.col("cy").alias("c"))).distinct()
-        left = step(at.join(live, "c", "left_semi").select("item", "d", "m", "mine", "n", "sketch"), "keys")
+        left = step(_picked(at, live, "c").select("item", "d", "m", "mine", "n", "sketch"), "keys")
         release(rows, new, roots)
         rows = left
     release(rows)

@@ -141,3 +141,15 @@ def test_one_bucket_of_those_with_the_same_members(spark):
     rows = [(s, d) for s, ds in {5: (1, 2, 3), 4: (3, 1, 2), 9: (1, 2), 7: (2, 1), 8: (1, 3), 6: (4,)}.items() for d in ds]
     out = ngram_join._unlike(spark.createDataFrame(rows, "sig bigint, d bigint"), "sig").collect()
     assert sorted((r.sig, r.m) for r in out) == [(4, 3), (7, 2), (8, 2)]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_only_sets_of_pairs_are_moved(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few, raising=False)
+    sets = spark.createDataFrame([(i, [*range(i, i + 20)]) for i in range(200)], "d bigint, items array<bigint>")
+    pairs = spark.createDataFrame([(5, 6), (5, 7), (30, 31), (40, 60)], "x bigint, y bigint")
+    links = ngram_join._check(pairs, sets, 85, 100)
+    assert sorted(map(tuple, links.collect())) == [(5, 6), (30, 31)]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2  # both sides of the pairs
+    assert plan.count("rightHint=(strategy=broadcast)") == (2 if few else 0)

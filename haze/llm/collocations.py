@@ -8,8 +8,10 @@ weakest cut into two parts.
 1. Words and pairs of words are counted by 64-bit hashes, combined in each
    task first. What is frequent by its hash goes into a bit table of a fixed
    size (BITS), which is broadcast; it can only let too much through.
-2. A second pass counts, as strings and exactly, the words, pairs and longer
-   phrases all of whose pairs passed. A part of a frequent phrase is as
+2. A second pass counts, as strings and exactly, the words that passed, and
+   at each place the longest phrase all of whose pairs passed: one row for
+   a place at most, however much is frequent. A phrase's count is the sum over
+   the longest ones that begin with it. A part of a frequent phrase is as
    frequent, so nothing is lost, and hashes that collide change no count.
 3. The counts are kept as two streams: sorted by their words (prefix order),
    and sorted by their words from the last to the first (suffix order).
@@ -200,28 +202,28 @@ def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _phrases(g: Gathered, table: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n) of the words, pairs and longer phrases whose words and pairs are in the table; the empty phrase
-    has the number of all words."""
+    """(lang, phrase, k, n) of the words in the table, and of the longest phrase of each place all of whose words and pairs
+    are: one row for a place at most, those with the same k words combined. The empty phrase has the number of all words."""
     if not g.parts:
         return
     words, own = g.words(), g.hashes()
     names = pa.array([b"", *[*g.ids][1:]], pa.large_binary())
     passed = _in_table(table, own)
     counts = np.bincount(words, minlength=len(own))
-    yield _named(g.lang, pa.array([b""], pa.large_binary()), counts[1:].sum(keepdims=True))
+    yield _named(g.lang, pa.array([b""], pa.large_binary()), 0, counts[1:].sum(keepdims=True))
     listed = np.nonzero(passed)[0]
     listed = listed[listed > 0]
     for i in range(0, len(listed), BATCH):
-        yield _named(g.lang, names.take(pa.array(listed[i:i + BATCH])), counts[listed[i:i + BATCH]])
+        yield _named(g.lang, names.take(pa.array(listed[i:i + BATCH])), 1, counts[listed[i:i + BATCH]])
     at, codes = _pairs(words)
     good = np.empty(len(codes), bool)
     for i in range(0, len(codes), BATCH):
         part = codes[i:i + BATCH]
         good[i:i + BATCH] = passed[part >> 32] & passed[part & 0xFFFFFFFF]
     at, codes = at[good], codes[good]
-    distinct, n = _counted(codes.copy())
+    distinct, _ = _counted(codes.copy())
     good = np.concatenate([np.empty(0, bool), *(_in_table(table, _pair_hashes(own, distinct[i:i + BATCH])) for i in range(0, len(distinct), BATCH))])
-    distinct, n = distinct[good], n[good]
+    distinct = distinct[good]
     if not len(distinct):
         return
     number = _numbered(codes, distinct)
@@ -232,36 +234,42 @@ def _phrases(g: Gathered, table: np.ndarray, most: int) -> Iterator[pa.RecordBat
     pair[at] = True
     # every level numbers the phrases of a task exactly: the number of all but the last word, and that word
     levels = [distinct]
-    yield from _level(g.lang, names, levels, n)
-    for size in range(3, most + 1):
-        keep = pair[np.minimum(at + (size - 2), len(words) - 1)]
-        at, number = at[keep], number[keep]
+    for size in range(2, max(2, most) + 1):
+        longer = pair[np.minimum(at + (size - 1), len(words) - 1)] if size < most else np.zeros(len(at), bool)
+        n = np.zeros(len(distinct), np.int32)
+        for i in range(0, len(number), BATCH):
+            np.add.at(n, number[i:i + BATCH][~longer[i:i + BATCH]], 1)
+        yield from _level(g.lang, names, levels, n)
+        at, number = at[longer], number[longer]
+        del n, longer
         if not len(at):
             break
         codes = number.astype(np.int64)
         codes <<= 32
-        codes |= words[at + (size - 1)]
-        distinct, n = _counted(codes.copy())
+        codes |= words[at + size]
+        distinct, _ = _counted(codes.copy())
         number = _numbered(codes, distinct)
         del codes
         levels.append(distinct)
-        yield from _level(g.lang, names, levels, n)
 
 
-def _named(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
-                                       phrases.cast(pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+def _named(lang: str, phrases: pa.Array, k: int, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), phrases.cast(pa.binary()).cast(pa.string()),
+                                       pa.array(np.full(len(n), k, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "k", "n"])
 
 
 def _level(lang: str, names: pa.Array, levels: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The phrases of the last level, spelled out some at once: what a task holds of a phrase is its number."""
+    """The phrases of the last level that have a count, spelled out some at once: what a task holds of a phrase is its number."""
     for i in range(0, len(n), BATCH):
-        at, spelled = levels[-1][i:i + BATCH], []
+        counted = n[i:i + BATCH]
+        at, counted, spelled = levels[-1][i:i + BATCH][counted > 0], counted[counted > 0], []
         for above in levels[-2::-1]:
             spelled.append(at & 0xFFFFFFFF)
             at = above[at >> 32]
         spelled = [at >> 32, at & 0xFFFFFFFF, *spelled[::-1]]
-        yield _named(lang, pc.binary_join_element_wise(*(names.take(pa.array(w)) for w in spelled), pa.scalar(b" ", pa.large_binary())), n[i:i + BATCH])
+        del at
+        yield _named(lang, pc.binary_join_element_wise(*(names.take(pa.array(w)) for w in spelled), pa.scalar(b" ", pa.large_binary())),
+                     len(spelled), counted)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang", tokens: int = TOKENS,
@@ -272,10 +280,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST, text: s
     hashed = rows.mapInArrow(_gathering(_hash_counts, tokens), "h bigint, n bigint")
     often = step(hashed.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
     table = docs.sparkSession.sparkContext.broadcast(_table(often, bits))  # bits / 8 bytes
-    found = rows.mapInArrow(_gathering(lambda g: _phrases(g, table.value, most), tokens), "lang string, phrase string, n bigint")
-    out = step(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "counts")
+    found = rows.mapInArrow(_gathering(lambda g: _phrases(g, table.value, most), tokens), "lang string, phrase string, k int, n bigint")
+    longest = step(found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")), "longest")
     table.unpersist()
-    release(often)
+    # a phrase occurs where it is the longest and where the longest one begins with it
+    counts = longest.where("k < 2").select("lang", "phrase", "n")
+    for size in range(2, max(2, most) + 1):
+        begins = longest.where(F.col("k") >= size).groupBy("lang", F.substring_index("phrase", " ", size).alias("phrase"))
+        counts = counts.union(begins.agg(F.sum("n").alias("n")))
+    out = step(counts.where((F.col("n") >= least) | (F.col("phrase") == "")), "counts")
+    release(often, longest)
     return out
 
 

@@ -137,3 +137,21 @@ def test_a_task_holds_numbers_of_its_phrases_only():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert rows > 190_000 and peak < 100 * len(words)
+
+
+def test_a_place_gives_one_row():
+    everything = np.full(1 << 10, ~np.uint64(0))
+    held = collocations.Gathered("en")
+    words = [b"w%d" % i for i in range(300)]  # every phrase occurs once
+    held.add(words)
+    held.add([b"\xff"])
+    rows = [r for batch in collocations._phrases(held, everything, 4) for r in batch.to_pylist() if r["k"] > 1]
+    assert len(rows) == 299 and sum(r["n"] for r in rows) == 299  # there were 896: all pairs, threes and fours
+    assert [r["phrase"] for r in rows if r["k"] < 4] == ["w298 w299", "w297 w298 w299"]
+
+
+def test_counts_of_phrases_that_longer_ones_begin_with(spark):
+    rows = [("a b c d", "en")] * 3 + [("a b c", "en"), ("a b\x01 c", "en"), ("a b", "en"), ("a b. c d", "en")]
+    got_ = {r.phrase: r.n for r in collocations.phrase_counts(spark.createDataFrame(rows, SCHEMA), 1).collect()}
+    assert got_ == {"": 24, "a": 7, "b": 6, "c": 6, "d": 4, "b\x01": 1, "a b": 6, "b c": 4, "c d": 4, "a b\x01": 1, "b\x01 c": 1,
+                    "a b c": 4, "b c d": 3, "a b\x01 c": 1, "a b c d": 3}

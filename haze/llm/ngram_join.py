@@ -277,10 +277,10 @@ def _possible(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFram
     return both.where(differ <= F.col("k")).select("x", "y")
 
 
-def _picked(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The rows whose ``name`` is among the keys, which grow with the documents; while they are few, no row moves for it."""
+def _picked(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """The rows whose ``names`` are among the keys, which grow with the documents; while they are few, no row moves for it."""
     few = keys.limit(FEW + 1).count() <= FEW
-    return rows.join(keys.hint("broadcast" if few else "merge"), name, "left_semi")
+    return rows.join(keys.hint("broadcast" if few else "merge"), [*names], "left_semi")
 
 
 def _check(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _check(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 def _rarest(sets: DataFrame, hot: DataFrame, p: int, q: int) -> DataFrame:
     """(item, d): the first shingles by frequency among the hot classes."""
-    rows = sets.join(hot, "d", "left_semi").select("d", F.explode("items").alias("item"))
+    rows = _picked(sets, hot, "d").select("d", F.explode("items").alias("item"))
     # a written table, so that the join splits frequent items
     often = step(rows.groupBy("item").agg(F.count("*").alias("f")), "often")
     ordered = rows.join(often.hint("merge"), "item").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("l"))
@@ -328,7 +328,7 @@ def _left_of(p: int, q: int, forest: bool):
 
 
 def _left_pairs(rows: pa.Table, p: int, q: int, forest: bool) -> pa.Table:
-    """One block pair of a key: (x, y) that the sketches leave between components; a spanning forest or all of them."""
+    """One block pair of a key: (item, x, y) that the sketches leave between components; a spanning forest or all of them."""
     side = rows.column("side").to_numpy()
     parts = []
     for k in (0, 1):
@@ -381,37 +381,41 @@ def _left_pairs(rows: pa.Table, p: int, q: int, forest: bool) -> pa.Table:
         x, y, cx, cy = x[keep], y[keep], cx[keep], cy[keep]
     swap = x > y
     pairs = {"x": np.where(swap, y, x), "y": np.where(swap, x, y), "cx": np.where(swap, cy, cx), "cy": np.where(swap, cx, cy)}
+    pairs = {"item": np.full(len(x), item), **pairs}
     return pa.table({name: pa.array(v, pa.int64()) for name, v in pairs.items()}).group_by([*pairs]).aggregate([])
 
 
 def _large(keys: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The links with those that are left between members of large keys, (item, d, m), of unlike components."""
-    mine = keys.groupBy("d").agg(F.sort_array(F.collect_set("item")).alias("mine"))  # part of a set's first shingles
-    rows = step(keys.join(mine, "d").join(sketches, "d").select("item", "d", "m", "mine", "n", "sketch"), "keys")
+    rows = step(keys, "keys")
+    mine = rows.groupBy("d").agg(F.sort_array(F.collect_set("item")).alias("mine"))  # part of a set's first shingles
+    about = step(sketches.join(mine.hint("merge"), "d"), "about")
     for turn in range(ROUNDS + 1):
         roots = components(links)
-        at = rows.join(roots, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("root", "d"))
+        at = rows.join(roots, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("root", "d")).select("item", "d", "m", "c")
         open_keys = at.groupBy("item").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("item")
-        at = at.join(open_keys, "item", "left_semi")
+        at = step(at.join(open_keys, "item", "left_semi"), "open")
         # blocks i <= j of a key meet once: each row goes to the pairs of blocks that its own one is in
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        parts = at.withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        # sketches are joined to the rows that are compared only, and move with them once
+        parts = at.join(about.hint("merge"), "d").withColumn("own", F.pmod(F.xxhash64("d"), blocks).cast("int")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         parts = parts.select("item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                        (F.col("own") > F.col("other")).cast("int").alias("side"), "d", "c", "n", "sketch", "mine")
-        pairs = parts.groupBy("item", "i", "j").applyInArrow(_left_of(p, q, turn < ROUNDS), "x bigint, y bigint, cx bigint, cy bigint")
-        new = step(pairs.distinct(), "left")
+        pairs = parts.groupBy("item", "i", "j").applyInArrow(_left_of(p, q, turn < ROUNDS), "item bigint, x bigint, y bigint, cx bigint, cy bigint")
+        new = step(pairs, "left")  # a pair comes from one block of one key
         if not new.take(1):
-            release(new, roots)
+            release(new, roots, at)
             break
-        more = step(links.union(_check(new.select("x", "y"), sets, p, q)).distinct(), "links")
+        more = step(links.union(_check(new.select("x", "y"), sets, p, q)), "links")
         release(links)
         links = more
-        # what the sketches leave stays the same, so only components that had something left can have more
-        live = new.select(F.col("cx").alias("c")).union(new.select(F.col("cy").alias("c"))).distinct()
-        left = step(_picked(at, live, "c").select("item", "d", "m", "mine", "n", "sketch"), "keys")
-        release(rows, new, roots)
+        # what the sketches leave stays the same, so only components that had something left in a key can have more there
+        live = new.select("item", F.col("cx").alias("c")).union(new.select("item", F.col("cy").alias("c"))).distinct()
+        left = step(_picked(at, live, "item", "c").select("item", "d", "m"), "keys")
+        release(rows, new, roots, at)
         rows = left
-    release(rows)
+    release(rows, about)
     return links
 
 
@@ -440,13 +444,13 @@ def linked_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, doc_i
     sketches = step(own.join(cand.select("d").distinct(), "d", "left_semi").groupBy("d").agg(
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     near = _pairs(members.where(F.col("m") <= SMALL), "sig")
-    hot = members.where(F.col("m") > LARGE).select("d").distinct()
+    hot = step(members.where(F.col("m") > LARGE).select("d").distinct(), "hot")
     rare = step(_rarest(sets, hot, p, q), "rarest")
     keyed = step(rare.join(_unlike(rare, "item"), "item"), "keyed")
     near = step(near.union(_pairs(keyed.where(F.col("m") <= SMALL), "item")).distinct(), "near")
     pairs = step(_possible(near, sketches, p, q), "pairs")
     links = step(_check(pairs, sets, p, q), "links")
-    release(rare, near, pairs)
+    release(rare, near, pairs, hot)
     some = members.where((F.col("m") > SMALL) & (F.col("m") <= LARGE)).select(F.col("sig").alias("item"), "d", "m")
     blocks = keyed.where(F.col("m") > SMALL).select("item", "d", "m").union(some)
     if blocks.take(1):

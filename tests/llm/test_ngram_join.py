@@ -153,3 +153,34 @@ def test_only_sets_of_pairs_are_moved(spark, monkeypatch, few):
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2  # both sides of the pairs
     assert plan.count("rightHint=(strategy=broadcast)") == (2 if few else 0)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_hot_sets_are_picked_without_moving_the_others(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    sets = spark.createDataFrame([(i, [*range(i, i + 4)]) for i in range(50)], "d bigint, items array<bigint>")
+    hot = spark.createDataFrame([(5,), (6,), (40,)], "d bigint")
+    rare = ngram_join._rarest(sets, hot, 75, 100)
+    assert sorted((r.d, r["item"]) for r in rare.collect()) == [(5, 5), (5, 6), (6, 6), (6, 9), (40, 40), (40, 41)]
+    plan = rare._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") and ("rightHint=(strategy=broadcast)" in plan) == bool(few)
+
+
+def test_rounds_move_light_rows_of_keys_that_had_something_left(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    kept = []
+
+    def step(df, name, of=ngram_join.step):
+        out = of(df, name)
+        if name == "keys":
+            kept.append((out.columns, {(r.item, r.d) for r in out.collect()}))
+        elif name == "left":
+            kept.append(("left", {r.item for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(ngram_join, "step", step)
+    rows = corpus(9, 120, 160)
+    assert got(spark, rows, 4, 85, 100) == brute.jaccard_components(rows, 4, 85, 100)
+    assert all(columns in ("left", ["item", "d", "m"]) for columns, _ in kept)
+    rounds = [(a[1], b[1]) for a, b in zip(kept, kept[1:]) if a[0] == "left"]
+    assert rounds and all({item for item, _ in after} <= left for left, after in rounds)
